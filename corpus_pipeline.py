@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, mixing, near_dups, quality
+from millrace.llm import decontaminate, mixing, near_dups, quality, token_output
 from millrace.llm.common import materialize, table
 
 
@@ -24,11 +24,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_output.output_report(docs)
+
+
 STAGES = [
     ("quality", keep_quality),
     ("near_copies", drop_near_copies),
     ("leaks", drop_leaks),
     ("mix", mix_sources),
+    ("token_files", write_tokens),
 ]
 #: Classifier, signatures and the coder have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, mixing, near_dups, quality, sharding, token_counts
+from millrace.llm import ann, decontaminate, mixing, near_dups, pii, quality, secrets, sharding, token_counts, token_output
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours_report(table(spark, sf_dir, "embeddings"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.output_report(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(table(spark, sf_dir, "documents"))
 
@@ -38,8 +54,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = {f.__name__: f for f in (op1_decontaminate, op6_near_dups, op7_sharding, op8_token_counts, op9_quality, op10_mixing)}
-    return own | {"pipeline": corpus_pipeline.run}
+    own = (
+        op1_decontaminate, op2_nearest, op3_pii, op4_secrets, op5_token_output,
+        op6_near_dups, op7_sharding, op8_token_counts, op9_quality, op10_mixing,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
