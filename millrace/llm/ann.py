@@ -101,7 +101,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = K, vector: str =
     shards, blocks = -(-size[0] // SHARD_ROWS) or 1, -(-asked.count() // BLOCK_ROWS) or 1
     top_norm = float(size[1]) * (1 + 1e-12)
     left = found.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def meet(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
