@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +67,16 @@ def with_row_numbers(df: DataFrame, order: list[Column], name: str = "row_no") -
     numbered = kept.withColumn("_within", within).join(F.broadcast(starts), "_range")
     total = kept.count()
     return numbered.withColumn(name, F.col("_start") + F.col("_within") - 1).drop("_range", "_within", "_start"), total
+
+
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds at most so many bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > max_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)

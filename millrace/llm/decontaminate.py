@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, slices
 
 MIN_MATCH = 5
 #: Share of an item's words that tiles must cover.
@@ -181,8 +181,7 @@ def _direct(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(sent.value, min_match)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 found = list(index.leaks(part.column(1).to_pylist(), coverage))
                 if found:
                     columns = list(zip(*found, strict=True))
@@ -257,11 +256,12 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_mat
         return keyed.join(flagged, keyed["_leak_key"] == flagged["_leaking"], "left_anti").drop("_leak_key")
     sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.select(F.col("item_id").cast("long"), "text").collect()])
 
+    text_at = docs.columns.index("text")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(sent.value, min_match)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, text_at):
                 bad = {x[0] for x in index.leaks(part.column("text").to_pylist(), coverage)}
                 yield part.filter(pa.array([i not in bad for i in range(part.num_rows)])) if bad else part
 

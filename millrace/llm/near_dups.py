@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -57,7 +57,7 @@ class _Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -158,8 +158,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, 2):
                 rows = signatures(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "text_hash", "signature"])
 
@@ -193,13 +192,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = _keyed(docs).where(F.col("text").rlike(r"\S")).join(needed, "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text"))
     texts = materialize(texts, "texts")
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = [jaccard(x, y) >= SIMILARITY for x, y in zip(f["ta"], f["tb"], strict=True)]
-            yield f.loc[keep, ["a", "b"]]
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("ta"), batch.column("tb"), strict=True)
+            keep = pa.array([jaccard(x.as_py(), y.as_py()) >= SIMILARITY for x, y in pairs], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
     read = unsure.join(texts.withColumnsRenamed({"_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"_id": "b", "text": "tb"}), "b")
-    return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(read.mapInPandas(check, "a long, b long"))
+    return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(read.mapInArrow(check, "a long, b long"))
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, slices
 from millrace.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"MRC1"
@@ -41,7 +41,7 @@ BLOCK_IDS = 4096
 #: A frame is closed at the first document end at or after so many ids.
 FRAME_IDS = 65_536
 #: Ids coded side by side at once at most; bounds memory.
-GROUP_IDS = 4_000_000
+GROUP_IDS = 2_000_000
 _TABLE2, _TABLE1 = 4096, 4096
 _TOTAL, _LEVELS = 1 << 16, 16
 
@@ -330,8 +330,7 @@ def write_frames(docs: DataFrame, path: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=["part", "frame", "doc_ids", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for piece in slices(batch, 1):
                 for name, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
                     own = np.frombuffer(ids + end, "<u4").astype(np.uint16)
                     groups[-1].append(own)
