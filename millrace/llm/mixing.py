@@ -157,7 +157,8 @@ def _combiner(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def copies(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = 23) -> DataFrame:
     """Decide the copies of every document of a mix whose words number as many as the input's.
 
-    Returns the columns ``carried`` of every row, source_size, target and copies. Null texts
+    Returns the columns ``carried`` of every row under the names c_<name>, and _size,
+    source_size, target and copies. Null texts
     and texts without words have size 0; they count for nothing and get the whole part of
     their source's copies. Null is a source of its own, ordered last. Repeated rows are
     rounded one by one. Extra columns are ignored, an empty table gives an empty result, and
@@ -192,16 +193,18 @@ def copies(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGH
     for more in settled[1:]:
         out = out.unionByName(more)
     taken = (F.col("_copies") + F.col("_part")).cast("long").alias("copies")
-    return out.select(*[F.col(f"c_{c}").alias(c) for c in carried], F.col("_size").alias("size"), "source_size", "target", taken)
+    return out.select(*[f"c_{c}" for c in carried], "_size", "source_size", "target", taken)
 
 
 def mixed(docs: DataFrame, seed: int = 23) -> DataFrame:
     """The mix itself: each document as often as its copies, with the columns of ``docs``."""
     decided = copies(docs, docs.columns, seed=seed).where("copies > 0")
-    return decided.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    repeated = decided.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies of every document."""
     decided = copies(docs, ["doc_id"])
-    return decided.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    target, taken = F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("_size")).alias("taken")
+    return decided.select(F.col("c_doc_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", target, taken, "copies")

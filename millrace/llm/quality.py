@@ -225,4 +225,13 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents the classifier does not reject, with their columns unchanged."""
-    return score(docs, train(docs, labels), docs.columns).where(F.col("score") >= threshold).drop("score")
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array([features(t.as_py()) for t in batch.column(at)])
+                yield batch.filter(pa.array(sent.value.score(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
