@@ -202,58 +202,58 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(read.mapInArrow(check, "a long, b long"))
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between similar nodes that hold each class together.
+def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of every node that is similar to another: its class's least node.
 
     Nodes that share a band are a bucket. Every member is compared with the bucket's hub, its
-    least node; whoever is not similar to the hub meets new hubs among those left, twice as
-    many each round, until no bucket has two left. Pairs number as the members, not as their
-    square. Two members that found similar hubs are not compared in that bucket, but in others.
+    least node. Members that links then connect to the hub, here or through other buckets, are
+    settled; the others meet new hubs among themselves, twice as many each round, until no
+    bucket has two left. Pairs number as the members, not as their square. Two members of one
+    bucket that are settled with different hubs are not compared there, but in others.
     """
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.call_function("substring", F.col("signature"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     left = nodes.select(F.col("node").alias("b"), F.explode(band).alias("bucket"))
-    found, hubs_each = [], 1
+    roots, hubs_each = nodes.select("node", F.col("node").alias("root")).where("false"), 1
     while True:
         hubs = left.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = materialize(left.join(hubs, "bucket"), "members")
+        members = left.join(hubs, "bucket")
+        if hubs_each == 1:
+            members = materialize(members.select("bucket", "b", "first", (F.col("b") == F.col("first")).alias("hub")), "members")
+            pairs = members.where("not hub").select(F.col("first").alias("a"), "b")
+        else:
+            lot = F.pmod(F.xxhash64("b", F.lit(hubs_each)), F.lit(1 << 30)) / float(1 << 30)
+            hub = (F.col("b") == F.col("first")) | (lot < (hubs_each - 1) / F.col("n"))
+            members = materialize(members.select("bucket", "b", "first", hub.alias("hub")), "members")
+            pairs = members.select("bucket", "b").join(members.where("hub").select("bucket", F.col("b").alias("a")), "bucket").where("a <> b")
         if members.isEmpty():
-            break
-        lot = F.pmod(F.xxhash64("b", F.lit(hubs_each)), F.lit(1 << 30)) / float(1 << 30)
-        is_hub = (F.col("b") == F.col("first")) | (lot < (hubs_each - 1) / F.col("n"))
-        pairs = members.select("bucket", "b", F.col("first").alias("a")) if hubs_each == 1 else members.select("bucket", "b").join(members.where(is_hub).select("bucket", F.col("b").alias("a")), "bucket")
-        tried = pairs.where("a <> b")
-        asked = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        good = materialize(_verified(asked, nodes, docs), "links")
-        found.append(good)
-        both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        settled = tried.join(both, ["a", "b"]).select("bucket", "b").unionByName(members.where(is_hub).select("bucket", "b")).distinct()
-        left = members.select("bucket", "b").join(settled, ["bucket", "b"], "left_anti")
+            return roots
+        asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        roots = components(_verified(asked, nodes, docs).unionByName(known))
+        placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "b", "hub", F.coalesce("root", "b").alias("class"))
+        placed = materialize(placed, "placed")
+        left = placed.join(placed.where("hub").select("bucket", "class").distinct(), ["bucket", "class"], "left_anti").select("b", "bucket")
         hubs_each *= 2
-    out = found[0] if found else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of an edge: its component's least node.
+    """(node, root) of every node of an edge but the roots: its component's least node.
 
     Large and small stars in turn: every node's greater neighbours move to its least one, then
     the lesser ones do. Edges never grow in number, and a few rounds suffice for any shape.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = None
     while True:
+        lower = edges.select(F.col("a").alias("_low")).join(edges.select(F.col("b").alias("_low")), "_low", "left_semi")
+        n, targets = edges.agg(F.count(F.lit(1)), F.count_distinct("b")).first()
+        if n == targets and lower.isEmpty():  # every node hangs on one root
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         edges = materialize(moved.where("a <> b").distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("b")).first())
-        if now == state and now[0] == now[2]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state = now
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def classes(docs: DataFrame) -> DataFrame:
     none. Extra columns are ignored; an empty table gives an empty result.
     """
     nodes = materialize(_signed(docs), "nodes")
-    roots = components(links(nodes, docs))
+    roots = linked(nodes, docs)
     member = nodes.select("text_hash", "node").join(roots, "node", "left").select(F.col("text_hash").alias("_hash"), F.coalesce("root", "node").alias("_class"))
     slim = _keyed(docs).select("doc_id", "_id", "text_hash", F.col("text").rlike(r"\S").alias("_has_words"))
     placed = slim.join(member, F.col("_has_words") & (slim["text_hash"] == member["_hash"]), "left").select("doc_id", F.coalesce("_class", "_id").alias("_class"), "_has_words")
@@ -282,7 +282,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words stay. Of repeated rows with that doc_id and text one stays.
     """
     nodes = materialize(_signed(docs), "nodes")
-    roots = components(links(nodes, docs))
+    roots = linked(nodes, docs)
     kept = nodes.join(roots.where("node <> root"), "node", "left_anti").select(F.col("node").alias("_kept"))
     kept = materialize(kept, "kept")
     side = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
