@@ -98,7 +98,13 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_add("long_profile", flagship)
+_NUMBERS = {
+    "customer": "c_custkey c_nationkey c_acctbal", "supplier": "s_suppkey s_nationkey s_acctbal", "part": "p_partkey p_size p_retailprice", "orders": "o_orderkey o_custkey o_totalprice",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
+}
+_LONG = [f"""select '{t}' as "table", '*' as "column", 'row_count' as stat, count(*)::double as "value" from {t}""" for t in _NUMBERS]
+_LONG += [f"""select '{t}' as "table", '{c}' as "column", stat, "value" from (unpivot ({_numeric_sql(c, t)}) on columns(*) into name stat value "value")""" for t, cs in _NUMBERS.items() for c in cs.split()]
+_add("long_profile", flagship, " union all ".join(_LONG))
 
 
 # ---- audits
@@ -223,8 +229,10 @@ _add("cross_join", lambda spark, d: _read(spark, d, "region", "r_regionkey").cro
 _SINK = ("n_nationkey", "n_name", "n_regionkey")
 _add("sql_literal_rows", lambda spark, d: sinks.value_rows(_read(spark, d, "nation", *_SINK).withColumn("n_name", F.concat("n_name", F.lit("'s")))), "select '(' || n_nationkey || ', ''' || replace(n_name || '''s', '''', '''''') || ''', ' || n_regionkey || ')' as \"values\" from nation")
 _add("sql_literal_orders", lambda spark, d: sinks.value_rows(_read(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderdate").withColumn("paid", F.nullif((F.col("o_orderkey") % 3 == 0), F.lit(False)))), "select '(' || o_orderkey || ', ' || regexp_replace(regexp_replace(cast(cast(cast(o_totalprice as varchar) as decimal(38,10)) as varchar), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || ', ''' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ''', ' || case when o_orderkey % 3 = 0 then 'TRUE' else 'NULL' end || ')' as \"values\" from orders")
-_add("insert_statements", lambda spark, d: sinks.insert_statements(_read(spark, d, "region").coalesce(1), "region"))
-_add("offline_export", lambda spark, d: sinks.export_collection({"status": profile.categorical(_read(spark, d, "orders"), "o_orderstatus").withColumn("pct", F.round("pct", 6)), "rows": profile.row_count(_read(spark, d, "orders"))}))
+_INSERTS = """select 'INSERT INTO "region" ("r_regionkey", "r_name") VALUES' || chr(10) || string_agg('(' || r_regionkey || ', ''' || r_name || ''')', ',' || chr(10) order by r_regionkey) || ';' as sql from region"""
+_add("insert_statements", lambda spark, d: sinks.insert_statements(_read(spark, d, "region").coalesce(1), "region"), _INSERTS)
+_EXPORT = f"""select '{{"rows":[{{"row_count":' || (select count(*) from orders) || '}}],"status":' || (select cast(to_json(list({{'value': value, 'pct': round(pct, 6)}} order by value)) as varchar) from ({_shares_sql('o_orderstatus', 'orders')})) || '}}' as document"""
+_add("offline_export", lambda spark, d: sinks.export_collection({"status": profile.categorical(_read(spark, d, "orders"), "o_orderstatus").withColumn("pct", F.round("pct", 6)), "rows": profile.row_count(_read(spark, d, "orders"))}), _EXPORT)
 
 
 # ---- compliance
