@@ -15,7 +15,7 @@ import heapq
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,28 +128,29 @@ def _rounded(rows: Iterator[dict], seed: int, last: bool) -> Iterator[dict]:
         yield row
 
 
-def _frames(batches: Iterator[pd.DataFrame], seed: int, last: bool, rows: int = 2000) -> Iterator[pd.DataFrame]:
-    columns: list[str] = []
+def _batches(batches: Iterator[pa.RecordBatch], seed: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    schema: list[pa.Schema] = []
 
     def records() -> Iterator[dict]:
         for batch in batches:
-            columns[:] = list(batch.columns)
-            yield from batch.astype(object).where(batch.notna(), None).to_dict("records")
+            schema[:] = [batch.schema]
+            for at in range(0, batch.num_rows, rows):
+                yield from batch.slice(at, rows).to_pylist()
 
     out: list[dict] = []
-    for row in _rounded(records(), seed, last):
+    for row in _rounded(records(), seed, False):
         out.append(row)
         if len(out) == rows:
-            yield pd.DataFrame(out, columns=columns)
+            yield pa.RecordBatch.from_pylist(out, schema=schema[0])
             out = []
     if out:
-        yield pd.DataFrame(out, columns=columns)
+        yield pa.RecordBatch.from_pylist(out, schema=schema[0])
 
 
-def _combiner(seed: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def combine(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_size", "_key"], kind="stable")
-        return pd.concat(list(_frames(iter([part]), seed, last)))
+def _combiner(seed: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def combine(part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: (r["_size"], r["_key"]))
+        return pa.Table.from_pylist(list(_rounded(iter(rows), seed, last)), schema=part.schema)
 
     return combine
 
@@ -173,7 +174,7 @@ def copies(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGH
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + 1e-12).cast("long")
     rows = joined.withColumn("_copies", whole).withColumn("_part", F.when(F.col("_size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(F.lit(0.0)))
-    level = materialize(rows.mapInPandas(lambda b: _frames(b, seed, False), rows.schema).withColumn("_at", F.spark_partition_id()), "mix")
+    level = materialize(rows.mapInArrow(lambda b: _batches(b, seed), rows.schema).withColumn("_at", F.spark_partition_id()), "mix")
     still = (F.col("_part") > 0) & (F.col("_part") < 1)
     settled, n = [level.where(~still)], (level.agg(F.max("_at")).first()[0] or 0) + 1
     open_rows, depth = level.where(still), 0
@@ -183,7 +184,7 @@ def copies(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGH
         grouped = open_rows.withColumn("_at", F.expr(f"_at div {FAN_IN}").cast("int")).groupBy("source", "_at")
         done = n <= 1
 
-        level = materialize(grouped.applyInPandas(_combiner(seed + depth, done), open_rows.schema), "mix")
+        level = materialize(grouped.applyInArrow(_combiner(seed + depth, done), open_rows.schema), "mix")
         if done:
             settled.append(level)
             break

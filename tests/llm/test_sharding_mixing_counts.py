@@ -142,3 +142,9 @@ def test_length_histogram(spark, odd_docs, no_docs):
         assert (a.truncated_total, a.docs_over) == (sum(min(x, limit) for x in lengths), sum(x > limit for x in lengths))
     assert token_counts.quantile(hist, 0.5) == lengths[(len(lengths) - 1) // 2]
     assert token_counts.length_histogram(token_counts.lengths(no_docs)).count() == 0
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b c", "s"), (None, "d e", "s"), (big + 2, "f", "t")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.mix_report(docs).collect()} == {big, None, big + 2}
