@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
 from millrace.llm.tokens import RANKS_FILE, rank_encoder, vocabulary_path
 
 #: Lengths are summed in runs of this many, so no window holds more than a run or the list of runs.
@@ -37,7 +38,7 @@ def length_histogram(counted: DataFrame) -> DataFrame:
     left out; an empty table gives an empty result.
     """
     counts = counted.where("n_tokens is not null").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumn("tokens", F.col("n_docs") * F.col("n_tokens")).withColumn("run", F.expr(f"n_tokens div {RUN}"))
+    counts = materialize(counts, "lengths").withColumn("tokens", F.col("n_docs") * F.col("n_tokens")).withColumn("run", F.expr(f"n_tokens div {RUN}"))
     after = Window.orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.groupBy("run").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     zero = F.lit(0).cast("long")
