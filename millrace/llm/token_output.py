@@ -37,7 +37,7 @@ from millrace.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"MRC1"
 END_ID = 0
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 #: A frame is closed at the first document end at or after so many ids.
 FRAME_IDS = 65_536
 #: Ids coded side by side at once at most; bounds memory.
@@ -118,10 +118,9 @@ class _Encoder:
     def put(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray, total: np.ndarray | int) -> None:
         unit = self.range[lanes] // total
         at, size = self.low[lanes] + unit * low, unit * width
-        while True:
-            small = size < 1 << 32
-            if not small.any():
-                break
+        # Ranges stay at 2**32 or more and totals at 2**16 or less, so one word is due at most.
+        small = np.nonzero(size < 1 << 32)[0]
+        if len(small):
             out = lanes[small]
             self.words[out, self.used[out]] = at[small] >> 32
             self.used[out] += 1
@@ -156,10 +155,8 @@ class _Decoder:
 
     def take(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
         code, size = self.code[lanes] - self.unit * low, self.unit * width
-        while True:
-            small = size < 1 << 32
-            if not small.any():
-                break
+        small = np.nonzero(size < 1 << 32)[0]
+        if len(small):
             out = lanes[small]
             code[small] = (code[small] << 16) | self.words[out, np.minimum(self.used[out], self.words.shape[1] - 1)]
             self.used[out] += 1
