@@ -94,10 +94,18 @@ def _time_in_bucket(key: str, seed: int, i: Column) -> Column:
     return F.timestamp_add("SECOND", (draw(seed, key, i) % span).cast("int"), start)
 
 
+#: Entities are made in chunks of so many, and active parents numbered in runs of ids of this width.
+CHUNK, RUN = 100_000, 1_000_000
+
+
 def entities(counts: DataFrame, name: str, seed: int) -> DataFrame:
-    """One row for each new entity: id (from 1 over all buckets), created_b, created_at."""
+    """One row for each new entity: id (from 1 over all buckets), created_b, created_at.
+
+    A bucket's rows come from chunks dealt over all tasks, so a large bucket is no large task.
+    """
     first = F.coalesce(F.sum("new").over(Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("_first", first).where("new > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("new"))))
+    chunks = counts.withColumn("_first", first).where("new > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(new - 1) div {CHUNK}")))).repartition("b", "_c")
+    rows = chunks.withColumn("_k", F.explode(F.sequence(F.col("_c") * CHUNK + 1, F.least((F.col("_c") + 1) * CHUNK, F.col("new")))))
     rows = rows.withColumn("id", F.col("_first") + F.col("_k"))
     return rows.select("id", F.col("b").alias("created_b"), _time_in_bucket(f"{name}.created_at", seed, F.col("id")).alias("created_at"))
 
@@ -187,13 +195,22 @@ def clamped(ts: Column, parent_ts: Column, b_start: Column, b_end: Column, relat
     return F.least(F.greatest(ts, lower), F.greatest(upper, lower))
 
 
+def _numbered(pairs: DataFrame) -> DataFrame:
+    """Pairs with _n, their number from 0 by id in their bucket: numbered in runs of ids, which are then shifted."""
+    run = pairs.withColumn("_run", F.expr(f"id div {RUN}"))
+    before = Window.partitionBy("b").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = run.groupBy("b", "_run").agg(F.count(F.lit(1)).alias("_c")).select("b", "_run", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("b", "_run").orderBy("id"))
+    return run.withColumn("_in", inside).join(starts, ["b", "_run"]).select("b", "id", (F.col("_start") + F.col("_in") - 1).alias("_n"))
+
+
 def children(counts: DataFrame, pairs: DataFrame, parents: DataFrame, bucket_table: DataFrame, name: str, seed: int, relation: str = "after", low_s: int = 0, high_s: int = 0) -> DataFrame:
     """(id, created_b, parent_id, created_at): each child's parent is drawn among those active in its bucket.
 
     Active parents are numbered within their bucket, and a child joins (bucket, number).
     """
     rows = entities(counts.join(bucket_table, "b"), name, seed).withColumnRenamed("created_at", "_any")
-    numbered = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy("id")) - 1)
+    numbered = _numbered(pairs)
     sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_size"))
     drawn = rows.join(F.broadcast(sizes), rows["created_b"] == sizes["b"]).drop("b").withColumn("_n", draw(seed, f"{name}.parent", F.col("id")) % F.col("_size"))
     chosen = drawn.join(numbered.select(F.col("b").alias("created_b"), F.col("id").alias("parent_id"), "_n"), ["created_b", "_n"])

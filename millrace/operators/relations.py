@@ -24,16 +24,16 @@ def indexed_keys(parent: DataFrame, pk: str) -> tuple[DataFrame, int]:
     n = keys.count()
     if n <= BROADCAST_KEYS:
         return keys.select((F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("idx"), "key"), n
-    # Range bounds come from values, so that two evaluations agree.
+    # Range bounds come from values, so that two evaluations agree. Keys that are no numbers go by their hash.
     width = max(2, -(-n // BROADCAST_KEYS))
-    cuts = sorted({c for c in keys.agg(F.percentile_approx("key", [k / width for k in range(1, width)])).first()[0]})
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + (F.col("key") > F.lit(cut)).cast("int")
-    dealt = keys.withColumn("_part", part)
+    number = keys.schema["key"].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+    by = F.col("key") if number else F.xxhash64("key")
+    cuts = sorted({c for c in keys.agg(F.percentile_approx(by, [k / width for k in range(1, width)])).first()[0]})
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: by > cut))
+    dealt = keys.withColumn("_part", part).withColumn("_by", by)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("key"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_by", "key"))
     return dealt.withColumn("_at", inside).join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_at") - 1).alias("idx"), "key"), n
 
 

@@ -66,3 +66,21 @@ def test_simulation_follows_parents(spark):
     season = [1.0, 0.7, 0.85, 1.0, 1.1, 0.8]
     assert all(abs(o.new - 2 * u.active * f) <= 1 for o, u, f in zip(by["orders"], by["users"], season, strict=True))
     assert all(o.active <= i.new <= 3 * o.active for o, i in zip(by["orders"], by["items"], strict=True))
+
+
+def test_large_pools_are_numbered_alike(spark, monkeypatch):
+    from millrace.operators import lifecycle, relations
+
+    numbers = spark.range(100, 900).withColumnRenamed("id", "k")
+    small = sorted(map(tuple, relations.indexed_keys(numbers, "k")[0].collect()))
+    words = numbers.selectExpr("concat('w', k) as k")
+    pairs = spark.range(1, 301).selectExpr("cast(id % 3 as int) as b", "id")
+    whole = sorted(map(tuple, lifecycle._numbered(pairs).collect()))
+    monkeypatch.setattr(relations, "BROADCAST_KEYS", 90)
+    monkeypatch.setattr(lifecycle, "RUN", 7)
+    assert sorted(map(tuple, relations.indexed_keys(numbers, "k")[0].collect())) == small
+    assert sorted(r.idx for r in relations.indexed_keys(words, "k")[0].collect()) == list(range(800))
+    assert sorted(map(tuple, lifecycle._numbered(pairs).collect())) == whole
+    monkeypatch.setattr(lifecycle, "CHUNK", 3)
+    counts = spark.createDataFrame([(0, 7), (1, 0), (2, 4)], "b int, new long").selectExpr("*", "date'2024-01-01' as b_start", "date'2024-02-01' as b_end")
+    assert sorted((r.created_b, r.id) for r in lifecycle.entities(counts, "x", 1).collect()) == [(0, i) for i in range(1, 8)] + [(2, i) for i in range(8, 12)]
