@@ -30,6 +30,8 @@ COORDINATES = 256
 BANDS, ROWS = 36, 6
 #: Beyond these shares of agreeing coordinates (4 and 3 standard errors from 0.8) no exact check is needed.
 SURE, HOPELESS = 0.9, 0.72
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 2000
 #: Ids of at most so many documents (8 bytes each) are broadcast to pick texts for the exact check.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -202,38 +204,56 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(read.mapInArrow(check, "a long, b long"))
 
 
+def _cross_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of one bucket (or of two of its blocks) in different classes whose signatures leave a link possible.
+
+    Each member outside the largest class is compared with all members. A pair that shares
+    several bands comes out of the first one only, and a pair of blocks only across them.
+    """
+    ids, classes, blocks = (np.array(table.column(c).to_pylist()) for c in ("b", "class", "block"))
+    band, (p, q) = table.column("band")[0].as_py(), (table.column(c)[0].as_py() for c in ("p", "q"))
+    signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
+    names, counts = np.unique(classes, return_counts=True)
+    out_a, out_b = [], []
+    for i in np.nonzero(classes != names[counts.argmax()])[0]:
+        share = (signs == signs[i]).mean(axis=1)
+        near = np.nonzero((share >= HOPELESS) & (classes != classes[i]))[0]
+        for j in near.tolist():
+            if p != q and blocks[i] == blocks[j]:
+                continue
+            same = (signs[i] == signs[j])[: BANDS * ROWS].reshape(BANDS, ROWS).all(axis=1)
+            if int(same.argmax()) == band:
+                out_a.append(min(ids[i], ids[j]))
+                out_b.append(max(ids[i], ids[j]))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
 def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of every node that is similar to another: its class's least node.
 
-    Nodes that share a band are a bucket. Every member is compared with the bucket's hub, its
-    least node. Members that links then connect to the hub, here or through other buckets, are
-    settled; the others meet new hubs among themselves, twice as many each round, until no
-    bucket has two left. Pairs number as the members, not as their square. Two members of one
-    bucket that are settled with different hubs are not compared there, but in others.
+    Nodes that share a band are a bucket. First, every member is compared with the bucket's
+    hub, its least node: as many pairs as members. Links join nodes to classes, and a bucket
+    of one class is done. Then the members of every bucket left are compared across classes
+    by signature, in blocks, and only pairs that may be links come out. So each pair of
+    different classes that shares a band is judged, and no bucket is too large.
     """
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.call_function("substring", F.col("signature"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    left = nodes.select(F.col("node").alias("b"), F.explode(band).alias("bucket"))
-    roots, hubs_each = nodes.select("node", F.col("node").alias("root")).where("false"), 1
-    while True:
-        hubs = left.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = left.join(hubs, "bucket")
-        if hubs_each == 1:
-            members = materialize(members.select("bucket", "b", "first", (F.col("b") == F.col("first")).alias("hub")), "members")
-            pairs = members.where("not hub").select(F.col("first").alias("a"), "b")
-        else:
-            lot = F.pmod(F.xxhash64("b", F.lit(hubs_each)), F.lit(1 << 30)) / float(1 << 30)
-            hub = (F.col("b") == F.col("first")) | (lot < (hubs_each - 1) / F.col("n"))
-            members = materialize(members.select("bucket", "b", "first", hub.alias("hub")), "members")
-            pairs = members.select("bucket", "b").join(members.where("hub").select("bucket", F.col("b").alias("a")), "bucket").where("a <> b")
-        if members.isEmpty():
-            return roots
-        asked = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        roots = components(_verified(asked, nodes, docs).unionByName(known))
-        placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "b", "hub", F.coalesce("root", "b").alias("class"))
-        placed = materialize(placed, "placed")
-        left = placed.join(placed.where("hub").select("bucket", "class").distinct(), ["bucket", "class"], "left_anti").select("b", "bucket")
-        hubs_each *= 2
+    rows = nodes.select(F.col("node").alias("b"), F.posexplode(band).alias("band", "bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(rows.join(hubs, "bucket"), "members")
+    near = _verified(members.where("b <> first").select(F.col("first").alias("a"), "b").distinct(), nodes, docs)
+    roots = components(near)
+    placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "band", "b", "n", F.coalesce("root", "b").alias("class"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi").select("bucket")
+    size = F.ceil(F.col("n") / BLOCK).cast("int")
+    rest = placed.join(mixed, "bucket", "left_semi").withColumn("blocks", size).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = rest.withColumn("_o", other).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o"))
+    signed = rest.join(nodes.select(F.col("node").alias("b"), "signature"), "b").select("bucket", "p", "q", "band", "b", "block", "class", "signature")
+    asked = signed.groupBy("bucket", "p", "q").applyInArrow(_cross_pairs, "a long, b long").distinct()
+    more = _verified(materialize(asked, "asked"), nodes, docs)
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
