@@ -184,3 +184,23 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert quality.quality_report(no_docs, labels).count() == 0
     assert {r.score for r in quality.quality_report(odd_docs, labels.where("false")).collect()} == {0.5}
     assert quality.accepted(odd_docs, labels.where("false")).columns == odd_docs.columns
+
+
+def test_mixed_buckets_in_small_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    monkeypatch.setattr(near_dups, "BLOCK", 2)
+    assert {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()} == whole
+
+
+def test_a_family_that_the_hub_does_not_reach(spark):
+    # Each text differs from the next by a little, from the first by much.
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(12):
+        base[k * 12 : k * 12 + 4] = [f"x{k}-{j}" for j in range(4)]
+        rows.append((k, " ".join(base)))
+    rows.append((50, "quite another text that stands for itself alone here"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
+    assert got == brute_classes(rows)
