@@ -190,9 +190,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     judged = materialize(judged.select("a", "b", agree("sa", "sb").alias("share")).where(F.col("share") >= HOPELESS), "judged")
     unsure = judged.where(F.col("share") < SURE).select("a", "b")
     needed = unsure.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    needed = F.broadcast(needed) if unsure.count() * 2 <= BROADCAST_IDS else needed
-    texts = _keyed(docs).where(F.col("text").rlike(r"\S")).join(needed, "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = _texts(docs, needed, unsure.count() * 2 <= BROADCAST_IDS)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,28 +202,35 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(read.mapInArrow(check, "a long, b long"))
 
 
-def _cross_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket (or of two of its blocks) in different classes whose signatures leave a link possible.
+def _cross_links(table: pa.Table) -> pa.Table:
+    """Links between classes within one bucket, or across two of its blocks.
 
     Each member outside the largest class is compared with all members. A pair that shares
-    several bands comes out of the first one only, and a pair of blocks only across them.
+    several bands is judged in the first one only, a pair of blocks only across them, and
+    classes that a link has joined are one from then on, so links number less than members.
     """
     ids, classes, blocks = (np.array(table.column(c).to_pylist()) for c in ("b", "class", "block"))
     band, (p, q) = table.column("band")[0].as_py(), (table.column(c)[0].as_py() for c in ("p", "q"))
     signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
-    names, counts = np.unique(classes, return_counts=True)
-    out_a, out_b = [], []
-    for i in np.nonzero(classes != names[counts.argmax()])[0]:
+    names, classes, counts = np.unique(classes, return_inverse=True, return_counts=True)
+    texts, out = table.column("text"), []
+    for i in np.nonzero(classes != counts.argmax())[0].tolist():
         share = (signs == signs[i]).mean(axis=1)
-        near = np.nonzero((share >= HOPELESS) & (classes != classes[i]))[0]
-        for j in near.tolist():
-            if p != q and blocks[i] == blocks[j]:
+        for j in np.nonzero((share >= HOPELESS) & (classes != classes[i]))[0].tolist():
+            if classes[i] == classes[j] or (p != q and blocks[i] == blocks[j]):
                 continue
             same = (signs[i] == signs[j])[: BANDS * ROWS].reshape(BANDS, ROWS).all(axis=1)
-            if int(same.argmax()) == band:
-                out_a.append(min(ids[i], ids[j]))
-                out_b.append(max(ids[i], ids[j]))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            if int(same.argmax()) == band and (share[j] >= SURE or jaccard(texts[i].as_py(), texts[j].as_py()) >= SIMILARITY):
+                out.append((int(ids[i]), int(ids[j])))
+                classes[classes == classes[j]] = classes[i]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _texts(docs: DataFrame, needed: DataFrame, bounded: bool) -> DataFrame:
+    """(_id, text) of the nodes in ``needed``, one text each."""
+    needed = F.broadcast(needed) if bounded else needed
+    found = _keyed(docs).where(F.col("text").rlike(r"\S")).join(needed, "_id", "left_semi")
+    return materialize(found.groupBy("_id").agg(F.min("text").alias("text")), "texts")
 
 
 def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -233,8 +238,8 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     Nodes that share a band are a bucket. First, every member is compared with the bucket's
     hub, its least node: as many pairs as members. Links join nodes to classes, and a bucket
-    of one class is done. Then the members of every bucket left are compared across classes
-    by signature, in blocks, and only pairs that may be links come out. So each pair of
+    of one class is done. Then the members of every bucket left are compared across classes,
+    in blocks that hold their signatures and texts, and only links come out. So each pair of
     different classes that shares a band is judged, and no bucket is too large.
     """
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.call_function("substring", F.col("signature"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -250,10 +255,12 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rest = placed.join(mixed, "bucket", "left_semi").withColumn("blocks", size).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = rest.withColumn("_o", other).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o"))
-    signed = rest.join(nodes.select(F.col("node").alias("b"), "signature"), "b").select("bucket", "p", "q", "band", "b", "block", "class", "signature")
-    asked = signed.groupBy("bucket", "p", "q").applyInArrow(_cross_pairs, "a long, b long").distinct()
-    more = _verified(materialize(asked, "asked"), nodes, docs)
-    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+    rest = materialize(rest.select("bucket", "p", "q", "band", "b", "block", "class"), "rest")
+    needed = materialize(rest.select(F.col("b").alias("_id")).distinct(), "needed")
+    texts = _texts(docs, needed, needed.count() <= BROADCAST_IDS)
+    held = texts.join(nodes.select("node", "signature"), F.col("_id") == F.col("node")).select(F.col("_id").alias("b"), "signature", "text")
+    across = rest.join(held, "b").groupBy("bucket", "p", "q").applyInArrow(_cross_links, "a long, b long")
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(across))
 
 
 def components(edges: DataFrame) -> DataFrame:
