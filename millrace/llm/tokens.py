@@ -3,8 +3,9 @@
 A text is cut where the vocabulary's pre-tokenizer always starts a new piece: before and
 after runs of letters (a leading space goes with the run). Such parts can be encoded one by
 one and repeat often. A text in which a space meets other white space or that spells a
-special token goes to the library whole; one with an apostrophe before a letter, which may
-be a contraction, is cut at spaces only.
+special token goes to the library whole. One with an apostrophe before a letter, which may
+be a contraction, with white space in a row, whose pieces depend on what follows, or with a
+character that may be a letter beyond those known here is cut at spaces only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ _CUT = re.compile(f" ?[{_LETTERS}]+|(?: |[^ {_LETTERS}])[^ {_LETTERS}]*")
 _CUT_AT_SPACES = re.compile("[ ]?[^ ]+")
 _CONTRACTION = re.compile(f"'[{_LETTERS}]")
 _MIXED_SPACE = re.compile(r" (?=\s|$)")
+_SPACES = re.compile(r"\s\s")
+#: Characters that no Unicode version counts as letters: ASCII, Latin-1 signs, combining marks, punctuation, symbols, pictographs.
+_NO_LETTERS = "\x00-\x7f\x80-©«-´¶-¹»-¿×÷\u0300-\u036f\u2000-\u2064\u20a0-\u20bf\u2190-\u23ff\u2460-\u2bff\u3000-\u3004\u3008-\u3020\ufe0e\ufe0f\ufffd\U0001f300-\U0001faff"
+_FOREIGN = re.compile(f"[^{_LETTERS}{_NO_LETTERS}]")
 
 
 def vocabulary_path(name: str = BPE_FILE) -> str:
@@ -54,7 +59,8 @@ class CachedEncoder:
     def cut(self, text: str) -> list[str]:
         if _MIXED_SPACE.search(text) or any(s in text for s in self.special):
             return [text]
-        return (_CUT_AT_SPACES if _CONTRACTION.search(text) else _CUT).findall(text)
+        linked = _CONTRACTION.search(text) or _SPACES.search(text) or not text.isascii() and _FOREIGN.search(text)
+        return (_CUT_AT_SPACES if linked else _CUT).findall(text)
 
     def encode_many(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each whole text."""

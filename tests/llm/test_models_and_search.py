@@ -144,6 +144,15 @@ def test_encoder_equals_library():
     assert e.encode_many(texts) == e.library(texts)
 
 
+def test_encoder_looks_at_what_follows_white_space():
+    e = encoder(vocabulary_path())
+    assert np.frombuffer(e.encode_many(["one.\n\nNext"])[0], "<u4").tolist() == [505, 13, 198, 198, 10019]
+    texts = ["x\xa0\xa0y", "\n\nb", "a\n\n\n\nb c", "a\n\n b", "a\r\n\r\nb", "1\u3000\u3000z", "a\t\tb's\n\nc"]
+    texts += ["a \u03bcg b", "\u03bcg", "g\u03bc", "caf\u00e9\u4e00x", "a\u00b5b", "1\u00aax", "e\u0301a", "\u201cquoted\u201d", "x\u0435y z"]
+    texts += [f"a{x}{c}{y}b d" for c in map(chr, [*range(0x20, 0x400), *range(0x2000, 0x2070), *range(0x3000, 0x3040)]) for x in ("", " ", c) for y in ("", " ")]
+    assert e.encode_many(texts) == e.library(texts)
+
+
 def test_output_of_odd_rows(spark, odd_docs, no_docs):
     e = encoder(vocabulary_path())
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
