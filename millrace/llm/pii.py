@@ -8,9 +8,14 @@ words in e's contexts and N all words, a term's disclosure of e is
     log2(c(t, e) N / (c(t) C(e))) / log2(N / C(e)),
 
 its pointwise mutual information over the most a term can have (1: it occurs with e alone).
-Terms at or over the threshold that recur in several different contexts are marked there. If
-the terms that share the marked one's first letters disclose less than the threshold, the
-term is generalised to those letters, otherwise removed. Everything runs as built-in functions.
+Evidence weighs in smoothly: with n different contexts that hold both, the disclosure counts
+for n / (n + 1) of itself, so a term met once with e is marked if it occurs nowhere else. As
+most values are seen once or twice, the values of one domain, network, card issuer or block
+of phone numbers are also a protected entity together, and what discloses that is marked
+beside each of them. Every pair of entity and term is judged; those at or over the threshold
+are marked. If the terms that share the marked one's first letters disclose less than the
+threshold, the term is generalised to those letters, otherwise removed. Everything runs as
+built-in functions.
 """
 
 from __future__ import annotations
@@ -38,14 +43,13 @@ PATTERNS = {
 PROBES = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
 DISCLOSURE = 0.5
-MIN_CONTEXTS = 3
 #: Characters on either side of an occurrence that are its context.
 REACH = 80
 PREFIX = 3
 #: A word of its own: no part of an address, a number or a longer name.
 _WORD = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
-#: Candidate terms of at most so many are broadcast to the count over the corpus.
-BROADCAST_TERMS = 200_000
+#: Tasks that share the rows of one key in a join.
+SALTS = 16
 
 
 def _luhn(digits: Column) -> Column:
@@ -120,31 +124,40 @@ def _base(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 
 def _contexts(base: DataFrame) -> DataFrame:
-    """(_row, entity, term, start, end, context): the words around each occurrence of an entity."""
+    """(_row, entity, context, term, start, end): the words around each occurrence of an entity.
+
+    Each word comes twice: for the value itself and for the pool of values that it belongs to.
+    """
     span = base.select("_row", F.explode("_spans").alias("x")).select("_row", "x.*")
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind") == "ip", F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", "")))
+    digits = F.regexp_replace("value", "[^0-9]", "")
+    value = F.when(F.col("kind") == "email", F.lower("value")).when(F.col("kind") == "ip", F.col("value")).otherwise(digits)
+    pool = F.when(F.col("kind") == "email", F.substring_index(F.lower("value"), "@", -1)).when(F.col("kind") == "ip", F.substring_index("value", ".", 3)).when(F.col("kind") == "card", F.left(digits, F.lit(6))).otherwise(F.left(digits, F.length(digits) - 4))
+    entities = F.array(F.concat_ws(":", "kind", value), F.concat_ws(":", F.lit("pool"), "kind", pool))
     words = lambda part, at: F.transform(_located(F.col(part), _WORD, F.lit(True)), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
     near = F.concat(words("before", F.col("start") - F.length("before")), words("after", F.col("end")))
-    return span.select("_row", entity.alias("entity"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w")).select("_row", "entity", "context", "w.*")
+    held = span.select("_row", entities.alias("entities"), F.xxhash64("before", "after").alias("context"), F.explode(near).alias("w"))
+    return held.select("_row", F.explode("entities").alias("entity"), "context", "w.*")
+
+
+def _with(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each key; a frequent key's rows are dealt over several tasks by ``by``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    keys = dealt.select(key, "_salt").distinct().join(side, key)
+    return dealt.join(keys, [key, "_salt"]).drop("_salt")
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, threshold: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, contexts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """(entity, term, disclosure, action): the terms that give an entity away.
 
     ``contexts`` are counted over all entities, ``docs`` over all words of all texts; copies
-    of one context count once towards ``min_contexts``.
+    of one context count once as evidence. Disclosure is weighed by its evidence.
     """
     joint = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te"), F.count_distinct("context").alias("n_contexts"))
     joint = materialize(joint.withColumn("prefix", F.left("term", F.lit(PREFIX))), "joint")
-    likely = joint.where(F.col("n_contexts") >= min_contexts)
-    terms = likely.select(F.col("term").alias("_t")).distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    word = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("_w"))
-    marked = word.join(terms, F.col("_w") == F.col("_t"), "left").select("_t", F.left("_w", F.lit(PREFIX)).alias("_p"))
-    counts = materialize(marked.groupBy("_t", "_p").agg(F.count(F.lit(1)).alias("n")), "words")
-    total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    c_t = counts.where("_t is not null").groupBy(F.col("_t").alias("term")).agg(F.sum("n").alias("c_t"))
-    c_p = counts.groupBy(F.col("_p").alias("prefix")).agg(F.sum("n").alias("c_p"))
+    word = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("term"))
+    c_t = materialize(word.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")), "words")
+    total = float(c_t.agg(F.sum("c_t")).first()[0] or 1)
+    c_p = c_t.groupBy(F.left("term", F.lit(PREFIX)).alias("prefix")).agg(F.sum("c_t").alias("c_p"))
     c_e = joint.groupBy("entity").agg(F.sum("c_te").alias("c_e"))
     c_pe = joint.groupBy("entity", "prefix").agg(F.sum("c_te").alias("c_pe"))
 
@@ -154,10 +167,11 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, threshold: float = DI
         own = F.log2(F.least(F.col(both), F.col(alone)) * F.lit(total) / (F.col(alone) * F.col("c_e")))
         return F.when(F.col("c_e") < total, own / most).otherwise(0.0)
 
-    told = likely.join(c_t, "term").join(c_e, "entity").where(share("c_te", "c_t") >= threshold)
-    told = told.join(c_p, "prefix").join(c_pe, ["entity", "prefix"])
+    weight = F.col("n_contexts") / (F.col("n_contexts") + 1)
+    judged = _with(_with(joint, c_t, "term", "entity"), c_e, "entity", "term").withColumn("disclosure", share("c_te", "c_t") * weight)
+    told = judged.where(F.col("disclosure") >= threshold).join(c_p, "prefix").join(c_pe, ["entity", "prefix"])
     action = F.when(share("c_pe", "c_p") < threshold, "generalise").otherwise("remove")
-    return told.select("entity", "term", share("c_te", "c_t").alias("disclosure"), action.alias("action"))
+    return told.select("entity", "term", "disclosure", action.alias("action"))
 
 
 def _all_spans(docs: DataFrame, carried: list[str]) -> DataFrame:

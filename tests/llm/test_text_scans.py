@@ -102,6 +102,19 @@ def test_terms_that_disclose(spark):
     assert clean[100] == rows[8][1]
 
 
+def test_terms_beside_values_seen_once_or_twice(spark):
+    rows = [(0, "the patient ada@north.example.org wrote about zebrafish"), (1, "again ada@north.example.org wrote about zebrafish and the river"), (2, "the call +49 30 1234567 of xylophone about river")]
+    rows += [(10 + i, f"the oncologist wrote to p{i}@ward.example.org about {w}") for i, w in enumerate(("river", "stone", "call"))]
+    rows += [(100 + i, "the river wrote about stone and again the call of patient stone to oncology") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
+    marked = {d: {t[int(s) : int(e)] for k, s, e in (x.split(":") for x in got[d].spans.split(",") if x) if k == "term"} for d, t in rows}
+    # Seen twice, seen once, and seen with three values of one domain.
+    assert marked[0] == marked[1] == {"zebrafish"} and marked[2] == {"xylophone"}
+    assert all(marked[10 + i] == {"oncologist"} for i in range(3))
+    assert all(got[100 + i].n_term == 0 for i in range(300))
+
+
 def brute_tiles(a, b, m):
     ua, ub, out = [False] * len(a), [False] * len(b), 0
     while True:
