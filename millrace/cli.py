@@ -42,7 +42,10 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "simulate":
-        simulate.simulate(spark, _scenario(args), args.seed).orderBy("table", "b").show(1000, False)
+        rows = simulate.simulate(spark, _scenario(args), args.seed).orderBy("table", "b")
+        print(*rows.columns, sep="\t")
+        for row in rows.toLocalIterator():
+            print(*row, sep="\t")
         return 0
     graph = catalog.introspect(spark, args.directory, catalog.DRIVER_KEYS).filtered(tuple(args.include), tuple(args.exclude))
     if args.command == "introspect":

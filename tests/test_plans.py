@@ -137,3 +137,12 @@ def test_stream_density(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("density").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("density").agg({"cnt": "sum"}).first()[0] == spark.read.parquet(str(src)).count()
+
+
+def test_simulate_prints_every_row(spark, monkeypatch, capsys):
+    from millrace import cli
+
+    monkeypatch.setattr(cli.simulate, "simulate", lambda *_: spark.range(1500).selectExpr("'t' as table", "id as b"))
+    assert cli.main(["simulate", "-"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "table\tb" and lines[1:] == [f"t\t{i}" for i in range(1500)]
