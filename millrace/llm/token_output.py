@@ -295,6 +295,13 @@ def unpack_frames(frames: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """The ids in the 16 bits that a block codes."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError(f"id {int(ids.max())} is beyond 65535, the largest that a block can hold")
+    return ids.astype(np.uint16)
+
+
 def write_frames(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write all documents' ids in ascending order of doc_id; returns the table of frames as read back.
 
@@ -329,7 +336,7 @@ def write_frames(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, 1):
                 for name, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
-                    own = np.frombuffer(ids + end, "<u4").astype(np.uint16)
+                    own = narrow(np.frombuffer(ids + end, "<u4"))
                     groups[-1].append(own)
                     names[-1].append(name)
                     open_ids += len(own)

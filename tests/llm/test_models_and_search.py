@@ -138,6 +138,12 @@ def test_blocks_round_trip_and_checksums():
     assert len(small) < 5000 * 2 / 4  # repeats are predicted
 
 
+def test_ids_beyond_a_block_are_refused():
+    assert token_output.narrow(np.array([0, 65535], np.uint32)).tolist() == [0, 65535]
+    with pytest.raises(ValueError):
+        token_output.narrow(np.array([5, 65536], np.uint32))
+
+
 def test_encoder_equals_library():
     e = encoder(vocabulary_path())
     texts = ["", " ", "  a", "a  b", "a \n b", "a\n b", "don't stop 's x", "x<|endoftext|>y", "\n\n a\t b", "é 12abc  ", "a　 b c", " 'll x!'s", "3'd a", "x" * 5000]
