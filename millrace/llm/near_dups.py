@@ -34,6 +34,8 @@ SURE, HOPELESS = 0.9, 0.72
 BLOCK = 2000
 #: Ids of at most so many documents (8 bytes each) are broadcast to pick texts for the exact check.
 BROADCAST_IDS = 1_000_000
+#: A character that Python's split() keeps in a word; Java's own classes know fewer kinds of white space.
+_IN_WORD = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _U = np.uint64
 _SLABS = [*[(float(i), float(i + 1)) for i in range(8)], *[(2.0**i, 2.0 ** (i + 1)) for i in range(3, 40)]]
 
@@ -164,7 +166,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 rows = signatures(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "text_hash", "signature"])
 
-    keyed = _keyed(docs).where(F.col("text").rlike(r"\S"))
+    keyed = _keyed(docs).where(F.col("text").rlike(_IN_WORD))
     signed = materialize(keyed.select(F.col("_id").alias("doc_id"), "text_hash", "text").mapInArrow(sign, "doc_id long, text_hash binary, signature binary"), "signatures")
     return signed.groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
 
@@ -229,7 +231,7 @@ def _cross_links(table: pa.Table) -> pa.Table:
 def _texts(docs: DataFrame, needed: DataFrame, bounded: bool) -> DataFrame:
     """(_id, text) of the nodes in ``needed``, one text each."""
     needed = F.broadcast(needed) if bounded else needed
-    found = _keyed(docs).where(F.col("text").rlike(r"\S")).join(needed, "_id", "left_semi")
+    found = _keyed(docs).where(F.col("text").rlike(_IN_WORD)).join(needed, "_id", "left_semi")
     return materialize(found.groupBy("_id").agg(F.min("text").alias("text")), "texts")
 
 
@@ -296,7 +298,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = materialize(_signed(docs), "nodes")
     roots = linked(nodes, docs)
     member = nodes.select("text_hash", "node").join(roots, "node", "left").select(F.col("text_hash").alias("_hash"), F.coalesce("root", "node").alias("_class"))
-    slim = _keyed(docs).select("doc_id", "_id", "text_hash", F.col("text").rlike(r"\S").alias("_has_words"))
+    slim = _keyed(docs).select("doc_id", "_id", "text_hash", F.col("text").rlike(_IN_WORD).alias("_has_words"))
     placed = slim.join(member, F.col("_has_words") & (slim["text_hash"] == member["_hash"]), "left").select("doc_id", F.coalesce("_class", "_id").alias("_class"), "_has_words")
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("_class", "_has_words").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -317,7 +319,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     own = -1 - F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFFFFFFFFFF))
     keyed = docs.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), own))
-    wordy = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    wordy = F.coalesce(F.col("text").rlike(_IN_WORD), F.lit(False))
     firsts = keyed.where(wordy).join(side, F.col("_near_id") == F.col("_kept"), "left_semi")
     again = materialize(keyed.where(wordy).groupBy("_near_id").count().where("count > 1").select(F.col("_near_id").alias("_again")), "again")
     if not again.isEmpty():

@@ -78,6 +78,14 @@ def test_classes_of_odd_rows(odd_docs, no_docs):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "4", "5", "6", "7", "8", "9", "10", "None", "None"])
 
 
+def test_texts_of_any_white_space_stay_apart(spark):
+    blank = [c for c in map(chr, range(0x110000)) if not c.split()]
+    rows = list(enumerate([*blank, "\u00a0\u3000", "\u200b", "a"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.class_id == r.doc_id and r.class_size == 1 for r in near_dups.classes(docs).collect())
+    assert near_dups.one_of_each(docs).count() == len(rows)
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in near_dups.components(chain).collect()}
