@@ -1,10 +1,11 @@
 """Secret scans by one combined deterministic automaton.
 
-The rules' regular expressions over bytes are parsed to a nondeterministic automaton,
-subset construction and minimisation make one deterministic automaton of them all, and a
-text's UTF-8 bytes go through its transition arrays once. A state tells which rules end
-there. Where one ends, the rule's own anchored automaton finds the leftmost, longest,
-non-overlapping spans in the stretch around it.
+The rules' regular expressions over bytes are parsed to a nondeterministic automaton and
+turned around; subset construction and minimisation make one deterministic automaton of them
+all, and a text's UTF-8 bytes go through its transition arrays once, from the last to the
+first. A state tells which rules have a match that starts there. From the leftmost start on,
+the rule's own anchored automaton finds the longest end; the next start behind it follows. So
+the work is in proportion to the text, however many starts or ends a run of bytes holds.
 """
 
 from __future__ import annotations
@@ -50,6 +51,18 @@ class _Nfa:
         self.free.append([])
         return len(self.moves) - 1
 
+    def reversed(self) -> _Nfa:
+        """The same states with every move turned around."""
+        out = _Nfa()
+        for _ in self.moves:
+            out.state()
+        for s, (moves, free) in enumerate(zip(self.moves, self.free, strict=True)):
+            for on, t in moves:
+                out.moves[t].append((on, s))
+            for t in free:
+                out.free[t].append(s)
+        return out
+
     def add(self, expression: str) -> tuple[int, int]:
         start, end, rest = self._choice(expression, 0)
         if rest != len(expression):
@@ -136,17 +149,19 @@ class Automaton:
     """A minimal deterministic automaton: ``table[state][byte]`` and what each state tells.
 
     ``ends[state]``: rules that end there. ``begun[state]``: rules of which something is matched.
-    State 0 is the start. With ``floating`` every position may start a match, and ``begun`` is not kept.
+    State 0 is the start. With ``backwards`` it reads a text from its end, every position may end
+    a match, ``ends`` tells the rules that start there, and ``begun`` is not kept.
     """
 
-    def __init__(self, rules: dict[str, str], floating: bool):
+    def __init__(self, rules: dict[str, str], backwards: bool):
         nfa = _Nfa()
         spans = {kind: nfa.add(x) for kind, x in rules.items()}
+        if backwards:
+            nfa, spans = nfa.reversed(), {kind: (end, start) for kind, (start, end) in spans.items()}
         owner = self._owners(nfa, spans)
         accept = {end: kind for kind, (_, end) in spans.items()}
         starts = frozenset(self._closure(nfa, [s for s, _ in spans.values()]))
         classes = self._byte_classes(nfa)
-        self.used = [on for moves in nfa.moves for on, _ in moves]
         members = {c: classes.index(c) for c in set(classes)}
         # Subset construction, over classes of bytes that no rule tells apart.
         number, table, todo = {starts: 0}, [], [starts]
@@ -155,7 +170,7 @@ class Automaton:
             row = {}
             for c, byte in members.items():
                 after = set(self._closure(nfa, [t for s in now for on, t in nfa.moves[s] if byte in on]))
-                after = frozenset(after | starts if floating else after)
+                after = frozenset(after | starts if backwards else after)
                 if after not in number:
                     number[after] = len(number)
                     todo.append(after)
@@ -163,7 +178,7 @@ class Automaton:
             table.append(row)
         sets = sorted(number, key=number.get)
         ends = [frozenset(accept[s] for s in x if s in accept) for x in sets]
-        begun = [frozenset() if floating else frozenset(owner[s] for s in x) for x in sets]
+        begun = [frozenset() if backwards else frozenset(owner[s] for s in x) for x in sets]
         self.subset_states = len(sets)
         self._minimise(table, ends, begun, sorted(members), classes)
 
@@ -218,12 +233,10 @@ class Scanner:
     """All rules in one pass over bytes."""
 
     def __init__(self, rules: dict[str, str]):
-        self.kinds = list(rules)
-        combined = Automaton(rules, floating=True)
+        combined = Automaton(rules, backwards=True)
         self.states = len(combined.table)
-        self.own = {kind: Automaton({kind: x}, floating=False) for kind, x in rules.items()}
-        self.used = frozenset().union(*combined.used)
-        # rows[s][b] is the row of the next state, rows[s][256] the rules that end there.
+        self.own = {kind: Automaton({kind: x}, backwards=False) for kind, x in rules.items()}
+        # rows[s][b] is the row of the next state, rows[s][256] the rules that start there.
         self.rows: list[list] = [[] for _ in combined.table]
         for s, row in enumerate(self.rows):
             row.extend(self.rows[t] for t in combined.table[s])
@@ -241,28 +254,23 @@ class Scanner:
 
     def spans(self, data: bytes) -> dict[str, list[tuple[int, int]]]:
         """Leftmost, longest, non-overlapping (start, end) of each kind, in bytes."""
-        out: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        resolved: dict[str, int] = {}
-        row = self.rows[0]
-        for at, byte in enumerate(data):
+        starts: dict[str, list[int]] = defaultdict(list)
+        row, at = self.rows[0], len(data)
+        for byte in reversed(data):
             row = row[byte]
+            at -= 1
             if row[256]:
                 for kind in row[256]:
-                    if at >= resolved.get(kind, 0):
-                        resolved[kind] = self._resolve(kind, data, resolved.get(kind, 0), at, out[kind])
-        return {kind: found for kind, found in out.items() if found}
-
-    def _resolve(self, kind: str, data: bytes, start: int, hit: int, found: list[tuple[int, int]]) -> int:
-        """Add the spans up to the hit; no match reaches over a byte that no rule uses."""
-        at = hit
-        while at > start and data[at - 1] in self.used:
-            at -= 1
-        while at <= hit:
-            end = self._longest(kind, data, at)
-            if end > at:
-                found.append((at, end))
-            at = max(at + 1, end)
-        return at
+                    starts[kind].append(at)
+        out: dict[str, list[tuple[int, int]]] = {}
+        for kind, places in starts.items():
+            end, found = 0, []
+            for at in reversed(places):
+                if at >= end:
+                    end = self._longest(kind, data, at)
+                    found.append((at, end))
+            out[kind] = found
+        return out
 
 
 @functools.lru_cache(maxsize=4)
