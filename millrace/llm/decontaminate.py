@@ -1,10 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items become lower-case words. A run of MIN_MATCH words that both
-share is a seed; only pairs with a seed are compared. Greedy tiling then covers the pair with
-its longest common runs, longest first and none overlapping, found by running Karp-Rabin
-over falling run lengths. A document leaks an item if tiles cover enough of the item,
-whatever their order in the document.
+Documents and benchmark items become lower-case words. A run of MIN_MATCH words (of all its
+words, if an item has fewer) that both share is a seed; only pairs with a seed are compared.
+Greedy tiling then covers the pair with its longest common runs, longest first and none
+overlapping, found by running Karp-Rabin hashes over falling run lengths. A document leaks an
+item if tiles cover enough of the item, whatever their order in the document.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ COVERAGE = 0.5
 BROADCAST_BYTES = 32 << 20
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_MODULUS, _RADIX = (1 << 61) - 1, 1_000_003
+#: Primes under 2**31 and a radix for each: products of residues fit into 64 bits.
+_MODULI = ((2_147_483_647, 1_000_003), (2_147_483_629, 998_244_353))
 
 
 def words(text: str | None) -> list[str]:
@@ -39,7 +40,7 @@ def words(text: str | None) -> list[str]:
 def _windows(ids: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every run of ``size`` ids."""
     ids = ids.astype(np.uint64)
-    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    out = np.full(max(0, len(ids) - size + 1), size, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
             out = out * _BASE + ids[k : len(out) + k]
@@ -47,126 +48,160 @@ def _windows(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _free_runs(marked: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    start = 0
-    for i in range(len(marked) + 1):
-        if i == len(marked) or marked[i]:
-            if i - start >= size:
-                yield start, i
-            start = i + 1
-
-
-def _rolling(ids: list[int], start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
-    """(position, Karp-Rabin hash) of every run of ``size`` ids in ids[start:end]."""
-    value, high = 0, pow(_RADIX, size - 1, _MODULUS)
-    for i in range(start, end):
-        if i - start >= size:
-            value = (value - ids[i - size] * high) % _MODULUS
-        value = (value * _RADIX + ids[i]) % _MODULUS
-        if i - start >= size - 1:
-            yield i - size + 1, value
+class _Runs:
+    """Karp-Rabin hashes of all runs of any one length, by sums of ids times powers of a radix."""
+
+    def __init__(self, ids: np.ndarray, longest: int):
+        self.ids, self.longest = ids, longest
+        self.marked = ids < 0
+        self.sums, self.powers = [], []
+        for modulus, radix in _MODULI:
+            powers = np.ones(longest, np.int64)
+            done = 1
+            while done < longest:  # powers below ``done`` times radix ** done
+                powers[done : 2 * done] = powers[: min(done, longest - done)] * pow(radix, done, modulus) % modulus
+                done *= 2
+            self.powers.append(powers)
+            self.sums.append(np.concatenate([[0], np.cumsum((ids + 2) % modulus * powers[: len(ids)] % modulus)]))
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the runs of ``size`` ids none of which is marked, and their hashes."""
+        held = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.nonzero(held[size:] == held[:-size])[0] if size <= len(self.ids) else np.zeros(0, np.int64)
+        out = np.zeros(len(at), np.int64)
+        for (modulus, _), sums, powers in zip(_MODULI, self.sums, self.powers, strict=True):
+            # Raised to one power for all starts, so that equal runs are equal wherever they lie.
+            out = (out << 31) | (sums[at + size] - sums[at]) % modulus * powers[self.longest - 1 - at] % modulus
+        return at, out
+
+
+def _mark(pattern: _Runs, text: _Runs, size: int) -> list[tuple[int, int, int]]:
+    """Tiles of ``size``, from the front of the pattern, then of the text. There is no longer common run."""
+    (starts, hashes), (places, values) = pattern.free(size), text.free(size)
+    order = np.argsort(values, kind="stable")
+    places, values = places[order], values[order]
+    low, high = np.searchsorted(values, hashes, "left").tolist(), np.searchsorted(values, hashes, "right").tolist()
+    out, after = [], {}
+    for p, a, b in zip(starts.tolist(), low, high, strict=True):
+        if a == b or pattern.marked[p : p + size].any():
+            continue
+        at = after.get(a, a)
+        while at < b and text.marked[places[at] : places[at] + size].any():  # what is marked stays marked
+            at += 1
+        after[a] = at
+        if at < b and (pattern.ids[p : p + size] == text.ids[places[at] : places[at] + size]).all():
+            t = int(places[at])
+            pattern.marked[p : p + size] = text.marked[t : t + size] = True
+            out.append((p, t, size))
+    return out
 
 
 def tiles(pattern: list[int], text: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiling of ``pattern`` by ``text``: (pattern start, text start, length), longest first.
 
-    Both hold non-negative ids; a negative one matches nothing.
+    Both hold non-negative ids; a negative one matches nothing. The longest common run of what
+    is free is found by bisection over lengths, as every part of a common run is one too. Sizes
+    that occur add up to no more than the pattern, so there are few, and each step takes time
+    in proportion to both lengths, however often words repeat.
     """
-    if min(len(pattern), len(text)) < min_match:
+    high = min(len(pattern), len(text))
+    if high < min_match:
         return []
-    in_pattern, in_text = [i < 0 for i in pattern], [i < 0 for i in text]
-    found, size = [], max(min_match, min(len(pattern), len(text)))
-    while True:
-        index = defaultdict(list)
-        for start, end in _free_runs(in_text, size):
-            for at, value in _rolling(text, start, end, size):
-                index[value].append(at)
-        matches = defaultdict(list)
-        if index:
-            for start, end in _free_runs(in_pattern, size):
-                for p, value in _rolling(pattern, start, end, size):
-                    for t in index.get(value, ()):
-                        k = 0
-                        while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and not in_pattern[p + k] and not in_text[t + k]:
-                            k += 1
-                        if k >= size:
-                            matches[k].append((p, t))
-        while matches:
-            k = max(matches)
-            for p, t in sorted(matches.pop(k)):
-                free = 0
-                while free < k and not in_pattern[p + free] and not in_text[t + free]:
-                    free += 1
-                if free == k:
-                    in_pattern[p : p + k] = [True] * k
-                    in_text[t : t + k] = [True] * k
-                    found.append((p, t, k))
-                elif free >= size:
-                    matches[free].append((p, t))
-                else:  # the front is taken: what is free behind it
-                    skip = next((s for s in range(k) if not in_pattern[p + s] and not in_text[t + s]), k)
-                    if 0 < skip and k - skip >= size:
-                        matches[k - skip].append((p + skip, t + skip))
-        if size == min_match:
-            return found
-        size = max(min_match, size // 2)
+    longest = max(len(pattern), len(text))
+    one, other = (_Runs(np.asarray(x, np.int64), longest) for x in (pattern, text))
+
+    def common(size: int) -> bool:
+        own = one.free(size)[1]
+        return len(own) > 0 and bool(np.isin(other.free(size)[1], own).any())
+
+    found: list[tuple[int, int, int]] = []
+    while high >= min_match and common(min_match):
+        low, top = min_match, high
+        while low < top:
+            middle = (low + top + 1) // 2
+            low, top = (middle, top) if common(middle) else (low, middle - 1)
+        found += _mark(one, other, low)
+        high = low - 1
+    return found
 
 
 class Items:
-    """Benchmark items with an index of their seeds."""
+    """Benchmark items with an index of their seeds. ``kinds``: by length of a seed, items, seeds and their owners."""
 
-    def __init__(self, rows: list[tuple[object, str]], min_match: int):
-        self.min_match = min_match
+    def __init__(self, rows: list[tuple[object, str]], min_match: int, coverage: float):
+        self.coverage = coverage
         self.vocabulary: dict[str, int] = {}
-        self.names, self.ids, seeds, owners = [], [], [], []
+        self.names, self.ids = [], []
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for name, text in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            if len(ids) < min_match:
-                continue
-            hashes = np.unique(_windows(np.array(ids), min_match))
-            seeds.append(hashes)
-            owners.append(np.full(len(hashes), len(self.names)))
-            self.names.append(name)
-            self.ids.append(ids)
-        seeds, owners = (np.concatenate(x) if x else np.zeros(0, int) for x in (seeds, owners))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners = seeds[order].astype(np.uint64), owners[order]
-
-    def leaks(self, texts: list[str | None], coverage: float) -> Iterator[tuple[int, object, float, int, int]]:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int64)
+            if len(ids):
+                size = min(min_match, len(ids))
+                seeds, times = np.unique(_windows(ids, size), return_counts=True)
+                parts[size].append((seeds, np.full(len(seeds), len(self.names)), times))
+                self.names.append(name)
+                self.ids.append(ids)
+        self.sizes = np.array([len(i) for i in self.ids], np.int64)
+        self.kinds = {}
+        for size, own in parts.items():
+            seeds, owners, times = map(np.concatenate, zip(*own, strict=True))
+            order = np.argsort(seeds, kind="stable")
+            self.kinds[size] = seeds[order], owners[order], times[order]
+
+    def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, object, float, int, int]]:
         """(index of text, item, coverage, number of tiles, length of the longest)."""
         if not self.names:
             return
-        get, m = self.vocabulary.get, self.min_match
+        get = self.vocabulary.get
         ids = [np.array([get(w, -1) for w in words(t)], np.int64) for t in texts]
         # All texts in one array, a gap between them; a window with an unknown word can be no seed.
-        flat = np.concatenate([x for i in ids for x in (i, [-1])]) if ids else np.zeros(0, int)
+        flat = np.concatenate([x for i in ids for x in (i, [-1])]) if ids else np.zeros(0, np.int64)
         starts = np.cumsum([0, *[len(i) + 1 for i in ids]])
         known = np.concatenate([[0], np.cumsum(flat >= 0)])
-        full = np.nonzero(known[m:] - known[:-m] == m)[0] if len(flat) >= m else np.zeros(0, int)
-        if not len(full):
-            return
-        hashes = np.zeros(len(full), np.uint64)
+        for size in self.kinds:
+            for doc, owner, at in self._candidates(flat, known, starts, size):
+                text = self._under(flat, at, size)
+                found = tiles(self.ids[owner], text, size)
+                share = sum(k for _, _, k in found) / len(self.ids[owner])
+                if share >= self.coverage:
+                    yield doc, self.names[owner], share, len(found), max(k for _, _, k in found)
+
+    def _candidates(self, flat: np.ndarray, known: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(index of text, item, starts of their common seeds in ``flat``) of pairs that may reach the coverage.
+
+        Tiles consist of seeds, so they cover no more of an item than ``size`` words for each
+        place of a common seed in it.
+        """
+        seeds, owners, times = self.kinds[size]
+        full = np.nonzero(known[size:] - known[:-size] == size)[0] if len(flat) >= size else np.zeros(0, np.int64)
+        hashes = np.full(len(full), size, np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(m):
+            for k in range(size):
                 hashes = hashes * _BASE + flat[full + k].astype(np.uint64)
                 hashes ^= hashes >> np.uint64(29)
-        low, high = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
-        hit = np.nonzero(high > low)[0]
-        where: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at, a, b, doc in zip(full[hit], low[hit], high[hit], np.searchsorted(starts, full[hit], "right") - 1, strict=True):
-            for owner in self.owners[a:b]:
-                where[int(doc), int(owner)].append(int(at - starts[doc]))
-        for (doc, owner), positions in where.items():
-            # Tiles consist of seeds, so only words under this pair's seeds can be in one.
-            at = np.unique((np.array(positions)[:, None] + np.arange(m)).ravel())
-            gaps = np.nonzero(np.diff(at) > 1)[0] + 1
-            text: list[int] = []
-            for run in np.split(at, gaps):
-                text += [*ids[doc][run].tolist(), -1]
-            found = tiles(self.ids[owner], text, m)
-            share = sum(k for _, _, k in found) / len(self.ids[owner])
-            if share >= coverage:
-                yield doc, self.names[owner], share, len(found), max(k for _, _, k in found)
+        low, high = np.searchsorted(seeds, hashes, "left"), np.searchsorted(seeds, hashes, "right")
+        many = high - low
+        if not many.any():
+            return
+        of = np.repeat(np.arange(len(full)), many)
+        entry = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + low[of]
+        pair = (np.searchsorted(starts, full[of], "right") - 1) * len(self.names) + owners[entry]
+        order = np.lexsort((hashes[of], pair))
+        of, entry, pair = of[order], entry[order], pair[order]
+        new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (entry[1:] != entry[:-1])])
+        edges = np.append(np.nonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))[0], len(pair))
+        most = np.add.reduceat(np.where(new, times[entry], 0), edges[:-1]) * size
+        for a, b, cover in zip(edges[:-1].tolist(), edges[1:].tolist(), most.tolist(), strict=True):
+            doc, owner = divmod(int(pair[a]), len(self.names))
+            if cover >= self.coverage * self.sizes[owner]:
+                yield doc, owner, np.sort(full[of[a:b]])
+
+    @staticmethod
+    def _under(flat: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """The words under the seeds that start at ``at``, with a gap between runs."""
+        words_at = np.unique((at[:, None] + np.arange(size)).ravel())
+        gaps = np.nonzero(np.diff(words_at) > 1)[0] + 1
+        return np.insert(flat[words_at], gaps, -1)
 
 
 _SCHEMA = pa.schema([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest_tile", pa.int32())])
@@ -179,10 +214,10 @@ def _direct(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(sent.value, min_match)
+        index = Items(sent.value, min_match, coverage)
         for batch in batches:
             for part in slices(batch, 1):
-                found = list(index.leaks(part.column(1).to_pylist(), coverage))
+                found = list(index.leaks(part.column(1).to_pylist()))
                 if found:
                     columns = list(zip(*found, strict=True))
                     arrays = [pa.array(c, f.type) for c, f in zip(columns[1:], _SCHEMA, strict=True)]
@@ -191,37 +226,49 @@ def _direct(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {_COLUMNS}")
 
 
-def _seed_rows(df: DataFrame, key: str, min_match: int) -> DataFrame:
+def _seed_rows(df: DataFrame, key: str, min_match: int, own_sizes: list[int] | None) -> DataFrame:
+    """(name, seed) of every text: of an item its own seeds, of a document those of all lengths that items have."""
     kind = df.schema[key].dataType.simpleString()
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 hashes = np.array([xxhash.xxh64_intdigest(w) for w in words(text)], np.uint64)
-                own = np.unique(_windows(hashes, min_match)).view(np.int64)
+                sizes = ([min(min_match, len(hashes))] if len(hashes) else []) if own_sizes is None else own_sizes
+                own = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_windows(hashes, n) for n in sizes]])).view(np.int64)
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own), batch.schema.field(0).type), pa.array(own)], names=["name", "seed"])
 
     return df.select(key, "text").mapInArrow(seeds, f"name {kind}, seed long")
 
 
+def _seed_sizes(items: DataFrame, min_match: int) -> list[int]:
+    """The lengths of seeds of all items: at most ``min_match`` numbers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([min(min_match, len(words(t))) for t in batch.column(0).to_pylist()], pa.int32())], names=["n"])
+
+    return sorted(r[0] for r in items.select("text").mapInArrow(count, "n int").where("n > 0").distinct().collect())
+
+
 def _by_seeds(docs: DataFrame, items: DataFrame, coverage: float, min_match: int) -> DataFrame:
-    """For a benchmark too large to broadcast: join by seeds, then tile each pair that shares one.
+    """For a benchmark too large to broadcast: join by seeds, then tile each pair that may reach the coverage.
 
-    Both joins are plain shuffle joins, whose hot keys adaptive execution splits.
+    All joins are plain shuffle joins, whose hot keys adaptive execution splits.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", "text")
-    left = _seed_rows(keyed.where("text is not null"), "_doc", min_match).withColumnRenamed("name", "_doc")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"), F.xxhash64("item_id", "text").alias("_item"))
-    right = _seed_rows(items.select("_item", F.col("item_text").alias("text")), "_item", min_match).withColumnRenamed("name", "_item")
+    left = _seed_rows(keyed.where("text is not null"), "_doc", min_match, _seed_sizes(items.select(F.col("item_text").alias("text")), min_match)).withColumnRenamed("name", "_doc")
+    right = _seed_rows(items.select("_item", F.col("item_text").alias("text")), "_item", min_match, None).withColumnRenamed("name", "_item")
     pairs = materialize(left.join(right, "seed").select("_doc", "_item").distinct(), "pairs")
 
     def tile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc, text, item, item_text in zip(frame["doc_id"], frame["text"], frame["item_id"], frame["item_text"], strict=True):
-                out += [(doc, *x[1:]) for x in Items([(item, item_text)], min_match).leaks([text], coverage)]
+                out += [(doc, *x[1:]) for x in Items([(item, item_text)], min_match, coverage).leaks([text])]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", *_SCHEMA.names])
 
@@ -232,7 +279,8 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_mat
     """Every pair of a document and a benchmark item it leaks.
 
     Returns doc_id, item_id, coverage, n_tiles, longest_tile. Whole texts are compared. Null
-    and empty texts and items shorter than ``min_match`` words have no seed and never match.
+    and empty texts and items have no seed and never match; an item of fewer than ``min_match``
+    words matches as a whole.
     Repeated document rows give repeated pairs; repeated item rows too. Equal tile lengths
     are taken from the front of the item, then of the text. Extra columns are ignored; an
     empty table on either side gives an empty result.
@@ -259,10 +307,10 @@ def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_mat
     text_at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Items(sent.value, min_match)
+        index = Items(sent.value, min_match, coverage)
         for batch in batches:
             for part in slices(batch, text_at):
-                bad = {x[0] for x in index.leaks(part.column("text").to_pylist(), coverage)}
+                bad = {x[0] for x in index.leaks(part.column("text").to_pylist())}
                 yield part.filter(pa.array([i not in bad for i in range(part.num_rows)])) if bad else part
 
     return docs.mapInArrow(keep, docs.schema)
