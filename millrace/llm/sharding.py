@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import with_row_numbers
 
 ROUNDS = 6
-#: Steps along a cycle. At most one number in sqrt(n) leaves the range, and a domain of up to WALK has no longer cycle.
+#: Steps along a cycle in one expression. At most one number in sqrt(n) leaves the range, so hardly a row needs more.
 WALK = 64
 _P = 2_147_483_629  # a prime under 2**31: products of residues fit into 64 bits
 
@@ -44,22 +44,26 @@ def _mix(x: int, key: tuple[int, int, int]) -> int:
     return (y * y + key[2]) % _P * key[0] % _P
 
 
+def _once(number: int, a: int, b: int, seed: int) -> int:
+    """One step of the permutation of 0..a*b-1."""
+    left, right, m_left, m_right = number // b, number % b, a, b
+    for key in _round_keys(seed):
+        left, right = right, (left + _mix(right, key)) % m_left
+        m_left, m_right = m_right, m_left
+    return left * b + right if m_left == a else right * b + left
+
+
 def locate(row_no: int, n: int, shards: int = 8, seed: int = 17) -> tuple[int, int]:
     """Shard and slot of one row number, without Spark."""
     a, b = _domain(n)
-    keys = _round_keys(seed)
     while True:
-        left, right, m_left, m_right = row_no // b, row_no % b, a, b
-        for key in keys:
-            left, right = right, (left + _mix(right, key)) % m_left
-            m_left, m_right = m_right, m_left
-        row_no = left * b + right if m_left == a else right * b + left
+        row_no = _once(row_no, a, b, seed)
         if row_no < n:
             return row_no % shards, row_no // shards
 
 
-def permuted(row_no: Column, n: int, seed: int = 17) -> Column:
-    """The permutation as one Column expression."""
+def permuted(row_no: Column, n: int, seed: int = 17, walk: int = WALK) -> Column:
+    """Up to WALK + 1 steps of the permutation as one Column expression; a number of n or more is still on its way."""
     a, b = _domain(n)
     keys = F.array(*[F.struct(F.lit(k[0]).cast("long").alias("x"), F.lit(k[1]).cast("long").alias("y"), F.lit(k[2]).cast("long").alias("z"), F.lit(a if i % 2 == 0 else b).cast("long").alias("m")) for i, k in enumerate(_round_keys(seed))])
 
@@ -76,10 +80,27 @@ def permuted(row_no: Column, n: int, seed: int = 17) -> Column:
         start = F.struct(F.call_function("div", x, F.lit(b)).alias("l"), right.alias("r"))
         return F.aggregate(keys, start, one_round, lambda s: s["l"] * F.lit(b) + s["r"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(row_no), lambda x, _: F.when(x < F.lit(n), x).otherwise(once(x)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(row_no), lambda x, _: F.when(x < F.lit(n), x).otherwise(once(x)))
+
+
+def _further_walks(n: int, seed: int, walk: int) -> int:
+    """How many more expressions of ``walk`` steps the longest way back into 0..n-1 takes.
+
+    A way from inside goes through numbers outside only; they lie in the last row of the
+    domain, at most sqrt(n) + 1, so following each on the driver is short for any n that Spark can hold.
+    """
+    a, b = _domain(n)
+    ways: dict[int, int] = {}
+    for start in range(n, a * b):
+        at, steps = _once(start, a, b, seed), 1
+        while at >= n and at not in ways and at != start:  # a cycle that stays outside is entered by no row
+            at, steps = _once(at, a, b, seed), steps + 1
+        ways[start] = 0 if at == start else steps + ways.get(at, 0)
+    longest = max(ways.values(), default=0)
+    return max(0, -(-(longest - walk) // walk))
 
 
-def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, seed: int = 17, walk: int = WALK) -> DataFrame:
     """Deal all documents to shards; counts differ by one at most.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, row_no, shard, slot. A null text
@@ -97,7 +118,9 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc(), F.col("_tie").asc()]
     numbered, n = with_row_numbers(slim, order)
-    placed = numbered.withColumn("_place", permuted(F.col("row_no"), n, seed))
+    placed = numbered.withColumn("_place", permuted(F.col("row_no"), n, seed, walk))
+    for _ in range(_further_walks(n, seed, walk)):
+        placed = placed.withColumn("_place", F.when(F.col("_place") < n, F.col("_place")).otherwise(permuted(F.col("_place"), n, seed, walk)))
     return placed.select(
         "doc_id", "size", "text_crc32", "row_no",
         (F.col("_place") % shards).cast("int").alias("shard"),
