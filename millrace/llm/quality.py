@@ -173,24 +173,28 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(text, quality) of at most ``limit`` labelled rows outside the held-out fifth.
+    """(doc_id, text, quality) of the labelled rows of at most ``limit`` doc_ids outside the held-out fifth.
 
     Null labels do not count; a document labelled more than once takes its lowest label.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) -> Model:
-    """Features of the drawn rows are made on the executors; the driver gets ``limit`` rows of numbers at most."""
+    """Features of the drawn rows are made on the executors; the driver gets ``limit`` rows of numbers at most.
+
+    Of rows that repeat a doc_id the one with the least features counts.
+    """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("quality").cast(pa.int32())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, pa.list_(pa.float64())), batch.column("quality").cast(pa.int32())], names=["doc_id", "x", "y"])
 
-    got = training_rows(docs, labels, limit).mapInArrow(measured, "x array<double>, y int").toPandas()
+    rows = training_rows(docs, labels, limit).mapInArrow(measured, "doc_id long, x array<double>, y int")
+    got = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).select("x", "y").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     got = got.assign(key=got["x"].map(tuple)).sort_values(["key", "y"])  # the order of rows must not matter
