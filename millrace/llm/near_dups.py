@@ -28,12 +28,15 @@ SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 256
 BANDS, ROWS = 36, 6
-#: Beyond these shares of agreeing coordinates (4 and 3 standard errors from 0.8) no exact check is needed.
-SURE, HOPELESS = 0.9, 0.72
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2000
-#: Ids of at most so many documents (8 bytes each) are broadcast to pick texts for the exact check.
-BROADCAST_IDS = 1_000_000
+#: Pairs whose signatures agree in a smaller share of the coordinates get no exact check. It is
+#: ten standard errors below 0.8: a pair of that similarity is under it once in 10**17 cases.
+HOPELESS = 0.55
+#: Members of a bucket, and bytes of their texts, that one task compares with as many others.
+BLOCK, BLOCK_BYTES = 2000, 8 << 20
+#: Keys of at most so many texts (some 50 bytes each) are broadcast to pick rows.
+BROADCAST_KEYS = 500_000
+#: Signatures that a task keeps to sign further copies of a text without reading it again.
+KEPT_SIGNATURES = 20_000
 #: A character that Python's split() keeps in a word; Java's own classes know fewer kinds of white space.
 _IN_WORD = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _U = np.uint64
@@ -127,13 +130,13 @@ def _throw(owner: np.ndarray, value: np.ndarray, reach: np.ndarray, out: np.ndar
         np.minimum.at(out, o * k + (more & _U(0xFFFFFFFF)).astype(np.int64) % k, packed)
 
 
-def signatures(texts: list[str | None], k: int = COORDINATES) -> np.ndarray:
-    """16-bit signature values, one row for each text. Texts without words get zeros."""
+def _signatures(texts: list[str | None], k: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and numbers of elements."""
     owner, value = elements(texts)
-    weight = np.bincount(owner, minlength=len(texts)).astype(np.float64)
+    weight = np.bincount(owner, minlength=len(texts))
     empty = np.iinfo(np.uint64).max
     out = np.full(len(texts) * k, empty, _U)
-    reach = np.divide(k * (np.log(k) + 2), weight, out=np.zeros_like(weight), where=weight > 0)
+    reach = np.divide(k * (np.log(k) + 2), weight, out=np.zeros(len(texts)), where=weight > 0)
     while len(owner):
         _throw(owner, value, reach, out, k)
         short = (out.reshape(-1, k) == empty).any(axis=1) & (weight > 0)
@@ -143,38 +146,60 @@ def signatures(texts: list[str | None], k: int = COORDINATES) -> np.ndarray:
         still = short[owner]
         owner, value = owner[still], value[still]
     out[out == empty] = 0
-    return (out & _U(0xFFFF)).astype(np.uint16).reshape(-1, k)
+    return (out & _U(0xFFFF)).astype(np.uint16).reshape(-1, k), weight
+
+
+def signatures(texts: list[str | None], k: int = COORDINATES) -> np.ndarray:
+    """16-bit signature values, one row for each text. Texts without words get zeros."""
+    return _signatures(texts, k)[0]
+
+
+def _overlap(one: np.ndarray, other: np.ndarray) -> float:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both / (len(one) + len(other) - both) if len(one) + len(other) else 0.0
 
 
 def jaccard(one: str | None, other: str | None) -> float:
     """Exact weighted Jaccard similarity of two texts' shingles."""
     owner, value = elements([one, other])
-    a, b = value[owner == 0], value[owner == 1]
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
+    return _overlap(value[owner == 0], value[owner == 1])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("text_hash"), text.rlike(_IN_WORD).alias("has_words"))
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text with words: node, text hash, signature.
+    """One row for each distinct text with words.
 
-    node is the least doc_id of the text, or if it has none a negative number from its hash.
+    node (a number for the text), text_hash, first_id (its least doc_id), copies (its rows),
+    signature, weight (its number of elements) and size (its bytes). Copies that meet in a task
+    are signed once.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, tuple[bytes, int]] = {}
         for batch in batches:
             for part in slices(batch, 2):
-                rows = signatures(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "text_hash", "signature"])
-
-    keyed = _keyed(docs).where(F.col("text").rlike(_IN_WORD))
-    signed = materialize(keyed.select(F.col("_id").alias("doc_id"), "text_hash", "text").mapInArrow(sign, "doc_id long, text_hash binary, signature binary"), "signatures")
-    return signed.groupBy("text_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = -1 - F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFFFFFFFFFF))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("text_hash"), F.coalesce(F.col("doc_id").cast("long"), own).alias("_id"))
+                hashes = part.column(1).to_pylist()
+                new = [i for i, h in enumerate(hashes) if h not in kept]
+                first = {hashes[i]: i for i in reversed(new)}
+                texts = part.column(2).take(pa.array(first.values(), pa.int32())).to_pylist()
+                made, weights = _signatures(texts)
+                own = {h: (row.tobytes(), int(w)) for h, row, w in zip(first, made, weights, strict=True)}
+                known = [own.get(h) or kept[h] for h in hashes]
+                if len(kept) > KEPT_SIGNATURES:
+                    kept.clear()
+                kept.update(own)
+                signs, weights = (list(x) for x in zip(*known, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signs, pa.binary()), pa.array(weights, pa.int64()), part.column(3)], names=["doc_id", "text_hash", "signature", "weight", "size"])
+
+    keyed = _keyed(docs).where("has_words").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text", F.octet_length("text").cast("long").alias("size"))
+    signed = materialize(keyed.mapInArrow(sign, "doc_id long, text_hash binary, signature binary, weight long, size long"), "signatures")
+    firsts = [F.first(c).alias(c) for c in ("signature", "weight", "size")]
+    nodes = signed.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *firsts)
+    return materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def _agreement(one: pd.Series, other: pd.Series) -> pd.Series:
@@ -185,54 +210,70 @@ def _agreement(one: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose texts are similar: clear cases by signature, the rest exactly."""
+    """Of pairs (a, b) those whose texts are similar by the exact measure."""
     agree = F.pandas_udf(_agreement, "double")
-    side = nodes.select("node", "signature")
-    judged = pairs.join(side.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(side.withColumnsRenamed({"node": "b", "signature": "sb"}), "b")
-    judged = materialize(judged.select("a", "b", agree("sa", "sb").alias("share")).where(F.col("share") >= HOPELESS), "judged")
-    unsure = judged.where(F.col("share") < SURE).select("a", "b")
-    needed = unsure.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = _texts(docs, needed, unsure.count() * 2 <= BROADCAST_IDS)
+    side = nodes.select("node", "signature", "weight")
+    judged = pairs.join(side.withColumnsRenamed({"node": "a", "signature": "sa", "weight": "wa"}), "a").join(side.withColumnsRenamed({"node": "b", "signature": "sb", "weight": "wb"}), "b")
+    judged = judged.where(F.least("wa", "wb") >= F.lit(SIMILARITY) * F.greatest("wa", "wb"))
+    judged = materialize(judged.select("a", "b", agree("sa", "sb").alias("share")).where(F.col("share") >= HOPELESS).select("a", "b"), "judged")
+    texts = _texts(docs, nodes, judged.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, _U)
         for batch in batches:
-            pairs = zip(batch.column("ta"), batch.column("tb"), strict=True)
-            keep = pa.array([jaccard(x.as_py(), y.as_py()) >= SIMILARITY for x, y in pairs], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            keep = []
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
+                if a != last:
+                    last, own = a, elements([x.as_py()])[1]
+                keep.append(_overlap(own, elements([y.as_py()])[1]) >= SIMILARITY)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    read = unsure.join(texts.withColumnsRenamed({"_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"_id": "b", "text": "tb"}), "b")
-    return judged.where(F.col("share") >= SURE).select("a", "b").unionByName(read.mapInArrow(check, "a long, b long"))
+    read = judged.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
+    return materialize(read.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
 
 
 def _cross_links(table: pa.Table) -> pa.Table:
     """Links between classes within one bucket, or across two of its blocks.
 
-    Each member outside the largest class is compared with all members. A pair that shares
-    several bands is judged in the first one only, a pair of blocks only across them, and
-    classes that a link has joined are one from then on, so links number less than members.
+    Each member outside the largest class is compared with all members at once: the places of
+    its elements in the others give its exact overlap with each. A pair of blocks is judged
+    only across them. Classes that a link has joined are one from then on, so links number
+    less than members.
     """
     ids, classes, blocks = (np.array(table.column(c).to_pylist()) for c in ("b", "class", "block"))
-    band, (p, q) = table.column("band")[0].as_py(), (table.column(c)[0].as_py() for c in ("p", "q"))
-    signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
-    names, classes, counts = np.unique(classes, return_inverse=True, return_counts=True)
-    texts, out = table.column("text"), []
-    for i in np.nonzero(classes != counts.argmax())[0].tolist():
-        share = (signs == signs[i]).mean(axis=1)
-        for j in np.nonzero((share >= HOPELESS) & (classes != classes[i]))[0].tolist():
-            if classes[i] == classes[j] or (p != q and blocks[i] == blocks[j]):
-                continue
-            same = (signs[i] == signs[j])[: BANDS * ROWS].reshape(BANDS, ROWS).all(axis=1)
-            if int(same.argmax()) == band and (share[j] >= SURE or jaccard(texts[i].as_py(), texts[j].as_py()) >= SIMILARITY):
+    apart = table.column("p")[0].as_py() != table.column("q")[0].as_py()
+    _, classes, counts = np.unique(classes, return_inverse=True, return_counts=True)
+    todo, n, out = np.nonzero(classes != counts.argmax())[0].tolist(), len(ids), []
+    owner, value = elements(table.column("text").to_pylist())
+    weight = np.bincount(owner, minlength=n)
+    first = np.cumsum(weight) - weight
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    run = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    start = np.append(np.nonzero(np.concatenate([[True], value[1:] != value[:-1]]))[0], len(value)) if len(value) else np.zeros(1, np.int64)
+    of = np.empty(len(value), np.int64)  # by element of a text, the run of texts that hold it
+    of[order] = run
+    for i in todo:
+        runs = of[first[i] : first[i] + weight[i]]
+        sizes = start[runs + 1] - start[runs]
+        at = np.arange(int(sizes.sum())) + np.repeat(start[runs] - (np.cumsum(sizes) - sizes), sizes)
+        both = np.bincount(owner[at], minlength=n)
+        near = (both >= SIMILARITY * (weight + weight[i] - both)) & (classes != classes[i])
+        if apart:
+            near &= blocks != blocks[i]
+        for j in np.nonzero(near)[0].tolist():
+            if classes[i] != classes[j]:
                 out.append((int(ids[i]), int(ids[j])))
                 classes[classes == classes[j]] = classes[i]
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _texts(docs: DataFrame, needed: DataFrame, bounded: bool) -> DataFrame:
-    """(_id, text) of the nodes in ``needed``, one text each."""
-    needed = F.broadcast(needed) if bounded else needed
-    found = _keyed(docs).where(F.col("text").rlike(_IN_WORD)).join(needed, "_id", "left_semi")
-    return materialize(found.groupBy("_id").agg(F.min("text").alias("text")), "texts")
+def _texts(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``needed``."""
+    keys = materialize(nodes.join(needed, "node", "left_semi").select("node", "text_hash"), "needed")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    found = _keyed(docs).where("has_words").select("text_hash", "text").join(side, "text_hash")
+    return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -241,27 +282,27 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     Nodes that share a band are a bucket. First, every member is compared with the bucket's
     hub, its least node: as many pairs as members. Links join nodes to classes, and a bucket
     of one class is done. Then the members of every bucket left are compared across classes,
-    in blocks that hold their signatures and texts, and only links come out. So each pair of
-    different classes that shares a band is judged, and no bucket is too large.
+    in blocks that hold their texts, and only links come out. So each pair of
+    different classes that shares a band is judged, and no bucket is too large. What a bucket
+    is joined with is written first, so that adaptive execution can split a large bucket.
     """
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.call_function("substring", F.col("signature"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    rows = nodes.select(F.col("node").alias("b"), F.posexplode(band).alias("band", "bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(rows.join(hubs, "bucket"), "members")
+    rows = nodes.select(F.col("node").alias("b"), "size", F.explode(band).alias("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    hubs = materialize(hubs.select("bucket", "first", blocks.alias("blocks")), "hubs")
+    members = materialize(rows.drop("size").join(hubs, "bucket"), "members")
     near = _verified(members.where("b <> first").select(F.col("first").alias("a"), "b").distinct(), nodes, docs)
     roots = components(near)
-    placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "band", "b", "n", F.coalesce("root", "b").alias("class"))
+    placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "b", "blocks", F.coalesce("root", "b").alias("class"))
     placed = materialize(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi").select("bucket")
-    size = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = placed.join(mixed, "bucket", "left_semi").withColumn("blocks", size).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi").select("bucket"), "mixed")
+    rest = placed.join(mixed, "bucket", "left_semi").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = rest.withColumn("_o", other).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o"))
-    rest = materialize(rest.select("bucket", "p", "q", "band", "b", "block", "class"), "rest")
-    needed = materialize(rest.select(F.col("b").alias("_id")).distinct(), "needed")
-    texts = _texts(docs, needed, needed.count() <= BROADCAST_IDS)
-    held = texts.join(nodes.select("node", "signature"), F.col("_id") == F.col("node")).select(F.col("_id").alias("b"), "signature", "text")
-    across = rest.join(held, "b").groupBy("bucket", "p", "q").applyInArrow(_cross_links, "a long, b long")
+    rest = materialize(rest.select("bucket", "p", "q", "b", "block", "class"), "rest")
+    texts = _texts(docs, nodes, rest.select(F.col("b").alias("node")).distinct())
+    across = rest.join(texts.withColumnRenamed("node", "b"), "b").groupBy("bucket", "p", "q").applyInArrow(_cross_links, "a long, b long")
     return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(across))
 
 
@@ -278,50 +319,59 @@ def components(edges: DataFrame) -> DataFrame:
         if n == targets and lower.isEmpty():  # every node hangs on one root
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # so that a hub's edges can be split
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         edges = materialize(moved.where("a <> b").distinct(), "edges")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """text_hash, first_id, copies and class (a node number) of every distinct text with words."""
+    nodes = _signed(docs)
+    roots = linked(nodes, docs)
+    member = nodes.select("node", "text_hash", "first_id", "copies").join(roots, "node", "left")
+    return materialize(member.select("text_hash", "first_id", "copies", F.coalesce("root", "node").alias("class")), "classes")
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and class_size of every document.
+    """doc_id, class_id and class_size (in rows) of every document.
 
     A class holds the documents that links of similarity SIMILARITY or more connect; class_id
     is its least doc_id. Equal texts are always one class. Null and empty texts and texts of
-    white space are classes of their own (class_id = doc_id), as they have no shingles.
-    Rows with equal doc_id count as one document in linking and come back as often as they
-    came in; a document without id takes part and has its class's least id, null if there is
-    none. Extra columns are ignored; an empty table gives an empty result.
+    white space are classes of their own (class_id = doc_id, class_size = 1), as they have no
+    shingles. What is linked are texts: repeated rows come back as often as they came in, and
+    two texts under one doc_id have a class each; a document without id takes part and has
+    its class's least id, null if there is none. Extra columns are ignored; an empty table
+    gives an empty result.
     """
-    nodes = materialize(_signed(docs), "nodes")
-    roots = linked(nodes, docs)
-    member = nodes.select("text_hash", "node").join(roots, "node", "left").select(F.col("text_hash").alias("_hash"), F.coalesce("root", "node").alias("_class"))
-    slim = _keyed(docs).select("doc_id", "_id", "text_hash", F.col("text").rlike(_IN_WORD).alias("_has_words"))
-    placed = slim.join(member, F.col("_has_words") & (slim["text_hash"] == member["_hash"]), "left").select("doc_id", F.coalesce("_class", "_id").alias("_class"), "_has_words")
-    placed = materialize(placed, "placed")
-    sizes = placed.groupBy("_class", "_has_words").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(sizes, ["_class", "_has_words"]).select("doc_id", "class_id", "class_size")
+    placed = _placed(docs)
+    sizes = materialize(placed.groupBy("class").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
+    named = materialize(placed.join(sizes, "class").select(F.col("text_hash").alias("_hash"), "class_id", "class_size"), "named")
+    slim = _keyed(docs).select("doc_id", "text_hash", "has_words")
+    found = slim.join(named, F.col("has_words") & (slim["text_hash"] == named["_hash"]), "left")
+    alone = ~F.col("has_words")
+    return found.select("doc_id", F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, the one of least doc_id, with its columns unchanged.
 
-    Documents without words stay. Of repeated rows with that doc_id and text one stays.
+    Documents without words stay. A row is told by its doc_id and text, so that two texts of
+    one doc_id are two documents; of rows that repeat both one stays.
     """
-    nodes = materialize(_signed(docs), "nodes")
-    roots = linked(nodes, docs)
-    kept = nodes.join(roots.where("node <> root"), "node", "left_anti").select(F.col("node").alias("_kept"))
-    kept = materialize(kept, "kept")
-    side = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    columns = docs.columns
+    least = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "text_hash")).alias("x")
+    kept = _placed(docs).groupBy("class").agg(least)
+    kept = materialize(kept.select(F.col("x.first_id").alias("_kept_id"), F.col("x.text_hash").alias("_kept_hash")), "kept")
+    side = F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = -1 - F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFFFFFFFFFF))
-    keyed = docs.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), own))
-    wordy = F.coalesce(F.col("text").rlike(_IN_WORD), F.lit(False))
-    firsts = keyed.where(wordy).join(side, F.col("_near_id") == F.col("_kept"), "left_semi")
-    again = materialize(keyed.where(wordy).groupBy("_near_id").count().where("count > 1").select(F.col("_near_id").alias("_again")), "again")
+    wordy = text.rlike(_IN_WORD)
+    keyed = docs.where(wordy).withColumn("_near_hash", F.unhex(F.md5(text)))
+    same = (F.col("_near_hash") == F.col("_kept_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
+    firsts = keyed.join(side, same, "left_semi")
+    again = keyed.groupBy("doc_id", "_near_hash").count().where("count > 1").select(F.col("_near_hash").alias("_again")).distinct()
+    again = materialize(again, "again")
     if not again.isEmpty():
-        firsts = firsts.join(again, F.col("_near_id") == F.col("_again"), "left_anti").unionByName(firsts.join(again, F.col("_near_id") == F.col("_again"), "left_semi").dropDuplicates(["_near_id"]))
-    return firsts.select(*columns).unionByName(docs.where(~wordy))
+        repeats = F.col("_near_hash") == F.col("_again")
+        firsts = firsts.join(again, repeats, "left_anti").unionByName(firsts.join(again, repeats, "left_semi").dropDuplicates(["_near_hash"]))
+    return firsts.select(*docs.columns).unionByName(docs.where(~wordy))

@@ -86,6 +86,34 @@ def test_texts_of_any_white_space_stay_apart(spark):
     assert near_dups.one_of_each(docs).count() == len(rows)
 
 
+def test_two_texts_under_one_id_are_two_documents(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, one), (2, other), (2, one), (2, one), (None, other + " tail"), (3, "x y z"), (3, "x y z"), (3, "u v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.class_id, r.class_size) for r in near_dups.classes(docs).collect())
+    assert got == sorted([("1", 1, 3), ("2", 2, 2), ("2", 1, 3), ("2", 1, 3), ("None", 2, 2), ("3", 3, 2), ("3", 3, 2), ("3", 3, 1)])
+    kept = sorted((r.doc_id, r.text) for r in near_dups.one_of_each(docs).collect())
+    assert kept == sorted([(1, one), (2, other), (3, "x y z"), (3, "u v")])
+
+
+def test_every_candidate_is_checked_exactly(spark):
+    import random
+
+    r, rows = random.Random(8), []
+    for family in range(25):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for k in range(8):
+            text = list(base)
+            for _ in range(k):
+                text[r.randrange(60)] = f"n{family}-{k}-{r.random()}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dups.classes(docs).collect()}
+    want = brute_classes(rows)
+    # No false link; of the pairs at 0.8 and over the bands lose one in some 50,000.
+    assert got == want
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in near_dups.components(chain).collect()}
@@ -121,6 +149,30 @@ def test_neighbours_reach_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_search_prunes_and_blocks_do_not_matter(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    want = exact([(r.vec_id, r.embedding) for r in rows])
+    index = ann.Index(ids, vectors, float(np.sqrt((vectors**2).sum(1).max())) * (1 + 1e-12))
+    asked = np.nonzero(ids % 20 == 0)[0]
+    found = {q: x.tolist() for q, x, _ in index.search_all(ids[asked].tolist(), vectors[asked], 20)}
+    recall = np.mean([len(set(x) & {i for i, _ in want[q]}) / 20 for q, x in found.items()])
+    assert recall >= 0.9 and index.verified < 0.1 * len(ids) * len(asked)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    monkeypatch.setattr(ann, "LANES", 20)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = defaultdict(list)
+    for r in ann.neighbours_report(df).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    score = {q: dict(x) for q, x in exact([(r.vec_id, r.embedding) for r in rows], 2000).items()}
+    assert set(got) == set(want)
+    for q, x in got.items():
+        x.sort()
+        assert [k for k, _, _ in x] == list(range(1, 21))
+        assert all(abs(s - score[q][i]) < 1e-12 for _, i, s in x)
+    assert np.mean([len({i for _, i, _ in x} & {i for i, _ in want[q]}) / 20 for q, x in got.items()]) >= 0.9
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, []), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 1.0, 1.0]), (40, [float("inf"), 0.0])]
