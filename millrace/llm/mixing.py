@@ -5,15 +5,17 @@ the excess shared again. target / size is the fractional number of copies of eac
 documents. The whole part is taken as it is. The fractions are rounded in pairs: words move
 at random from one document of a pair to the other until one fraction is 0 or 1; the other
 goes on to the next pair. Moves keep the sum of fraction x size, so a source's words come out
-at its target but for its last document. Each partition does this for its rows as they pass
-and leaves a few open documents for each source; a tree of small groups rounds those.
+at its target but for its last document.
+
+Only keys and sizes are rounded. A source's documents are dealt to buckets by their key, as
+many as their number asks for; each bucket rounds its own and leaves a few short documents
+open, and a tree of small groups rounds those. So the decision follows from the rows alone,
+however they are partitioned.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 import xxhash
@@ -24,9 +26,8 @@ from millrace.llm.common import materialize, with_row_numbers
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
-FAN_IN = 64
-HELD = 256
-LEFT = 8
+#: Documents of a bucket, buckets of a group in the tree, and short documents that each leaves open.
+BUCKET_ROWS, FAN_IN, LEFT = 4096, 64, 8
 #: Sources with at most this many rows are broadcast (about 10 MB); more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -63,98 +64,102 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     return weighed.withColumn("target", F.least(limit, F.col("weight") * F.lit(level)))
 
 
-def _unit(seed: int, *parts: object) -> float:
+def _unit(seed: int, *parts: int) -> float:
     """A uniform number from the parts alone."""
     return (xxhash.xxh64_intdigest(repr(parts).encode(), seed=seed) >> 11) / 2.0**53
 
 
-def _move(seed: int, one: dict, other: dict) -> None:
-    """Move words between two open documents at random until the fraction of one is 0 or 1.
+def _move(u: float, a: int, p: float, b: int, q: float) -> tuple[float, float]:
+    """New fractions of two open documents of sizes a and b: words move until one of them is 0 or 1.
 
     Each way is as likely as the other way's amount is large, so neither fraction changes on average.
     """
-    a, b, p, q = one["_size"], other["_size"], one["_part"], other["_part"]
     to_one, to_other = min(b * q, a * (1 - p)), min(a * p, b * (1 - q))
-    if _unit(seed, one["_key"], other["_key"]) * (to_one + to_other) < to_other:
-        one["_part"] = 1.0 if to_one == a * (1 - p) else p + to_one / a
-        other["_part"] = 0.0 if to_one == b * q else q - to_one / b
-    else:
-        one["_part"] = 0.0 if to_other == a * p else p - to_other / a
-        other["_part"] = 1.0 if to_other == b * (1 - q) else q + to_other / b
-
-
-def _is_open(row: dict) -> bool:
-    return 0.0 < row["_part"] < 1.0
+    if u * (to_one + to_other) < to_other:
+        return (1.0 if to_one == a * (1 - p) else p + to_one / a), (0.0 if to_one == b * q else q - to_one / b)
+    return (0.0 if to_other == a * p else p - to_other / a), (1.0 if to_other == b * (1 - q) else q + to_other / b)
 
 
-def _rounded(rows: Iterator[dict], seed: int, last: bool) -> Iterator[dict]:
-    """Round rows as they pass.
+def _rounded(sizes: list[int], parts: list[float], keys: list[int], seed: int, last: bool) -> list[float]:
+    """Round documents from the longest to the shortest, so that what stays open is short.
 
-    For each source, the HELD shortest rows wait until the others are done and are then taken
-    from the longest to the shortest, so what stays open is short. The one open row and the
-    LEFT shortest come at the end still open; if ``last``, all are rounded, the final fraction
-    to the nearer number. Memory holds HELD + 1 rows for each source.
+    The LEFT shortest and the one that is open after the others stay; if ``last``, all are
+    rounded, the final fraction to the nearer number.
     """
-    shortest: dict[object, list[tuple[float, int, int, dict]]] = {}
-    waiting: dict[object, dict] = {}
-
-    def take(row: dict) -> Iterator[dict]:
-        other = waiting.pop(row["source"], None)
-        if other is None:
-            waiting[row["source"]] = row
-            return
-        _move(seed, other, row)
-        for x in (other, row):
-            if _is_open(x):
-                waiting[row["source"]] = x
-            else:
-                yield x
-
-    for n, row in enumerate(rows):
-        if not _is_open(row):
-            yield row
+    out, waiting = list(parts), None
+    for i in range(len(out) - 1, -1 if last else LEFT - 1, -1):
+        if waiting is None:
+            waiting = i
             continue
-        heap = shortest.setdefault(row["source"], [])
-        heapq.heappush(heap, (-row["_size"], -row["_key"], n, row))
-        if len(heap) > HELD:
-            yield from take(heapq.heappop(heap)[-1])
-    for heap in shortest.values():
-        while len(heap) > (0 if last else LEFT):
-            yield from take(heapq.heappop(heap)[-1])
-        yield from (x[-1] for x in heap)
-    for row in waiting.values():
-        if last:
-            row["_part"] = float(row["_part"] >= 0.5)
-        yield row
-
-
-def _batches(batches: Iterator[pa.RecordBatch], seed: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    schema: list[pa.Schema] = []
-
-    def records() -> Iterator[dict]:
-        for batch in batches:
-            schema[:] = [batch.schema]
-            for at in range(0, batch.num_rows, rows):
-                yield from batch.slice(at, rows).to_pylist()
-
-    out: list[dict] = []
-    for row in _rounded(records(), seed, False):
-        out.append(row)
-        if len(out) == rows:
-            yield pa.RecordBatch.from_pylist(out, schema=schema[0])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=schema[0])
+        j = waiting
+        out[j], out[i] = _move(_unit(seed, keys[j], keys[i]), sizes[j], out[j], sizes[i], out[i])
+        waiting = next((x for x in (j, i) if 0.0 < out[x] < 1.0), None)
+    if last and waiting is not None:
+        out[waiting] = float(out[waiting] >= 0.5)
+    return out
 
 
 def _combiner(seed: int, last: bool) -> Callable[[pa.Table], pa.Table]:
     def combine(part: pa.Table) -> pa.Table:
-        rows = sorted(part.to_pylist(), key=lambda r: (r["_size"], r["_key"]))
-        return pa.Table.from_pylist(list(_rounded(iter(rows), seed, last)), schema=part.schema)
+        part = part.sort_by([(c, "ascending") for c in ("_size", "_key", "_other", "_nth")])
+        new = _rounded(*(part.column(c).to_pylist() for c in ("_size", "_part", "_key")), seed, last)
+        return part.set_column(part.schema.get_field_index("_part"), "_part", pa.array(new, pa.float64()))
 
     return combine
 
 
+def _keys() -> list[Column]:
+    """128 bits that tell documents apart by doc_id, text and source."""
+    parts = [x for c in ("doc_id", "text", "source") for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*parts).alias("_key"), F.xxhash64(F.lit(7), *parts).alias("_other")]
+
+
+def _extra(units: DataFrame, seed: int) -> DataFrame:
+    """(_key, _other, _extra): how many rows of each open unit get one copy more."""
+    rows = units.where("_part > 0 and _part < 1")
+    buckets = rows.groupBy("source").agg(F.ceil(F.sum("_rows") / BUCKET_ROWS).cast("long").alias("_buckets"))
+    buckets = materialize(buckets, "buckets")
+    n = buckets.agg(F.max("_buckets")).first()[0] or 1
+    side = F.broadcast(buckets) if buckets.count() <= BROADCAST_SOURCES else buckets
+    side = side.withColumnRenamed("source", "_of")
+    rows = rows.join(side, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    rows = rows.withColumn("_at", F.pmod(F.xxhash64("_other", "_nth"), F.col("_buckets")))
+    still = rows.select("source", "_key", "_other", "_nth", "_size", "_part", "_at")
+    kind, settled, depth = still.schema, [], 0
+    while True:
+        done = n <= 1
+        level = materialize(still.groupBy("source", "_at").applyInArrow(_combiner(seed + depth, done), kind), "mix")
+        settled.append(level if done else level.where("_part = 0 or _part = 1"))
+        if done:
+            break
+        still = level.where("_part > 0 and _part < 1").withColumn("_at", F.expr(f"_at div {FAN_IN}"))
+        n, depth = -(-n // FAN_IN), depth + 1
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("_key", "_other").agg(F.sum("_part").cast("long").alias("_extra"))
+
+
+def _numbered_repeats(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """``docs`` with _nth, the number of a row among the rows of its key (from 1).
+
+    Only keys of more than one row of which some get a copy more are numbered: in the order of
+    the rows' places in a written table, by ranges, so that no key is one task.
+    """
+    some = materialize(units.where("_extra > 0 and _extra < _rows").select("_key", "_other"), "repeats")
+    if some.isEmpty():
+        return docs.withColumn("_nth", F.lit(1).cast("long"))
+    side = F.broadcast(some) if some.count() <= BROADCAST_SOURCES else some
+    repeats = materialize(docs.join(side, ["_key", "_other"], "left_semi").withColumn("_place", F.monotonically_increasing_id()), "repeated")
+    numbered, _ = with_row_numbers(repeats, [F.col("_key"), F.col("_other"), F.col("_place")], "_no")
+    numbered = materialize(numbered, "numbered")
+    first = materialize(numbered.groupBy("_key", "_other").agg(F.min("_no").alias("_first")), "firsts")
+    numbered = numbered.join(first, ["_key", "_other"]).withColumn("_nth", F.col("_no") - F.col("_first") + 1)
+    rest = docs.join(side, ["_key", "_other"], "left_anti").withColumn("_nth", F.lit(1).cast("long"))
+    return rest.unionByName(numbered.select(*rest.columns))
+
+
 def copies(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = 23) -> DataFrame:
     """Decide the copies of every document of a mix whose words number as many as the input's.
 
@@ -163,38 +168,26 @@ def copies(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGH
     and texts without words have size 0; they count for nothing and get the whole part of
     their source's copies. Null is a source of its own, ordered last. Repeated rows are
     rounded one by one. Extra columns are ignored, an empty table gives an empty result, and
-    a source without words has target 0. The decision depends on the rows, their partitions
-    and the seed, so reruns agree. No document exceeds ceil(cap) copies.
+    a source without words has target 0. The decision depends on the rows and the seed alone,
+    not on their partitions; of wholly equal rows any may be the one with a copy more. No
+    document exceeds ceil(cap) copies.
     """
-    sized = docs.select(*[F.col(c).alias(f"c_{c}") for c in carried], F.col("source"), word_count(F.col("text")).alias("_size"), F.xxhash64("doc_id", "text").alias("_key"))
-    sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    units = docs.select("source", *_keys(), word_count(F.col("text")).alias("_size")).groupBy("_key", "_other")
+    units = materialize(units.agg(F.first("source").alias("source"), F.first("_size").alias("_size"), F.count(F.lit(1)).alias("_rows")), "units")
+    sizes = units.groupBy("source").agg(F.sum(F.col("_size") * F.col("_rows")).alias("source_size"))
     aimed = targets(sizes, weights, cap).select(F.col("source").alias("_of"), "source_size", "target")
     side = F.broadcast(aimed) if aimed.count() <= BROADCAST_SOURCES else aimed
-    joined = sized.join(side, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    joined = units.join(side, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + 1e-12).cast("long")
-    rows = joined.withColumn("_copies", whole).withColumn("_part", F.when(F.col("_size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(F.lit(0.0)))
-    level = materialize(rows.mapInArrow(lambda b: _batches(b, seed), rows.schema).withColumn("_at", F.spark_partition_id()), "mix")
-    still = (F.col("_part") > 0) & (F.col("_part") < 1)
-    settled, n = [level.where(~still)], (level.agg(F.max("_at")).first()[0] or 0) + 1
-    open_rows, depth = level.where(still), 0
-    while True:
-        depth += 1
-        n = math.ceil(n / FAN_IN)
-        grouped = open_rows.withColumn("_at", F.expr(f"_at div {FAN_IN}").cast("int")).groupBy("source", "_at")
-        done = n <= 1
-
-        level = materialize(grouped.applyInArrow(_combiner(seed + depth, done), open_rows.schema), "mix")
-        if done:
-            settled.append(level)
-            break
-        settled.append(level.where(~still))
-        open_rows = level.where(still)
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    taken = (F.col("_copies") + F.col("_part")).cast("long").alias("copies")
-    return out.select(*[f"c_{c}" for c in carried], "_size", "source_size", "target", taken)
+    part = F.when(F.col("_size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(F.lit(0.0))
+    decided = materialize(joined.withColumn("_whole", whole).withColumn("_part", part), "decided")
+    decided = decided.join(_extra(decided, seed), ["_key", "_other"], "left").withColumn("_extra", F.coalesce("_extra", F.lit(0)))
+    decided = materialize(decided.select("_key", "_other", "_size", "_rows", "source_size", "target", "_whole", "_extra"), "copies")
+    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in carried], *_keys())
+    rows = _numbered_repeats(rows, decided).join(decided, ["_key", "_other"])
+    more = F.when((F.col("_extra") == F.col("_rows")) | (F.col("_nth") <= F.col("_extra")), 1).otherwise(0)
+    return rows.select(*[f"c_{c}" for c in carried], "_size", "source_size", "target", (F.col("_whole") + more).alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: int = 23) -> DataFrame:

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 from conftest import SF
+from pyspark.sql import functions as F
 
-from millrace.llm import mixing, sharding, token_counts
-from millrace.llm.tokens import RANKS_FILE, rank_encoder, vocabulary_path
+from millrace.llm import mixing, sharding, token_counts, token_output
+from millrace.llm.tokens import vocabulary_path
 
 
 def test_permutation_is_one_to_one_and_balanced():
@@ -49,6 +50,17 @@ def test_sharding_matches_the_scalar_form(spark, odd_docs, no_docs):
     assert sharding.shard_report(odd_docs).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
+def test_long_walks_are_followed_to_their_end(spark):
+    # With few steps in an expression, further expressions take over.
+    for n in (2, 3, 5, 11, 50, 200):
+        assert sharding._further_walks(n, 17, 1) >= sharding._further_walks(n, 17, 64) == 0
+    docs = spark.range(137).selectExpr("id as doc_id", "cast(id as string) as text")
+    rows = sharding.shard(docs, walk=1).collect()
+    assert [(r.shard, r.slot) for r in rows] == [sharding.locate(r.row_no, 137) for r in rows]
+    steps = [sharding._further_walks(n, 17, 1) for n in range(2, 300)]
+    assert max(steps) > 0
+
+
 def test_sharding_reruns_agree(spark, odd_docs):
     runs = [sorted(sharding.shard(odd_docs.repartition(k)).collect(), key=lambda r: r.row_no) for k in (1, 5)]
     assert [tuple(r)[:3] + tuple(r)[4:] for r in runs[0]] == [tuple(r)[:3] + tuple(r)[4:] for r in runs[1]]
@@ -92,13 +104,20 @@ def test_mix_hits_targets(spark):
 
 
 def test_pair_moves_keep_words():
-    one, other = {"_size": 70, "_part": 0.4, "_key": 1}, {"_size": 30, "_part": 0.7, "_key": 2}
-    for seed in range(20):
-        a, b = dict(one), dict(other)
-        mixing._move(seed, a, b)
-        assert abs(70 * a["_part"] + 30 * b["_part"] - 49) < 1e-9
-        assert a["_part"] in (0.0, 1.0) or b["_part"] in (0.0, 1.0)
-        assert -1e-12 <= min(a["_part"], b["_part"]) and max(a["_part"], b["_part"]) <= 1 + 1e-12
+    for k in range(20):
+        p, q = mixing._move(k / 20, 70, 0.4, 30, 0.7)
+        assert abs(70 * p + 30 * q - 49) < 1e-9
+        assert p in (0.0, 1.0) or q in (0.0, 1.0)
+        assert -1e-12 <= min(p, q) and max(p, q) <= 1 + 1e-12
+
+
+def test_mix_is_the_same_however_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id = 14"))
+    of = lambda d: sorted(map(tuple, mixing.mix_report(d).collect()))
+    assert of(docs.coalesce(1)) == of(docs.repartition(7)) == of(docs.repartition(3, "source"))
 
 
 def test_mix_of_odd_rows(odd_docs, no_docs):
@@ -113,6 +132,7 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
 
 
 def test_tree_of_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
     monkeypatch.setattr(mixing, "FAN_IN", 2)
     docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(7)
     rows = mixing.mix_report(docs).collect()
@@ -126,9 +146,13 @@ def test_tree_of_several_levels(spark, monkeypatch):
 
 
 def test_length_histogram(spark, odd_docs, no_docs):
-    encode = rank_encoder(vocabulary_path(RANKS_FILE)).encode_ordinary
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path())
+    odd_docs = odd_docs.unionByName(odd_docs.limit(1).selectExpr("*").withColumn("text", F.lit("x<|endoftext|>y  z\n\nq")))
     texts = [r.text for r in odd_docs.select("text").collect()]
-    lengths = sorted(len(encode(t)) if t else 0 for t in texts)
+    lengths = sorted(len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    assert sorted(r.n_tokens - 1 for r in token_output.output_report(odd_docs).collect()) == lengths
     hist = token_counts.length_histogram(token_counts.lengths(odd_docs))
     rows = {r.limit_tokens: r for r in hist.collect()}
     assert sorted(rows) == sorted(set(lengths))
