@@ -8,22 +8,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
-from millrace.llm.tokens import RANKS_FILE, rank_encoder, vocabulary_path
+from millrace.llm.common import materialize, slices
+from millrace.llm.tokens import encoder, vocabulary_path
 
 #: Lengths are summed in runs of this many, so no window holds more than a run or the list of runs.
 RUN = 4096
 
 
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """n_tokens of every row of ``docs`` (null and empty texts: 0)."""
-    path = path or vocabulary_path(RANKS_FILE)
+    """n_tokens of every row of ``docs`` (null and empty texts: 0), by the encoder that writes token files."""
+    path = path or vocabulary_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = rank_encoder(path).encode_ordinary
+        encode = encoder(path).encode_many
         for batch in batches:
-            counts = [len(encode(t)) if t else 0 for t in (x.as_py() for x in batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
+            for part in slices(batch, 0):
+                counts = [len(ids) // 4 for ids in encode([t or "" for t in part.column(0).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(count, "n_tokens long")
 

@@ -1,17 +1,17 @@
 """Token-id output by an adaptive context-mixing range coder.
 
 Ids are cut into blocks that know nothing of each other: each starts with an empty model and
-carries a checksum. Before an id is coded, three orders predict it:
+carries a checksum. An id is coded as four digits of four bits. For each digit three orders
+are mixed into one distribution:
 
-- order 2: the id that last followed the two ids before it (hashed table),
-- order 1: the id that last followed the id before it (hashed table),
-- order 0: frequencies of the id's four-bit digits so far in the block.
+- order 0: adaptive frequencies of the digit after the id's digits before it,
+- order 1: the digit of the id that last followed the id before this one (hashed table),
+- order 2: the digit of the id that last followed the two ids before this one.
 
-How often the predictions of order 2 and 1 came true at their present length of success gives
-their probabilities; these are mixed into one interval each for "order 2 is right", "order 1
-is right" and "neither", whose width the arithmetic coder narrows to. After "neither" the id's
-digits follow from the order-0 frequencies, the lowest digit evenly. All quantities are
-integers, so decoding repeats encoding exactly.
+The weights of orders 1 and 2 are learned: for each order, digit and length of success so far,
+how often the prediction came true. An order whose id has missed an earlier digit has no
+weight. The range coder narrows to the digit's interval in the mixed distribution. All
+quantities are integers, so decoding repeats encoding exactly.
 
 Blocks are coded side by side: one step handles the next id of every block with array
 operations. The model is the same code in both directions.
@@ -35,75 +35,128 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize, slices
 from millrace.llm.tokens import encoder, vocabulary_path
 
-MAGIC = b"MRC1"
+MAGIC = b"MRC2"
 END_ID = 0
 BLOCK_IDS = 2048
 #: A frame is closed at the first document end at or after so many ids.
 FRAME_IDS = 65_536
-#: Ids coded side by side at once at most; bounds memory.
-GROUP_IDS = 2_000_000
-_TABLE2, _TABLE1 = 4096, 4096
-_TOTAL, _LEVELS = 1 << 16, 16
+#: Ids coded side by side at once at most; bounds memory (some 20 bytes an id).
+GROUP_IDS = 4_000_000
+#: The width of all mixed distributions, and of order 0 alone.
+_TOTAL, _WHOLE = 1 << 16, (1 << 15) - 1
+#: Least width of a digit in order 0, and of order 0 in the mix.
+_LEAST, _FLOOR = 24, 4096
+_SLOTS, _LEVELS = 1024, 16
+#: Where the nodes of each digit begin among a block's nodes; those of the last digit are hashed.
+_NODES, _LAST_NODES = (0, 1, 17, 273), 256
+_LANE_NODES = _NODES[3] + _LAST_NODES
+# A node is 17 cumulative frequencies and the number of times it was used. It moves towards
+# the row of _TARGET for the digit seen, fast at first.
+_DIGITS, _BOUNDS = np.arange(16), np.arange(17)
+_ROW = np.append(np.where(_BOUNDS < 16, _BOUNDS * (_WHOLE // 16), _WHOLE), 0).astype(np.int16)
+_TARGET = np.where(_BOUNDS <= _DIGITS[:, None], _BOUNDS * _LEAST, _WHOLE - (16 - _BOUNDS) * _LEAST)
+_TARGET = np.concatenate([_TARGET, np.zeros((16, 1), np.int64)], 1).astype(np.int16)
+_WIDTH = len(_ROW)
+_RATE = np.repeat(np.array([1, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 5], np.int16)[:, None], _WIDTH, 1)
 
 
 class _Model:
-    """Predictions for the next id of ``n`` blocks at once."""
+    """Predictions for the next id of ``n`` blocks at once; of arrays with two rows the first is order 1's."""
 
     def __init__(self, n: int):
-        self.lanes = np.arange(n)
-        self.next2 = np.zeros((n, _TABLE2), np.uint16)
-        self.next1 = np.zeros((n, _TABLE1), np.uint16)
-        self.run2 = np.zeros((n, _TABLE2), np.uint8)
-        self.run1 = np.zeros((n, _TABLE1), np.uint8)
-        start = np.arange(_LEVELS, dtype=np.int64)
-        self.right2 = np.tile(1024 + start * 3800, (n, 1))
-        self.right1 = np.tile(1024 + start * 3400, (n, 1))
-        self.digits = [np.full((n, 16**k, 16), 1, np.uint16) for k in range(3)]
-        self.before1 = np.zeros(n, np.int64)
-        self.before2 = np.zeros(n, np.int64)
+        self.size = n
+        self.heard = np.zeros(2 * n * _SLOTS, np.uint32)
+        level = np.arange(_LEVELS)
+        first = np.stack([1024 + level * 3400, 1024 + level * 3800])[:, None]
+        later = np.broadcast_to(40_000 + level * 1500, (2, 3, _LEVELS))
+        self.trust = np.repeat(np.concatenate([first, later], 1).astype(np.int32)[:, None], n, 1).ravel()
+        self.rows = np.tile(_ROW, (n * _LANE_NODES, 1))
+        self.cells = self.rows.view(f"V{2 * _WIDTH}").reshape(-1)
+        self.before = np.zeros((2, n), np.int64)
+        self.narrow(n)
 
     def narrow(self, n: int) -> None:
         """Go on with the first ``n`` blocks; the others have ended."""
-        if n < len(self.lanes):
-            self.lanes = self.lanes[:n]
-            self.before1, self.before2 = self.before1[:n], self.before2[:n]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Widths (of _TOTAL) of the intervals of order 2 and order 1."""
-        i = self.lanes
-        self.at2 = ((self.before2 * 40_503 + self.before1 * 30_011) >> 3) % _TABLE2
-        self.at1 = (self.before1 * 40_503 >> 2) % _TABLE1
-        self.id2, self.id1 = self.next2[i, self.at2], self.next1[i, self.at1]
-        self.len2, self.len1 = self.run2[i, self.at2], self.run1[i, self.at1]
-        p2, p1 = self.right2[i, self.len2], self.right1[i, self.len1]
-        self.same = self.id1 == self.id2
-        # Agreeing orders confirm each other; else order 1 gets its share of what order 2 leaves.
-        wide2 = np.where(self.same, p2 + (((_TOTAL - p2) * p1) >> 16), p2)
-        wide2 = np.minimum(np.maximum(wide2, 32), _TOTAL - 2048)
-        wide1 = np.where(self.same, 0, np.minimum(np.maximum(((_TOTAL - wide2) * p1) >> 16, 32), _TOTAL - wide2 - 1024))
-        return wide2, wide1
-
-    def learn(self, ids: np.ndarray) -> None:
-        i = self.lanes
-        for right, length, said, run, after, at in ((self.right2, self.len2, self.id2, self.run2, self.next2, self.at2), (self.right1, self.len1, self.id1, self.run1, self.next1, self.at1)):
-            hit = said == ids
-            p = right[i, length]
-            right[i, length] = p + (((hit * (_TOTAL - 1)) - p) >> 5)
-            run[i, at] = np.where(hit, np.minimum(length + 1, _LEVELS - 1), 0)
-            after[i, at] = ids
-        self.before2, self.before1 = self.before1, ids.astype(np.int64)
-
-    def digit(self, k: int, lanes: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of digit k after the digits above it, and their sums up to each."""
-        f = self.digits[k][lanes, above].astype(np.int64)
-        return f, np.cumsum(f, axis=1)
-
-    def learn_digit(self, k: int, lanes: np.ndarray, above: np.ndarray, digit: np.ndarray, sums: np.ndarray) -> None:
-        self.digits[k][lanes, above, digit] += 24
-        full = sums[:, -1] > 8192
-        if full.any():
-            l, a = lanes[full], above[full]
-            self.digits[k][l, a] = (self.digits[k][l, a] + 1) >> 1
+        self.n, lane = n, np.arange(n)
+        self.before = self.before[:, :n]
+        both = np.stack([lane, lane + self.size])
+        self.slot0, self.trust0 = both * _SLOTS, both * (4 * _LEVELS)
+        self.node0, self.cell0 = lane * _LANE_NODES, lane * _WIDTH
+
+    def begin(self) -> None:
+        """What orders 1 and 2 say of the next id."""
+        last, second = self.before
+        self.at = self.slot0.copy()
+        self.at[0] += (last * 40_503 >> 2) & (_SLOTS - 1)
+        self.at[1] += ((second * 40_503 + last * 30_011) >> 3) & (_SLOTS - 1)
+        entry = self.heard.take(self.at, mode="clip")
+        self.said, self.run = (entry & 0xFFFF).astype(np.int32), entry >> 16
+        self.trust_at = self.trust0 + self.run
+        self.alive = np.ones((2, self.n), bool)
+        self.above = np.zeros(self.n, np.int64)
+
+    def digit(self, k: int) -> None:
+        """Mix the distributions of digit ``k`` after the digits ``above``."""
+        self.node = self.above if k < 3 else (self.above * 40_503 >> 5) & (_LAST_NODES - 1)
+        self.node = self.node + self.node0
+        self.node += _NODES[k]
+        self.row = self.rows.take(self.node, 0, mode="clip")
+        self.told = (self.said >> (12 - 4 * k)) & 15
+        self.p = self.trust.take(self.trust_at, mode="clip")
+        w = self.p * self.alive
+        np.minimum(w[1], _TOTAL - 2 * _FLOOR, out=w[1])
+        w[0] = ((_TOTAL - w[1]) >> 1) * (w[0] >> 1) >> 14  # order 1 gets its share of what order 2 leaves
+        np.minimum(w[0], _TOTAL - _FLOOR - w[1], out=w[0])
+        self.w, self.w0 = w, _TOTAL - w[0] - w[1]
+
+    def interval(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of digits ``d`` in the mix."""
+        at, flat = self.cell0 + d, self.row.reshape(-1)
+        low = flat.take(at, mode="clip") * self.w0
+        at += 1
+        width = flat.take(at, mode="clip") * self.w0
+        low >>= 15
+        width >>= 15
+        width -= low
+        more = (d > self.told) * self.w
+        low += more[0]
+        low += more[1]
+        self.hit = d == self.told
+        more = self.hit * self.w
+        width += more[0]
+        width += more[1]
+        return low, width
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The digits whose intervals hold ``value``: the number of starts at or below it, less one."""
+        mixed = np.ascontiguousarray(self.row[:, :16].T) * self.w0
+        mixed >>= 15
+        for told, w in zip(self.told, self.w, strict=True):
+            mixed += (_DIGITS[:, None] > told) * w
+        return (mixed <= value.astype(np.int32)).sum(0, dtype=np.int8) - 1
+
+    def learn_digit(self, d: np.ndarray) -> None:
+        step = self.hit * np.int32(_TOTAL - 1)
+        step -= self.p
+        step >>= 5
+        step *= self.alive
+        step += self.p
+        self.trust[self.trust_at] = step
+        self.trust_at += _LEVELS
+        self.alive &= self.hit
+        seen = self.row[:, _WIDTH - 1].copy()
+        move = _TARGET.take(d, 0, mode="clip")
+        move -= self.row
+        move >>= _RATE.take(seen, 0, mode="clip")
+        move += self.row
+        move[:, _WIDTH - 1] = np.minimum(seen + 1, len(_RATE) - 1)
+        self.cells[self.node] = move.view(self.cells.dtype).reshape(-1)
+        self.above = (self.above << 4) + d
+
+    def end(self, ids: np.ndarray) -> None:
+        run = np.where(self.said == ids, np.minimum(self.run + 1, _LEVELS - 1), 0).astype(np.uint32)
+        self.heard[self.at] = ids.astype(np.uint32) | (run << 16)
+        self.before = np.stack([ids, self.before[0]])
 
 
 class _Encoder:
@@ -112,56 +165,57 @@ class _Encoder:
     def __init__(self, n: int, steps: int):
         self.low = np.zeros(n, np.int64)
         self.range = np.full(n, 1 << 48, np.int64)
-        self.words = np.zeros((n, steps + 4), np.int64)
+        self.words = np.zeros((n, 4 * steps + 4), np.int32)
         self.used = np.zeros(n, np.int64)
 
-    def put(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray, total: np.ndarray | int) -> None:
-        unit = self.range[lanes] // total
-        at, size = self.low[lanes] + unit * low, unit * width
-        # Ranges stay at 2**32 or more and totals at 2**16 or less, so one word is due at most.
+    def put(self, low: np.ndarray, width: np.ndarray) -> None:
+        n = len(low)
+        unit = self.range[:n] >> 16
+        at, size = self.low[:n] + unit * low, unit * width
+        # Ranges stay at 2**32 or more, so one word is due at most.
         small = np.nonzero(size < 1 << 32)[0]
         if len(small):
-            out = lanes[small]
-            self.words[out, self.used[out]] = at[small] >> 32
-            self.used[out] += 1
+            self.words[small, self.used[small]] = at[small] >> 32
+            self.used[small] += 1
             at[small] = (at[small] & 0xFFFFFFFF) << 16
             size[small] <<= 16
-        self.low[lanes], self.range[lanes] = at, size
+        self.low[:n], self.range[:n] = at, size
 
     def finish(self) -> list[bytes]:
         n = np.arange(len(self.low))
         for shift in (32, 16, 0):
             self.words[n, self.used] = self.low >> shift if shift == 32 else (self.low >> shift) & 0xFFFF
             self.used += 1
-        for k in range(self.words.shape[1] - 1, 0, -1):
-            self.words[:, k - 1] += self.words[:, k] >> 16
-        data = (self.words & 0xFFFF).astype("<u2")
-        return [row[:u].tobytes() for row, u in zip(data, self.used, strict=True)]
+        words = self.words[:, : int(self.used.max())]
+        for k in range(words.shape[1] - 1, 0, -1):
+            words[:, k - 1] += words[:, k] >> 16
+        return [(row[:u] & 0xFFFF).astype("<u2").tobytes() for row, u in zip(words, self.used, strict=True)]
 
 
 class _Decoder:
     def __init__(self, coded: list[bytes]):
         longest = max(map(len, coded)) // 2 + 4
-        self.words = np.zeros((len(coded), longest), np.int64)
+        self.words = np.zeros((len(coded), longest), np.uint16)
         for row, data in zip(self.words, coded, strict=True):
             row[: len(data) // 2] = np.frombuffer(data, "<u2")
-        self.code = (self.words[:, 0] << 32) | (self.words[:, 1] << 16) | self.words[:, 2]
+        first = self.words[:, :3].astype(np.int64)
+        self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
         self.range = np.full(len(coded), 1 << 48, np.int64)
         self.used = np.full(len(coded), 3, np.int64)
 
-    def look(self, lanes: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        self.unit = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // self.unit, total - 1)
+    def look(self, n: int) -> np.ndarray:
+        self.unit = self.range[:n] >> 16
+        return np.minimum(self.code[:n] // self.unit, _TOTAL - 1)
 
-    def take(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
-        code, size = self.code[lanes] - self.unit * low, self.unit * width
+    def take(self, low: np.ndarray, width: np.ndarray) -> None:
+        n = len(low)
+        code, size = self.code[:n] - self.unit * low, self.unit * width
         small = np.nonzero(size < 1 << 32)[0]
         if len(small):
-            out = lanes[small]
-            code[small] = (code[small] << 16) | self.words[out, np.minimum(self.used[out], self.words.shape[1] - 1)]
-            self.used[out] += 1
+            code[small] = (code[small] << 16) | self.words[small, np.minimum(self.used[small], self.words.shape[1] - 1)]
+            self.used[small] += 1
             size[small] <<= 16
-        self.code[lanes], self.range[lanes] = code, size
+        self.code[:n], self.range[:n] = code, size
 
 
 def _in_step(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -179,32 +233,23 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     lengths = np.array([len(blocks[b]) for b in order])
     if not len(lengths):
         return []
-    ids = np.zeros((len(order), int(lengths[0])), np.int64)
-    for row, b in zip(ids, order, strict=True):
-        row[: len(blocks[b])] = blocks[b]
-    model, coder = _Model(len(order)), _Encoder(len(order), 5 * int(lengths[0]))
+    ids = np.zeros((int(lengths[0]), len(order)), np.uint16)
+    for lane, b in enumerate(order):
+        ids[: len(blocks[b]), lane] = blocks[b]
+    model, coder = _Model(len(order)), _Encoder(len(order), int(lengths[0]))
     for step, n in _in_step(lengths):
-        model.narrow(n)
-        now = ids[:n, step]
-        wide2, wide1 = model.predict()
-        hit2 = now == model.id2
-        hit1 = ~hit2 & (now == model.id1)
-        low = np.where(hit2, 0, np.where(hit1, wide2, wide2 + wide1))
-        coder.put(model.lanes, low, np.where(hit2, wide2, np.where(hit1, wide1, _TOTAL - wide2 - wide1)), _TOTAL)
-        rest = np.nonzero(~(hit2 | hit1))[0]
-        if len(rest):
-            value = now[rest]
-            for k in range(3):
-                above, digit = value >> (16 - 4 * k), (value >> (12 - 4 * k)) & 15
-                f, sums = model.digit(k, rest, above)
-                at = np.arange(len(rest))
-                coder.put(rest, sums[at, digit] - f[at, digit], f[at, digit], sums[:, -1])
-                model.learn_digit(k, rest, above, digit, sums)
-            coder.put(rest, value & 15, np.ones(len(rest), np.int64), 16)
-        model.learn(now)
-    coded = coder.finish()
+        if n < model.n:
+            model.narrow(n)
+        now = ids[step, :n].astype(np.int64)
+        model.begin()
+        for k in range(4):
+            digit = (now >> (12 - 4 * k)) & 15
+            model.digit(k)
+            coder.put(*model.interval(digit))
+            model.learn_digit(digit)
+        model.end(now)
     out: list[bytes] = [b""] * len(blocks)
-    for b, data in zip(order, coded, strict=True):
+    for b, data in zip(order, coder.finish(), strict=True):
         out[b] = data
     return out
 
@@ -214,36 +259,23 @@ def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(coded)), key=lambda b: -counts[b])
     lengths = np.array([counts[b] for b in order])
     if not len(lengths) or not lengths[0]:
-        return [np.zeros(0, np.int64) for _ in coded]
-    ids = np.zeros((len(order), int(lengths[0])), np.int64)
+        return [np.zeros(0, np.uint16) for _ in coded]
+    ids = np.zeros((int(lengths[0]), len(order)), np.uint16)
     model, coder = _Model(len(order)), _Decoder([coded[b] for b in order])
     for step, n in _in_step(lengths):
-        model.narrow(n)
-        wide2, wide1 = model.predict()
-        value = coder.look(model.lanes, _TOTAL)
-        hit2 = value < wide2
-        hit1 = ~hit2 & (value < wide2 + wide1)
-        low = np.where(hit2, 0, np.where(hit1, wide2, wide2 + wide1))
-        coder.take(model.lanes, low, np.where(hit2, wide2, np.where(hit1, wide1, _TOTAL - wide2 - wide1)))
-        now = np.where(hit2, model.id2, model.id1).astype(np.int64)
-        rest = np.nonzero(~(hit2 | hit1))[0]
-        if len(rest):
-            got = np.zeros(len(rest), np.int64)
-            at = np.arange(len(rest))
-            for k in range(3):
-                f, sums = model.digit(k, rest, got)
-                digit = (coder.look(rest, sums[:, -1])[:, None] >= sums).sum(1)
-                coder.take(rest, sums[at, digit] - f[at, digit], f[at, digit])
-                model.learn_digit(k, rest, got, digit, sums)
-                got = got * 16 + digit
-            last = coder.look(rest, 16)
-            coder.take(rest, last, np.ones(len(rest), np.int64))
-            now[rest] = got * 16 + last
-        ids[:n, step] = now
-        model.learn(now)
+        if n < model.n:
+            model.narrow(n)
+        model.begin()
+        for k in range(4):
+            model.digit(k)
+            digit = model.find(coder.look(n))
+            coder.take(*model.interval(digit))
+            model.learn_digit(digit)
+        ids[step, :n] = model.above
+        model.end(model.above)
     out: list[np.ndarray] = [None] * len(coded)  # type: ignore[list-item]
-    for b, row in zip(order, ids, strict=True):
-        out[b] = row[: counts[b]]
+    for lane, b in enumerate(order):
+        out[b] = np.ascontiguousarray(ids[: counts[b], lane])
     return out
 
 
@@ -260,7 +292,7 @@ def _frame(lengths: list[int], ids: np.ndarray, coded: list[bytes]) -> bytes:
 
 def pack_frames(groups: list[list[np.ndarray]]) -> list[bytes]:
     """One frame for each list of documents' ids; all their blocks are coded side by side."""
-    joined = [np.concatenate(g) if g else np.zeros(0, np.int64) for g in groups]
+    joined = [np.concatenate(g) if g else np.zeros(0, np.uint16) for g in groups]
     cuts = [[ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)] for ids in joined]
     coded = iter(encode_blocks([c for own in cuts for c in own]))
     return [_frame([len(d) for d in g], ids, [next(coded) for _ in own]) for g, ids, own in zip(groups, joined, cuts, strict=True)]
@@ -290,7 +322,7 @@ def unpack_frames(frames: list[bytes]) -> list[list[np.ndarray]]:
     ready = iter(decoded)
     out = []
     for own, sizes in zip(blocks, lengths, strict=True):
-        ids = np.concatenate([next(ready) for _ in own]) if own else np.zeros(0, np.int64)
+        ids = np.concatenate([next(ready) for _ in own]) if own else np.zeros(0, np.uint16)
         out.append(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
     return out
 

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BPE_FILE = "byte_bpe_50k.json"
-RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Letters that every Unicode version counts as such.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CUT = re.compile(f" ?[{_LETTERS}]+|(?: |[^ {_LETTERS}])[^ {_LETTERS}]*")
@@ -44,7 +43,7 @@ class CachedEncoder:
     Ids are held and returned as the bytes of little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,16 +80,3 @@ class CachedEncoder:
 def encoder(path: str) -> CachedEncoder:
     """One encoder for each worker process."""
     return CachedEncoder(path)
-
-
-@functools.lru_cache(maxsize=2)
-def rank_encoder(path: str):
-    """The same vocabulary from its ranks; special tokens' strings are ordinary text."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
