@@ -27,6 +27,32 @@ def test_automaton_equals_expressions():
         assert [x for x in secrets.find(t) if x[0] in secrets.BASE] == base_secrets(t), t
 
 
+FURTHER = {
+    "private_key": r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", "web_token": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    "hosting_token": r"gh[pousr]_[A-Za-z0-9]+", "chat_token": r"xox[abprs]-[A-Za-z0-9-]+",
+}
+
+
+def test_further_rules_equal_expressions():
+    r = random.Random(4)
+    parts = ["-----", "-", "BEGIN ", "RSA ", "EC ", "PRIVATE KEY", "PRIVATE ", "eyJ", "eyJh", "aB3_-", ".", ".eyJ", "ghp_", "gho", "_", "xoxb-", "xox", "1234567890", "a" * 30, "é", " ", "\n"]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 16)))
+        want = sorted((k, *m.span()) for k, x in FURTHER.items() for m in re.finditer(x, t) if len(m[0].encode()) >= secrets.MIN_LENGTH.get(k, 0))
+        assert sorted(x for x in secrets.find(t) if x[0] in FURTHER) == want, t
+        assert [x for x in secrets.find(t) if x[0] in secrets.BASE] == base_secrets(t), t
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcdef"
+    began = time.perf_counter()
+    found = secrets.find("eyJa" * 10_000 + " and " + token)
+    assert time.perf_counter() - began < 1 and [k for k, _, _ in found] == ["web_token"]
+    assert len(secrets.find("0123456789abcdef" * 5000)) == 1
+
+
 def test_further_rules_and_redaction():
     t = "é ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY----- x"
     kinds = [k for k, _, _ in secrets.find(t)]
@@ -36,7 +62,7 @@ def test_further_rules_and_redaction():
 
 
 def test_minimal_automaton_is_smaller():
-    a = secrets.Automaton({"r": "(ab|cb)+x"}, floating=False)
+    a = secrets.Automaton({"r": "(ab|cb)+x"}, backwards=False)
     assert len(a.table) < a.subset_states
 
 
@@ -116,13 +142,14 @@ def test_terms_beside_values_seen_once_or_twice(spark):
 
 
 def brute_tiles(a, b, m):
-    ua, ub, out = [False] * len(a), [False] * len(b), 0
+    """Longest first, then from the front of ``a``, then of ``b``."""
+    ua, ub, out = [False] * len(a), [False] * len(b), []
     while True:
         best = (m - 1, 0, 0)
         for i in range(len(a)):
             for j in range(len(b)):
                 k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ua[i + k] and not ub[j + k]:
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] >= 0 and not ua[i + k] and not ub[j + k]:
                     k += 1
                 if k > best[0]:
                     best = (k, i, j)
@@ -130,7 +157,45 @@ def brute_tiles(a, b, m):
         if k < m:
             return out
         ua[i : i + k], ub[j : j + k] = [True] * k, [True] * k
-        out += k
+        out.append((i, j, k))
+
+
+def brute_leaks(docs, items, coverage=0.5):
+    out = []
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    for i, t in items:
+        b = split(t)
+        m = min(5, len(b))
+        runs = {tuple(b[k : k + m]) for k in range(len(b) - m + 1)} if b else set()
+        for d, text in docs:
+            a = split(text)
+            if not any(tuple(a[k : k + m]) in runs for k in range(len(a) - m + 1)):
+                continue
+            found = brute_tiles([hash(w) & 0xFFFFFFFF for w in b], [hash(w) & 0xFFFFFFFF for w in a], m)
+            share = sum(k for _, _, k in found) / len(b)
+            if share >= coverage:
+                out.append((d, i, share, len(found), max(k for _, _, k in found)))
+    return sorted(out)
+
+
+def test_tiling_of_repeated_words_is_fast():
+    import time
+
+    r = random.Random(5)
+    a, b = ([r.randrange(9) if r.random() < 0.02 else k % 2 for k in range(n)] for n in (455, 3000))
+    began = time.perf_counter()
+    found = decontaminate.tiles(a, b)
+    assert time.perf_counter() - began < 1
+    assert sum(k for _, _, k in found) > 400 and [k for _, _, k in found] == sorted((k for _, _, k in found), reverse=True)
+
+
+def test_leaks_equal_brute_force(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = items.unionByName(spark.createDataFrame([(9001, "of the"), (9002, "Zyxw"), (9003, ""), (9004, None)], items.select("item_id", "text").schema), allowMissingColumns=True)
+    short = docs.where("length(text) < 6000")
+    want = brute_leaks([(r.doc_id, r.text) for r in short.collect()], [(r.item_id, r.text) for r in items.collect()])
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        assert sorted(map(tuple, decontaminate.leaks(short, items, broadcast_bytes=limit).collect())) == want
 
 
 def test_tiling_equals_brute_force():
@@ -138,8 +203,7 @@ def test_tiling_equals_brute_force():
     for _ in range(150):
         a = [r.randrange(4) for _ in range(r.randrange(2, 22))]
         b = [r.randrange(4) for _ in range(r.randrange(2, 40))]
-        got = sum(k for _, _, k in decontaminate.tiles(a, b, 3))
-        assert abs(got - brute_tiles(a, b, 3)) <= 2  # ties between equally long matches may fall differently
+        assert decontaminate.tiles(a, b, 3) == brute_tiles(a, b, 3)
     a = list(range(40))
     assert sum(k for _, _, k in decontaminate.tiles(a, [99, *a[20:], 98, *a[:20], 97], 5)) == 40
 
@@ -156,7 +220,7 @@ def test_leaks_of_both_paths(spark, odd_docs, no_docs):
         kept = decontaminate.clean(docs, items, broadcast_bytes=limit)
         assert kept.columns == docs.columns
         assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - bad
-    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, None), (4, odd_docs.where("doc_id = 4").first().text.upper())], "item_id long, text string")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (None, None), (4, odd_docs.where("doc_id = 4").first().text.upper())], "item_id long, text string")
     for limit in (decontaminate.BROADCAST_BYTES, 0):
         assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(odd_docs, items, broadcast_bytes=limit).collect()] == [(4, 4)]
     assert decontaminate.leaks(no_docs, items).count() == 0 and decontaminate.leaks(odd_docs, items.where("false")).count() == 0
