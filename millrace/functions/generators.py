@@ -1,6 +1,8 @@
 """Value generators: name -> Column of (row id, seed, key), by built-in functions only.
 
-Each generator draws from its own key, so adding a column never changes another.
+Each generator draws from its own key, so adding a column never changes another. Built within
+``prf.bulk()``, texts of many draws take several from one hash and have no lambda, so that
+whole-stage code generation covers them.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import pools
-from millrace.functions.prf import SPAN, draw, hex_digits, unit
+from millrace.functions.prf import SPAN, draw, hex_digits, is_bulk, unit
 
 Generator = Callable[[Column, int, str], Column]
 #: The instant from which past and recent times are counted back, and future dates on.
@@ -51,7 +53,15 @@ def money(i: Column, seed: int, key: str, low: float = 0.01, high: float = 10_00
     return F.round(real(i, seed, key, low, high), 2)
 
 
+def _fields(n: int, i: Column, seed: int, key: str) -> list[Column]:
+    """``n`` uniform integers of 13 bits, four to a hash."""
+    hashes = [draw(seed, key, i, k + 1) for k in range(-(-n // 4))]
+    return [F.shiftrightunsigned(hashes[k // 4], 13 * (k % 4)).bitwiseAND(F.lit(8191)) for k in range(n)]
+
+
 def _chars(alphabet: str, n: int, i: Column, seed: int, key: str) -> Column:
+    if is_bulk():
+        return F.concat(*[F.substring(F.lit(alphabet), (f % len(alphabet) + 1).cast("int"), F.lit(1)) for f in _fields(n, i, seed, key)])
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.substring(F.lit(alphabet), (draw(seed, key, i, k) % len(alphabet) + 1).cast("int"), F.lit(1))), "")
 
 
@@ -98,12 +108,26 @@ def _sentence(i: Column, seed: int, key: str, nth: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)), F.lit("."))
 
 
+def _bulk_sentence(i: Column, seed: int, key: str) -> Column:
+    n, *picks = _fields(13, i, seed, f"{key}.words")
+    own = [_pick(pools.WORDS, f) for f in picks]
+    own = [w if k < 5 else F.when(n % 8 + 5 > k, w) for k, w in enumerate(own)]  # concat_ws leaves nulls out
+    own[0] = F.initcap(own[0])
+    return F.concat(F.concat_ws(" ", *own), F.lit("."))
+
+
 def sentence(i: Column, seed: int, key: str) -> Column:
     """Five to twelve words, capitalised, with a full stop."""
+    if is_bulk():
+        return _bulk_sentence(i, seed, key)
     return _sentence(i, seed, key, F.lit(0))
 
 
 def paragraph(i: Column, seed: int, key: str) -> Column:
+    """Two to five sentences."""
+    if is_bulk():
+        n = draw(seed, f"{key}.sentences", i) % 4 + 2
+        return F.concat_ws(" ", *[F.when(n > k, _bulk_sentence(i, seed, f"{key}.{k}")) for k in range(5)])
     n = F.lit(2) + draw(seed, f"{key}.sentences", i) % 4
     return F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda k: _sentence(i, seed, key, k)), " ")
 

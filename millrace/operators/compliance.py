@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.profile import percent
+
 TOLERANCE = 5.0
 
 
@@ -42,6 +45,65 @@ def check(name: str, kind: str, expected: DataFrame, actual: DataFrame, toleranc
     return e.join(F.broadcast(a)).select(F.lit(name).alias("check"), F.lit(kind).alias("kind"), F.round("expected", 6).alias("expected"), F.round("actual", 6).alias("actual"), passed.alias("passed"))
 
 
+def _rates(df: DataFrame, table: str, columns: Mapping[str, Mapping[str, Any]]) -> DataFrame | None:
+    """Null and true rates of all columns by one aggregate."""
+    found = []
+    for name, stats in sorted(columns.items()):
+        share = lambda x: F.coalesce(percent(F.count_if(x), F.count(F.lit(1))), F.lit(0.0))
+        if stats["type"] == "boolean":
+            found.append(("true_rate", name, stats["true_rate"], share(F.col(name))))
+        if "null_rate" in stats:
+            found.append(("null_rate", name, stats["null_rate"], share(F.col(name).isNull())))
+    if not found:
+        return None
+    one = df.agg(F.array(*[F.struct(F.lit(kind).alias("check"), F.lit(table).alias("table"), F.lit(name).alias("subject"), F.lit(float(expected or 0)).alias("expected"), actual.alias("actual")) for kind, name, expected, actual in found]).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
+
+
+def _drifts(df: DataFrame, table: str, columns: Mapping[str, Mapping[str, Any]]) -> DataFrame | None:
+    """Greatest gap of each categorical column, all by one grouping of (column, value)."""
+    known = {name: stats["distribution"] for name, stats in sorted(columns.items()) if stats["type"] == "categorical"}
+    if not known:
+        return None
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("subject"), F.col(c).cast("string").alias("value")) for c in known]))
+    counts = df.select(pairs.alias("x")).select("x.*").where("value is not null").groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("subject").agg(F.sum("n").alias("total"))
+    actual = counts.join(F.broadcast(totals), "subject").select("subject", "value", percent(F.col("n"), F.col("total")).alias("a"))  # one row for each column
+    rows = [(c, str(k), float(w)) for c, d in known.items() for k, w in d.items()] or [("", "", 0.0)]
+    expected = df.sparkSession.createDataFrame(rows, "subject string, value string, e double")
+    gap = F.abs(F.coalesce("e", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)))
+    gaps = expected.join(actual, ["subject", "value"], "full_outer").groupBy("subject").agg(F.max(gap).alias("actual"))
+    return gaps.where(F.col("subject").isin(list(known))).select(F.lit("distribution").alias("check"), F.lit(table).alias("table"), "subject", F.lit(0.0).alias("expected"), "actual")
+
+
+def profile_checks(profile: Mapping[str, Any], frames: Mapping[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """(check, table, subject, expected, actual, passed): every check that a profile document asks of tables.
+
+    ``ratio``: child rows over parent rows, expected the profile's average over parents that have
+    any times the share of those that have (relative tolerance). ``null_rate``, ``true_rate`` and
+    ``distribution`` (the greatest gap of a value) are held in percentage points. Tables that
+    ``frames`` lacks are not checked; skipped and serial columns ask for nothing. A table is read
+    twice, whatever its number of columns.
+    """
+    parts = []
+    for table, t in sorted(profile["tables"].items()):
+        if table not in frames:
+            continue
+        df = frames[table]
+        columns = {c: s for c, s in t.get("columns", {}).items() if c in df.columns}
+        parts += [x for x in (_rates(df, table, columns), _drifts(df, table, columns)) if x is not None]
+        for key, r in sorted((t.get("parent_ratios") or {}).items()):
+            parent = key.split(".")[0]
+            if parent in frames:
+                expected = float(r["avg"]) * (1 - float(r.get("zero_rate") or 0.0) / 100)
+                actual = rows_per_parent(df.select(F.lit(1)), frames[parent].select(F.lit(1)))
+                parts.append(actual.select(F.lit("ratio").alias("check"), F.lit(table).alias("table"), F.lit(key).alias("subject"), F.lit(expected).alias("expected"), F.col("ratio").alias("actual")))
+    if not parts:
+        raise ValueError("the profile asks nothing of these tables")
+    passed = F.when(F.col("check") == "ratio", within_relative(F.col("expected"), F.col("actual"), tolerance)).otherwise(within_absolute(F.col("expected"), F.col("actual"), tolerance))
+    return report(parts).select("check", "table", "subject", F.round("expected", 6).alias("expected"), F.round("actual", 6).alias("actual"), passed.alias("passed"))
+
+
 def report(checks: Sequence[DataFrame]) -> DataFrame:
     """All checks in one frame."""
     out = checks[0]

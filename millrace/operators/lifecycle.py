@@ -126,7 +126,7 @@ def churned(rows: DataFrame, bucket_table: DataFrame, name: str, seed: int, rate
     bounds = bucket_table.select(F.col("b").alias("churn_b"), "b_start", "b_end")
     out = rows.withColumn("churn_b", at).join(F.broadcast(bounds), "churn_b", "left")  # one row for each bucket
     last = F.col("b_start").isNotNull()
-    return out.select("id", "created_b", "created_at", F.when(last, F.col("churn_b")).alias("churn_b"), F.when(last, _time_in_bucket(f"{name}.churned_at", seed, F.col("id"))).alias("churned_at"))
+    return out.select(*rows.columns, F.when(last, F.col("churn_b")).alias("churn_b"), F.when(last, _time_in_bucket(f"{name}.churned_at", seed, F.col("id"))).alias("churned_at"))
 
 
 def active_counts(rows: DataFrame, bucket_table: DataFrame) -> DataFrame:
@@ -158,16 +158,23 @@ def follow_per_parent(pairs: DataFrame, name: str, seed: int, low: int, high: in
     return pairs.groupBy("b").agg(F.sum(F.lit(low) + draw(seed, f"{name}.children", key) % (high - low + 1)).alias("new"))
 
 
+#: Keyframes are written by hand; so many dates fit into one array.
+MAX_KEYFRAMES = 10_000
+
+
 def interpolated(keyframes: DataFrame, dates: DataFrame) -> DataFrame:
     """(d, key, weight): weights at each date, linear between keyframes (at, key, weight), held outside.
 
-    A key that a keyframe lacks has weight 0 there. Keyframes are few and meet each date by min_by / max_by.
+    A key that a keyframe lacks has weight 0 there. The keyframes' dates come to each date as one
+    array (of MAX_KEYFRAMES at most, else the query fails), so no date meets each keyframe as a row.
     """
-    frames = keyframes.select("at").distinct()
-    around = dates.select("d").join(F.broadcast(frames)).groupBy("d").agg(F.max(F.when(F.col("at") <= F.col("d"), F.col("at"))).alias("lo"), F.min(F.when(F.col("at") >= F.col("d"), F.col("at"))).alias("hi"))
-    around = around.select("d", F.coalesce("lo", "hi").alias("lo"), F.coalesce("hi", "lo").alias("hi"))
-    a = around.join(F.broadcast(keyframes), F.col("lo") == F.col("at")).select("d", "key", F.col("weight").alias("wa"))
-    b = around.join(F.broadcast(keyframes), F.col("hi") == F.col("at")).select("d", "key", F.col("weight").alias("wb"))
+    ats = F.sort_array(F.collect_set("at"))
+    ats = keyframes.agg(F.when(F.size(ats) <= MAX_KEYFRAMES, ats).otherwise(F.raise_error(F.lit("too many keyframes"))).alias("_ats"))
+    lo = F.array_max(F.filter("_ats", lambda x: x <= F.col("d")))
+    hi = F.array_min(F.filter("_ats", lambda x: x >= F.col("d")))
+    around = dates.select("d").distinct().join(F.broadcast(ats)).select("d", F.coalesce(lo, hi).alias("lo"), F.coalesce(hi, lo).alias("hi"))
+    a = around.join(keyframes, F.col("lo") == F.col("at")).select("d", "key", F.col("weight").alias("wa"))
+    b = around.join(keyframes, F.col("hi") == F.col("at")).select("d", "key", F.col("weight").alias("wb"))
     both = a.join(b, ["d", "key"], "full_outer").join(around, "d")
     share = F.coalesce(F.datediff("d", "lo") / F.nullif(F.datediff("hi", "lo").cast("double"), F.lit(0.0)), F.lit(0.0))
     wa, wb = F.coalesce("wa", F.lit(0.0)), F.coalesce("wb", F.lit(0.0))
@@ -204,21 +211,43 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return run.withColumn("_in", inside).join(starts, ["b", "_run"]).select("b", "id", (F.col("_start") + F.col("_in") - 1).alias("_n"))
 
 
+def with_active_parent(rows: DataFrame, pairs: DataFrame, column: str, key: str, seed: int) -> DataFrame:
+    """Give each row a parent drawn among those active in its bucket: (bucket, number) is joined.
+
+    ``pairs`` are the active parents (b, id), which are numbered within their bucket. Rows of
+    buckets without an active parent go.
+    """
+    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("b", "created_b")
+    drawn = rows.join(F.broadcast(sizes), "created_b").withColumn("_n", draw(seed, key, F.col("id")) % F.col("_size")).drop("_size")
+    numbered = _numbered(pairs).select(F.col("b").alias("created_b"), F.col("id").alias(column), "_n")
+    return drawn.join(numbered, ["created_b", "_n"]).drop("_n")
+
+
+def with_born_parent(rows: DataFrame, totals: DataFrame, column: str, key: str, seed: int) -> DataFrame:
+    """As ``with_active_parent``, among all that are born by then, churned or not.
+
+    Ids run over all buckets in order of birth, so the draw is the id; ``totals`` has (b, total).
+    """
+    totals = totals.select(F.col("b").alias("created_b"), F.col("total").alias("_total")).where("_total > 0")
+    return rows.join(F.broadcast(totals), "created_b").withColumn(column, draw(seed, key, F.col("id")) % F.col("_total") + 1).drop("_total")
+
+
 def children(counts: DataFrame, pairs: DataFrame, parents: DataFrame, bucket_table: DataFrame, name: str, seed: int, relation: str = "after", low_s: int = 0, high_s: int = 0) -> DataFrame:
-    """(id, created_b, parent_id, created_at): each child's parent is drawn among those active in its bucket.
+    """(id, created_b, parent_id, created_at): each child's parent is drawn among those active in its bucket."""
+    rows = entities(counts.join(bucket_table, "b"), name, seed).drop("created_at")
+    chosen = with_active_parent(rows, pairs, "parent_id", f"{name}.parent", seed)
+    return with_time_by_parent(chosen, parents.select("id", F.col("created_at").alias("at")), "parent_id", "created_at", bucket_table, f"{name}.offset", seed, relation, low_s, high_s)
+
+
+def with_time_by_parent(rows: DataFrame, times: DataFrame, fk: str, column: str, bucket_table: DataFrame, key: str, seed: int, relation: str, low_s: int, high_s: int) -> DataFrame:
+    """Set ``column`` relative to the parent's time (``times``: id, at), held to the row's bucket.
 
-    Active parents are numbered within their bucket, and a child joins (bucket, number).
+    Rows without a parent, or whose parent has no time, keep what they have.
     """
-    rows = entities(counts.join(bucket_table, "b"), name, seed).withColumnRenamed("created_at", "_any")
-    numbered = _numbered(pairs)
-    sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_size"))
-    drawn = rows.join(F.broadcast(sizes), rows["created_b"] == sizes["b"]).drop("b").withColumn("_n", draw(seed, f"{name}.parent", F.col("id")) % F.col("_size"))
-    chosen = drawn.join(numbered.select(F.col("b").alias("created_b"), F.col("id").alias("parent_id"), "_n"), ["created_b", "_n"])
-    chosen = chosen.join(parents.select(F.col("id").alias("parent_id"), F.col("created_at").alias("_born")), "parent_id").join(F.broadcast(bucket_table.withColumnRenamed("b", "created_b")), "created_b")
-    ts = relative_time(F.col("_born"), draw(seed, f"{name}.offset", F.col("id")), relation, low_s, high_s)
-    return chosen.select("id", "created_b", "parent_id", clamped(ts, F.col("_born"), F.col("b_start"), F.col("b_end"), relation).alias("created_at"))
-
-
-def fresh_columns(rows: DataFrame, column: str = "is_active") -> DataFrame:
-    """State columns of entities: active until churned, churned_at null until then."""
-    return rows.withColumn(column, F.col("churn_b").isNull())
+    times = times.select(F.col("id").alias("_pid"), F.col("at").cast("timestamp_ntz").alias("_born"))
+    bounds = bucket_table.select(F.col("b").alias("created_b"), "b_start", "b_end")
+    met = rows.join(times, F.col(fk) == F.col("_pid"), "left").join(F.broadcast(bounds), "created_b")  # one row for each bucket
+    ts = relative_time(F.col("_born"), draw(seed, key, F.col("id")), relation, low_s, high_s)
+    own = F.col(column) if column in rows.columns else F.lit(None).cast("timestamp_ntz")
+    value = F.coalesce(clamped(ts, F.col("_born"), F.col("b_start"), F.col("b_end"), relation), own)
+    return met.withColumn(column, F.when(F.col("_born").isNotNull(), value).otherwise(own)).select(*[c for c in rows.columns if c != column], column)

@@ -1,7 +1,9 @@
 """Profile statistics: exact aggregates of one table each, as DataFrames.
 
 Each function reads only the columns it names. Rates are percentages. Several columns of one
-table share a scan through ``wide_stats``.
+table share a scan through ``wide_stats``. Nothing gathers the values of a column in one
+place: percentiles come from counts by value and running sums over value ranges, distinct
+texts are counted by their 128-bit digests, and totals are joined as one row.
 """
 
 from __future__ import annotations
@@ -9,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
+#: Equal ranges between a column's least and greatest value; only ranges that hold a percentile are sorted.
+RANGES = 1 << 14
 
 
 def _double(x: Column) -> Column:
@@ -31,34 +36,81 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def numeric_aggregates(c: str, prefix: str = "") -> list[Column]:
+def numeric_aggregates(c: str) -> list[Column]:
+    """All numeric statistics of one column but its percentiles."""
     x = _double(F.col(c))
-    p = F.percentile(x, F.array(*map(F.lit, PERCENTILES)))
-    named = [F.round(p[k], 6).alias(f"{prefix}p{int(q * 100)}") for k, q in enumerate(PERCENTILES)]
-    return [
-        F.min(x).alias(f"{prefix}min_val"), F.max(x).alias(f"{prefix}max_val"), F.round(F.avg(x), 6).alias(f"{prefix}mean_val"),
-        F.round(F.stddev_samp(x), 6).alias(f"{prefix}stddev_val"), *named, null_rate(c).alias(f"{prefix}null_rate"),
-    ]
+    return [F.min(x).alias("min_val"), F.max(x).alias("max_val"), F.round(F.avg(x), 6).alias("mean_val"), F.round(F.stddev_samp(x), 6).alias("stddev_val"), null_rate(c).alias("null_rate")]
+
+
+def percentiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, p25, p50, p75, p95, p99): exact interpolated percentiles of each column that has a value.
+
+    Values are counted, which combines before the shuffle. Sums over RANGES equal ranges tell
+    which ranges hold the wanted ranks; within those, running sums find the values.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _double(F.col(c)).alias("v")) for c in columns]))
+    counts = df.select(pairs.alias("x")).select("x.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    names = [f"p{int(q * 100)}" for q in PERCENTILES]
+    last = F.col("total") - 1
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * last).alias("pos"), side(F.lit(q) * last).alias("rank")) for name, q in zip(names, PERCENTILES, strict=True) for side in (F.floor, F.ceil)])
+    ends = ends.select("column", "lo", "hi", F.array_distinct(ranks).alias("ranks"))
+    share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * RANGES), F.lit(RANGES - 1)).cast("int").alias("at")
+    ranged = counts.join(F.broadcast(ends), "column")  # one row for each column
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def within(start: Column, n: Column) -> Column:
+        return F.filter("ranks", lambda r: (r["rank"] >= start) & (r["rank"] < start + n))
+
+    sums = ranged.groupBy("column", at).agg(F.sum("n").alias("n"), F.first("ranks").alias("ranks"))
+    sums = sums.withColumn("base", before(Window.partitionBy("column").orderBy("at")))
+    hits = sums.select("column", "at", "base", within(F.col("base"), F.col("n")).alias("ranks")).where(F.size("ranks") > 0)  # ten rows for each column at most
+    near = ranged.select("column", "v", "n", at).join(F.broadcast(hits), ["column", "at"])
+    near = near.withColumn("start", F.col("base") + before(Window.partitionBy("column", "at").orderBy("v")))
+    found = near.select("column", "v", F.explode(within(F.col("start"), F.col("n"))).alias("r"))
+    pos, rank = F.col("r.pos"), F.col("r.rank")
+    weight = F.when(F.floor(pos) == F.ceil(pos), 1.0).when(rank == F.floor(pos), F.ceil(pos) - pos).otherwise(pos - F.floor(pos))
+    return found.groupBy("column").agg(*[F.round(F.sum(F.when(F.col("r.name") == name, F.col("v") * weight)), 6).alias(name) for name in names])
+
+
+_NAMES = ("min_val", "max_val", "mean_val", "stddev_val", *(f"p{int(q * 100)}" for q in PERCENTILES), "null_rate")
 
 
 def numeric_stats(df: DataFrame, c: str) -> DataFrame:
-    return df.agg(*numeric_aggregates(c))
+    return wide_stats(df, [c]).drop("column")
 
 
 def wide_stats(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Numeric statistics of many columns by one scan, one row for each column."""
+    """Numeric statistics of many columns by two scans, one row for each column."""
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(*numeric_aggregates(c)).alias(c) for c in numeric])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in numeric])).alias("x")).select("x.column", "x.s.*")
+    one = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in numeric])).alias("x")).select("x.column", "x.s.*")
+    return one.join(F.broadcast(percentiles(df, numeric)), "column", "left").select("column", *_NAMES)
+
+
+def _distinct(df: DataFrame, c: str) -> Column:
+    """Number of distinct values; of texts by their digests, so that no text is shuffled."""
+    x = F.col(c)
+    return F.count_distinct(F.unhex(F.md5(x)) if isinstance(df.schema[c].dataType, T.StringType) else x)
 
 
 def cardinality(df: DataFrame, c: str) -> DataFrame:
-    return df.agg(F.count_distinct(F.col(c)).alias("distinct_count"), null_rate(c).alias("null_rate"))
+    return df.agg(_distinct(df, c).alias("distinct_count"), null_rate(c).alias("null_rate"))
+
+
+def _counted(df: DataFrame, key: Column, c: str) -> DataFrame:
+    return df.where(F.col(c).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shares(counts: DataFrame, key: str) -> DataFrame:
+    """key and pct of the total, which is joined as one row."""
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.join(F.broadcast(total)).select(key, percent(F.col("n"), F.col("_total")).alias("pct"))
 
 
 def categorical(df: DataFrame, c: str) -> DataFrame:
-    """value and pct of the non-null rows. The share of the total is taken over the grouped rows."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("value", percent(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("pct"))
+    """value and pct of the non-null rows."""
+    return _shares(_counted(df, F.col(c).cast("string").alias("value"), c), "value")
 
 
 def guarded_categorical(df: DataFrame, c: str, threshold: int = 50) -> DataFrame:
@@ -66,10 +118,10 @@ def guarded_categorical(df: DataFrame, c: str, threshold: int = 50) -> DataFrame
 
     The guard is a one-row side of the same plan, so values never leave a column that is over it.
     """
-    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    guard = df.agg(F.count_distinct(F.col(c)).alias("_d")).where(F.col("_d") <= threshold).select("_d")
+    counts = _counted(df, F.col(c).cast("string").alias("value"), c)
+    guard = df.agg(_distinct(df, c).alias("_d")).where(F.col("_d") <= threshold).select("_d")
     kept = counts.join(F.broadcast(guard))  # one row at most
-    return kept.select("value", percent(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("pct"))
+    return _shares(kept.select("value", "n"), "value")
 
 
 def boolean_stats(df: DataFrame, c: str) -> DataFrame:
@@ -80,7 +132,7 @@ def string_stats(df: DataFrame, c: str) -> DataFrame:
     """Lengths in characters; never a value."""
     n = F.char_length(F.col(c))
     return df.agg(
-        F.count_distinct(F.col(c)).alias("cardinality"), F.round(F.avg(n), 6).alias("avg_length"), F.min(n).cast("long").alias("min_length"),
+        _distinct(df, c).alias("cardinality"), F.round(F.avg(n), 6).alias("avg_length"), F.min(n).cast("long").alias("min_length"),
         F.max(n).cast("long").alias("max_length"), null_rate(c).alias("null_rate"),
     )
 
@@ -99,8 +151,7 @@ def monthly_density(df: DataFrame, c: str) -> DataFrame:
 
 
 def hourly_density(df: DataFrame, c: str) -> DataFrame:
-    counts = df.where(F.col(c).isNotNull()).groupBy(F.hour(F.col(c)).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("hour", percent(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("pct"))
+    return _shares(_counted(df, F.hour(F.col(c)).alias("hour"), c), "hour")
 
 
 def parent_ratio(child: DataFrame, fk: str) -> DataFrame:
@@ -122,7 +173,7 @@ def childless(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFram
 
 
 def long_profile(df: DataFrame, table: str) -> DataFrame:
-    """(table, column, stat, value) of every numeric column, and the row count, by one scan."""
+    """(table, column, stat, value) of every numeric column, and the row count."""
     numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("short", "integer", "long", "float", "double", "decimal")]
     rows = df.agg(F.lit("*").alias("column"), F.lit("row_count").alias("stat"), F.count(F.lit(1)).cast("double").alias("value"))
     if numeric:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.prf import draw
+from millrace.sources.scratch import materialize
 
 #: Parent keys of at most so many rows (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
@@ -18,22 +19,17 @@ class MissingParentError(ValueError):
 def indexed_keys(parent: DataFrame, pk: str) -> tuple[DataFrame, int]:
     """(idx, key): the parent's keys numbered from 0 in their order, and their number.
 
-    Rows are dealt by key range and numbered in their range; only the sizes of the ranges meet in one place.
+    More keys than are broadcast are dealt by key range, written, and numbered in their range;
+    only the sizes of the ranges meet in one place. The numbers are the same either way.
     """
     keys = parent.where(F.col(pk).isNotNull()).select(F.col(pk).alias("key"))
     n = keys.count()
     if n <= BROADCAST_KEYS:
         return keys.select((F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("idx"), "key"), n
-    # Range bounds come from values, so that two evaluations agree. Keys that are no numbers go by their hash.
-    width = max(2, -(-n // BROADCAST_KEYS))
-    number = keys.schema["key"].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
-    by = F.col("key") if number else F.xxhash64("key")
-    cuts = sorted({c for c in keys.agg(F.percentile_approx(by, [k / width for k in range(1, width)])).first()[0]})
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: by > cut))
-    dealt = keys.withColumn("_part", part).withColumn("_by", by)
+    dealt = materialize(keys.repartitionByRange("key").withColumn("_part", F.spark_partition_id()), "keys")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_by", "key"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("key"))
     return dealt.withColumn("_at", inside).join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_at") - 1).alias("idx"), "key"), n
 
 

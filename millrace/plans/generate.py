@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from millrace.functions import generators as G
 from millrace.functions.classify import detect
+from millrace.functions.prf import bulk, draw
 from millrace.operators import relations
 from millrace.plans.scenario import Override, Scenario
 from millrace.plans.schema import Column, ForeignKey, SchemaGraph, Table, resolve
@@ -38,18 +39,18 @@ def _unique_columns(table: Table) -> set[str]:
     return {c.columns[0] for c in table.constraints if c.kind in ("unique", "primary_key") and len(c.columns) == 1}
 
 
-def _value(column: Column, table: Table, n: int, scenario: Scenario, seed: int) -> Any:
+def column_value(column: Column, table: Table, n: int, scenario: Scenario, seed: int) -> Any:
     """The expression of one column without a foreign key: override, else by name and type."""
     key, i = f"{table.name}.{column.name}", F.col(_ROW)
     plan = scenario.tables.get(table.name)
     own = _overridden(plan.overrides[column.name], column, seed, key) if plan and column.name in plan.overrides else None
-    whole = column.type.typeName() in ("short", "integer", "long")
-    unique = column.name in _unique_columns(table)
-    if own is None and unique and whole:
-        return (i + 1).cast(column.type)
+    unique, kind, drawn = column.name in _unique_columns(table), column.type.typeName(), own is None
+    if own is None and unique and kind in _COUNTED:
+        return _counted(column, i, n, seed, key)
     if own is None:
         name, options = detect(column)
         own = G.GENERATORS[name](i, seed, key, **options)
+        unique = unique and name not in ("uuid", "token")  # 122 and more random bits do not repeat
     if unique and isinstance(column.type, StringType):
         own = G.unique_text(own, i)
         if column.max_length is not None:
@@ -59,11 +60,37 @@ def _value(column: Column, table: Table, n: int, scenario: Scenario, seed: int)
             own = F.when(F.length(own) <= column.max_length, own).otherwise(F.right(own, F.lit(column.max_length)))
     elif column.max_length is not None and isinstance(column.type, StringType):
         own = F.left(own, F.lit(column.max_length))
-    elif unique:
+    elif unique and not (drawn and kind == "string"):
         raise UniqueExhaustedError(key)
+    null_rate = plan.null_rates.get(column.name, 0.0) if plan else 0.0
+    if null_rate and column.nullable and not unique:
+        own = G.with_nulls(own, i, seed, key, null_rate)
     return own.cast(column.type)
 
 
+#: Types whose unique values are counted out by row id.
+_COUNTED = ("short", "integer", "long", "date", "timestamp", "timestamp_ntz", "float", "double", "decimal")
+
+
+def _counted(column: Column, i: Any, n: int, seed: int, key: str) -> Any:
+    """Distinct by construction: ids, days or seconds counted back, the fraction after the id, or steps of a decimal."""
+    kind = column.type.typeName()
+    most = {"short": 2**15 - 1, "integer": 2**31 - 1, "date": 700_000, "float": 2**15}.get(kind, 2**40)
+    if kind == "decimal":
+        most = 10**column.type.precision - 1
+    if n > most:
+        raise UniqueExhaustedError(key)
+    if kind in ("short", "integer", "long"):
+        return (i + 1).cast(column.type)
+    if kind == "date":
+        return F.date_sub(F.lit(G.EPOCH[:10]).cast("date"), i.cast("int"))
+    if kind in ("timestamp", "timestamp_ntz"):
+        return (F.timestamp_seconds(F.unix_timestamp(F.lit(G.EPOCH).cast("timestamp")) - i)).cast(column.type)
+    if kind == "decimal":
+        return ((i + 1).cast("decimal(38,0)") / F.lit(10**column.type.scale).cast("decimal(38,0)")).cast(column.type)
+    return (i + G.real(i, seed, key, 0, 0.5)).cast(column.type)
+
+
 def key_column(table: Table) -> str | None:
     """What other tables point to: ``id`` if it is an identity, another identity, a generated ``id``, else the first uuid."""
     named = {c.name: c for c in table.columns}
@@ -86,11 +113,18 @@ def _with_parents(df: DataFrame, table: Table, keys: list[ForeignKey], done: dic
 
 
 def generate(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed: int | None = None, default_rows: int = 10) -> dict[str, DataFrame]:
+    """``generated`` with bulk draws."""
+    with bulk():
+        return generated(spark, graph, scenario, seed, default_rows)
+
+
+def generated(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed: int | None = None, default_rows: int = 10) -> dict[str, DataFrame]:
     """Every table of the graph by name, parents first; equal seeds give equal rows.
 
     A column is, in this order: left out if generated by the database, a serial if identity,
     null until the second pass if its key is on a broken cycle, a parent's key, an override,
-    or inferred from its name and type.
+    or inferred from its name and type. Single unique columns are distinct by construction; of
+    rows that repeat a unique key of several columns one stays, so such a table may be shorter.
     """
     seed = seed if seed is not None else scenario.seed if scenario.seed is not None else 42
     plan = resolve(graph)
@@ -112,9 +146,12 @@ def generate(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed:
             elif c.name in late:
                 value = F.lit(None).cast(c.type)
             else:
-                value = _value(c, table, counts[name], scenario, seed)
+                value = column_value(c, table, counts[name], scenario, seed)
             df = df.withColumn(c.name, value)
-        df = _from_parents(df, table, scenario, keys, done)
+        df = _from_parents(df, table, scenario, keys, done, seed)
+        for c in table.constraints:
+            if c.kind in ("unique", "primary_key") and len(c.columns) > 1:
+                df = df.dropDuplicates(list(c.columns))
         done[name] = df.select(*[F.col(c.name).cast(c.type).alias(c.name) for c in table.columns if not c.generated])
     for k in plan.deferred:
         row_id = key_column(tables[k.table])
@@ -122,15 +159,23 @@ def generate(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed:
     return done
 
 
-def _from_parents(df: DataFrame, table: Table, scenario: Scenario, keys: list[ForeignKey], done: dict[str, DataFrame]) -> DataFrame:
-    """Overrides of the form ``from_parent: parent.column`` copy a value along the key."""
+#: A time ``after`` the parent's is later by up to so many seconds.
+_AFTER = 30 * 86_400
+
+
+def _from_parents(df: DataFrame, table: Table, scenario: Scenario, keys: list[ForeignKey], done: dict[str, DataFrame], seed: int) -> DataFrame:
+    """Overrides ``from_parent: parent.column`` copy a value along the key, ``after: parent.column`` gives a later time."""
     plan = scenario.tables.get(table.name)
     for column, o in (plan.overrides if plan else {}).items():
-        if o.kind == "from_parent":
+        if o.kind in ("from_parent", "after"):
             parent, _, source = str(o.value).partition(".")
             k = next(k for k in keys if k.parent == parent)
             side = done[parent].select(F.col(k.parent_column).alias("_pk"), F.col(source).alias("_value"))
-            df = df.join(side, F.col(k.column) == F.col("_pk"), "left").withColumn(column, F.col("_value")).drop("_pk", "_value")
+            value = F.col("_value")
+            if o.kind == "after":
+                later = (draw(seed, f"{table.name}.{column}.after", F.col(_ROW)) % _AFTER + 1).cast("int")
+                value = F.timestamp_add("SECOND", later, value.cast("timestamp_ntz"))
+            df = df.join(side, F.col(k.column) == F.col("_pk"), "left").withColumn(column, value).drop("_pk", "_value")
     return df
 
 

@@ -6,7 +6,7 @@ import math
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
-from datetime import date
+from datetime import date, datetime
 from typing import Any
 
 DEFAULT_ROWS = 10
@@ -97,6 +97,32 @@ def parse_duration(text: str) -> tuple[int, int]:
     return ends[0], ends[-1]
 
 
+def parse_temporal(spec: Mapping[str, Any]) -> tuple[str, str, str, tuple[int, int]]:
+    """``{after: users.created_at, offset: 1d..60d}`` as (relation, parent, its column, bounds in seconds)."""
+    relation = next((r for r in ("after", "before", "equals") if r in spec), None)
+    parent, _, column = str(spec.get(relation, "")).partition(".")
+    if not relation or not column:
+        raise ScenarioError(f"no temporal constraint: {dict(spec)!r}")
+    return relation, parent, column, parse_duration(str(spec.get("offset", "0s")))
+
+
+@dataclass(frozen=True)
+class Churn:
+    """rate is a share of 1; column gets ``value`` on churn; with ``cascade`` the churned get no more children."""
+
+    rate: float = 0.0
+    grace: int = 0
+    column: str = "is_active"
+    value: Any = False
+    cascade: bool = True
+
+
+def parse_churn(spec: Mapping[str, Any]) -> Churn:
+    rate = spec.get("rate", 0)
+    rate = parse_percent(rate) / 100 if isinstance(rate, str) else float(rate)
+    return Churn(rate, int(spec.get("grace_period", 0)), str(spec.get("column", "is_active")), spec.get("value", False), bool(spec.get("cascade", True)))
+
+
 @dataclass(frozen=True)
 class Override:
     kind: str  # distribution, range, formula, generator, timeline or from_parent
@@ -111,6 +137,7 @@ class TablePlan:
     churn: dict[str, Any] = field(default_factory=dict)
     seasonality: dict[str, Any] = field(default_factory=dict)
     temporal: dict[str, Any] = field(default_factory=dict)
+    null_rates: dict[str, float] = field(default_factory=dict)  # percent, of nullable columns
 
 
 @dataclass(frozen=True)
@@ -156,7 +183,8 @@ def parse(plain: Mapping[str, Any]) -> Scenario:
         spec = spec or {}
         over = {c: _override(o) for c, o in (spec.get("overrides") or {}).items()}
         count = parse_count(spec["count"]) if "count" in spec else None
-        tables[name] = TablePlan(count, over, dict(spec.get("growth") or {}), dict(spec.get("churn") or {}), dict(spec.get("seasonality") or {}), dict(spec.get("temporal") or {}))
+        nulls = {c: parse_percent(r) for c, r in (spec.get("null_rates") or {}).items()}
+        tables[name] = TablePlan(count, over, dict(spec.get("growth") or {}), dict(spec.get("churn") or {}), dict(spec.get("seasonality") or {}), dict(spec.get("temporal") or {}), nulls)
     return Scenario(tables, plain.get("seed"), plain.get("lifecycle"))
 
 
@@ -183,22 +211,29 @@ def _weights(**w: float) -> dict:
 #: Built-in scenarios.
 TEMPLATES: dict[str, dict] = {
     "ecommerce": {"tables": {
-        "users": {"count": 50}, "categories": {"count": 15}, "products": {"count": 200, "overrides": {"price": {"range": [4.99, 499.99]}}},
-        "orders": {"count": "per_parent(users, 0..10)", "overrides": {"status": _weights(pending=5, paid=60, shipped=20, delivered=10, cancelled=5)}},
-        "order_items": {"count": "per_parent(orders, 1..5)", "overrides": {"quantity": {"range": [1, 4]}}},
-        "reviews": {"count": "per_parent(products, 0..5)", "overrides": {"rating": {"distribution": {"1": 5, "2": 5, "3": 15, "4": 35, "5": 40}}}},
+        "users": {"count": 60}, "categories": {"count": 12}, "products": {"count": 180, "overrides": {"price": {"range": [3.5, 420.0]}}},
+        "orders": {"count": "per_parent(users, 1..7)", "overrides": {"status": _weights(open=8, paid=52, sent=22, done=14, void=4)}},
+        "order_items": {"count": "per_parent(orders, 1..4)", "overrides": {"quantity": {"range": [1, 6]}}},
+        "reviews": {"count": "per_parent(products, 0..6)", "overrides": {"rating": {"distribution": {"1": 4, "2": 6, "3": 18, "4": 34, "5": 38}}}},
     }},
     "saas": {"tables": {
-        "organizations": {"count": 10}, "users": {"count": "per_parent(organizations, 3..20)"},
-        "subscriptions": {"count": "per_parent(organizations, 1..1)"}, "invoices": {"count": "per_parent(subscriptions, 1..12)"},
+        "organizations": {"count": 12}, "users": {"count": "per_parent(organizations, 2..16)"},
+        "subscriptions": {"count": "per_parent(organizations, 1..1)"}, "invoices": {"count": "per_parent(subscriptions, 2..10)"},
     }},
     "blog": {"tables": {
-        "users": {"count": 20}, "posts": {"count": "per_parent(users, 0..15)"}, "comments": {"count": "per_parent(posts, 0..20)"},
-        "tags": {"count": 30}, "post_tags": {"count": "per_parent(posts, 1..4)"},
+        "users": {"count": 25}, "posts": {"count": "per_parent(users, 1..9)"}, "comments": {"count": "per_parent(posts, 0..14)"},
+        "tags": {"count": 24}, "post_tags": {"count": "per_parent(posts, 1..3)"},
     }},
     "social": {"tables": {
-        "users": {"count": 100}, "posts": {"count": "per_parent(users, 0..50)"}, "likes": {"count": "per_parent(posts, 0..100)"},
-        "follows": {"count": "30% of users"}, "messages": {"count": "per_parent(users, 0..20)"},
+        "users": {"count": 80}, "posts": {"count": "per_parent(users, 2..30)"}, "likes": {"count": "per_parent(posts, 0..60)"},
+        "follows": {"count": "25% of users"}, "messages": {"count": "per_parent(users, 0..24)"},
+    }},
+    "lifecycle": {"lifecycle": {"start": "2024-01-01", "end": "2025-01-01", "bucket": "month"}, "tables": {
+        "users": {"growth": {"model": "s_curve", "initial": 40, "capacity": 900, "rate": 0.5}, "churn": {"rate": 0.04, "grace_period": 1},
+                  "overrides": {"plan": {"timeline": {"2024-01-01": {"free": 30, "pro": 70}, "2024-09-01": {"free": 60, "pro": 30, "team": 10}}}}},
+        "orders": {"growth": {"follows": "users", "ratio": 1.5, "variance": 0.2}, "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..40d"}},
+                   "seasonality": {"quarterly": [0.9, 1.0, 0.95, 1.3]}, "overrides": {"status": _weights(open=10, paid=75, void=15)}},
+        "order_items": {"growth": {"follows": "orders", "per_parent": "1..3"}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
     }},
 }
 
@@ -207,31 +242,40 @@ def template(name: str) -> Scenario:
     return parse(TEMPLATES[name])
 
 
+def _days(iso: str) -> float:
+    """Days since 1970-01-01 of a date or time."""
+    return (datetime.fromisoformat(iso) - datetime(1970, 1, 1)).total_seconds() / 86_400
+
+
 def from_profile(profile: Mapping[str, Any], scale: float = 1.0) -> Scenario:
     """A scenario that regenerates a profiled database at a scale in (0, 1].
 
     A table without parents gets its rows times the scale, at least one; another the rounded
     bounds of its average number per parent, for the parent with the highest average.
     Categorical columns keep their distribution, numeric ones their range, booleans their
-    rate, times their range.
+    rate, dates and times their range, and every column its null rate.
     """
     if not 0 < scale <= 1:
         raise ScenarioError("scale must be over 0 and at most 1")
     tables = {}
     for name, t in profile["tables"].items():
-        over = {}
+        over, nulls = {}, {}
         for c, stats in t.get("columns", {}).items():
+            if stats.get("null_rate"):
+                nulls[c] = float(stats["null_rate"])
             if stats["type"] == "categorical":
                 over[c] = Override("distribution", dict(stats["distribution"]))
             elif stats["type"] == "numeric":
                 over[c] = Override("range", (stats["min"], stats["max"]))
             elif stats["type"] == "boolean":
                 over[c] = Override("distribution", {"true": stats["true_rate"], "false": 100 - stats["true_rate"] - stats.get("null_rate", 0.0)})
+            elif stats["type"] == "timestamp" and None not in stats["range"]:
+                over[c] = Override("range", tuple(map(_days, stats["range"])))
         ratios = t.get("parent_ratios") or {}
         if ratios:
             parent, r = max(ratios.items(), key=lambda x: (x[1]["avg"], x[0]))
             count: Count = PerParent(parent.split(".")[0], math.floor(r["avg"]), math.ceil(r["avg"]))
         else:
             count = Fixed(max(1, _nearest(t["row_count"] * scale)))
-        tables[name] = TablePlan(count, over)
+        tables[name] = TablePlan(count, over, null_rates=nulls)
     return Scenario(tables)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import lifecycle as L
-from millrace.plans.scenario import Scenario, TablePlan, parse_percent
+from millrace.plans.scenario import Scenario, TablePlan, parse_churn
 
 
 def order(scenario: Scenario) -> list[str]:
@@ -38,12 +38,12 @@ def _target(g: dict) -> tuple[Column, bool]:
     return L.logistic(b, g["initial"], g["capacity"], g["rate"], g["midpoint"]), True
 
 
-def _bounds(x: str | list) -> tuple[int, int]:
+def _ends(x: str | list) -> tuple[int, int]:
     low, high = x.split("..") if isinstance(x, str) else x
     return int(low), int(high)
 
 
-def _new(name: str, plan: TablePlan, buckets: DataFrame, done: dict[str, DataFrame], last: int, seed: int) -> DataFrame:
+def new_by_bucket(name: str, plan: TablePlan, buckets: DataFrame, done: dict[str, DataFrame], last: int, seed: int) -> DataFrame:
     g, s = plan.growth, plan.seasonality
     factor = L.season(F.col("b_start"), s.get("monthly", ()), s.get("quarterly", ()), s.get("weekly", ()))
     if "follows" not in g:
@@ -53,26 +53,30 @@ def _new(name: str, plan: TablePlan, buckets: DataFrame, done: dict[str, DataFra
     if parents is None:
         return buckets.withColumn("new", F.lit(0).cast("long"))
     if "per_parent" in g:
-        own = L.follow_per_parent(L.active_pairs(parents, last), name, seed, *_bounds(g["per_parent"]))
+        own = L.follow_per_parent(L.active_pairs(parents, last), name, seed, *_ends(g["per_parent"]))
     else:
         own = L.follow_ratio(L.active_counts(parents, buckets), name, seed, float(g.get("ratio", 0)), float(g.get("variance", 0)))
     return L.new_counts(buckets.join(own.withColumnRenamed("new", "_own"), "b", "left"), F.coalesce("_own", F.lit(0)), False, factor).drop("_own")
 
 
+def bounds(scenario: Scenario) -> tuple[date, date, str]:
+    """Start, end (not included) and bucket of a scenario's lifecycle."""
+    life = scenario.lifecycle or {}
+    day = lambda x: x if isinstance(x, date) else date.fromisoformat(str(x))
+    return day(life["start"]), day(life["end"]), life.get("bucket", "month")
+
+
 def entities(spark: SparkSession, scenario: Scenario, seed: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """The entities of every growing table, with their churn, and the buckets."""
     seed = seed if seed is not None else scenario.seed if scenario.seed is not None else 42
-    life = scenario.lifecycle or {}
-    day = lambda x: x if isinstance(x, date) else date.fromisoformat(str(x))
-    buckets = L.buckets(spark, day(life["start"]), day(life["end"]), life.get("bucket", "month"))
+    buckets = L.buckets(spark, *bounds(scenario))
     last = buckets.count() - 1
     done: dict[str, DataFrame] = {}
     for name in order(scenario):
         plan = scenario.tables[name]
-        rows = L.entities(_new(name, plan, buckets, done, last, seed), name, seed)
-        churn = plan.churn
-        rate = parse_percent(churn["rate"]) / 100 if isinstance(churn.get("rate"), str) else float(churn.get("rate", 0))
-        done[name] = L.churned(rows, buckets, name, seed, rate, int(churn.get("grace_period", 0)))
+        rows = L.entities(new_by_bucket(name, plan, buckets, done, last, seed), name, seed)
+        churn = parse_churn(plan.churn)
+        done[name] = L.churned(rows, buckets, name, seed, churn.rate, churn.grace)
     return done, buckets
 
 

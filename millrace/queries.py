@@ -7,11 +7,12 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from millrace.functions import classify, generators, pools
-from millrace.functions.prf import draw, duck_draw, duck_hex, duck_unit
+from millrace.functions.prf import bulk, draw, duck_draw, duck_hex, duck_unit
 from millrace.operators import audit, compliance, lifecycle, profile, relations
-from millrace.plans import profiler
+from millrace.plans import grow, profiler, scenario, schema
 from millrace.sources import catalog, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,7 +121,9 @@ _add("temporal_audit", lambda spark, d: audit.before_parent(_read(spark, d, "lin
 # ---- catalog, classification
 
 _add("catalog_tables", lambda spark, d: catalog.tables_frame(spark, catalog.introspect(spark, d)), "select table_name as \"table\", count(*) as n_columns from (" + " union all ".join(f"select '{t}' as table_name, column_name from (describe {t})" for t in _TABLES) + ") group by 1")
-_add("catalog_columns", lambda spark, d: catalog.columns_frame(spark, catalog.introspect(spark, d)))
+_KINDS = "case column_type when 'VARCHAR' then 'string' when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'FLOAT' then 'float' when 'FLOAT[]' then 'array<float>' when 'DOUBLE[]' then 'array<double>' when 'DATE' then 'date' when 'TINYINT' then 'tinyint' when 'SMALLINT' then 'smallint' when 'BOOLEAN' then 'boolean' when 'TIMESTAMP' then 'timestamp_ntz' when 'TIMESTAMP_NS' then 'timestamp_ntz' else column_type end"
+_COLUMNS_SQL = " union all ".join(f"select '{t}' as \"table\", cast(row_number() over () - 1 as int) as position, column_name as \"column\", {_KINDS} as type, true as nullable from (describe {t})" for t in _TABLES)
+_add("catalog_columns", lambda spark, d: catalog.columns_frame(spark, catalog.introspect(spark, d)), _COLUMNS_SQL)
 _add("catalog_keys", lambda spark, d: catalog.keys_frame(spark, catalog.introspect(spark, d, catalog.DRIVER_KEYS)), "select * from (values " + ", ".join(f"('{k.table}', '{k.column}', '{k.parent}', '{k.parent_column}')" for k in catalog.DRIVER_KEYS) + ") t(\"table\", \"column\", parent, parent_column)")
 _add("key_orphans", lambda spark, d: catalog.discover_keys(spark, d, catalog.introspect(spark, d, catalog.DRIVER_KEYS)), " union all ".join(f"select '{k.table}.{k.column}' as key, '{k.parent}.{k.parent_column}' as parent, count(*) as orphans from {k.table} c where not exists (select 1 from {k.parent} p where p.{k.parent_column} = c.{k.column})" for k in catalog.DRIVER_KEYS))
 _NAMES = [("email", 120), ("user_password_hash", 60), ("country_code", 2), ("currency", 3), ("promo_code", 20), ("long_code", 500), ("hotel", 50), ("platform", 50), ("lat", None), ("shipping_pin", 9), ("first_name", 40), ("name", 80), ("file_name", 80), ("total_amount", None), ("ip", 45), ("website", 200), ("zip", 10), ("note", None), ("access_key", 40), ("api_key", 40)]
@@ -219,8 +222,9 @@ _add("unique_integers", lambda spark, d: spark.range(ROWS).select(generators.uni
 _add("fk_assignment", lambda spark, d: relations.assign_parent(spark.range(5000), F.col("id"), _read(spark, d, "customer", "c_custkey"), "c_custkey", "cust", SEED), f"with k as (select c_custkey, row_number() over (order by c_custkey) - 1 as idx from customer) select id, c_custkey as cust from (select range as id, {duck_draw(SEED, 'cust.fk', 'range')} % (select count(*) from customer) as i from range(5000)) join k on i = idx")
 _add("self_reference", lambda spark, d: relations.assign_earlier_self(spark.range(1, ROWS), "id", "manager", SEED), f"select range as id, case when range > 1 then {duck_draw(SEED, 'manager.self', 'range')} % greatest(range - 1, 1) + 1 end as manager from range(1, {ROWS})")
 _add("deferred_fk", lambda spark, d: relations.deferred_update(_read(spark, d, "nation", "n_nationkey").withColumn("head", F.lit(None).cast("long")), "n_nationkey", _read(spark, d, "supplier", "s_suppkey"), "s_suppkey", "head", SEED), f"with k as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as idx from supplier) select n_nationkey, s_suppkey as head from nation join k on {duck_draw(SEED, 'head.fk', 'n_nationkey')} % (select count(*) from supplier) = idx")
-_add("parent_lookup", lambda spark, d: relations.lookup_parent(spark.range(1, 200), _read(spark, d, "orders"), "o_orderkey", "o_custkey"), "select o_orderkey as id, o_custkey as parent from orders where o_orderkey between 1 and 199")
-_add("update_from", lambda spark, d: relations.update_from(_read(spark, d, "supplier", "s_suppkey", "s_acctbal"), "s_suppkey", spark.range(1, 20).select("id", (F.col("id") * 1.5).alias("value")), "s_acctbal"), "select s_suppkey, case when s_suppkey between 1 and 19 then s_suppkey * 1.5::double else s_acctbal end as s_acctbal from supplier")
+_add("parent_lookup", lambda spark, d: relations.lookup_parent(_read(spark, d, "lineitem", "l_orderkey"), _read(spark, d, "orders"), "o_orderkey", "o_custkey"), "select o_orderkey as id, o_custkey as parent from lineitem join orders on l_orderkey = o_orderkey where o_custkey is not null")
+_SUPPLIED = "(select l_suppkey as id, max(l_partkey)::double as value from lineitem group by 1)"
+_add("update_from", lambda spark, d: relations.update_from(_read(spark, d, "supplier", "s_suppkey", "s_acctbal"), "s_suppkey", _read(spark, d, "lineitem", "l_suppkey", "l_partkey").groupBy(F.col("l_suppkey").alias("id")).agg(F.max("l_partkey").cast("double").alias("value")), "s_acctbal"), f"select s_suppkey, coalesce(value, s_acctbal) as s_acctbal from supplier left join {_SUPPLIED} on id = s_suppkey")
 _add("cross_join", lambda spark, d: _read(spark, d, "region", "r_regionkey").crossJoin(spark.range(1, 6).withColumnRenamed("id", "g")), "select r_regionkey, range as g from region, range(1, 6)")
 
 
@@ -264,6 +268,22 @@ _add("compliance_report", _report, _REPORT)
 _add("compliance_summary", lambda spark, d: compliance.summary(_report(spark, d)), f"select count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed from ({_REPORT})")
 
 
+_PROFILE = {"tables": {
+    "orders": {"columns": {"status": {"type": "categorical", "distribution": {"F": 48.0, "O": 40.0, "X": 1.0}, "null_rate": 2.0}, "big": {"type": "boolean", "true_rate": 50.0, "null_rate": 0.0}, "price": {"type": "numeric", "min": 0.0, "max": 1.0, "null_rate": 0.0}, "key": {"type": "serial"}}, "parent_ratios": {"customer.o_custkey": {"avg": 10.0, "zero_rate": 2.0}}},
+    "customer": {"columns": {"c_acctbal": {"type": "numeric", "min": 0.0, "max": 1.0, "null_rate": 9.0}}},
+}}
+_HELD = "select o_orderkey as key, case when o_orderstatus <> 'P' then o_orderstatus end as status, o_totalprice > 100000 as big, o_totalprice as price from orders"
+_RATE = "select '{k}' as \"check\", '{t}' as \"table\", '{c}' as subject, {e}::double as expected, coalesce(count(*) filter (where {x}) * 100.0::double / nullif(count(*), 0), 0) as actual from {q}"
+_CHECKS = " union all ".join([
+    _RATE.format(k="null_rate", t="orders", c="status", e=2, x="status is null", q=f"({_HELD})"), _RATE.format(k="null_rate", t="orders", c="big", e=0, x="big is null", q=f"({_HELD})"),
+    _RATE.format(k="null_rate", t="orders", c="price", e=0, x="price is null", q=f"({_HELD})"), _RATE.format(k="true_rate", t="orders", c="big", e=50, x="big", q=f"({_HELD})"),
+    _RATE.format(k="null_rate", t="customer", c="c_acctbal", e=9, x="c_acctbal is null", q="customer"),
+    "select 'ratio', 'orders', 'customer.o_custkey', 9.8::double, (select count(*) from orders)::double / (select count(*) from customer)",
+    f"select 'distribution', 'orders', 'status', 0.0::double, max(abs(coalesce(e, 0) - coalesce(pct, 0))) from ({_shares_sql('status', f'({_HELD})')}) full outer join (values ('F', 48.0::double), ('O', 40.0), ('X', 1.0)) v(value, e) using (value)",
+])
+_add("profile_compliance", lambda spark, d: compliance.profile_checks(_PROFILE, {"orders": _read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), (F.col("o_totalprice") > 100_000).alias("big"), F.col("o_totalprice").alias("price")), "customer": _read(spark, d, "customer")}), f"select \"check\", \"table\", subject, round(expected, 6) as expected, round(actual, 6) as actual, case when \"check\" = 'ratio' then abs(actual - expected) * 100 <= 5 * abs(expected) else abs(actual - expected) <= 5 end as passed from ({_CHECKS})")
+
+
 # ---- lifecycle: users s_curve 10 to 200 at 0.4 over six months, churn 0.1 after two
 
 _START, _END = date(2024, 1, 1), date(2024, 7, 1)
@@ -345,7 +365,61 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.children(lifecycle.follow_ratio(active, "orders", SEED, 2.0), lifecycle.active_pairs(users, 5), users, months, "orders", SEED, "after", 86_400, 60 * 86_400)
 
 
-_add("lifecycle_children", _orders)
+def _children_sql(parents: str, counts: str, name: str, parent_key: str, offset_key: str, low: int, high: int) -> str:
+    """id, created_b, parent_id, created_at: parents (id, created_b, created_at, churn_b) drawn among those active in a bucket."""
+    born = f"(select first + k as id, b as created_b, b_start, b_end from (select c.b, new, b_start, b_end, coalesce(sum(new) over (order by c.b rows between unbounded preceding and 1 preceding), 0)::bigint as first from {counts} c join {_BUCKETS} on t.b = c.b), unnest(range(1, new + 1)) u(k))"
+    pool = f"(select b, id as parent_id, row_number() over (partition by b order by id) - 1 as n, count(*) over (partition by b) as size from (select unnest(range(created_b, least(coalesce(churn_b - 1, 5), 5) + 1))::int as b, id from {parents}))"
+    lower = "greatest(p.created_at, c.b_start::timestamp)"
+    upper = "c.b_end::timestamp - to_seconds(1)"
+    ts = f"p.created_at + to_seconds({low} + {duck_draw(SEED, offset_key, 'c.id')} % {high - low + 1})"
+    return f"(select c.id, c.created_b, m.parent_id, least(greatest({ts}, {lower}), greatest({upper}, {lower})) as created_at from {born} c join {pool} m on m.b = c.created_b and m.n = {duck_draw(SEED, parent_key, 'c.id')} % m.size join {parents} p on p.id = m.parent_id)"
+
+
+_TWICE = f"(select b, cast(floor(active * 2.0::double + 0.5) as bigint) as new from {_ACTIVE})"
+_add("lifecycle_children", _orders, f"select * from {_children_sql(_CHURN, _TWICE, 'orders', 'orders.parent', 'orders.offset', 86_400, 60 * 86_400)}")
+
+
+# ---- lifecycle, whole tables: users as above, two orders a month for each active user, items at their order's time
+
+_ID = schema.Column("id", types.LongType(), identity=True)
+_SHOP = schema.SchemaGraph(
+    (
+        schema.Table("users", (_ID, schema.Column("plan", types.StringType()), schema.Column("is_active", types.BooleanType()), schema.Column("created_at", types.TimestampNTZType()), schema.Column("churned_at", types.TimestampNTZType()))),
+        schema.Table("orders", (_ID, schema.Column("user_id", types.LongType()), schema.Column("created_at", types.TimestampNTZType()))),
+        schema.Table("items", (_ID, schema.Column("order_id", types.LongType()), schema.Column("created_at", types.TimestampNTZType()))),
+    ),
+    (schema.ForeignKey("orders", "user_id", "users", "id"), schema.ForeignKey("items", "order_id", "orders", "id")),
+)
+_SHOP_PLAN = scenario.parse({"lifecycle": {"start": "2024-01-01", "end": "2024-07-01", "bucket": "month"}, "tables": {
+    "users": {"growth": {"model": "s_curve", "initial": 10, "capacity": 200, "rate": 0.4}, "churn": {"rate": 0.1, "grace_period": 2}, "overrides": {"plan": {"timeline": {"2024-01-01": {"free": 80, "pro": 20}, "2024-05-01": {"free": 40, "pro": 45, "team": 15}}}}},
+    "orders": {"growth": {"follows": "users", "ratio": 2.0}, "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..60d"}}},
+    "items": {"growth": {"follows": "orders", "ratio": 1.5}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
+}})
+
+
+def _grown(spark: SparkSession) -> dict[str, DataFrame]:
+    return grow.grown(spark, _SHOP, _SHOP_PLAN, SEED)
+
+
+_ORDERS_SQL = _children_sql(_CHURN, _TWICE, "orders", "orders.user_id.parent", "orders.created_at.offset", 86_400, 60 * 86_400)
+_WEIGHTS = f"(select b, least(greatest(date_diff('day', date '2024-01-01', b_start)::double / 121, 0), 1) as s from {_BUCKETS})"
+_PLANS = f"(select b, round(80 - 40 * s, 6) as free, round(20 + 25 * s, 6) as pro, round(15 * s, 6) as team from {_WEIGHTS})"
+_PICK = duck_unit(duck_draw(SEED, "users.plan", "id"))
+_add("lifecycle_users", lambda spark, d: _grown(spark)["users"], f"select id, case when {_PICK} * (free + pro + team) < free then 'free' when {_PICK} * (free + pro + team) < free + pro then 'pro' else 'team' end as plan, churn_b is null as is_active, created_at, churned_at from {_CHURN} join {_PLANS} on b = created_b")
+_add("lifecycle_orders", lambda spark, d: _grown(spark)["orders"], f"select id, parent_id as user_id, created_at from {_ORDERS_SQL}")
+_PLACED = f"(select *, null::int as churn_b from {_ORDERS_SQL})"
+_ITEMS = f"(select b, cast(floor(active * 1.5::double + 0.5) as bigint) as new from (select t.b, (select count(*) from {_ORDERS_SQL} where created_b <= t.b) as active from {_BUCKETS}))"
+_ITEMS_SQL = _children_sql(_PLACED, _ITEMS, "items", "items.order_id.parent", "none", 0, 0)
+_add("lifecycle_items", lambda spark, d: _grown(spark)["items"], f"select i.id, i.parent_id as order_id, o.created_at from {_ITEMS_SQL} i join {_ORDERS_SQL} o on o.id = i.parent_id")
+
+
+def _early(spark: SparkSession, d: str) -> DataFrame:
+    frames = _grown(spark)
+    early = audit.before_parent(frames["orders"], "user_id", "created_at", frames["users"].withColumnRenamed("created_at", "born"), "id", "born")
+    return early.join(audit.orphans(frames["items"], "order_id", frames["orders"], "id"))
+
+
+_add("lifecycle_order", _early, f"select (select count(*) from {_ORDERS_SQL} c join {_CHURN} p on p.id = c.parent_id where c.created_at < p.created_at) as violations, 0::bigint as orphans")
 _add("simulate_plan", lambda spark, d: lifecycle.active_counts(_users(spark), _months(spark)).join(F.broadcast(_months(spark)), "b").select(lifecycle.label(F.col("b_start")).alias("label"), F.col("born").alias("new"), "churned", "active", "total"), f"select strftime(b_start, '%Y-%m') as label, born as new, churned, active, total from {_ACTIVE} join {_BUCKETS} using (b)")
 _add("stream_density_batch", lambda spark, d: _density(spark, d), "select date_trunc('hour', ts) as start, count(*) as cnt from events group by 1")
 
@@ -356,9 +430,10 @@ def _density(spark: SparkSession, d: str) -> DataFrame:
     return hourly_counts(_read(spark, d, "events", "ts")).select(F.col("start").cast("timestamp_ntz").alias("start"), "cnt")
 
 
-def _million(spark: SparkSession, d: str) -> DataFrame:
+def million(spark: SparkSession) -> DataFrame:
     """One million five-column users, reduced to one row: the bulk rate of the generators."""
     i = F.col("id")
-    users = spark.range(1_000_000).select(
-        F.hash(generators.email(i, SEED, "email"), generators.full_name(i, SEED, "name"), generators.sentence(i, SEED, "bio"), generators.boolean(i, SEED, "active"), generators.datetime_past(i, SEED, "created")).alias("h"))
+    with bulk():
+        columns = [generators.email(i, SEED, "email"), generators.full_name(i, SEED, "name"), generators.sentence(i, SEED, "bio"), generators.boolean(i, SEED, "active"), generators.datetime_past(i, SEED, "created")]
+    users = spark.range(1_000_000).select(F.hash(*columns).alias("h"))
     return users.agg(F.sum(F.col("h").cast("long")).alias("checksum"), F.count(F.lit(1)).alias("rows"))
