@@ -124,25 +124,37 @@ def guarded_categorical(df: DataFrame, c: str, threshold: int = 50) -> DataFrame
     return _shares(kept.select("value", "n"), "value")
 
 
+def boolean_aggregates(c: str) -> list[Column]:
+    return [percent(F.count_if(F.col(c)), F.count(F.lit(1))).alias("true_rate"), null_rate(c).alias("null_rate")]
+
+
 def boolean_stats(df: DataFrame, c: str) -> DataFrame:
-    return df.agg(percent(F.count_if(F.col(c)), F.count(F.lit(1))).alias("true_rate"), null_rate(c).alias("null_rate"))
+    return df.agg(*boolean_aggregates(c))
 
 
-def string_stats(df: DataFrame, c: str) -> DataFrame:
-    """Lengths in characters; never a value."""
+def string_aggregates(df: DataFrame, c: str) -> list[Column]:
     n = F.char_length(F.col(c))
-    return df.agg(
+    return [
         _distinct(df, c).alias("cardinality"), F.round(F.avg(n), 6).alias("avg_length"), F.min(n).cast("long").alias("min_length"),
         F.max(n).cast("long").alias("max_length"), null_rate(c).alias("null_rate"),
-    )
+    ]
 
 
-def timestamp_stats(df: DataFrame, c: str) -> DataFrame:
+def string_stats(df: DataFrame, c: str) -> DataFrame:
+    """Lengths in characters; never a value."""
+    return df.agg(*string_aggregates(df, c))
+
+
+def timestamp_aggregates(c: str) -> list[Column]:
     x = F.col(c)
-    return df.agg(
+    return [
         F.min(x).cast("string").alias("min_ts"), F.max(x).cast("string").alias("max_ts"), null_rate(c).alias("null_rate"),
         percent(F.count_if(F.weekday(x) < 5), F.count(x)).alias("weekday_ratio"),
-    )
+    ]
+
+
+def timestamp_stats(df: DataFrame, c: str) -> DataFrame:
+    return df.agg(*timestamp_aggregates(c))
 
 
 def monthly_density(df: DataFrame, c: str) -> DataFrame:

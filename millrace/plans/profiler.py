@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.classify import SENSITIVE_PATTERNS, is_sensitive, qualified
 from millrace.operators import profile as P
-from millrace.plans.schema import Column, SchemaGraph
+from millrace.plans.schema import Column, SchemaGraph, Table
 
 VERSION = "1.0"
 NUMERIC = ("short", "integer", "long", "byte", "float", "double", "decimal")
@@ -76,65 +76,119 @@ def _zero(x: Any) -> Any:
     return 0.0 if x is None else x
 
 
-def _column_stats(df: DataFrame, table: str, column: Column, how: str, options: Options, audit: Audit, numbers: dict) -> dict:
-    c = column.name
+_RATIO = {"avg": "avg_ratio", "min": "min_ratio", "max": "max_ratio", "median": "median_ratio", "stddev": "stddev_ratio", "p25": "p25_ratio", "p75": "p75_ratio", "p95": "p95_ratio", "p99": "p99_ratio"}
+
+
+def column_document(kind: str, own: Mapping[str, Any], shares: Mapping[str, float] | None = None, months: Mapping[str, int] | None = None, hours: Mapping[str, float] | None = None) -> dict:
+    """One column's part of the document from its statistics."""
+    rate = {"null_rate": _zero(own.get("null_rate"))}
+    if kind == "numeric":
+        named = {"min": "min_val", "max": "max_val", "mean": "mean_val", "median": "p50", "stddev": "stddev_val"}
+        return {"type": "numeric", **{k: _zero(own.get(v)) for k, v in named.items()}, **rate, "percentiles": {p: _zero(own.get(p)) for p in ("p25", "p50", "p75", "p95", "p99")}}
+    if kind == "boolean":
+        return {"type": "boolean", "true_rate": _zero(own.get("true_rate")), **rate}
+    if kind == "timestamp":
+        return {"type": "timestamp", "range": [own.get("min_ts"), own.get("max_ts")], **rate, "weekday_ratio": own.get("weekday_ratio"), "hourly_density": dict(sorted((hours or {}).items(), key=lambda x: int(x[0]))), "monthly_density": dict(sorted((months or {}).items()))}
+    if shares is not None:
+        return {"type": "categorical", "distribution": dict(sorted(shares.items())), **rate}
+    return {"type": "string", "cardinality": own["cardinality"], **rate, "avg_length": own.get("avg_length"), "min_length": own.get("min_length"), "max_length": own.get("max_length")}
+
+
+def ratio_document(own: Mapping[str, Any], zero_rate: float | None) -> dict:
+    return {**{k: _zero(own.get(v)) for k, v in _RATIO.items()}, "zero_rate": zero_rate}
+
+
+def skipped_document(how: str) -> dict | None:
+    """What a column that is not profiled leaves; unknown types leave nothing."""
+    if how == "sensitive":
+        return {"type": "skipped_sensitive", "reason": "name"}
+    return {"excluded": {"type": "skipped_excluded"}, "serial": {"type": "serial"}, "generated": {"type": "serial"}}.get(how)
+
+
+def most_values(column: Column, options: Options) -> int:
+    """How many distinct values a column's distribution may show: the threshold, or all declared labels."""
+    return max(options.threshold, len(column.labels))
+
+
+def _aggregates(df: DataFrame, how: str, c: str) -> list[Any]:
+    x = F.col(c)
     if how == "numeric":
-        s = numbers[c]
-        return {"type": "numeric", "min": _zero(s["min_val"]), "max": _zero(s["max_val"]), "mean": _zero(s["mean_val"]), "median": _zero(s["p50"]), "stddev": _zero(s["stddev_val"]), "null_rate": _zero(s["null_rate"]), "percentiles": {p: _zero(s[p]) for p in ("p25", "p50", "p75", "p95", "p99")}}
+        return P.numeric_aggregates(c)
     if how == "boolean":
-        audit.query("boolean", table, c)
-        r = P.boolean_stats(df, c).first()
-        return {"type": "boolean", "true_rate": _zero(r["true_rate"]), "null_rate": _zero(r["null_rate"])}
+        return P.boolean_aggregates(c)
     if how == "timestamp":
-        audit.query("timestamp", table, c)
-        r = P.timestamp_stats(df, c).first()
-        months = {x["month"]: x["cnt"] for x in P.monthly_density(df, c).collect()}
-        hours = {str(x["hour"]): x["pct"] for x in P.hourly_density(df, c).collect()}
-        return {"type": "timestamp", "range": [r["min_ts"], r["max_ts"]], "null_rate": _zero(r["null_rate"]), "weekday_ratio": r["weekday_ratio"], "hourly_density": dict(sorted(hours.items(), key=lambda x: int(x[0]))), "monthly_density": dict(sorted(months.items()))}
-    audit.query("cardinality", table, c)
-    r = P.cardinality(df, c).first()
-    if how == "categorical" or r["distinct_count"] <= options.threshold:
-        audit.query("distribution", table, c)
-        shares = {x["value"]: x["pct"] for x in P.categorical(df, c).collect()}  # at most ``threshold`` rows, or declared labels
-        return {"type": "categorical", "distribution": dict(sorted(shares.items())), "null_rate": _zero(r["null_rate"])}
-    audit.query("string", table, c)
-    r = P.string_stats(df, c).first()
-    return {"type": "string", "cardinality": r["cardinality"], "null_rate": _zero(r["null_rate"]), "avg_length": r["avg_length"], "min_length": r["min_length"], "max_length": r["max_length"]}
+        return P.timestamp_aggregates(c)
+    return P.string_aggregates(df, c) if df.schema[c].dataType.typeName() in ("string", "varchar", "char") else [F.count_distinct(x).alias("cardinality"), P.null_rate(c).alias("null_rate")]
+
+
+def _shares(df: DataFrame, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], dict[str, int]]:
+    """Counts of (kind, column) by value, all by one grouping. Their numbers were checked before."""
+    if not wanted:
+        return {}
+    value = {"value": lambda c: F.col(c).cast("string"), "month": lambda c: F.date_format(F.date_trunc("month", F.col(c)), "yyyy-MM"), "hour": lambda c: F.hour(F.col(c)).cast("string")}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), value[k](c).alias("value")) for k, c in wanted]))
+    counts = df.select(rows.alias("x")).select("x.*").where("value is not null").groupBy("kind", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    out: dict[tuple[str, str], dict[str, int]] = {w: {} for w in wanted}
+    for r in counts.collect():
+        out[r["kind"], r["column"]][r["value"]] = r["n"]
+    return out
+
+
+def _percents(counts: dict[str, int]) -> dict[str, float]:
+    total = sum(counts.values())
+    return {k: n * 100.0 / total for k, n in counts.items()}
 
 
 def collect(spark: SparkSession, directory: str, graph: SchemaGraph, options: Options | None = None, audit: Audit | None = None) -> dict:
-    """The profile document: tables, columns and ratios to parents. Only aggregates reach the driver."""
+    """The profile document: tables, columns and ratios to parents. Only aggregates reach the driver.
+
+    A table is read at most three times, whatever its number of columns: for one wide aggregate,
+    for percentiles, and for the distributions that the aggregate's cardinalities allow.
+    """
     options, audit = options or Options(), audit or Audit()
     graph = graph.filtered(options.include_tables, options.exclude_tables)
     read = {t.name: spark.read.parquet(f"{directory}/{t.name}.parquet") for t in graph.tables}
     tables: dict[str, dict] = {}
     for t in graph.tables:
-        df, columns = read[t.name], {}
-        how = {c.name: treatment(t.name, c, options) for c in t.columns}
-        numeric = [c for c, h in how.items() if h == "numeric"]
-        audit.query("row_count", t.name)
-        one = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(*P.numeric_aggregates(c)).alias(c) for c in numeric]).first()
-        for c in numeric:
-            audit.query("numeric", t.name, c)
-        for c in t.columns:
-            if how[c.name] in ("sensitive", "excluded", "skip", "serial", "generated"):
-                audit.skip(how[c.name], t.name, c.name)
-                if how[c.name] != "skip":
-                    columns[c.name] = {"type": {"sensitive": "skipped_sensitive", "excluded": "skipped_excluded"}.get(how[c.name], "serial")}
-                if how[c.name] == "sensitive":
-                    columns[c.name]["reason"] = "name"
-                continue
-            columns[c.name] = _column_stats(df, t.name, c, how[c.name], options, audit, {k: one[k] for k in numeric})
-        tables[t.name] = {"row_count": one["n"], "columns": dict(sorted(columns.items())), "parent_ratios": {}}
+        tables[t.name] = _table_document(read[t.name], t, options, audit)
     for k in graph.keys:
         audit.query("parent_ratio", k.table, k.column)
         r = P.parent_ratio(read[k.table], k.column).first()
         zero = P.childless(read[k.parent], k.parent_column, read[k.table], k.column).first()
         # Keyed by parent and column, so that two keys to one parent do not collide.
-        tables[k.table]["parent_ratios"][f"{k.parent}.{k.column}"] = {"avg": _zero(r["avg_ratio"]), "min": _zero(r["min_ratio"]), "max": _zero(r["max_ratio"]), "median": _zero(r["median_ratio"]), "stddev": _zero(r["stddev_ratio"]), "p25": _zero(r["p25_ratio"]), "p75": _zero(r["p75_ratio"]), "p95": _zero(r["p95_ratio"]), "p99": _zero(r["p99_ratio"]), "zero_rate": zero["zero_rate"]}
+        tables[k.table]["parent_ratios"][f"{k.parent}.{k.column}"] = ratio_document(r.asDict(), zero["zero_rate"])
     return {"version": VERSION, "source_hash": source_hash(graph), "tables": dict(sorted(tables.items()))}
 
 
+def _table_document(df: DataFrame, t: Table, options: Options, audit: Audit) -> dict:
+    how = {c.name: treatment(t.name, c, options) for c in t.columns}
+    read = {c: h for c, h in how.items() if h in ("numeric", "boolean", "timestamp", "string", "categorical")}
+    audit.query("row_count", t.name)
+    for c, h in read.items():
+        audit.query(h, t.name, c)
+    one = df.agg(F.count(F.lit(1)).alias("*"), *[F.struct(*_aggregates(df, h, c)).alias(c) for c, h in read.items()]).first()
+    own = {c: one[c].asDict() for c in read}
+    numeric = [c for c, h in read.items() if h == "numeric"]
+    if numeric:
+        for r in P.percentiles(df, numeric).collect():
+            own[r["column"]].update(r.asDict())
+    named = {c.name: c for c in t.columns}
+    shown = [c for c, h in read.items() if h in ("string", "categorical") and own[c]["cardinality"] <= most_values(named[c], options)]
+    for c in shown:
+        audit.query("distribution", t.name, c)
+    counts = _shares(df, [("value", c) for c in shown] + [(k, c) for c, h in read.items() if h == "timestamp" for k in ("month", "hour")])
+    columns: dict[str, dict] = {}
+    for c, h in how.items():
+        if c in read:
+            shares = _percents(counts["value", c]) if c in shown else None
+            columns[c] = column_document(h, own[c], shares, counts.get(("month", c)), _percents(counts.get(("hour", c), {})))
+        else:
+            audit.skip(h, t.name, c)
+            if left := skipped_document(h):
+                columns[c] = left
+    return {"row_count": one["*"], "columns": dict(sorted(columns.items())), "parent_ratios": {}}
+
+
 def planned(graph: SchemaGraph, options: Options | None = None) -> list[tuple[str, str, str]]:
     """(kind, table, column) of the queries a collection would make, without making them."""
     options = options or Options()

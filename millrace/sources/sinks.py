@@ -57,9 +57,30 @@ def insert_statements(df: DataFrame, table: str, batch: int = BATCH) -> DataFram
     return value_rows(df).mapInPandas(group, "sql string")
 
 
-def write_sql(df: DataFrame, table: str, path: str) -> None:
-    """INSERT statements as text files; each file can be loaded in a transaction of its own."""
-    insert_statements(df, table).write.mode("overwrite").text(path)
+#: What stands before and after the statements of one file, so that it loads in one transaction without key checks.
+_BEGIN, _COMMIT = "BEGIN;\nSET session_replication_role = 'replica';\n", "SET session_replication_role = 'origin';\nCOMMIT;"
+
+
+def transactions(df: DataFrame, table: str, batch: int = BATCH) -> DataFrame:
+    """(sql): INSERT statements, those of each partition between BEGIN and COMMIT. A partition without rows gives nothing."""
+
+    def wrap(frames):
+        import pandas as pd
+
+        begun = False
+        for f in frames:
+            if len(f):
+                yield f if begun else pd.concat([pd.DataFrame({"sql": [_BEGIN]}), f])
+                begun = True
+        if begun:
+            yield pd.DataFrame({"sql": [_COMMIT]})
+
+    return insert_statements(df, table, batch).mapInPandas(wrap, "sql string")
+
+
+def write_sql(df: DataFrame, table: str, path: str, batch: int = BATCH) -> None:
+    """INSERT statements as text files; each file is one transaction."""
+    transactions(df, table, batch).write.mode("overwrite").text(path)
 
 
 def write_parquet(df: DataFrame, path: str, expected: DataFrame | None = None, mode: str = "append") -> None:
@@ -95,6 +116,16 @@ def reset(spark: SparkSession, directory: str, order: tuple[str, ...], confirm:
 # ---- profile documents
 
 
+def write_text(text: str, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def read_text(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def save_profile(profile: dict, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         if path.endswith((".yaml", ".yml")):
@@ -118,12 +149,18 @@ def load_profile(path: str) -> dict:
     return plain
 
 
-def export_collection(named: dict[str, DataFrame]) -> DataFrame:
-    """(document): one JSON text with the rows of every named small result, for use elsewhere."""
+def rows_as_json(df: DataFrame, most: int) -> DataFrame:
+    """(rows): a small result as one sorted JSON array; a result of more than ``most`` rows fails instead of being cut."""
+    kept = df.limit(most + 1).agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias("x"))
+    text = F.when(F.size("x") == 0, F.lit("[]")).otherwise(F.to_json("x", {"ignoreNullFields": "false"}))
+    return kept.select(F.when(F.size("x") <= most, text).otherwise(F.raise_error(F.lit(f"more than {most} rows"))).alias("rows"))
+
+
+def export_collection(named: dict[str, DataFrame], most: int = 10_000) -> DataFrame:
+    """(document): one JSON text with the rows of every named small result (of ``most`` rows at most), for use elsewhere."""
     out = None
     for name, df in named.items():
-        rows = df.agg(F.coalesce(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))), F.lit("[]")).alias("rows"))
-        one = rows.select(F.concat(F.lit(f'"{name}":'), "rows").alias("part"))
+        one = rows_as_json(df, most).select(F.concat(F.lit(f'"{name}":'), "rows").alias("part"))
         out = one if out is None else out.unionByName(one)
     return out.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("part")), ","), F.lit("}")).alias("document"))
 

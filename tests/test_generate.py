@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.audit import duplicate_count, orphans
@@ -76,11 +77,88 @@ def test_large_pools_are_numbered_alike(spark, monkeypatch):
     words = numbers.selectExpr("concat('w', k) as k")
     pairs = spark.range(1, 301).selectExpr("cast(id % 3 as int) as b", "id")
     whole = sorted(map(tuple, lifecycle._numbered(pairs).collect()))
+    small_words = sorted(map(tuple, relations.indexed_keys(words, "k")[0].collect()))
     monkeypatch.setattr(relations, "BROADCAST_KEYS", 90)
     monkeypatch.setattr(lifecycle, "RUN", 7)
     assert sorted(map(tuple, relations.indexed_keys(numbers, "k")[0].collect())) == small
-    assert sorted(r.idx for r in relations.indexed_keys(words, "k")[0].collect()) == list(range(800))
+    assert sorted(map(tuple, relations.indexed_keys(words, "k")[0].collect())) == small_words
     assert sorted(map(tuple, lifecycle._numbered(pairs).collect())) == whole
     monkeypatch.setattr(lifecycle, "CHUNK", 3)
     counts = spark.createDataFrame([(0, 7), (1, 0), (2, 4)], "b int, new long").selectExpr("*", "date'2024-01-01' as b_start", "date'2024-02-01' as b_end")
     assert sorted((r.created_b, r.id) for r in lifecycle.entities(counts, "x", 1).collect()) == [(0, i) for i in range(1, 8)] + [(2, i) for i in range(8, 12)]
+
+
+def test_unique_values_of_every_type(spark):
+    kinds = [T.IntegerType(), T.LongType(), T.DateType(), T.TimestampNTZType(), T.DoubleType(), T.DecimalType(12, 2), T.StringType()]
+    columns = tuple(Column(f"c{i}", k) for i, k in enumerate(kinds))
+    t = Table("t", (ID, *columns, Column("code", T.StringType(), max_length=4)), tuple(Constraint("unique", (c.name,)) for c in columns))
+    df = generate.generate(spark, SchemaGraph((t,)), scenario.parse({"tables": {"t": {"count": 3000}}}))["t"].cache()
+    assert all(df.select(c.name).distinct().count() == 3000 for c in columns)
+    small = Table("s", (ID, Column("d", T.DecimalType(3, 1))), (Constraint("unique", ("d",)),))
+    with pytest.raises(generate.UniqueExhaustedError):
+        generate.generate(spark, SchemaGraph((small,)), scenario.parse({"tables": {"s": {"count": 2000}}}))
+
+
+def test_composite_keys_and_times_after_parents(spark):
+    tags = Table("tags", (ID, Column("created_at", T.TimestampNTZType())))
+    links = Table("links", (Column("user_id", T.LongType()), Column("tag_id", T.LongType()), Column("at", T.TimestampNTZType())), (Constraint("unique", ("user_id", "tag_id")),))
+    g = SchemaGraph((USERS, tags, links), (ForeignKey("links", "user_id", "users", "id"), ForeignKey("links", "tag_id", "tags", "id"), ForeignKey("users", "manager_id", "users", "id", nullable=True)))
+    out = generate.generate(spark, g, scenario.parse({"tables": {"users": {"count": 20}, "tags": {"count": 5}, "links": {"count": 300, "overrides": {"at": {"after": "tags.created_at"}}}}}))
+    rows = out["links"].join(out["tags"].withColumnRenamed("created_at", "born"), out["links"].tag_id == out["tags"].id).collect()
+    assert len({(r.user_id, r.tag_id) for r in rows}) == len(rows) > 60 and all(r["at"] > r.born for r in rows)
+
+
+def test_profile_is_applied_in_full(spark, tmp_path):
+    from millrace.operators.compliance import profile_checks, summary
+    from millrace.plans import profiler
+
+    source = spark.range(4000).selectExpr("id", "case when id % 5 > 0 then 'k' || id % 3 end as kind", "case when id % 10 > 0 then id % 4 = 0 end as flag", "case when id % 4 > 0 then timestamp_ntz'2020-03-01 00:00:00' + make_dt_interval(0, id % 500) end as at", "case when id % 3 > 0 then cast(id as double) end as x")
+    source.write.parquet(str(tmp_path / "things.parquet"))
+    columns = tuple(Column(f.name, f.dataType, identity=f.name == "id") for f in source.schema)
+    g = SchemaGraph((Table("things", columns),))
+    doc = profiler.collect(spark, str(tmp_path), g)
+    assert doc["tables"]["things"]["columns"]["kind"]["type"] == "categorical" and abs(doc["tables"]["things"]["columns"]["at"]["null_rate"] - 25) < 1e-9
+    made = generate.generate(spark, g, scenario.from_profile(doc), 9)["things"]
+    checks = profile_checks(doc, {"things": made}).cache()
+    assert checks.count() == 6 and summary(checks).first().failed == 0
+    low, high = made.selectExpr("min(at)", "max(at)").first()
+    assert str(low) >= "2020-03-01" and str(high) <= "2020-03-21 20:00:00"
+    bad = profile_checks(doc, {"things": made.selectExpr("id", "kind", "flag", "cast(null as timestamp_ntz) as at", "x")})
+    assert [(r["check"], r.subject) for r in bad.where("not passed").collect()] == [("null_rate", "at")]
+
+
+SHOP = SchemaGraph(
+    (
+        Table("users", (ID, Column("email", T.StringType()), Column("plan", T.StringType()), Column("is_active", T.BooleanType()), Column("created_at", T.TimestampNTZType()), Column("churned_at", T.TimestampNTZType())), (Constraint("unique", ("email",)),)),
+        Table("orders", (ID, Column("user_id", T.LongType()), Column("status", T.StringType()), Column("created_at", T.TimestampNTZType()))),
+        Table("order_items", (ID, Column("order_id", T.LongType()), Column("created_at", T.TimestampNTZType()))),
+        Table("shops", (ID, Column("name", T.StringType()))),
+    ),
+    (ForeignKey("orders", "user_id", "users", "id"), ForeignKey("order_items", "order_id", "orders", "id")),
+)
+
+
+@pytest.mark.parametrize("cascade", [True, False])
+def test_tables_grow_over_buckets(spark, cascade):
+    from millrace.operators.audit import before_parent
+    from millrace.plans.grow import grow
+
+    plain = scenario.TEMPLATES["lifecycle"] | {"lifecycle": {"start": "2024-01-01", "end": "2024-07-01", "bucket": "month"}}
+    tables = {k: dict(v) for k, v in plain["tables"].items()} | {"shops": {"count": 3}}
+    tables["users"]["churn"] = {"rate": "30%", "grace_period": 1, "cascade": cascade}
+    s = scenario.parse({**plain, "tables": tables})
+    out = {k: v.cache() for k, v in grow(spark, SHOP, s, 5).items()}
+    users, orders, items = out["users"], out["orders"], out["order_items"]
+    assert out["shops"].count() == 3 and duplicate_count(users, "email").first().duplicate_rows == 0
+    assert orphans(orders, "user_id", users, "id").first().orphans == orphans(items, "order_id", orders, "id").first().orphans == 0
+    assert before_parent(orders, "user_id", "created_at", users.withColumnRenamed("created_at", "born"), "id", "born").first().violations == 0
+    assert items.join(orders.withColumnRenamed("id", "oid").withColumnRenamed("created_at", "at"), items.order_id == F.col("oid")).where("created_at <> at").count() == 0
+    churned = users.where("not is_active")
+    assert 0 < churned.count() < users.count() and churned.where("churned_at is null or churned_at < created_at").count() == 0
+    assert users.where("is_active and churned_at is not null").count() == 0
+    late = orders.join(users.select(F.col("id").alias("uid"), F.date_trunc("month", "churned_at").alias("gone")), F.col("user_id") == F.col("uid")).where(F.date_trunc("month", "created_at") >= F.col("gone")).count()
+    assert late == 0 if cascade else late > 0
+    assert {r.plan for r in users.where("created_at < timestamp_ntz'2024-02-01'").select("plan").distinct().collect()} == {"free", "pro"}
+    assert [r.n for r in users.groupBy(F.date_trunc("month", "created_at").alias("m")).agg(F.count("*").alias("n")).orderBy("m").collect()][0] == 40
+    again = grow(spark, SHOP, s, 5)
+    assert sorted(again["orders"].collect()) == sorted(orders.collect())

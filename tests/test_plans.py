@@ -12,7 +12,7 @@ from millrace.functions import classify
 from millrace.operators import audit, lifecycle
 from millrace.plans import profiler, scenario
 from millrace.plans.schema import Column, CycleError, ForeignKey, SchemaGraph, Table, UnknownTableError, cycles, resolve, topological_order
-from millrace.sources import catalog, sinks
+from millrace.sources import catalog, offline, sinks
 
 
 def graph(names, *keys):
@@ -53,13 +53,13 @@ def test_counts_and_scalars():
 def test_templates_resolve_to_counts():
     s = scenario.template("ecommerce")
     n = s.row_counts(("users", "categories", "products", "orders", "order_items", "reviews"))
-    assert n == {"users": 50, "categories": 15, "products": 200, "orders": 250, "order_items": 750, "reviews": 500}
+    assert n == {"users": 60, "categories": 12, "products": 180, "orders": 240, "order_items": 600, "reviews": 540}
     assert s.with_counts({"users": 3}).tables["users"].count == scenario.Fixed(3)
     assert s.with_counts({"orders": 3}).tables["orders"].overrides
-    assert set(scenario.TEMPLATES) == {"ecommerce", "saas", "blog", "social"}
+    assert set(scenario.TEMPLATES) == {"ecommerce", "saas", "blog", "social", "lifecycle"}
 
 
-def test_check_texts():
+def test_check_texts(spark):
     assert audit.parse_check("CHECK ((price > (0)::numeric))")[0] == "price"
     assert audit.parse_check("CHECK (rating >= 1 AND rating <= 5)")[0] == "rating"
     assert audit.parse_check("CHECK (a < b)") is None
@@ -105,7 +105,7 @@ def test_growth_goldens(spark):
     from millrace import queries as Q
 
     rows = {r.b: r.new for r in Q.QUERIES["new_by_bucket"](spark, SF).collect()}
-    assert [rows[b] for b in range(6)] == [10, 4, 6, 8, 12, 14]
+    assert [rows[b] for b in range(6)] == [10, 4, 6, 8, 12, 14]  # fixed values
 
 
 def test_sinks(spark, tmp_path):
@@ -146,3 +146,66 @@ def test_simulate_prints_every_row(spark, monkeypatch, capsys):
     assert cli.main(["simulate", "-"]) == 0
     lines = capsys.readouterr().out.splitlines()
     assert lines[0] == "table\tb" and lines[1:] == [f"t\t{i}" for i in range(1500)]
+
+
+def test_declared_parts_of_a_schema(spark):
+    from millrace.plans.schema import Constraint
+
+    g = catalog.introspect(spark, SF, catalog.DRIVER_KEYS, {"region": (Constraint("unique", ("r_name",)), Constraint("check", (), "r_regionkey >= 0 AND r_regionkey <= 9"))}, {"orders.o_orderstatus": ("F", "O", "P")}, ("part.p_size",))
+    named = {t.name: {c.name: c for c in t.columns} for t in g.tables}
+    assert named["part"]["p_size"].generated and not named["part"]["p_name"].generated
+    assert named["orders"]["o_orderstatus"].labels == ("F", "O", "P") and g.enums == {"orders.o_orderstatus": ("F", "O", "P")}
+    text = catalog.render(g, "yaml")
+    assert "r_regionkey >= 0" in text and "unique" in text
+    assert profiler.treatment("part", named["part"]["p_size"], profiler.Options()) == "generated"
+    assert profiler.category(named["orders"]["o_orderstatus"]) == "categorical"
+
+
+def test_offline_results_give_the_live_document(spark):
+    options = profiler.Options(include_tables=("region", "nation", "customer", "orders"), exclude_columns=("customer.c_acctbal",))
+    g = catalog.introspect(spark, SF, catalog.DRIVER_KEYS)
+    live = profiler.collect(spark, SF, g, options)
+    frames = {t.name: spark.read.parquet(f"{SF}/{t.name}.parquet") for t in g.tables}
+    text = offline.export_profile(frames, g, options).first().document
+    assert "Customer#" not in text and offline.import_profile(text) == live
+    with pytest.raises(ValueError):
+        offline.import_profile(text.replace('"version": "1.0"', '"version": "9"'))
+    with pytest.raises(Exception, match="more than 3 rows"):
+        sinks.export_collection({"x": spark.range(4)}, 3).collect()
+
+
+def test_sql_files_are_transactions(spark, tmp_path):
+    sinks.write_sql(spark.range(5).coalesce(1), "t", str(tmp_path / "sql"), 2)
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "sql"), wholetext=True).collect())
+    assert text.startswith("BEGIN;\nSET session_replication_role = 'replica';") and text.rstrip().endswith("COMMIT;") and text.count("INSERT INTO") == 3
+    sinks.write_sql(spark.range(9).repartition(3), "t", str(tmp_path / "more"))
+    for r in spark.read.text(str(tmp_path / "more"), wholetext=True).where("value <> ''").collect():
+        assert r.value.count("BEGIN;") == r.value.count("COMMIT;") == 1
+    sinks.write_json(spark.range(3), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_jdbc_sink(spark):
+    url, driver = "jdbc:derby:memory:millrace;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    sinks.write_jdbc(spark.range(2500).selectExpr("id", "concat('n', id) as name"), url, "people", driver=driver)
+    back = spark.read.format("jdbc").options(url=url, dbtable="people", driver=driver).load()
+    assert sorted((r.id, r.name) for r in back.select("id", "name").collect()) == [(i, f"n{i}") for i in range(2500)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from millrace import cli
+
+    out = str(tmp_path / "p.json")
+    assert cli.main(["introspect", SF, "--include", "region", "nation"]) == 0 and "n_regionkey" in capsys.readouterr().out
+    assert cli.main(["profile", SF, "--include", "region", "nation", "--output", out]) == 0
+    assert cli.main(["profile", SF, "--include", "region", "nation", "--export", "--output", f"{out}.raw"]) == 0
+    assert cli.main(["profile", SF, "--import-results", f"{out}.raw", "--output", f"{out}.json"]) == 0
+    assert sinks.load_profile(out) == sinks.load_profile(f"{out}.json")
+    assert cli.main(["comply", SF, "--profile", out]) == 0
+    assert cli.main(["generate", SF, "--include", "region", "nation", "--profile", out, "--seed", "3", "--output", str(tmp_path / "made")]) == 0
+    assert spark.read.parquet(str(tmp_path / "made/nation.parquet")).count() == 25
+    assert cli.main(["generate", SF, "--include", "region", "--entities", "region=7", "--dry-run"]) == 0
+    capsys.readouterr()
+    assert cli.main(["validate", "-", "--scenario", "lifecycle"]) == 0 and "with a lifecycle" in capsys.readouterr().out
+    assert cli.main(["completions"]) == 0 and "introspect" in capsys.readouterr().out
+    assert cli.main(["profile", SF, "--include", "region", "--dry-run"]) == 0 and "row_count region" in capsys.readouterr().out
