@@ -32,7 +32,7 @@ BANDS, ROWS = 36, 6
 #: ten standard errors below 0.8: a pair of that similarity is under it once in 10**17 cases.
 HOPELESS = 0.55
 #: Members of a bucket, and bytes of their texts, that one task compares with as many others.
-BLOCK, BLOCK_BYTES = 2000, 8 << 20
+BLOCK, BLOCK_BYTES = 2000, 4 << 20
 #: Keys of at most so many texts (some 50 bytes each) are broadcast to pick rows.
 BROADCAST_KEYS = 500_000
 #: Signatures that a task keeps to sign further copies of a text without reading it again.
@@ -244,7 +244,11 @@ def _cross_links(table: pa.Table) -> pa.Table:
     apart = table.column("p")[0].as_py() != table.column("q")[0].as_py()
     _, classes, counts = np.unique(classes, return_inverse=True, return_counts=True)
     todo, n, out = np.nonzero(classes != counts.argmax())[0].tolist(), len(ids), []
-    owner, value = elements(table.column("text").to_pylist())
+    texts, made = table.column("text"), []
+    for at in range(0, n, 64):  # words of few texts at once are held as such
+        owner, value = elements(texts.slice(at, 64).to_pylist())
+        made.append((owner + at, value))
+    owner, value = map(np.concatenate, zip(*made, strict=True))
     weight = np.bincount(owner, minlength=n)
     first = np.cumsum(weight) - weight
     order = np.argsort(value, kind="stable")
