@@ -262,7 +262,7 @@ def _cross_links(table: pa.Table) -> pa.Table:
         sizes = start[runs + 1] - start[runs]
         at = np.arange(int(sizes.sum())) + np.repeat(start[runs] - (np.cumsum(sizes) - sizes), sizes)
         both = np.bincount(owner[at], minlength=n)
-        near = (both >= SIMILARITY * (weight + weight[i] - both)) & (classes != classes[i])
+        near = (both / (weight + weight[i] - both) >= SIMILARITY) & (classes != classes[i])
         if apart:
             near &= blocks != blocks[i]
         for j in np.nonzero(near)[0].tolist():

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, decontaminate, mixing, near_dups, pii, quality, secrets, sharding, token_counts, token_output
+from millrace.llm import ann, decontaminate, mixing, near_dups, oracles, pii, quality, secrets, sharding, token_counts, token_output
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,4 +62,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenisers, models, tilings and approximate searches have no SQL; tests hold those against brute force."""
+    return dict(oracles.SQL)

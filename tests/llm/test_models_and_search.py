@@ -1,11 +1,17 @@
 from __future__ import annotations
 
+import random
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
 from conftest import SF
+from plain import brute_classes, plain_score
 
 from millrace.llm import ann, near_dups, quality, token_output
 from millrace.llm.tokens import encoder, vocabulary_path
@@ -28,32 +34,6 @@ def test_weights_are_counts():
     assert near_dups.jaccard("", "") == 0.0
 
 
-def brute_classes(rows):
-    owner, inverted, size = {}, defaultdict(list), {}
-    for i, t in rows:
-        _, v = near_dups.elements([t])
-        size[i] = len(v)
-        owner[i] = i
-        for x in v.tolist():
-            inverted[x].append(i)
-    both = defaultdict(int)
-    for ids in inverted.values():
-        for k, b in enumerate(ids):
-            for a in ids[:k]:
-                both[a, b] += 1
-
-    def root(x):
-        while owner[x] != x:
-            x = owner[x]
-        return x
-
-    for (a, b), n in both.items():
-        if n / (size[a] + size[b] - n) >= near_dups.SIMILARITY:
-            a, b = root(a), root(b)
-            owner[max(a, b)] = min(a, b)
-    return {i: root(i) for i, _ in rows}
-
-
 def test_classes_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
@@ -97,8 +77,6 @@ def test_two_texts_under_one_id_are_two_documents(spark):
 
 
 def test_every_candidate_is_checked_exactly(spark):
-    import random
-
     r, rows = random.Random(8), []
     for family in range(25):
         base = [f"f{family}w{i}" for i in range(60)]
@@ -279,3 +257,68 @@ def test_a_family_that_the_hub_does_not_reach(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dups.classes(docs).collect()}
     assert got == brute_classes(rows)
+
+
+def test_score_equals_plain_sums_and_trees_are_best():
+    rng = np.random.default_rng(3)
+    x = rng.random((400, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.fit(x, y, rounds=10, pair_rounds=20)
+    got = model.score(x)
+    assert np.allclose(got, [plain_score(model, row) for row in x.tolist()])
+    assert ((got >= 0.5) == (y == 1)).mean() > 0.9 and (0, 1) in model.pairs  # the interaction is found
+    for _ in range(50):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        worth = lambda i, j: g[i:j].sum() ** 2 / (h[i:j].sum() + 1)
+        best = max(worth(0, m) + worth(m, 9) for m in range(1, 9))
+        out = quality._tree(g, h, 2)
+        assert abs(sum(worth(i, j) for i, j in ((0, int((out == out[0]).sum())), (int((out == out[0]).sum()), 9))) - best) < 1e-9 or best <= worth(0, 9) + 1e-9
+        grid_g, grid_h = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+        gain, _ = quality._pair_tree(grid_g, grid_h)
+        flat = lambda gs, hs, i, j: gs[i:j].sum() ** 2 / (hs[i:j].sum() + 1)
+        brute = max(sum(max([flat(s_g, s_h, 0, 5), *(flat(s_g, s_h, 0, m) + flat(s_g, s_h, m, 5) for m in range(1, 5))]) for s_g, s_h in ((grid_g[:c].sum(0), grid_h[:c].sum(0)), (grid_g[c:].sum(0), grid_h[c:].sum(0)))) for c in range(1, 4))
+        assert abs(gain - brute) < 1e-9
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7} " * (i + 1)) for i in range(30)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    many = docs
+    for _ in range(4):
+        many = many.unionByName(docs)
+    one, other = quality.train(docs, labels), quality.train(many, labels)
+    assert all((a == b).all() for a, b in zip(one.tables, other.tables, strict=True)) and one.base == other.base
+
+
+def test_ids_of_random_texts():
+    e, r = encoder(vocabulary_path()), random.Random(12)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "Be", "the", "x1", "42", "'s", "'ll", "don't", ".", ",", "...", "é", "ß", "ñandú", "Жук", "слово", "中文", "日本", "한국", "\u00a0", "\u3000", "\u200b", "🙂", "<|endoftext|>", "_", "-", "\u0301", "Ω", "ǅ", "ʼ", "०१"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 14))) for _ in range(20_000)]
+    assert e.encode_many(texts) == e.library(texts)
+
+
+def test_scratch_lies_in_a_shared_folder(spark, monkeypatch):
+    from millrace.sources import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+
+        class conf:  # noqa: N801
+            named: dict = {"spark.sql.warehouse.dir": "hdfs://store/warehouse/"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.named.get(key, default)
+
+    assert scratch.shared_dir(Session) == "hdfs://store/warehouse/millrace-scratch"
+    Session.conf.named["spark.checkpoint.dir"] = "hdfs://store/shared/"
+    assert scratch.shared_dir(Session) == "hdfs://store/shared"
+    first = scratch.written()
+    df = scratch.materialize(spark.range(5), "t")
+    path = scratch._written[-1]
+    assert df.count() == 5 and Path(path).exists()
+    scratch.release(spark, first, scratch.written())
+    assert not Path(path).exists()

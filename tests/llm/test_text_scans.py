@@ -1,11 +1,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
 
+import regex
 from conftest import SF
 
+sys.path.insert(0, str(Path(__file__).parent))
+from plain import brute_leaks, brute_tiles
+
 from millrace.llm import decontaminate, pii, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -141,43 +149,6 @@ def test_terms_beside_values_seen_once_or_twice(spark):
     assert all(got[100 + i].n_term == 0 for i in range(300))
 
 
-def brute_tiles(a, b, m):
-    """Longest first, then from the front of ``a``, then of ``b``."""
-    ua, ub, out = [False] * len(a), [False] * len(b), []
-    while True:
-        best = (m - 1, 0, 0)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] >= 0 and not ua[i + k] and not ub[j + k]:
-                    k += 1
-                if k > best[0]:
-                    best = (k, i, j)
-        k, i, j = best
-        if k < m:
-            return out
-        ua[i : i + k], ub[j : j + k] = [True] * k, [True] * k
-        out.append((i, j, k))
-
-
-def brute_leaks(docs, items, coverage=0.5):
-    out = []
-    split = lambda t: re.findall(r"\w+", (t or "").lower())
-    for i, t in items:
-        b = split(t)
-        m = min(5, len(b))
-        runs = {tuple(b[k : k + m]) for k in range(len(b) - m + 1)} if b else set()
-        for d, text in docs:
-            a = split(text)
-            if not any(tuple(a[k : k + m]) in runs for k in range(len(a) - m + 1)):
-                continue
-            found = brute_tiles([hash(w) & 0xFFFFFFFF for w in b], [hash(w) & 0xFFFFFFFF for w in a], m)
-            share = sum(k for _, _, k in found) / len(b)
-            if share >= coverage:
-                out.append((d, i, share, len(found), max(k for _, _, k in found)))
-    return sorted(out)
-
-
 def test_tiling_of_repeated_words_is_fast():
     import time
 
@@ -233,3 +204,53 @@ def test_reordered_passage_is_caught(spark):
     items = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
     rows = decontaminate.leaks(docs, items).collect()
     assert [(r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in rows] == [(1, 7, 1.0, 2)]
+
+
+WORD = regex.compile(r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])")
+
+
+def brute_terms(rows):
+    """By doc_id, the spans (start, end, action) of the terms that give a protected value away."""
+    near, corpus = [], Counter()
+    for i, text in rows:
+        corpus.update(WORD.findall(text.lower()))
+        for span in filter(None, base_pii(text).split(",")):
+            kind, s, e = span.split(":")
+            s, e = int(s), int(e)
+            value, digits = text[s:e], re.sub("[^0-9]", "", text[s:e])
+            before, after = text[max(0, s - 80) : s], text[e : e + 80]
+            before = regex.sub(r"^\p{L}+", "", before) if s > 80 else before
+            after = regex.sub(r"\p{L}+$", "", after) if len(after) == 80 else after
+            own = {"email": value.lower(), "ip": value}.get(kind, digits)
+            pool = {"email": value.lower().rpartition("@")[2], "ip": ".".join(value.split(".")[:3]), "card": digits[:6]}.get(kind, digits[:-4])
+            for part, at in ((before, s - len(before)), (after, e)):
+                for m in WORD.finditer(part):
+                    near += [(i, entity, (before, after), m[0].lower(), at + m.start(), at + m.end()) for entity in ((kind, own), ("pool", kind, pool))]
+    c_te, contexts, c_e, c_pe, c_p = Counter(), defaultdict(set), Counter(), Counter(), Counter()
+    for _, entity, context, term, _, _ in near:
+        c_te[entity, term] += 1
+        contexts[entity, term].add(context)
+        c_e[entity] += 1
+        c_pe[entity, term[:3]] += 1
+    for term, n in corpus.items():
+        c_p[term[:3]] += n
+    total = sum(corpus.values())
+
+    def share(both, alone, own):
+        return math.log2(min(both, alone) * total / (alone * own)) / math.log2(total / own) if own < total else 0.0
+
+    out = defaultdict(dict)
+    for i, entity, _, term, s, e in near:
+        n = len(contexts[entity, term])
+        if share(c_te[entity, term], corpus[term], c_e[entity]) * n / (n + 1) >= pii.DISCLOSURE:
+            action = "generalise" if share(c_pe[entity, term[:3]], c_p[term[:3]], c_e[entity]) < pii.DISCLOSURE else "remove"
+            out[i][s, e] = max(action, out[i].get((s, e), ""))
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = {i: ",".join(f"term:{s}:{e}" for s, e in sorted(spans)) for i, spans in brute_terms(rows).items()}
+    got = {r.doc_id: ",".join(x for x in r.spans.split(",") if x.startswith("term")) for r in pii.pii_report(docs).collect()}
+    assert {i: t for i, t in got.items() if t} == want and len(want) > 5
