@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 #: Equal ranges between a column's least and greatest value; only ranges that hold a percentile are sorted.
 RANGES = 1 << 14
+#: The values of so many rows fit into one aggregate's buffer (16 bytes each); more are counted by range. Both are exact.
+SMALL = 200_000
 
 
 def _double(x: Column) -> Column:
@@ -82,10 +84,18 @@ def numeric_stats(df: DataFrame, c: str) -> DataFrame:
 
 
 def wide_stats(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Numeric statistics of many columns by two scans, one row for each column."""
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(*numeric_aggregates(c)).alias(c) for c in numeric])
+    """Numeric statistics of many columns by two scans, one row for each column; a table of SMALL rows takes one."""
+    few = df.limit(SMALL + 1).count() <= SMALL
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(*numeric_aggregates(c), *(_buffered(c) if few else [])).alias(c) for c in numeric])
     one = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in numeric])).alias("x")).select("x.column", "x.s.*")
-    return one.join(F.broadcast(percentiles(df, numeric)), "column", "left").select("column", *_NAMES)
+    if not few:
+        one = one.join(F.broadcast(percentiles(df, numeric)), "column", "left")  # one row for each column
+    return one.select("column", *_NAMES)
+
+
+def _buffered(c: str) -> list[Column]:
+    p = F.percentile(_double(F.col(c)), F.array(*map(F.lit, PERCENTILES)))
+    return [F.round(p[k], 6).alias(f"p{int(q * 100)}") for k, q in enumerate(PERCENTILES)]
 
 
 def _distinct(df: DataFrame, c: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types
 from millrace.functions import classify, generators, pools
 from millrace.functions.prf import bulk, draw, duck_draw, duck_hex, duck_unit
 from millrace.operators import audit, compliance, lifecycle, profile, relations
-from millrace.plans import grow, profiler, scenario, schema
+from millrace.plans import generate, grow, profiler, scenario, schema
 from millrace.sources import catalog, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,37 @@ _COLUMNS_SQL = " union all ".join(f"select '{t}' as \"table\", cast(row_number()
 _add("catalog_columns", lambda spark, d: catalog.columns_frame(spark, catalog.introspect(spark, d)), _COLUMNS_SQL)
 _add("catalog_keys", lambda spark, d: catalog.keys_frame(spark, catalog.introspect(spark, d, catalog.DRIVER_KEYS)), "select * from (values " + ", ".join(f"('{k.table}', '{k.column}', '{k.parent}', '{k.parent_column}')" for k in catalog.DRIVER_KEYS) + ") t(\"table\", \"column\", parent, parent_column)")
 _add("key_orphans", lambda spark, d: catalog.discover_keys(spark, d, catalog.introspect(spark, d, catalog.DRIVER_KEYS)), " union all ".join(f"select '{k.table}.{k.column}' as key, '{k.parent}.{k.parent_column}' as parent, count(*) as orphans from {k.table} c where not exists (select 1 from {k.parent} p where p.{k.parent_column} = c.{k.column})" for k in catalog.DRIVER_KEYS))
+_DUPES = "select '{t}' as \"table\", '{k}' as kind, '{c}' as \"columns\", '' as rule, coalesce(sum(n - 1), 0)::bigint as violations from (select count(*) as n from {t} group by {c})"
+_BREAKS = "select '{t}' as \"table\", '{k}' as kind, '{c}' as \"columns\", '{r}' as rule, count(*) filter (where {x}) as violations from {t}"
+
+
+def _constraints_sql() -> str:
+    parts = []
+    for t, own in catalog.DRIVER_CONSTRAINTS.items():
+        for c in own:
+            names = ",".join(c.columns)
+            parts.append(_BREAKS.format(t=t, k="check", c=names, r=c.text, x=f"not ({c.text})") if c.kind == "check" else _DUPES.format(t=t, k=c.kind, c=names))
+    for name, labels in catalog.DRIVER_ENUMS.items():
+        t, c = name.split(".")
+        parts.append(_BREAKS.format(t=t, k="enum", c=c, r=",".join(labels), x=f"{c} not in ({', '.join(map(repr, labels))})"))
+    return " union all ".join(parts)
+
+
+_add("constraint_violations", lambda spark, d: catalog.constraints_frame(spark, d, catalog.introspect(spark, d, constraints=catalog.DRIVER_CONSTRAINTS, enums=catalog.DRIVER_ENUMS)), _constraints_sql())
+_OPTIONS = profiler.Options(exclude_columns=("customer.c_acctbal",), sensitive_patterns=("phone", "comment", "_name"), include_columns=("nation.n_name",))
+_add("column_treatment", lambda spark, d: catalog.treatments_frame(spark, catalog.introspect(spark, d, enums=catalog.DRIVER_ENUMS, generated=("orders.o_orderdate",)).filtered(exclude=("pages",)), lambda t, c: profiler.treatment(t, c, _OPTIONS)), f"""select "table", "column", case when "table" = 'orders' and "column" = 'o_orderdate' then 'generated' when "table" = 'customer' and "column" = 'c_acctbal' then 'excluded'
+when regexp_matches("column", 'phone|comment|_name') and not ("table" = 'nation' and "column" = 'n_name') then 'sensitive' when "table" || '.' || "column" in ({', '.join(map(repr, catalog.DRIVER_ENUMS))}) then 'categorical'
+when type in ('tinyint', 'smallint', 'int', 'bigint', 'float', 'double') then 'numeric' when type in ('date', 'timestamp_ntz') then 'timestamp' when type in ('string', 'boolean') then type else 'skip' end as treatment from ({_COLUMNS_SQL}) where "table" <> 'pages'""")
+
+
+def _planned_counts(spark: SparkSession, d: str) -> DataFrame:
+    known = {t: _read(spark, d, t).count() for t in ("region", "customer")}
+    plan = scenario.parse({"tables": {"orders": {"count": "per_parent(customer, 1..4)"}, "events": {"count": "30% of orders"}, "labels": {"count": 12}, "lineitem": {"count": "per_parent(nowhere, 1..2)"}}}).with_counts(known)
+    counts = plan.row_counts(("region", "customer", "orders", "events", "labels", "lineitem", "pages"), 7)
+    return spark.createDataFrame(list(counts.items()), "`table` string, n_rows long")
+
+
+_add("scenario_counts", _planned_counts, "with c as (select count(*) as n from customer) select 'region' as \"table\", (select count(*) from region) as n_rows union all select 'customer', n from c union all select 'orders', floor(n * 2.5 + 0.5)::bigint from c union all select 'events', floor(floor(n * 2.5 + 0.5) * 0.3 + 0.5)::bigint from c union all select * from (values ('labels', 12), ('lineitem', 7), ('pages', 7))")
 _NAMES = [("email", 120), ("user_password_hash", 60), ("country_code", 2), ("currency", 3), ("promo_code", 20), ("long_code", 500), ("hotel", 50), ("platform", 50), ("lat", None), ("shipping_pin", 9), ("first_name", 40), ("name", 80), ("file_name", 80), ("total_amount", None), ("ip", 45), ("website", 200), ("zip", 10), ("note", None), ("access_key", 40), ("api_key", 40)]
 
 
@@ -228,13 +259,32 @@ _add("update_from", lambda spark, d: relations.update_from(_read(spark, d, "supp
 _add("cross_join", lambda spark, d: _read(spark, d, "region", "r_regionkey").crossJoin(spark.range(1, 6).withColumnRenamed("id", "g")), "select r_regionkey, range as g from region, range(1, 6)")
 
 
+# ---- generation of whole tables
+
+_PEOPLE = schema.SchemaGraph(
+    (
+        schema.Table("people", (schema.Column("id", types.LongType(), identity=True), schema.Column("boss_id", types.LongType()))),
+        schema.Table("notes", (schema.Column("id", types.LongType(), identity=True), schema.Column("person_id", types.LongType()), schema.Column("status", types.StringType()), schema.Column("score", types.IntegerType()), schema.Column("price", types.DoubleType()), schema.Column("day", types.DateType()), schema.Column("twice", types.LongType()))),
+    ),
+    (schema.ForeignKey("people", "boss_id", "people", "id", nullable=True), schema.ForeignKey("notes", "person_id", "people", "id")),
+)
+_NOTES_PLAN = scenario.parse({"tables": {"people": {"count": 120}, "notes": {"count": "per_parent(people, 3..5)", "null_rates": {"price": 25}, "overrides": {
+    "status": {"distribution": {"draft": "20%", "live": "80%"}}, "score": {"range": [1, 5]}, "price": {"range": [0.5, 2.5]}, "day": {"range": ["2024-01-01", "2024-03-01"]}, "twice": {"formula": "_row * 2"}}}}})
+_ROWS = "(select range as r from range({n}))"
+_BOSS, _PERSON = duck_draw(SEED, "boss_id.self", "(r + 1)"), duck_draw(SEED, "person_id.fk", "concat('notes.person_id:', r)")
+_STATUS, _SCORE, _PRICE, _HIDDEN, _DAY = (duck_draw(SEED, f"notes.{c}", "r") for c in ("status", "score", "price", "price.null", "day"))
+_add("generated_people", lambda spark, d: generate.generated(spark, _PEOPLE, _NOTES_PLAN, SEED)["people"], f"select r + 1 as id, case when r > 0 then {_BOSS} % greatest(r, 1) + 1 end as boss_id from {_ROWS.format(n=120)}")
+_add("generated_notes", lambda spark, d: generate.generated(spark, _PEOPLE, _NOTES_PLAN, SEED)["notes"], f"""select r + 1 as id, {_PERSON} % 120 + 1 as person_id, case when {duck_unit(_STATUS)} * 100.0::double < 20 then 'draft' else 'live' end as status, (1 + {_SCORE} % 5)::int as score,
+case when {duck_unit(_HIDDEN)} * 100 >= 25 then 0.5::double + {duck_unit(_PRICE)} * 2.0::double end as price, cast(to_timestamp((19723 * 86400 + {_DAY} % (60 * 86400 + 1))::bigint) at time zone 'UTC' as date) as day, r * 2 as twice from {_ROWS.format(n=480)}""")
+
+
 # ---- sinks
 
 _SINK = ("n_nationkey", "n_name", "n_regionkey")
 _add("sql_literal_rows", lambda spark, d: sinks.value_rows(_read(spark, d, "nation", *_SINK).withColumn("n_name", F.concat("n_name", F.lit("'s")))), "select '(' || n_nationkey || ', ''' || replace(n_name || '''s', '''', '''''') || ''', ' || n_regionkey || ')' as \"values\" from nation")
 _add("sql_literal_orders", lambda spark, d: sinks.value_rows(_read(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderdate").withColumn("paid", F.nullif((F.col("o_orderkey") % 3 == 0), F.lit(False)))), "select '(' || o_orderkey || ', ' || regexp_replace(regexp_replace(cast(cast(cast(o_totalprice as varchar) as decimal(38,10)) as varchar), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || ', ''' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ''', ' || case when o_orderkey % 3 = 0 then 'TRUE' else 'NULL' end || ')' as \"values\" from orders")
-_INSERTS = """select 'INSERT INTO "region" ("r_regionkey", "r_name") VALUES' || chr(10) || string_agg('(' || r_regionkey || ', ''' || r_name || ''')', ',' || chr(10) order by r_regionkey) || ';' as sql from region"""
-_add("insert_statements", lambda spark, d: sinks.insert_statements(_read(spark, d, "region").coalesce(1), "region"), _INSERTS)
+_INSERTS = """select 'INSERT INTO "customer" ("c_custkey", "c_name") VALUES' || chr(10) || string_agg('(' || c_custkey || ', ''' || c_name || ''')', ',' || chr(10) order by nth) || ';' as sql from (select *, row_number() over () - 1 as nth from customer) group by nth // 100"""
+_add("insert_statements", lambda spark, d: sinks.insert_statements(_read(spark, d, "customer", "c_custkey", "c_name"), "customer", 100), _INSERTS)
 _EXPORT = f"""select '{{"rows":[{{"row_count":' || (select count(*) from orders) || '}}],"status":' || (select cast(to_json(list({{'value': value, 'pct': round(pct, 6)}} order by value)) as varchar) from ({_shares_sql('o_orderstatus', 'orders')})) || '}}' as document"""
 _add("offline_export", lambda spark, d: sinks.export_collection({"status": profile.categorical(_read(spark, d, "orders"), "o_orderstatus").withColumn("pct", F.round("pct", 6)), "rows": profile.row_count(_read(spark, d, "orders"))}), _EXPORT)
 

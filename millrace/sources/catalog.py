@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,18 @@ DRIVER_KEYS = tuple(
 )
 
 
+#: Constraints and enum labels of the driver's tables, which Parquet cannot carry either.
+DRIVER_CONSTRAINTS = {
+    "region": (Constraint("primary_key", ("r_regionkey",)), Constraint("unique", ("r_name",))),
+    "nation": (Constraint("primary_key", ("n_nationkey",)),),
+    "customer": (Constraint("primary_key", ("c_custkey",)),),
+    "part": (Constraint("primary_key", ("p_partkey",)), Constraint("check", ("p_size",), "p_size > 0"), Constraint("check", ("p_size",), "p_size >= 10 AND p_size <= 40")),
+    "orders": (Constraint("primary_key", ("o_orderkey",)), Constraint("check", ("o_totalprice",), "o_totalprice > 0")),
+    "lineitem": (Constraint("unique", ("l_orderkey", "l_linenumber")),),
+}
+DRIVER_ENUMS = {"orders.o_orderstatus": ("F", "O", "P"), "lineitem.l_returnflag": ("A", "N")}
+
+
 def table_names(spark: SparkSession, directory: str) -> list[str]:
     """Tables (``name.parquet`` files or folders) in name order, listed by Hadoop so that any store works."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
@@ -61,6 +73,41 @@ def keys_frame(spark: SparkSession, graph: SchemaGraph) -> DataFrame:
     return spark.createDataFrame([(k.table, k.column, k.parent, k.parent_column) for k in graph.keys], "`table` string, column string, parent string, parent_column string")
 
 
+def constraints_frame(spark: SparkSession, directory: str, graph: SchemaGraph) -> DataFrame:
+    """(table, kind, columns, rule, violations): every declared constraint and enum with the rows that break it.
+
+    A key's violations are the rows beyond the first of each value; an enum's the rows with another label.
+    """
+    from millrace.operators import audit
+
+    parts = []
+
+    def add(table: str, kind: str, columns: Iterable[str], rule: str, found: DataFrame) -> None:
+        parts.append(found.select(F.lit(table).alias("table"), F.lit(kind).alias("kind"), F.lit(",".join(columns)).alias("columns"), F.lit(rule).alias("rule"), F.col(found.columns[0]).cast("long").alias("violations")))
+
+    for t in graph.tables:
+        df = spark.read.parquet(f"{directory}/{t.name}.parquet")
+        for c in t.constraints:
+            if c.kind != "check":
+                add(t.name, c.kind, c.columns, "", audit.duplicate_count(df, *c.columns))
+            elif parsed := audit.parse_check(c.text):
+                add(t.name, c.kind, c.columns, c.text, audit.violations(df, bad=parsed[1]))
+        for name, labels in graph.enums.items():
+            if name.split(".")[0] == t.name:
+                column = name.split(".")[1]
+                add(t.name, "enum", (column,), ",".join(labels), audit.violations(df, bad=~F.col(column).isin(list(labels))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def treatments_frame(spark: SparkSession, graph: SchemaGraph, treatment: Callable[[str, Column], str]) -> DataFrame:
+    """(table, column, treatment): how a profile would read every column."""
+    rows = [(t.name, c.name, treatment(t.name, c)) for t in graph.tables for c in t.columns]
+    return spark.createDataFrame(rows, "`table` string, column string, treatment string")
+
+
 def render(graph: SchemaGraph, form: str = "table") -> str:
     """A graph as text: ``table``, ``json`` or ``yaml``."""
     plain = {

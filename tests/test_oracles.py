@@ -7,6 +7,7 @@ import pytest
 
 from conftest import SF
 from millrace import queries as Q
+from millrace.operators import profile
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -36,6 +37,13 @@ def test_query_equals_sql(spark, duck, name):
     assert _plain(got) == _plain(expected)
 
 
+@pytest.mark.parametrize("name", [n for n in sorted(Q.ORACLES) if n.startswith(("numeric", "long_profile"))])
+def test_percentiles_by_ranges_equal_sql(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(profile, "SMALL", -1)
+    monkeypatch.setattr(profile, "RANGES", 7)
+    test_query_equals_sql(spark, duck, name)
+
+
 def test_every_query_without_sql_gives_rows(spark):
     for name in set(Q.QUERIES) - set(Q.ORACLES):
         assert Q.QUERIES[name](spark, SF).count() > 0, name
