@@ -32,7 +32,7 @@ BANDS, ROWS = 36, 6
 #: ten standard errors below 0.8: a pair of that similarity is under it once in 10**17 cases.
 HOPELESS = 0.55
 #: Members of a bucket, and bytes of their texts, that one task compares with as many others.
-BLOCK, BLOCK_BYTES = 2000, 4 << 20
+BLOCK, BLOCK_BYTES = 500, 1 << 20
 #: Keys of at most so many texts (some 50 bytes each) are broadcast to pick rows.
 BROADCAST_KEYS = 500_000
 #: Signatures that a task keeps to sign further copies of a text without reading it again.
@@ -233,17 +233,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _cross_links(table: pa.Table) -> pa.Table:
-    """Links between classes within one bucket, or across two of its blocks.
+    """Links between classes within one block of a bucket, or across two of its blocks.
 
-    Each member outside the largest class is compared with all members at once: the places of
-    its elements in the others give its exact overlap with each. A pair of blocks is judged
-    only across them. Classes that a link has joined are one from then on, so links number
-    less than members.
+    Each member of side p is compared with all of side q at once: the places of its elements
+    in the others give its exact overlap with each. Classes that a link has joined are one from
+    then on, so links number less than members.
     """
-    ids, classes, blocks = (np.array(table.column(c).to_pylist()) for c in ("b", "class", "block"))
-    apart = table.column("p")[0].as_py() != table.column("q")[0].as_py()
-    _, classes, counts = np.unique(classes, return_inverse=True, return_counts=True)
-    todo, n, out = np.nonzero(classes != counts.argmax())[0].tolist(), len(ids), []
+    ids, classes, on_p, on_q = (np.array(table.column(c).to_pylist()) for c in ("b", "class", "on_p", "on_q"))
+    _, classes = np.unique(classes, return_inverse=True)
+    todo, n, out = np.nonzero(on_p)[0].tolist(), len(ids), []
     texts, made = table.column("text"), []
     for at in range(0, n, 64):  # words of few texts at once are held as such
         owner, value = elements(texts.slice(at, 64).to_pylist())
@@ -262,9 +260,7 @@ def _cross_links(table: pa.Table) -> pa.Table:
         sizes = start[runs + 1] - start[runs]
         at = np.arange(int(sizes.sum())) + np.repeat(start[runs] - (np.cumsum(sizes) - sizes), sizes)
         both = np.bincount(owner[at], minlength=n)
-        near = (both / (weight + weight[i] - both) >= SIMILARITY) & (classes != classes[i])
-        if apart:
-            near &= blocks != blocks[i]
+        near = (both / (weight + weight[i] - both) >= SIMILARITY) & (classes != classes[i]) & on_q
         for j in np.nonzero(near)[0].tolist():
             if classes[i] != classes[j]:
                 out.append((int(ids[i]), int(ids[j])))
@@ -280,6 +276,29 @@ def _texts(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
     return materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
+def _sides(placed: DataFrame) -> DataFrame:
+    """(bucket, p, q, b, class, on_p, on_q): what is to be compared of buckets (bucket, b, size, class) of several classes.
+
+    A bucket's largest class and its other members are dealt to blocks. Every block p of the
+    others meets itself, the blocks q of the others after it, and all blocks (q below 0) of the
+    largest class, whose members are alike and do not meet each other.
+    """
+    counts = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    by = counts.groupBy("bucket").agg(F.max(F.struct("n", "bytes", "class")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    by = by.select("bucket", F.col("top.class").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("large"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
+    dealt = placed.join(materialize(by, "mixed"), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    pair = lambda p, q, on_p, on_q: F.struct(p.alias("p"), q.alias("q"), F.lit(on_p).alias("on_p"), F.lit(on_q).alias("on_q"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = own("others")
+    among = F.transform(upto("others"), lambda x: F.when(x < block, pair(x, block, False, True)).when(x > block, pair(block, x, True, False)).otherwise(pair(block, block, True, True)))
+    beyond = F.transform(upto("large"), lambda x: pair(block, -1 - x, True, False))
+    largest = F.transform(upto("others"), lambda x: pair(x, -1 - own("large"), False, True))
+    met = F.when(F.col("class") == F.col("largest"), largest).otherwise(F.concat(among, beyond))
+    return materialize(dealt.select("bucket", "b", "class", F.explode(met).alias("x")).select("bucket", "b", "class", "x.*"), "rest")
+
+
 def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of every node that is similar to another: its class's least node.
 
@@ -292,19 +311,13 @@ def linked(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.call_function("substring", F.col("signature"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     rows = nodes.select(F.col("node").alias("b"), "size", F.explode(band).alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    hubs = materialize(hubs.select("bucket", "first", blocks.alias("blocks")), "hubs")
-    members = materialize(rows.drop("size").join(hubs, "bucket"), "members")
+    hubs = rows.groupBy("bucket").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = materialize(hubs.select("bucket", "first"), "hubs")
+    members = materialize(rows.join(hubs, "bucket"), "members")
     near = _verified(members.where("b <> first").select(F.col("first").alias("a"), "b").distinct(), nodes, docs)
     roots = components(near)
-    placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "b", "blocks", F.coalesce("root", "b").alias("class"))
-    placed = materialize(placed, "placed")
-    mixed = materialize(placed.groupBy("bucket").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi").select("bucket"), "mixed")
-    rest = placed.join(mixed, "bucket", "left_semi").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = rest.withColumn("_o", other).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o"))
-    rest = materialize(rest.select("bucket", "p", "q", "b", "block", "class"), "rest")
+    placed = members.join(roots, members["b"] == roots["node"], "left").select("bucket", "b", "size", F.coalesce("root", "b").alias("class"))
+    rest = _sides(materialize(placed, "placed"))
     texts = _texts(docs, nodes, rest.select(F.col("b").alias("node")).distinct())
     across = rest.join(texts.withColumnRenamed("node", "b"), "b").groupBy("bucket", "p", "q").applyInArrow(_cross_links, "a long, b long")
     return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(across))
