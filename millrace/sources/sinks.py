@@ -116,34 +116,58 @@ def reset(spark: SparkSession, directory: str, order: tuple[str, ...], confirm:
 # ---- profile documents
 
 
+def _file(path: str):
+    """The path in the store that Spark would use for it."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, spark.sparkContext._jvm
+
+
 def write_text(text: str, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    """A small text as one file: on this machine, or where a path with a scheme leads."""
+    if "://" not in path:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    store, at, _ = _file(path)
+    out = store.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def read_text(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+    if "://" not in path:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    store, at, jvm = _file(path)
+    stream = store.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
 
 
 def save_profile(profile: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        if path.endswith((".yaml", ".yml")):
-            import yaml
+    """A profile document as YAML or JSON, by the path's ending."""
+    if path.endswith((".yaml", ".yml")):
+        import yaml
 
-            yaml.safe_dump(profile, f, sort_keys=True)
-        else:
-            json.dump(profile, f, indent=2, sort_keys=True, default=str)
+        write_text(yaml.safe_dump(profile, sort_keys=True), path)
+    else:
+        write_text(json.dumps(profile, indent=2, sort_keys=True, default=str), path)
 
 
 def load_profile(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        if path.endswith((".yaml", ".yml")):
-            import yaml
+    """The document; another version than 1.0 is refused."""
+    text = read_text(path)
+    if path.endswith((".yaml", ".yml")):
+        import yaml
 
-            plain = yaml.safe_load(f)
-        else:
-            plain = json.load(f)
+        plain = yaml.safe_load(text)
+    else:
+        plain = json.loads(text)
     if plain.get("version") != "1.0":
         raise ValueError(f"unknown version {plain.get('version')!r}")
     return plain

@@ -36,6 +36,24 @@ def test_cycle_is_broken_at_its_nullable_key():
         topological_order(graph(["a"], ("a", "z", False)))
 
 
+def test_key_that_others_point_to():
+    from millrace.plans.generate import key_column
+
+    col = lambda n, **k: Column(n, T.LongType(), **k)
+    assert key_column(Table("t", (col("no", identity=True), col("id", identity=True)))) == "id"
+    assert key_column(Table("t", (col("id"), col("no", identity=True)))) == "no"
+    assert key_column(Table("t", (col("row_uuid"), col("id")))) == "id"
+    assert key_column(Table("t", (col("x"), col("row_uuid")))) == "row_uuid" and key_column(Table("t", (col("x"),))) is None
+
+
+def test_simulation_order():
+    from millrace.plans import simulate
+
+    g = lambda f=None: {"growth": {"follows": f} if f else {"model": "linear", "initial": 1, "rate": 1}}
+    s = scenario.parse({"tables": {"z": g(), "b": g("z"), "a": g("b"), "lost": g("nowhere"), "c1": g("c2"), "c2": g("c1"), "still": {"count": 3}}})
+    assert simulate.order(s) == ["z", "b", "a", "c1", "c2", "lost"]
+
+
 def test_counts_and_scalars():
     assert scenario.parse_count("per_parent(users, 0..10)") == scenario.PerParent("users", 0, 10)
     assert scenario.parse_count("30% of users").rows({"users": 101}) == 30
@@ -90,9 +108,12 @@ def test_profile_document_and_scenario(spark, tmp_path):
     assert doc["tables"]["customer"]["columns"]["c_name"]["type"] == "string"
     assert "Customer#" not in str(doc) and any(x.startswith("SKIP excluded") for x in trail.lines)
     assert doc["tables"]["orders"]["parent_ratios"]["customer.o_custkey"]["avg"] > 0
-    for name in ("p.json", "p.yaml"):
-        sinks.save_profile(doc, str(tmp_path / name))
-        assert sinks.load_profile(str(tmp_path / name))["source_hash"] == doc["source_hash"]
+    for name in (f"{tmp_path}/p.json", f"{tmp_path}/p.yaml", f"file://{tmp_path}/q.json", f"file://{tmp_path}/q.yaml"):
+        sinks.save_profile(doc, name)
+        assert sinks.load_profile(name)["source_hash"] == doc["source_hash"]
+    sinks.write_text('{"version": "2.0"}', f"file://{tmp_path}/other.json")
+    with pytest.raises(ValueError):
+        sinks.load_profile(f"{tmp_path}/other.json")
     s = scenario.from_profile(doc, 0.1)
     assert s.tables["region"].count == scenario.Fixed(1)
     assert s.tables["orders"].count.parent == "customer"
