@@ -13,6 +13,7 @@ from millrace.sources.scratch import materialize, release, shared_dir, written
 
 __all__ = ["materialize", "release", "shared_dir", "slices", "table", "with_row_numbers", "written"]
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
