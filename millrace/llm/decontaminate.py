@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, slices
@@ -226,20 +226,42 @@ def _direct(docs: DataFrame, items: DataFrame, coverage: float, min_match: int)
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {_COLUMNS}")
 
 
-def _seed_rows(df: DataFrame, key: str, min_match: int, own_sizes: list[int] | None) -> DataFrame:
-    """(name, seed) of every text: of an item its own seeds, of a document those of all lengths that items have."""
-    kind = df.schema[key].dataType.simpleString()
+def _doc_seeds(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(_doc, seed): the distinct seeds of every document, of all lengths that items have."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 hashes = np.array([xxhash.xxh64_intdigest(w) for w in words(text)], np.uint64)
-                sizes = ([min(min_match, len(hashes))] if len(hashes) else []) if own_sizes is None else own_sizes
                 own = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_windows(hashes, n) for n in sizes]])).view(np.int64)
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own), batch.schema.field(0).type), pa.array(own)], names=["name", "seed"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own), pa.int64()), pa.array(own)], names=["_doc", "seed"])
 
-    return df.select(key, "text").mapInArrow(seeds, f"name {kind}, seed long")
+    return docs.select("_doc", "text").mapInArrow(seeds, "_doc long, seed long")
+
+
+def _item_seeds(items: DataFrame, coverage: float, min_match: int) -> DataFrame:
+    """(_item, seed): of every item the seeds by which documents are looked for.
+
+    Tiles cover ``coverage`` of an item's words only if so many of its places hold a common
+    seed: those words over a seed's length. One fewer may stay unlooked for without losing a
+    document, and those are the ones that most items hold, so common passages meet few items.
+    """
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words(text)], np.uint64)
+                size = min(min_match, len(hashes))
+                if size:
+                    own, times = np.unique(_windows(hashes, size), return_counts=True)
+                    need = max(1, int(np.ceil(coverage * len(hashes) / size - 1e-9)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(own), pa.int64()), pa.array(own.view(np.int64)), pa.array(times), pa.array([need] * len(own), pa.int64())], names=["_item", "seed", "times", "need"])
+
+    own = materialize(items.select("_item", F.col("item_text").alias("text")).mapInArrow(seeds, "_item long, seed long, times long, need long"), "seeds")
+    held = own.groupBy("seed").agg(F.count(F.lit(1)).alias("held"))
+    upto = Window.partitionBy("_item").orderBy(F.desc("held"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    return own.join(held, "seed").withColumn("upto", F.sum("times").over(upto)).where("upto >= need").select("_item", "seed").distinct()
 
 
 def _seed_sizes(items: DataFrame, min_match: int) -> list[int]:
@@ -260,8 +282,8 @@ def _by_seeds(docs: DataFrame, items: DataFrame, coverage: float, min_match: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), "doc_id", "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"), F.xxhash64("item_id", "text").alias("_item"))
-    left = _seed_rows(keyed.where("text is not null"), "_doc", min_match, _seed_sizes(items.select(F.col("item_text").alias("text")), min_match)).withColumnRenamed("name", "_doc")
-    right = _seed_rows(items.select("_item", F.col("item_text").alias("text")), "_item", min_match, None).withColumnRenamed("name", "_item")
+    left = _doc_seeds(keyed.where("text is not null"), _seed_sizes(items.select(F.col("item_text").alias("text")), min_match))
+    right = materialize(_item_seeds(items, coverage, min_match), "looked_for")
     pairs = materialize(left.join(right, "seed").select("_doc", "_item").distinct(), "pairs")
 
     def tile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
