@@ -25,35 +25,59 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize
 
 K = 20
-PROJECTIONS = 384
-#: Half a window over the radius, and the windows a candidate must be in. A candidate at the
-#: radius is in a window with probability 0.838, so in 318 of 384 with probability 0.7; most
-#: neighbours are nearer. Candidates at right angles are in a window of radius 1.1 with probability 0.72.
-HALF_WINDOW, COLLISIONS = 1.4, 318
-RADII = (0.1, *(round(0.9 + 0.04 * i, 2) for i in range(14)), 1.5, 2.0)
+PROJECTIONS = 448
+#: Half a window over the radius: a candidate at the radius is in a window with probability 0.838.
+HALF_WINDOW = 1.4
+#: So many rows of a shard ask it once. The distances of their k-th neighbours, at these shares of
+#: the rows, are the radii; beyond the greatest each is so much wider than the one before, up to 2.
+SAMPLE, SHARES, WIDER = 48, (0.1, 0.5, 0.75, 0.9, 1.0), 1.08
+#: A candidate must be in so many windows as this share of the sample's true neighbours are.
+SAMPLE_RECALL = 0.915
 #: Windows that grow by more than this share of all entries are counted by rank instead of entry by entry.
 WIDE = 0.15
-SHARD_ROWS, LANES = 16_384, 8
+SHARD_ROWS, LANES = 60_000, 6
 
 
 class Index:
-    """Sorted projections of one shard."""
+    """Sorted projections of one shard, for searches of ``k`` neighbours."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top_norm: float, seed: int = 11):
-        self.ids, self.vectors, self.top_norm = ids, vectors, top_norm
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top_norm: float, k: int = K, seed: int = 11):
+        self.ids, self.vectors, self.top_norm, self.k = ids, vectors, top_norm, k
         self.verified = 0  # candidates verified over all searches
+        rng = np.random.default_rng(seed)
+        lines = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS))
+        self.lines = lines[:-1]
         unit = vectors / top_norm
         rest = np.sqrt(np.maximum(0.0, 1.0 - (unit**2).sum(1)))
-        lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        self.lines = lines[:-1]
-        kind = np.uint16 if len(ids) < 65_536 else np.uint32
-        self.sorted = (unit @ lines[:-1] + rest[:, None] * lines[-1]).T.astype(np.float32)
-        self.order, self.ranks = (np.empty(self.sorted.shape, kind) for _ in range(2))
-        for line, order, ranks in zip(self.sorted, self.order, self.ranks, strict=True):
-            order[:] = np.argsort(line, kind="stable")
-            ranks[order] = np.arange(len(ids))
-            line[:] = line[order]
-        self.shifted, self.inside = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool)
+        shape, kind = (PROJECTIONS, len(ids)), np.uint16 if len(ids) < 65_536 else np.uint32
+        self.sorted = np.empty(shape, np.float32)
+        self.order, self.ranks = np.empty(shape, kind), np.empty(shape, kind)
+        for at, line in enumerate(lines.T):
+            projected = (unit @ line[:-1] + rest * line[-1]).astype(np.float32)
+            order = np.argsort(projected, kind="stable")
+            self.sorted[at], self.order[at], self.ranks[at, order] = projected[order], order, np.arange(len(ids), dtype=kind)
+        self.shifted, self.inside = np.empty_like(self.ranks), np.empty(shape, bool)
+        self.radii, self.collisions = (2.0,), 0
+        if len(ids) > k:
+            self._fit(rng)
+
+    def _fit(self, rng: np.random.Generator) -> None:
+        """Radii and the number of collisions, from the exact neighbours of a bounded sample of rows."""
+        asked = rng.choice(len(self.ids), min(SAMPLE, len(self.ids)), replace=False)
+        queries, exact = self.vectors[asked], self.vectors[asked] @ self.vectors.T
+        exact[np.arange(len(asked)), asked] = -np.inf
+        nearest = np.argpartition(-exact, self.k - 1, axis=1)[:, : self.k]
+        scores = np.take_along_axis(exact, nearest, 1).min(1) / (np.sqrt((queries**2).sum(1)) * self.top_norm)
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * scores)).clip(0.05, 2.0)
+        radii = sorted(set(np.quantile(far, SHARES, method="higher").round(3).tolist()))
+        while radii[-1] < 2.0:
+            radii.append(min(2.0, radii[-1] * WIDER))
+        self.radii = tuple(radii)
+        level = np.searchsorted(radii, far.round(3)) + 1
+        middle, hits = len(radii), []
+        for ends, own, at in zip(self.windows(queries), nearest, level.tolist(), strict=True):
+            hits.append(self._in_windows(ends[:, [middle - at, middle + at]])[own])
+        self.collisions = int(np.quantile(np.concatenate(hits), 1 - SAMPLE_RECALL, method="lower"))
 
     def _in_windows(self, ends: np.ndarray) -> np.ndarray:
         """Windows that hold each candidate: its rank less a window's beginning, without sign, is below the width."""
@@ -68,28 +92,28 @@ class Index:
     def windows(self, queries: np.ndarray) -> np.ndarray:
         """By query and line, where the line's window begins and ends at every radius; at radius 0 it is empty."""
         at = (queries / np.sqrt((queries**2).sum(1))[:, None]) @ self.lines
-        steps = HALF_WINDOW * np.array(RADII)
+        steps = HALF_WINDOW * np.array(self.radii)
         edges = (at.T[:, :, None] + np.concatenate([-steps[::-1], [0.0], steps])).astype(np.float32)
         ends = np.array([np.searchsorted(s, e) for s, e in zip(self.sorted, edges, strict=True)], np.int32)
         return ends.transpose(1, 0, 2)
 
-    def search_all(self, query_ids: list[int], queries: np.ndarray, k: int, at_once: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search_all(self, query_ids: list[int], queries: np.ndarray, at_once: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for start in range(0, len(query_ids), at_once):
             some = queries[start : start + at_once]
             for name, query, ends in zip(query_ids[start : start + at_once], some, self.windows(some), strict=True):
-                yield name, *self.search(name, query, k, ends)
+                yield name, *self.search(name, query, ends)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, query: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the nearest found, best first, ties to the smaller id."""
-        n = len(self.ids)
+        n, k = len(self.ids), self.k
         norm = np.sqrt(query @ query)
         ends = self.windows(query[None])[0] if ends is None else ends
-        middle = len(RADII)
+        middle = len(self.radii)
         hits = np.zeros(n, np.int64)
         verified = np.zeros(n, bool)
         verified[self.ids == query_id] = True  # the query's own row is no candidate
         ids, scores = np.zeros(0, self.ids.dtype), np.zeros(0)
-        for level, radius in enumerate((*RADII, np.inf), 1):
+        for level, radius in enumerate((*self.radii, np.inf), 1):
             if np.isinf(radius):  # fewer than k within the last radius: all there are
                 new = np.nonzero(~verified)[0]
             else:
@@ -99,7 +123,7 @@ class Index:
                     hits += np.bincount(np.concatenate(parts), minlength=n)
                 else:
                     hits = self._in_windows(outer)
-                new = np.nonzero((hits >= COLLISIONS) & ~verified)[0]
+                new = np.nonzero((hits >= self.collisions) & ~verified)[0]
             if len(new):
                 verified[new] = True
                 self.verified += len(new)
@@ -162,8 +186,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = K, vector: str =
                     parts.append((ids[a:b], vectors))
                 elif parts:
                     if index is None:
-                        index = Index(*map(np.concatenate, zip(*parts, strict=True)), top_norm)
-                    out += index.search_all(ids[a:b].tolist(), vectors, k)
+                        index = Index(*map(np.concatenate, zip(*parts, strict=True)), top_norm, k)
+                    out += index.search_all(ids[a:b].tolist(), vectors)
             if out:
                 names = np.repeat([q for q, _, _ in out], [len(x) for _, x, _ in out])
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([x for _, x, _ in out]), pa.int64()), pa.array(np.concatenate([x for _, _, x in out]), pa.float64())], names=["query_id", "vec_id", "score"])

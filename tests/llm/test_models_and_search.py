@@ -133,7 +133,7 @@ def test_search_prunes_and_blocks_do_not_matter(spark, monkeypatch):
     want = exact([(r.vec_id, r.embedding) for r in rows])
     index = ann.Index(ids, vectors, float(np.sqrt((vectors**2).sum(1).max())) * (1 + 1e-12))
     asked = np.nonzero(ids % 20 == 0)[0]
-    found = {q: x.tolist() for q, x, _ in index.search_all(ids[asked].tolist(), vectors[asked], 20)}
+    found = {q: x.tolist() for q, x, _ in index.search_all(ids[asked].tolist(), vectors[asked])}
     recall = np.mean([len(set(x) & {i for i, _ in want[q]}) / 20 for q, x in found.items()])
     assert recall >= 0.9 and index.verified < 0.1 * len(ids) * len(asked)
     monkeypatch.setattr(ann, "SHARD_ROWS", 300)
