@@ -23,17 +23,18 @@ def with_row_numbers(df: DataFrame, order: list[Column], name: str = "row_no") -
 
     Rows are dealt by range, each range is numbered alone, and ranges are shifted by the
     sizes of those before. Only those sizes (one per partition) are broadcast. Rows that
-    tie in every order column get their numbers in any order.
+    tie in every order column get their numbers in any order, and are dealt over several ranges
+    if they are many.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = df.withColumn("_spread", F.monotonically_increasing_id()).repartitionByRange(*order, "_spread").withColumn("_range", F.spark_partition_id())
     kept = materialize(dealt, "ranges")
     sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_spread"))
     numbered = kept.withColumn("_within", within).join(F.broadcast(starts), "_range")
     total = kept.count()
-    return numbered.withColumn(name, F.col("_start") + F.col("_within") - 1).drop("_range", "_within", "_start"), total
+    return numbered.withColumn(name, F.col("_start") + F.col("_within") - 1).drop("_range", "_within", "_start", "_spread"), total
 
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 400_000) -> Iterator[pa.RecordBatch]:

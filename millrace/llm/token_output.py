@@ -345,7 +345,8 @@ def write_frames(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    ordered = ordered.withColumn("_tie", tie).repartitionByRange(F.asc_nulls_first("doc_id"), "_tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_tie").drop("_tie")
+    order = [F.asc_nulls_first("doc_id"), F.col("_tie"), F.col("_spread")]  # equal rows may lie in several parts
+    ordered = ordered.withColumn("_tie", tie).withColumn("_spread", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0

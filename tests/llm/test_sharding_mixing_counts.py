@@ -61,6 +61,18 @@ def test_long_walks_are_followed_to_their_end(spark):
     assert max(steps) > 0
 
 
+def test_equal_rows_are_numbered_over_several_ranges(spark):
+    from millrace.llm.common import with_row_numbers
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    rows = spark.range(4000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "'same' as text")
+    numbered, n = with_row_numbers(rows, [F.col("doc_id"), F.col("text")])
+    got = numbered.withColumn("at", F.spark_partition_id()).collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(r.row_no for r in got) == list(range(4000)) and n == 4000 and numbered.columns == ["doc_id", "text", "row_no"]
+    assert len(Counter(r["at"] for r in got)) > 1
+
+
 def test_sharding_reruns_agree(spark, odd_docs):
     runs = [sorted(sharding.shard(odd_docs.repartition(k)).collect(), key=lambda r: r.row_no) for k in (1, 5)]
     assert [tuple(r)[:3] + tuple(r)[4:] for r in runs[0]] == [tuple(r)[:3] + tuple(r)[4:] for r in runs[1]]
