@@ -211,6 +211,15 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return run.withColumn("_in", inside).join(starts, ["b", "_run"]).select("b", "id", (F.col("_start") + F.col("_in") - 1).alias("_n"))
 
 
+def renumbered(rows: DataFrame) -> DataFrame:
+    """Rows (id, created_b, ...) with ids from 1 without gaps, in the order of buckets and old ids."""
+    numbered = _numbered(rows.select(F.col("created_b").alias("b"), "id"))
+    sizes = rows.groupBy(F.col("created_b").alias("b")).agg(F.count(F.lit(1)).alias("_c"))
+    first = F.coalesce(F.sum("_c").over(Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = numbered.join(F.broadcast(sizes.select("b", first.alias("_first"))), "b").select("id", (F.col("_first") + F.col("_n") + 1).alias("_id"))  # one row for each bucket
+    return rows.join(ids, "id").withColumn("id", F.col("_id")).select(*rows.columns)
+
+
 def with_active_parent(rows: DataFrame, pairs: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     """Give each row a parent drawn among those active in its bucket: (bucket, number) is joined.
 

@@ -21,8 +21,8 @@ from millrace.plans.scenario import Churn, Scenario, TablePlan, parse_churn, par
 from millrace.plans.schema import ForeignKey, SchemaGraph, Table, resolve
 from millrace.sources.scratch import materialize
 
-#: A grown table's own time, and the time its churn is stamped on.
-TIME_COLUMN, CHURN_TIME_COLUMN = "created_at", "churned_at"
+#: The column that churn is stamped on; a row's own time is in ``created_at``.
+CHURN_TIME_COLUMN = "churned_at"
 
 
 @dataclass
@@ -71,6 +71,8 @@ def _grow_table(w: _World, table: Table, keys: list[ForeignKey], late: set[str])
     rows = L.entities(simulate.new_by_bucket(name, plan, w.buckets, w.entities, len(w.spans) - 1, w.seed), name, w.seed)
     for k in keys:
         rows = _with_parent(w, rows, k)
+    if any(k.parent in w.entities and k.parent != plan.growth.get("follows") for k in keys):
+        rows = L.renumbered(materialize(rows, name))  # rows of buckets without an active parent have gone
     for column, spec in plan.temporal.items():
         rows = _with_time(w, rows, name, column, spec, keys)
     rows = materialize(L.churned(rows, w.buckets, name, w.seed, churn.rate, churn.grace), name)
@@ -127,8 +129,8 @@ def _timeline(w: _World, rows: DataFrame, key: str, frames: dict[str, dict[str,
 
 def _columns(w: _World, rows: DataFrame, table: Table, plan: TablePlan, churn: Churn, late: set[str]) -> DataFrame:
     n, gone = rows.count(), F.col("churn_b").isNotNull()
-    df = rows.withColumn("_row", F.col("id") - 1)
-    out = []
+    made = set(rows.columns) - {"created_b", "churn_b", CHURN_TIME_COLUMN}
+    df, out = rows.withColumn("_row", F.col("id") - 1), []
     for c in table.columns:
         own = plan.overrides.get(c.name)
         if c.generated:
@@ -141,7 +143,7 @@ def _columns(w: _World, rows: DataFrame, table: Table, plan: TablePlan, churn: C
             value = F.when(gone, F.lit(churn.value)).otherwise(F.lit(not churn.value))
         elif plan.churn and c.name == CHURN_TIME_COLUMN:
             value = F.col(CHURN_TIME_COLUMN)
-        elif c.name in plan.temporal and c.name in rows.columns or c.name == TIME_COLUMN or c.name in rows.columns and c.name not in ("churn_b", "created_b", CHURN_TIME_COLUMN):
+        elif c.name in made:
             value = F.col(c.name)
         elif own is not None and own.kind == "timeline":
             value = _timeline(w, rows, f"{table.name}.{c.name}", own.value, c.type.simpleString())

@@ -162,3 +162,18 @@ def test_tables_grow_over_buckets(spark, cascade):
     assert [r.n for r in users.groupBy(F.date_trunc("month", "created_at").alias("m")).agg(F.count("*").alias("n")).orderBy("m").collect()][0] == 40
     again = grow(spark, SHOP, s, 5)
     assert sorted(again["orders"].collect()) == sorted(orders.collect())
+
+
+def test_rows_without_an_active_parent_leave_no_gap(spark):
+    from millrace.plans.grow import grow
+
+    t = lambda n, *fks: Table(n, (ID, *(Column(f, T.LongType()) for f in fks), Column("created_at", T.TimestampNTZType())))
+    g = SchemaGraph((t("a"), t("b"), t("c", "a_id", "b_id"), t("d", "c_id")), (ForeignKey("c", "a_id", "a", "id"), ForeignKey("c", "b_id", "b", "id"), ForeignKey("d", "c_id", "c", "id")))
+    s = scenario.parse({"lifecycle": {"start": "2024-01-01", "end": "2024-05-01", "bucket": "month"}, "tables": {
+        "a": {"growth": {"model": "linear", "initial": 5, "rate": 3}}, "b": {"growth": {"model": "custom", "values": [0, 0, 4, 2]}},
+        "c": {"growth": {"follows": "a", "ratio": 2}, "churn": {"rate": 0.2, "cascade": False}}, "d": {"growth": {"follows": "c", "ratio": 1}}}})
+    out = {k: v.cache() for k, v in grow(spark, g, s, 3).items()}
+    n = out["c"].count()
+    assert n > 0 and sorted(r.id for r in out["c"].select("id").collect()) == list(range(1, n + 1))
+    assert out["c"].where("created_at < timestamp_ntz'2024-03-01'").count() == 0
+    assert all(orphans(out[c], f, out[p], "id").first().orphans == 0 for c, f, p in (("c", "a_id", "a"), ("c", "b_id", "b"), ("d", "c_id", "c")))
