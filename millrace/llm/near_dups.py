@@ -64,7 +64,7 @@ class _Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -194,6 +194,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 kept.update(own)
                 signs, weights = (list(x) for x in zip(*known, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signs, pa.binary()), pa.array(weights, pa.int64()), part.column(3)], names=["doc_id", "text_hash", "signature", "weight", "size"])
+        _words.clear()  # the worker goes on to other stages
 
     keyed = _keyed(docs).where("has_words").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text", F.octet_length("text").cast("long").alias("size"))
     signed = materialize(keyed.mapInArrow(sign, "doc_id long, text_hash binary, signature binary, weight long, size long"), "signatures")
@@ -227,6 +228,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                     last, own = a, elements([x.as_py()])[1]
                 keep.append(_overlap(own, elements([y.as_py()])[1]) >= SIMILARITY)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        _words.clear()
 
     read = judged.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
     return materialize(read.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")

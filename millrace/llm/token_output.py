@@ -41,7 +41,7 @@ BLOCK_IDS = 2048
 #: A frame is closed at the first document end at or after so many ids.
 FRAME_IDS = 65_536
 #: Ids coded side by side at once at most; bounds memory (some 20 bytes an id).
-GROUP_IDS = 4_000_000
+GROUP_IDS = 2_600_000
 #: The width of all mixed distributions, and of order 0 alone.
 _TOTAL, _WHOLE = 1 << 16, (1 << 15) - 1
 #: Least width of a digit in order 0, and of order 0 in the mix.
@@ -391,8 +391,8 @@ def read_frames(frames: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, GROUP_IDS // FRAME_IDS):
+                piece = batch.slice(at, GROUP_IDS // FRAME_IDS)
                 rows = unpack_frames(piece.column(3).to_pylist())
                 for k, docs in enumerate(rows):
                     n = len(docs)

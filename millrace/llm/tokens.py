@@ -43,7 +43,7 @@ class CachedEncoder:
     Ids are held and returned as the bytes of little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
