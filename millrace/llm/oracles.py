@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import near_dups, secrets, sharding
+from millrace.llm import collocations, fill_in_middle, near_dups, secrets, sharding
 
 # ---- sharding: crc32 by its table, numbers walked through the Feistel network
 
@@ -87,4 +87,35 @@ select d.doc_id, {', '.join(f"count(*) filter (where kind = '{k}') as n_{k}" for
 sha256({_LISTED.format(where=_BASE)}) as base_sha256, {_LISTED.format(where=' filter (where kind is not null)')} as spans
 from d left join f on f.doc_id = d.doc_id group by d.doc_id"""
 
-SQL = {"op4_secrets": SECRETS, "op6_near_dups": NEAR_DUPS, "op7_sharding": SHARDING}
+# ---- fill-in-middle: the same cuts by substrings
+
+_DRAWS = ", ".join(f"concat('0x', substring(digest, {1 + 8 * i}, 8))::bigint as h{i + 1}" for i in range(4))
+_SENTINELS = " or ".join(f"contains(t, '{x}')" for x in (fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE))
+_ORDERS = {form: " || ".join(f"'{getattr(fill_in_middle, name.upper())}' || {name}" for name in order) for form, order in (("psm", ("prefix", "suffix", "middle")), ("spm", ("suffix", "prefix", "middle")))}
+FILL_IN_MIDDLE = f"""with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256(concat('1:', doc_id)) as digest from documents),
+h as (select doc_id, t, n, {_DRAWS} from d),
+f as (select *, case when n = 0 or {_SENTINELS} or h3 % 100 >= {fill_in_middle.CUT_PERCENT} then 'plain' when h4 % 100 < {fill_in_middle.SPM_PERCENT} then 'spm' else 'psm' end as form, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from h),
+c as (select *, t[1:a] as prefix, t[a + 1:b] as middle, t[b + 1:] as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+sha256(case form when 'psm' then {_ORDERS['psm']} when 'spm' then {_ORDERS['spm']} else t end) as output_sha256, sha256(t) as restored_sha256 from c"""
+
+# ---- collocations: every phrase counted, no pruning
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SUB = "array_to_string(ws[i:i + m - 1], ' ')"
+COLLOCATIONS = f"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0a-\\x0d]')) as p from documents),
+w as (select lang, list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda x: x <> '') as ws from p),
+g as (select lang, m, {_SUB} as phrase from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from w, range(1, {collocations.LONGEST + 1}) t(m))),
+f as materialized (select lang, m, phrase, concat(lang, chr(1), phrase) as key, count(*) as n from g group by all),
+c as materialized (select lang, phrase, key, m as k, string_split(phrase, ' ') as ws, n as a from f where m >= 2 and n >= {collocations.MIN_COUNT}),
+x as (select *, concat(lang, chr(1), array_to_string(ws[1:cut], ' ')) as first, concat(lang, chr(1), array_to_string(ws[cut + 1:], ' ')) as rest from (select *, unnest(range(1, k)) as cut from c)),
+s as (select x.*, l.n as l, r.n as r, {collocations.SCALE}::hugeint * a // (l.n + r.n) as score from x join f l on l.key = first join f r on r.key = rest),
+b as (select * from s qualify row_number() over (partition by key order by score, cut) = 1),
+o as (select concat(lang, chr(1), {_SUB}) as key, max(a) as longer from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c where k > 2)) group by 1),
+z as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b left join o using (key) where longer is null or 100::hugeint * longer < {collocations.COVERED}::hugeint * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from z join (select lang, sum(n)::bigint as n from f where m = 1 group by 1) using (lang) where rank <= {collocations.TOP}"""
+
+SQL = {
+    "op4_secrets": SECRETS, "op6_near_dups": NEAR_DUPS, "op7_sharding": SHARDING, "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_collocations": COLLOCATIONS,
+}
