@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import ann, collocations, decontaminate, fill_in_middle, mixing, near_dups, oracles, pii, quality, secrets, sharding, token_counts, token_output
+from millrace.llm import ann, collocations, decontaminate, fill_in_middle, html_text, mixing, near_dups, oracles, pii, quality, secrets, sharding, token_counts, token_output
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_report(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def queries() -> dict[str, Query]:
     own = (
         op1_decontaminate, op2_nearest, op3_pii, op4_secrets, op5_token_output,
         op6_near_dups, op7_sharding, op8_token_counts, op9_quality, op10_mixing,
-        op12_fill_in_middle, op13_collocations,
+        op11_html_text, op12_fill_in_middle, op13_collocations,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
