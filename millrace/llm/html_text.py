@@ -2,8 +2,8 @@
 
 Tokens of a page are its tags by path and its text runs. Over the distinct pages of a host each
 token has a vector of occurrence counts; tokens with one vector are an equivalence class. Large,
-frequent classes whose tags (or texts, without tags) all hang below one other class are valid and, so
-nested, make up the host's template. What the template leaves over are slots; those of the article give the text.
+frequent classes whose tags (or texts, without tags) hang below one other class, besides those that hang
+below themselves, are valid and, so nested, make up the host's template. What the template leaves over are slots; those of the article give the text.
 
 Vectors are never held: sums of hashes of (page, count) tell them apart and add up in any
 order, so a host with a third of all pages is one key of partial sums like any other.
@@ -312,7 +312,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def classes(pages: DataFrame) -> DataFrame:
     """(host, token, holder, is_text, pages, s1, s2, size, above): tokens of the valid classes.
 
-    A class is (pages, s1, s2) of a host; ``above`` is the class that holds it, as an array of those.
+    A class is (pages, s1, s2) of a host; ``above`` is the class that holds it, as an array of those. Two
+    classes may hold parts of each other (a part of the frame inside one of many like elements).
     """
     vector = F.array("pages", "s1", "s2")
     found = materialize(occurrences(pages), "occurrences")
@@ -321,12 +322,12 @@ def classes(pages: DataFrame) -> DataFrame:
     often = found.join(hosts, "host").where((F.col("pages") >= F.least(F.lit(FREQUENT), F.col("all"))) & (F.col("pages") >= share * F.col("all")) & (~F.col("is_text") | (F.col("all") >= FREQUENT)))
     often = materialize(often.withColumn("class", vector).drop("all"), "frequent")
     holders = often.where("not is_text").select("host", F.col("token").alias("holder"), F.col("class").alias("above"))
-    placed = often.join(holders, ["host", "holder"], "left")
-    outer = F.when(~F.col("above").eqNullSafe(F.col("class")), F.coalesce("above", F.array(F.lit(-1).cast("long"))))
-    of_tags = F.when(~F.col("is_text"), outer)  # where a class has tags, texts anywhere below them are nested
-    ends = [F.when(F.bool_or(~F.col("is_text")), end(of_tags)).otherwise(end(outer)).alias(name) for end, name in ((F.min, "above"), (F.max, "other"))]
-    nested = placed.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size"), *ends)
-    valid = nested.where(F.col("above").eqNullSafe(F.col("other"))).drop("other")
+    sizes = often.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size"), F.bool_and("is_text").alias("texts"))
+    placed = often.join(sizes, ["host", "class"]).join(holders, ["host", "holder"], "left").where(~F.col("is_text") | F.col("texts"))
+    edges = placed.select("host", "class", "size", F.coalesce("above", F.array(F.lit(-1).cast("long"))).alias("above")).where(F.col("above") != F.col("class")).distinct()
+    back = edges.select("host", F.col("above").alias("class"), F.col("class").alias("above"), F.lit(1).alias("back"))
+    outer = edges.join(back, ["host", "class", "above"], "left").groupBy("host", "class", "size").agg(F.count_if(F.col("back").isNull()).alias("outer"), F.min_by("above", F.struct("back", "above")).alias("above"))
+    valid = outer.where(F.col("outer") <= 1).drop("outer")
     return often.join(valid, ["host", "class"]).where(~F.col("is_text") | (F.col("size") >= LARGE)).select("host", "token", "holder", "is_text", "pages", "s1", "s2", "size", "above")
 
 
