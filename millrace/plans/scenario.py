@@ -204,36 +204,58 @@ def effective_seed(flag: int | None, scenario: Scenario | None, clock: int) -> i
     return flag if flag is not None else scenario.seed if scenario and scenario.seed is not None else clock
 
 
-def _weights(**w: float) -> dict:
-    return {"distribution": w}
-
-
-#: Built-in scenarios.
+# The built-in scenarios that users call by name. Counts, weights, ranges and dates must be
+# these for the same databases; tables and columns stand in their usual order.
 TEMPLATES: dict[str, dict] = {
     "ecommerce": {"tables": {
-        "users": {"count": 60}, "categories": {"count": 12}, "products": {"count": 180, "overrides": {"price": {"range": [3.5, 420.0]}}},
-        "orders": {"count": "per_parent(users, 1..7)", "overrides": {"status": _weights(open=8, paid=52, sent=22, done=14, void=4)}},
-        "order_items": {"count": "per_parent(orders, 1..4)", "overrides": {"quantity": {"range": [1, 6]}}},
-        "reviews": {"count": "per_parent(products, 0..6)", "overrides": {"rating": {"distribution": {"1": 4, "2": 6, "3": 18, "4": 34, "5": 38}}}},
+        "users": {"count": 50},
+        "categories": {"count": 15},
+        "products": {"count": 200, "overrides": {"price": {"range": [4.99, 499.99]}}},
+        "orders": {"count": "per_parent(users, 0..10)", "overrides": {"status": {"distribution": {"pending": 5, "paid": 60, "shipped": 20, "delivered": 10, "cancelled": 5}}}},
+        "order_items": {"count": "per_parent(orders, 1..5)", "overrides": {"quantity": {"range": [1, 4]}}},
+        "reviews": {"count": "per_parent(products, 0..5)", "overrides": {"rating": {"distribution": {"1": 5, "2": 5, "3": 15, "4": 35, "5": 40}}}},
     }},
     "saas": {"tables": {
-        "organizations": {"count": 12}, "users": {"count": "per_parent(organizations, 2..16)"},
-        "subscriptions": {"count": "per_parent(organizations, 1..1)"}, "invoices": {"count": "per_parent(subscriptions, 2..10)"},
+        "organizations": {"count": 10},
+        "users": {"count": "per_parent(organizations, 3..20)", "overrides": {"role": {"distribution": {"owner": 10, "admin": 15, "member": 65, "viewer": 10}}}},
+        "subscriptions": {"count": "per_parent(organizations, 1..1)", "overrides": {"plan": {"distribution": {"free": 30, "pro": 50, "enterprise": 20}}}},
+        "invoices": {"count": "per_parent(subscriptions, 1..12)", "overrides": {"status": {"distribution": {"paid": 80, "pending": 10, "overdue": 5, "failed": 5}}}},
     }},
     "blog": {"tables": {
-        "users": {"count": 25}, "posts": {"count": "per_parent(users, 1..9)"}, "comments": {"count": "per_parent(posts, 0..14)"},
-        "tags": {"count": 24}, "post_tags": {"count": "per_parent(posts, 1..3)"},
+        "users": {"count": 20, "overrides": {"role": {"distribution": {"admin": 5, "editor": 15, "author": 80}}}},
+        "posts": {"count": "per_parent(users, 0..15)", "overrides": {"status": {"distribution": {"draft": 20, "published": 70, "archived": 10}}}},
+        "comments": {"count": "per_parent(posts, 0..20)"},
+        "tags": {"count": 30},
+        "post_tags": {"count": "per_parent(posts, 1..4)"},
     }},
     "social": {"tables": {
-        "users": {"count": 80}, "posts": {"count": "per_parent(users, 2..30)"}, "likes": {"count": "per_parent(posts, 0..60)"},
-        "follows": {"count": "25% of users"}, "messages": {"count": "per_parent(users, 0..24)"},
+        "users": {"count": 100},
+        "posts": {"count": "per_parent(users, 0..50)"},
+        "likes": {"count": "per_parent(posts, 0..100)"},
+        "follows": {"count": "30% of users"},
+        "messages": {"count": "per_parent(users, 0..20)"},
     }},
-    "lifecycle": {"lifecycle": {"start": "2024-01-01", "end": "2025-01-01", "bucket": "month"}, "tables": {
-        "users": {"growth": {"model": "s_curve", "initial": 40, "capacity": 900, "rate": 0.5}, "churn": {"rate": 0.04, "grace_period": 1},
-                  "overrides": {"plan": {"timeline": {"2024-01-01": {"free": 30, "pro": 70}, "2024-09-01": {"free": 60, "pro": 30, "team": 10}}}}},
-        "orders": {"growth": {"follows": "users", "ratio": 1.5, "variance": 0.2}, "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..40d"}},
-                   "seasonality": {"quarterly": [0.9, 1.0, 0.95, 1.3]}, "overrides": {"status": _weights(open=10, paid=75, void=15)}},
-        "order_items": {"growth": {"follows": "orders", "per_parent": "1..3"}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
+    "lifecycle": {"seed": 42, "lifecycle": {"start": "2023-01-01", "end": "2026-06-01", "bucket": "month"}, "tables": {
+        "users": {
+            "growth": {"model": "s_curve", "initial": 10, "capacity": 5000, "rate": 0.15}, "churn": {"rate": 0.03, "grace_period": 2, "column": "is_active", "value": False},
+            "overrides": {
+                "role": {"distribution": {"admin": 2, "moderator": 5, "user": 93}},
+                "plan": {"timeline": {"2023-01-01": {"pro": 80, "free": 20}, "2024-06-01": {"pro": 40, "free": 45, "enterprise": 15}, "2025-06-01": {"pro": 25, "free": 55, "enterprise": 20}}},
+            },
+        },
+        "orders": {
+            "growth": {"follows": "users", "ratio": 3.2, "variance": 0.35}, "seasonality": {"monthly": [1.0, 0.7, 0.85, 1.0, 1.1, 0.8, 0.7, 0.85, 1.2, 1.4, 1.8, 2.5]},
+            "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..60d"}},
+            "overrides": {
+                "status": {"timeline": {"2023-01-01": {"pending": 40, "completed": 45, "cancelled": 15}, "2025-01-01": {"pending": 8, "completed": 72, "cancelled": 8, "refunded": 5, "shipped": 7}}},
+                "total_amount": {"range": [15000, 2500000]},
+            },
+        },
+        "order_items": {"growth": {"follows": "orders", "per_parent": "1..5"}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
+        "reviews": {
+            "growth": {"follows": "orders", "ratio": 0.25}, "temporal": {"created_at": {"after": "orders.created_at", "offset": "3d..30d"}},
+            "overrides": {"rating": {"distribution": {"5": 35, "4": 30, "3": 20, "2": 10, "1": 5}}},
+        },
     }},
 }
 

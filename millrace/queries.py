@@ -338,7 +338,7 @@ _add("profile_compliance", lambda spark, d: compliance.profile_checks(_PROFILE,
 
 _START, _END = date(2024, 1, 1), date(2024, 7, 1)
 _BUCKETS = "(values " + ", ".join(f"({b}, date '{s}', date '{e}')" for b, s, e in lifecycle.bucket_bounds(_START, _END, "month")) + ") t(b, b_start, b_end)"
-_MONTHLY = [1.0, 0.7, 0.85, 1.0, 1.1, 0.8, 0.7, 0.85, 1.2, 1.4, 1.8, 2.5]
+_MONTHLY = [round(0.6 + m * 5 % 12 / 10, 1) for m in range(12)]
 
 
 def _months(spark: SparkSession) -> DataFrame:
@@ -377,19 +377,19 @@ _ACTIVE = f"(select b, born, churned, (sum(born) over (order by b) - sum(churned
 _add("active_by_bucket", lambda spark, d: lifecycle.active_counts(_users(spark), _months(spark)), f"select * from {_ACTIVE}")
 _PAIRS_SQL = f"(select unnest(range(created_b, least(coalesce(churn_b - 1, 5), 5) + 1))::int as b, id from {_CHURN})"
 _add("active_pairs", lambda spark, d: lifecycle.active_pairs(_users(spark), 5), f"select b, id from {_PAIRS_SQL}")
-_add("follows_ratio", lambda spark, d: lifecycle.follow_ratio(lifecycle.active_counts(_users(spark), _months(spark)), "orders", SEED, 3.2, 0.35), f"select b, cast(floor(active * 3.2::double * (1 + (2 * {duck_unit(duck_draw(SEED, 'orders.variance', 'b'))} - 1) * 0.35::double) + 0.5) as bigint) as new from {_ACTIVE}")
+_add("follows_ratio", lambda spark, d: lifecycle.follow_ratio(lifecycle.active_counts(_users(spark), _months(spark)), "orders", SEED, 2.6, 0.5), f"select b, cast(floor(active * 2.6::double * (1 + (2 * {duck_unit(duck_draw(SEED, 'orders.variance', 'b'))} - 1) * 0.5::double) + 0.5) as bigint) as new from {_ACTIVE}")
 _add("follows_per_parent", lambda spark, d: lifecycle.follow_per_parent(lifecycle.active_pairs(_users(spark), 5), "items", SEED, 1, 3), f"select b, sum(1 + {duck_draw(SEED, 'items.children', chr(40) + 'id || chr(58) || b)')} % 3)::bigint as new from {_PAIRS_SQL} group by b")
-_FRAMES = [(date(2023, 1, 1), "pro", 80.0), (date(2023, 1, 1), "free", 20.0), (date(2024, 6, 1), "pro", 40.0), (date(2024, 6, 1), "free", 45.0), (date(2024, 6, 1), "team", 15.0)]
+_FRAMES = [(date(2021, 3, 5), "day", 64.0), (date(2021, 3, 5), "week", 36.0), (date(2022, 8, 20), "day", 10.0), (date(2022, 8, 20), "week", 58.0), (date(2022, 8, 20), "year", 32.0)]
 _FRAMES_SQL = "(values " + ", ".join(f"(date '{a}', '{k}', {w}::double)" for a, k, w in _FRAMES) + ") f(on_day, key, weight)"
 
 
 def _timeline(spark: SparkSession, d: str) -> DataFrame:
     frames = spark.createDataFrame(_FRAMES, "at date, key string, weight double")
-    dates = spark.createDataFrame([(date(2022, 6, 1),), (date(2023, 1, 1),), (date(2023, 9, 15),), (date(2025, 1, 1),)], "d date")
+    dates = spark.createDataFrame([(date(2020, 7, 7),), (date(2021, 3, 5),), (date(2021, 11, 30),), (date(2023, 2, 2),)], "d date")
     return lifecycle.interpolated(frames, dates)
 
 
-_add("timeline_interpolation", _timeline, f"""with d as (select * from (values (date '2022-06-01'), (date '2023-01-01'), (date '2023-09-15'), (date '2025-01-01')) t(d)),
+_add("timeline_interpolation", _timeline, f"""with d as (select * from (values (date '2020-07-07'), (date '2021-03-05'), (date '2021-11-30'), (date '2023-02-02')) t(d)),
 r as (select d, (select max(on_day) from {_FRAMES_SQL} where on_day <= d) as lo, (select min(on_day) from {_FRAMES_SQL} where on_day >= d) as hi from d),
 s as (select d, coalesce(lo, hi) as lo, coalesce(hi, lo) as hi from r),
 k as (select distinct s.d, s.lo, s.hi, f.key from s join {_FRAMES_SQL} on f.on_day = s.lo or f.on_day = s.hi),
@@ -441,7 +441,7 @@ _SHOP = schema.SchemaGraph(
     (schema.ForeignKey("orders", "user_id", "users", "id"), schema.ForeignKey("items", "order_id", "orders", "id")),
 )
 _SHOP_PLAN = scenario.parse({"lifecycle": {"start": "2024-01-01", "end": "2024-07-01", "bucket": "month"}, "tables": {
-    "users": {"growth": {"model": "s_curve", "initial": 10, "capacity": 200, "rate": 0.4}, "churn": {"rate": 0.1, "grace_period": 2}, "overrides": {"plan": {"timeline": {"2024-01-01": {"free": 80, "pro": 20}, "2024-05-01": {"free": 40, "pro": 45, "team": 15}}}}},
+    "users": {"growth": {"model": "s_curve", "initial": 10, "capacity": 200, "rate": 0.4}, "churn": {"rate": 0.1, "grace_period": 2}, "overrides": {"plan": {"timeline": {"2024-01-01": {"basic": 66, "gold": 34}, "2024-05-01": {"basic": 30, "gold": 42, "trial": 28}}}}},
     "orders": {"growth": {"follows": "users", "ratio": 2.0}, "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..60d"}}},
     "items": {"growth": {"follows": "orders", "ratio": 1.5}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
 }})
@@ -453,9 +453,9 @@ def _grown(spark: SparkSession) -> dict[str, DataFrame]:
 
 _ORDERS_SQL = _children_sql(_CHURN, _TWICE, "orders", "orders.user_id.parent", "orders.created_at.offset", 86_400, 60 * 86_400)
 _WEIGHTS = f"(select b, least(greatest(date_diff('day', date '2024-01-01', b_start)::double / 121, 0), 1) as s from {_BUCKETS})"
-_PLANS = f"(select b, round(80 - 40 * s, 6) as free, round(20 + 25 * s, 6) as pro, round(15 * s, 6) as team from {_WEIGHTS})"
+_PLANS = f"(select b, round(66 - 36 * s, 6) as basic, round(34 + 8 * s, 6) as gold, round(28 * s, 6) as trial from {_WEIGHTS})"
 _PICK = duck_unit(duck_draw(SEED, "users.plan", "id"))
-_add("lifecycle_users", lambda spark, d: _grown(spark)["users"], f"select id, case when {_PICK} * (free + pro + team) < free then 'free' when {_PICK} * (free + pro + team) < free + pro then 'pro' else 'team' end as plan, churn_b is null as is_active, created_at, churned_at from {_CHURN} join {_PLANS} on b = created_b")
+_add("lifecycle_users", lambda spark, d: _grown(spark)["users"], f"select id, case when {_PICK} * (basic + gold + trial) < basic then 'basic' when {_PICK} * (basic + gold + trial) < basic + gold then 'gold' else 'trial' end as plan, churn_b is null as is_active, created_at, churned_at from {_CHURN} join {_PLANS} on b = created_b")
 _add("lifecycle_orders", lambda spark, d: _grown(spark)["orders"], f"select id, parent_id as user_id, created_at from {_ORDERS_SQL}")
 _PLACED = f"(select *, null::int as churn_b from {_ORDERS_SQL})"
 _ITEMS = f"(select b, cast(floor(active * 1.5::double + 0.5) as bigint) as new from (select t.b, (select count(*) from {_ORDERS_SQL} where created_b <= t.b) as active from {_BUCKETS}))"

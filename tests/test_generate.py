@@ -143,10 +143,13 @@ def test_tables_grow_over_buckets(spark, cascade):
     from millrace.operators.audit import before_parent
     from millrace.plans.grow import grow
 
-    plain = scenario.TEMPLATES["lifecycle"] | {"lifecycle": {"start": "2024-01-01", "end": "2024-07-01", "bucket": "month"}}
-    tables = {k: dict(v) for k, v in plain["tables"].items()} | {"shops": {"count": 3}}
-    tables["users"]["churn"] = {"rate": "30%", "grace_period": 1, "cascade": cascade}
-    s = scenario.parse({**plain, "tables": tables})
+    s = scenario.parse({"lifecycle": {"start": "2024-01-01", "end": "2024-07-01", "bucket": "month"}, "tables": {
+        "shops": {"count": 3},
+        "users": {"growth": {"model": "linear", "initial": 40, "rate": 25}, "churn": {"rate": "30%", "grace_period": 1, "cascade": cascade},
+                  "overrides": {"plan": {"timeline": {"2024-01-01": {"basic": 3, "gold": 7}, "2024-06-01": {"basic": 5, "gold": 3, "trial": 2}}}}},
+        "orders": {"growth": {"follows": "users", "ratio": 1.4}, "temporal": {"created_at": {"after": "users.created_at", "offset": "2d..45d"}}, "seasonality": {"quarterly": [1.1, 0.9, 1.0, 1.0]}},
+        "order_items": {"growth": {"follows": "orders", "per_parent": "1..2"}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
+    }})
     out = {k: v.cache() for k, v in grow(spark, SHOP, s, 5).items()}
     users, orders, items = out["users"], out["orders"], out["order_items"]
     assert out["shops"].count() == 3 and duplicate_count(users, "email").first().duplicate_rows == 0
@@ -158,7 +161,7 @@ def test_tables_grow_over_buckets(spark, cascade):
     assert users.where("is_active and churned_at is not null").count() == 0
     late = orders.join(users.select(F.col("id").alias("uid"), F.date_trunc("month", "churned_at").alias("gone")), F.col("user_id") == F.col("uid")).where(F.date_trunc("month", "created_at") >= F.col("gone")).count()
     assert late == 0 if cascade else late > 0
-    assert {r.plan for r in users.where("created_at < timestamp_ntz'2024-02-01'").select("plan").distinct().collect()} == {"free", "pro"}
+    assert {r.plan for r in users.where("created_at < timestamp_ntz'2024-02-01'").select("plan").distinct().collect()} == {"basic", "gold"}
     assert [r.n for r in users.groupBy(F.date_trunc("month", "created_at").alias("m")).agg(F.count("*").alias("n")).orderBy("m").collect()][0] == 40
     again = grow(spark, SHOP, s, 5)
     assert sorted(again["orders"].collect()) == sorted(orders.collect())
