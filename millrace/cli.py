@@ -36,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--import-results", help="profile: make the document of offline results")
         c.add_argument("--entities", nargs="*", default=[], help="table=count")
         c.add_argument("--seed", type=int)
+        c.add_argument("--keys", help="JSON file of foreign keys: a list of [table, column, parent, parent column]")
+        c.add_argument("--discover", action="store_true", help="find keys, unique sets and labels in the data")
         c.add_argument("--dry-run", action="store_true")
         c.add_argument("--confirm", action="store_true")
     return p
@@ -56,6 +58,13 @@ def _print(df: DataFrame) -> None:
         print(*row, sep="\t")
 
 
+def _graph(args: argparse.Namespace, spark: SparkSession) -> SchemaGraph:
+    """By the data, by the declared keys, or else by those of the given tables that the folder has."""
+    if args.discover:
+        return catalog.discovered(spark, args.directory)
+    return catalog.introspect(spark, args.directory, catalog.declared(args.keys) if args.keys else catalog.DRIVER_KEYS)
+
+
 def _profile(args: argparse.Namespace, spark: SparkSession, graph: SchemaGraph) -> None:
     if args.dry_run:
         print(*map(" ".join, profiler.planned(graph)), sep="\n")
@@ -111,7 +120,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "comply":
         return _comply(args, spark)
-    graph = catalog.introspect(spark, args.directory, catalog.DRIVER_KEYS).filtered(tuple(args.include), tuple(args.exclude))
+    graph = _graph(args, spark).filtered(tuple(args.include), tuple(args.exclude))
     if args.command == "introspect":
         print(catalog.render(graph, args.format))
     elif args.command == "reset":

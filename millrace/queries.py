@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
+from millrace import table_queries
 from millrace.functions import classify, generators, pools
 from millrace.functions.prf import bulk, draw, duck_draw, duck_hex, duck_unit
 from millrace.operators import audit, compliance, lifecycle, profile, relations
@@ -480,6 +481,10 @@ def _density(spark: SparkSession, d: str) -> DataFrame:
     return hourly_counts(_read(spark, d, "events", "ts")).select(F.col("start").cast("timestamp_ntz").alias("start"), "cnt")
 
 
+QUERIES |= table_queries.QUERIES
+ORACLES |= table_queries.ORACLES
+
+
 def million(spark: SparkSession) -> DataFrame:
     """One million five-column users, reduced to one row: the bulk rate of the generators."""
     i = F.col("id")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.plans.schema import Column, Constraint, ForeignKey, SchemaGraph, Table
 
@@ -55,8 +56,28 @@ def introspect(spark: SparkSession, directory: str, keys: Iterable[ForeignKey] =
         fields = spark.read.parquet(f"{directory}/{name}.parquet").schema.fields
         columns = tuple(Column(f.name, f.dataType, f.nullable, generated=f"{name}.{f.name}" in generated, max_length=f.metadata.get("max_length"), labels=tuple(enums.get(f"{name}.{f.name}", ()))) for f in fields)
         tables.append(Table(name, columns, tuple(constraints.get(name, ()))))
-    have = {t.name for t in tables}
-    return SchemaGraph(tuple(tables), tuple(k for k in keys if k.table in have and k.parent in have), dict(sorted(enums.items())))
+    have = {(t.name, c.name) for t in tables for c in t.columns}
+    return SchemaGraph(tuple(tables), tuple(k for k in keys if (k.table, k.column) in have and (k.parent, k.parent_column) in have), dict(sorted(enums.items())))
+
+
+def discovered(spark: SparkSession, directory: str) -> SchemaGraph:
+    """The graph of a directory whose keys, unique sets and short label lists are found in its data."""
+    from millrace.operators import discovery
+
+    tables = {t: spark.read.parquet(f"{directory}/{t}.parquet") for t in table_names(spark, directory)}
+    constraints = {t: discovery.key_constraints(discovery.unique_sets(df)) for t, df in tables.items()}
+    texts = discovery.labels_frame(tables).where("value is not null").collect()  # at most a guard's number for each column
+    enums: dict[str, list[str]] = {}
+    for r in texts:
+        if isinstance(tables[r.table].schema[r.column].dataType, StringType):
+            enums.setdefault(f"{r.table}.{r.column}", []).append(r.value)
+    return introspect(spark, directory, discovery.foreign_keys(tables), constraints, {k: tuple(sorted(v)) for k, v in enums.items()})
+
+
+def declared(path: str) -> tuple[ForeignKey, ...]:
+    """Keys of a JSON file: a list of [table, column, parent, parent column]."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(ForeignKey(*map(str, k)) for k in json.load(f))
 
 
 def columns_frame(spark: SparkSession, graph: SchemaGraph) -> DataFrame:
