@@ -2,22 +2,22 @@
 
 Each function reads only the columns it names. Rates are percentages. Several columns of one
 table share a scan through ``wide_stats``. Nothing gathers the values of a column in one
-place: percentiles come from counts by value and running sums over value ranges, distinct
+place: percentiles come from counts of digits, distinct
 texts are counted by their 128-bit digests, and totals are joined as one row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
-#: Equal ranges between a column's least and greatest value; only ranges that hold a percentile are sorted.
-RANGES = 1 << 14
-#: The values of so many rows fit into one aggregate's buffer (16 bytes each); more are counted by range. Both are exact.
+#: The values of so many rows fit into one aggregate's buffer (16 bytes each); more are selected by radix. Both are exact.
 SMALL = 200_000
 
 
@@ -44,36 +44,90 @@ def numeric_aggregates(c: str) -> list[Column]:
     return [F.min(x).alias("min_val"), F.max(x).alias("max_val"), F.round(F.avg(x), 6).alias("mean_val"), F.round(F.stddev_samp(x), 6).alias("stddev_val"), null_rate(c).alias("null_rate")]
 
 
+def ordered_bits(v: Column) -> Column:
+    """A 64-bit integer for each double, in the order of doubles; -0.0 is 0.0, and NaN comes last.
+
+    It is the number's exponent and fraction in the usual layout, negated for numbers below zero. Powers
+    and quotients of powers of two are exact, so every double has its own integer.
+    """
+    a = F.abs(v)
+    e = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1022)), F.lit(1023))
+    e = F.greatest(e + F.when(a >= F.pow(F.lit(2.0), e + 1), 1).when(a < F.pow(F.lit(2.0), e), -1).otherwise(0), F.lit(-1022))
+    normal = (e + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1.0) * float(1 << 52)).cast("long")
+    bits = F.when(a == 0.0, F.lit(0).cast("long")).when(F.isnan(a), F.lit((2047 << 52) + 1)).when(a == float("inf"), F.lit(2047 << 52)).when(a < 2.0**-1022, (a / 5e-324).cast("long")).otherwise(normal)
+    return F.when(v < 0.0, -bits).otherwise(bits)
+
+
+def double_of(bits: int) -> float:
+    """The double that ``ordered_bits`` made an integer of."""
+    size = abs(bits)
+    e, fraction = size >> 52, size & ((1 << 52) - 1)
+    if e == 2047:
+        x = math.nan if fraction else math.inf
+    else:
+        x = math.ldexp(fraction, -1074) if e == 0 else math.ldexp((1 << 52) + fraction, e - 1075)
+    return -x if bits < 0 else x
+
+
 def percentiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, p25, p50, p75, p95, p99): exact interpolated percentiles of each column that has a value.
 
-    Values are counted, which combines before the shuffle. Sums over RANGES equal ranges tell
-    which ranges hold the wanted ranks; within those, running sums find the values.
+    Radix selection in four scans: each counts, by 16 bits of the ordered integers, the values that share the
+    bits found so far with a wanted rank, and so finds the next bits. Only counts are shuffled, at most 65,536
+    for each column and prefix, however the values are spread; ten prefixes a column come to the driver.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _double(F.col(c)).alias("v")) for c in columns]))
-    counts = df.select(pairs.alias("x")).select("x.*").where("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    names = [f"p{int(q * 100)}" for q in PERCENTILES]
-    last = F.col("total") - 1
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * last).alias("pos"), side(F.lit(q) * last).alias("rank")) for name, q in zip(names, PERCENTILES, strict=True) for side in (F.floor, F.ceil)])
-    ends = ends.select("column", "lo", "hi", F.array_distinct(ranks).alias("ranks"))
-    share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    at = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * RANGES), F.lit(RANGES - 1)).cast("int").alias("at")
-    ranged = counts.join(F.broadcast(ends), "column")  # one row for each column
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    def within(start: Column, n: Column) -> Column:
-        return F.filter("ranks", lambda r: (r["rank"] >= start) & (r["rank"] < start + n))
-
-    sums = ranged.groupBy("column", at).agg(F.sum("n").alias("n"), F.first("ranks").alias("ranks"))
-    sums = sums.withColumn("base", before(Window.partitionBy("column").orderBy("at")))
-    hits = sums.select("column", "at", "base", within(F.col("base"), F.col("n")).alias("ranks")).where(F.size("ranks") > 0)  # ten rows for each column at most
-    near = ranged.select("column", "v", "n", at).join(F.broadcast(hits), ["column", "at"])
-    near = near.withColumn("start", F.col("base") + before(Window.partitionBy("column", "at").orderBy("v")))
-    found = near.select("column", "v", F.explode(within(F.col("start"), F.col("n"))).alias("r"))
-    pos, rank = F.col("r.pos"), F.col("r.rank")
-    weight = F.when(F.floor(pos) == F.ceil(pos), 1.0).when(rank == F.floor(pos), F.ceil(pos) - pos).otherwise(pos - F.floor(pos))
-    return found.groupBy("column").agg(*[F.round(F.sum(F.when(F.col("r.name") == name, F.col("v") * weight)), 6).alias(name) for name in names])
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ordered_bits(_double(F.col(f"`{c}`"))).alias("bits")) for i, c in enumerate(columns)]))
+    values = df.select(pairs.alias("x")).select("x.*").where("bits is not null")
+    spark = df.sparkSession
+    #: By column and prefix: the ranks (name, position, rank among the values with that prefix) wanted there.
+    wanted: dict[tuple[int, int], list[tuple[str, float, int]]] = {}
+    for shift in (48, 32, 16, 0):
+        prefix = F.shiftright("bits", shift)
+        rows = values.select("i", prefix.alias("prefix"), F.shiftright("bits", shift + 16).alias("up") if shift < 48 else F.lit(0).cast("long").alias("up"))
+        if shift < 48:
+            rows = rows.join(F.broadcast(spark.createDataFrame(list(wanted), "i int, up long")), ["i", "up"])
+        counts = rows.groupBy("i", "up", "prefix").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("i", "up").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        if shift == 48:
+            wanted = {}
+            for r in sums.groupBy("i").agg(F.sum("n").alias("total")).collect():
+                for q in PERCENTILES:
+                    pos = q * (r.total - 1)
+                    for rank in sorted({math.floor(pos), math.ceil(pos)}):
+                        wanted.setdefault((r.i, 0), []).append((f"p{int(q * 100)}", pos, rank))
+            if not wanted:
+                break
+        asked = spark.createDataFrame([(i, up, rank) for (i, up), ranks in wanted.items() for rank in sorted({r for _, _, r in ranks})], "i int, up long, rank long")
+        hits = sums.join(F.broadcast(asked), ["i", "up"]).where("start <= rank and rank < start + n").select("i", "up", "rank", "prefix", "start")
+        found = {(r.i, r.up, r["rank"]): (r.prefix, r["rank"] - r.start) for r in hits.collect()}
+        narrower: dict[tuple[int, int], list[tuple[str, float, int]]] = {}
+        for (i, up), ranks in wanted.items():
+            for name, pos, rank in ranks:
+                at, rest = found[i, up, rank]
+                narrower.setdefault((i, at), []).append((name, pos, rest))
+        wanted = narrower
+    return spark.createDataFrame(_interpolated(wanted, columns), "column string, " + ", ".join(f"p{int(q * 100)} double" for q in PERCENTILES))
+
+
+def _interpolated(found: dict[tuple[int, int], list[tuple[str, float, int]]], columns: Sequence[str]) -> list[tuple]:
+    """One row for each column from the values at the ranks beside each percentile."""
+    ends: dict[tuple[int, str], list[tuple[float, float]]] = {}
+    for (i, bits), ranks in found.items():
+        for name, pos, _ in ranks:
+            ends.setdefault((i, name), []).append((double_of(bits), pos))
+    out = {}
+    for (i, name), near in ends.items():
+        near.sort()  # the lower rank has the lower value
+        (low, pos), high = near[0], near[-1][0]
+        weight = pos - math.floor(pos)
+        out.setdefault(i, {})[name] = low if low == high or not weight else low * (1 - weight) + high * weight
+    return [(columns[i], *[_rounded(row[f"p{int(q * 100)}"]) for q in PERCENTILES]) for i, row in sorted(out.items())]
+
+
+def _rounded(x: float) -> float:
+    """To six places, halves away from zero, as Spark rounds."""
+    return x if not math.isfinite(x) else float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) if abs(x) < 1e15 else x
 
 
 _NAMES = ("min_val", "max_val", "mean_val", "stddev_val", *(f"p{int(q * 100)}" for q in PERCENTILES), "null_rate")
@@ -84,7 +138,7 @@ def numeric_stats(df: DataFrame, c: str) -> DataFrame:
 
 
 def wide_stats(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Numeric statistics of many columns by two scans, one row for each column; a table of SMALL rows takes one."""
+    """Numeric statistics of many columns by five scans, one row for each column; a table of SMALL rows takes one."""
     few = df.limit(SMALL + 1).count() <= SMALL
     one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.struct(*numeric_aggregates(c), *(_buffered(c) if few else [])).alias(c) for c in numeric])
     one = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in numeric])).alias("x")).select("x.column", "x.s.*")
@@ -188,8 +242,11 @@ def parent_ratio(child: DataFrame, fk: str) -> DataFrame:
 
 
 def childless(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
-    """zero_count (parents without a child) and zero_rate in percent of all parents, null without parents."""
-    keys = child.select(F.col(fk).alias("_fk"))
+    """zero_count (parents without a child) and zero_rate in percent of all parents, null without parents.
+
+    Child keys are made distinct first, which combines before the shuffle, so a parent with most of the children is one row.
+    """
+    keys = child.select(F.col(fk).alias("_fk")).where("_fk is not null").distinct()
     zero = parent.join(keys, F.col(pk) == F.col("_fk"), "left_anti").agg(F.count(F.lit(1)).alias("zero_count"))
     return zero.join(F.broadcast(parent.agg(F.count(F.lit(1)).alias("_n")))).select("zero_count", percent(F.col("zero_count"), F.col("_n")).alias("zero_rate"))
 

@@ -38,9 +38,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(Q.ORACLES) if n.startswith(("numeric", "long_profile"))])
-def test_percentiles_by_ranges_equal_sql(spark, duck, name, monkeypatch):
+def test_percentiles_by_radix_equal_sql(spark, duck, name, monkeypatch):
     monkeypatch.setattr(profile, "SMALL", -1)
-    monkeypatch.setattr(profile, "RANGES", 7)
     test_query_equals_sql(spark, duck, name)
 
 

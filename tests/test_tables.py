@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery, temporal
+from millrace.operators import discovery, profile, temporal
 from millrace.plans.schema import ForeignKey
 
 T0 = datetime(2024, 1, 1)
@@ -114,7 +115,7 @@ def test_given_keys_are_found(spark):
 @pytest.mark.parametrize("slices", [1, 3])
 def test_unique_sets_equal_all_combinations(spark, slices):
     r = random.Random(slices)
-    rows = sorted({(r.randrange(4), r.randrange(5), r.choice("xyz"), r.randrange(6), r.choice([None, 1, 2, 3])) for _ in range(22)}, key=repr)
+    rows = sorted({(r.randrange(6), r.randrange(9), r.choice("xyz"), r.randrange(9), r.choice([None, 1, 2, 3])) for _ in range(22)}, key=repr)
     names = ["a", "b", "c", "d", "e"]
     df = spark.createDataFrame(rows, "a int, b long, c string, d int, e int")
     unique = lambda s: (own := [tuple(row[names.index(c)] for c in s) for row in rows]) and len(keep := [v for v in own if None not in v]) == len(set(keep))
@@ -150,3 +151,38 @@ def test_command_line_finds_or_reads_keys(spark, tmp_path, capsys):
     for flags in (["--discover"], ["--keys", str(tmp_path / "keys.json")]):
         assert cli.main(["introspect", str(tmp_path), *flags]) == 0
         assert json.loads(capsys.readouterr().out)["foreign_keys"] == want
+
+
+EDGES = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.0, 1.0 - 2**-53, 1.0 + 2**-52, 2.0**1023, 1.7976931348623157e308, math.inf, -math.inf, 0.1, -0.1, 3.0, 7.0, 8.0, 1e22, 1e-300, 2.0**52 + 1]
+
+
+def test_ordered_bits_are_exact_and_in_order(spark):
+    r = random.Random(4)
+    xs = sorted({*EDGES, *(-x for x in EDGES), *(r.uniform(-1, 1) * 10.0 ** r.randrange(-320, 308) for _ in range(3000)), *(math.ldexp(1 - 2**-53 * (i % 3), i - 1000) for i in range(1900))})
+    got = [x.b for x in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", profile.ordered_bits(F.col("x")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(set(got)) and [profile.double_of(b) for b in got] == xs
+    assert spark.createDataFrame([(math.nan,)], "x double").select(profile.ordered_bits(F.col("x")).alias("b")).first().b > max(got)
+
+
+@pytest.mark.parametrize("spoil", [[], [1e300], [math.inf, -math.inf], [-1e300, 1e300, 5e-324]])
+def test_percentiles_of_skewed_columns(spark, spoil):
+    """One outlier or infinity beside values that lie close together, a hot value, and a column of nulls."""
+    r = random.Random(6)
+    xs = [r.random() * 1e-3 for _ in range(500)] + [0.25] * 800 + spoil
+    df = spark.createDataFrame([(x, i % 3, None) for i, x in enumerate(xs)], "x double, k int, none double").repartition(5)
+    got = {r.column: r for r in profile.percentiles(df, ["x", "k", "none"]).collect()}
+    assert set(got) == {"x", "k"}
+    for column, own in (("x", sorted(xs)), ("k", sorted(i % 3 for i in range(len(xs))))):
+        for q in profile.PERCENTILES:
+            pos = q * (len(own) - 1)
+            low, high = own[math.floor(pos)], own[math.ceil(pos)]
+            want = low if low == high else low + (high - low) * (pos - math.floor(pos))
+            assert math.isclose(got[column][f"p{int(q * 100)}"], want, abs_tol=1e-6)
+    assert profile.percentiles(df.where("false"), ["x"]).collect() == []
+
+
+def test_childless_with_a_hot_parent(spark):
+    parents = spark.range(100)
+    children = spark.range(5000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).when(F.col("id") % 50 == 0, F.col("id") % 90).alias("p"))
+    want = 100 - len({7, *(i % 90 for i in range(0, 5000, 50))})
+    assert profile.childless(parents, "id", children, "p").first().zero_count == want
