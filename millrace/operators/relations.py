@@ -48,6 +48,59 @@ def assign_parent(child: DataFrame, row_id: Column, parent: DataFrame, pk: str,
     return drawn.join(side, drawn["_idx"] == side["idx"]).withColumn(name, F.col("key")).drop("_idx", "idx", "key")
 
 
+#: Rounds in which each coordinate of a combination is shifted by a draw of the others.
+ROUNDS = 4
+
+
+class TooFewCombinationsError(ValueError):
+    """More distinct combinations are asked for than the parents have."""
+
+
+def unique_combinations(rows: DataFrame, row_no: str, sizes: list[int], names: list[str], key: str, seed: int) -> DataFrame:
+    """``rows`` with one index for each size (0..size-1) as the named columns; no two row numbers share all of them.
+
+    The number is written in mixed radix, and then each coordinate in turn is shifted, modulo its size, by a
+    draw of all others. A shift by what stays as it is can be taken back, so it is a permutation of all combinations,
+    and numbers below the product of the sizes give different ones without a second try.
+    """
+    step = 1
+    for name, n in zip(names, sizes, strict=True):
+        rows = rows.withColumn(name, F.expr(f"(`{row_no}` div {step}) % {n}"))
+        step *= n
+    for r in range(ROUNDS):
+        for k, (name, n) in enumerate(zip(names, sizes, strict=True)):
+            others = F.concat_ws(":", *[F.col(x).cast("string") for x in names if x != name]) if len(names) > 1 else F.lit("")
+            rows = rows.withColumn(name, (F.col(name) + draw(seed, f"{key}.{r}.{k}", others)) % n)
+    return rows
+
+
+def assign_unique_parents(child: DataFrame, row_no: str, n_rows: int, parents: list[tuple[DataFrame, str, str]], key: str, seed: int, counted: str | None = None, short: bool = False) -> DataFrame:
+    """Give the rows numbered 0..n_rows-1 keys of several parents (frame, its key, column) so that no combination repeats.
+
+    With ``counted`` that column gets whole numbers from 1 to as many as it takes; without it the call fails if
+    the parents have fewer combinations than there are rows (with ``short`` it gives each combination once, as no
+    more rows can be distinct). No row is drawn twice, and nothing is shuffled but for the joins with the keys.
+    """
+    indexed = [indexed_keys(frame, pk) for frame, pk, _ in parents]
+    sizes, names = [n for _, n in indexed], [f"_c{k}" for k in range(len(indexed))]
+    product = 1
+    for n in sizes:
+        product *= n
+    if not product and n_rows:
+        raise MissingParentError(key)
+    if counted:
+        sizes, names = [*sizes, max(1, -(-n_rows // max(product, 1)))], [*names, "_counted"]
+    elif n_rows > product and short:
+        child = child.where(F.col(row_no) < product)
+    elif n_rows > product:
+        raise TooFewCombinationsError(f"{key}: {n_rows} rows, {product} combinations")
+    out = unique_combinations(child, row_no, [max(1, n) for n in sizes], names, key, seed)
+    for (keys, n), (_, _, column), name in zip(indexed, parents, names[: len(parents)], strict=True):
+        side = keys.select(F.col("idx").alias(name), F.col("key").alias(column))
+        out = out.join(F.broadcast(side) if n <= BROADCAST_KEYS else side, name).drop(name)
+    return out.withColumn(counted, F.col("_counted") + 1).drop("_counted") if counted else out
+
+
 def assign_earlier_self(df: DataFrame, row_id: str, name: str, seed: int) -> DataFrame:
     """A self-reference: one of the smaller ids (from 1), null for the first row."""
     i = F.col(row_id)
@@ -65,6 +118,9 @@ def lookup_parent(ids: DataFrame, table: DataFrame, pk: str, fk: str) -> DataFra
 
 
 def update_from(table: DataFrame, pk: str, changes: DataFrame, column: str) -> DataFrame:
-    """UPDATE ... FROM: ``changes`` (id, value) overwrite ``column`` where their id matches."""
-    new = changes.select(F.col("id").alias("_id"), F.col("value").alias("_value"))
+    """UPDATE ... FROM: ``changes`` (id, value) overwrite ``column`` where their id matches.
+
+    Of several changes of one id the greatest value counts, so no row is repeated; a null value changes nothing.
+    """
+    new = changes.groupBy(F.col("id").alias("_id")).agg(F.max("value").alias("_value"))
     return table.join(new, table[pk] == new["_id"], "left").withColumn(column, F.coalesce("_value", column)).drop("_id", "_value")

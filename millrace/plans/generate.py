@@ -112,6 +112,23 @@ def _with_parents(df: DataFrame, table: Table, keys: list[ForeignKey], done: dic
     return df
 
 
+def _with_unique_parents(df: DataFrame, table: Table, n: int, scenario: Scenario, keys: list[ForeignKey], done: dict[str, DataFrame], seed: int) -> tuple[DataFrame, set[str]]:
+    """``df`` with the columns of the table's first composite unique key that parents can make distinct; their names."""
+    plan = scenario.tables.get(table.name)
+    for c in table.constraints:
+        if c.kind not in ("unique", "primary_key") or len(c.columns) < 2:
+            continue
+        own = [k for k in keys if k.column in c.columns and k.parent != table.name]
+        free = [x.name for x in table.columns if x.name in c.columns and x.name not in {k.column for k in keys} and not x.identity and x.type.typeName() in ("integer", "long") and not (plan and x.name in plan.overrides)]
+        if not own:
+            continue
+        parents = [(done[k.parent], k.parent_column, k.column) for k in own]
+        label = f"{table.name}.{','.join(c.columns)}"
+        counted = free[0] if free else None
+        return relations.assign_unique_parents(df, _ROW, n, parents, label, seed, counted, short=True), {k.column for k in own} | ({counted} if counted else set())
+    return df, set()
+
+
 def generate(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed: int | None = None, default_rows: int = 10) -> dict[str, DataFrame]:
     """``generated`` with bulk draws."""
     with bulk():
@@ -123,8 +140,10 @@ def generated(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed:
 
     A column is, in this order: left out if generated by the database, a serial if identity,
     null until the second pass if its key is on a broken cycle, a parent's key, an override,
-    or inferred from its name and type. Single unique columns are distinct by construction; of
-    rows that repeat a unique key of several columns one stays, so such a table may be shorter.
+    or inferred from its name and type. Single unique columns are distinct by construction, and so
+    is a table's first unique key of several columns that has foreign keys, by combinations of parents that
+    don't repeat (with a whole number counted up beside them, or else as many rows as there are combinations). Of rows that repeat another
+    unique key of several columns one stays, so such a table may be shorter.
     """
     seed = seed if seed is not None else scenario.seed if scenario.seed is not None else 42
     plan = resolve(graph)
@@ -137,7 +156,9 @@ def generated(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed:
         late = {k.column for k in plan.deferred if k.table == name}
         linked = {k.column for k in keys}
         df = spark.range(counts[name]).withColumnRenamed("id", _ROW).withColumn("_one", F.col(_ROW) + 1)
-        df = _with_parents(df, table, keys, done, seed)
+        df, held = _with_unique_parents(df, table, counts[name], scenario, keys, done, seed)
+        df = _with_parents(df, table, [k for k in keys if k.column not in held], done, seed)
+        linked |= held
         for c in table.columns:
             if c.generated or c.name in linked:
                 continue
@@ -150,7 +171,7 @@ def generated(spark: SparkSession, graph: SchemaGraph, scenario: Scenario, seed:
             df = df.withColumn(c.name, value)
         df = _from_parents(df, table, scenario, keys, done, seed)
         for c in table.constraints:
-            if c.kind in ("unique", "primary_key") and len(c.columns) > 1:
+            if c.kind in ("unique", "primary_key") and len(c.columns) > 1 and not held & set(c.columns):
                 df = df.dropDuplicates(list(c.columns))
         done[name] = df.select(*[F.col(c.name).cast(c.type).alias(c.name) for c in table.columns if not c.generated])
     for k in plan.deferred:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery, temporal
+from millrace.functions.prf import duck_draw
+from millrace.operators import discovery, relations, temporal
 from millrace.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +116,30 @@ def _open_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("sweep_open_by_day", _open_days, f"with l as (select placed, l_shipdate from {_LINES}), e as (select unnest(generate_series(min(placed)::date, max(l_shipdate)::date, interval 1 day)) as day from l) select day::timestamp as day, count(l.placed)::bigint as n_open from e left join l on placed <= day and day < l_shipdate group by 1")
+
+
+# ---- combinations of keys that don't repeat
+
+SEED = 42
+
+
+def _stocked(spark: SparkSession, d: str) -> DataFrame:
+    """Three tenths of all (part, supplier) pairs."""
+    parts, suppliers = _read(spark, d, "part", "p_partkey"), _read(spark, d, "supplier", "s_suppkey")
+    n = parts.count() * suppliers.count() * 3 // 10
+    rows = spark.range(n).withColumnRenamed("id", "row_no")
+    return relations.assign_unique_parents(rows, "row_no", n, [(parts, "p_partkey", "part"), (suppliers, "s_suppkey", "supplier")], "stock", SEED).select("row_no", "part", "supplier")
+
+
+def _rounds(n: int) -> str:
+    """Both coordinates after n rounds, from row_no, np and ns."""
+    if not n:
+        return "(select row_no, np, ns, row_no % np as a, row_no // np as b from rows)"
+    r = n - 1
+    first = f"(select row_no, np, ns, b, (a + {duck_draw(SEED, f'stock.{r}.0', 'b')}) % np as a from {_rounds(r)})"
+    return f"(select row_no, np, ns, a, (b + {duck_draw(SEED, f'stock.{r}.1', 'a')}) % ns as b from {first})"
+
+
+_add("unique_part_suppliers", _stocked, f"""with p as (select p_partkey, row_number() over (order by p_partkey) - 1 as i from part), s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as i from supplier),
+n as (select (select count(*) from part) as np, (select count(*) from supplier) as ns), rows as (select unnest(range(np * ns * 3 // 10)) as row_no, np, ns from n)
+select row_no, p_partkey as part, s_suppkey as supplier from {_rounds(relations.ROUNDS)} join p on p.i = a join s on s.i = b""")

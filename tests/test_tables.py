@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery, profile, temporal
+from millrace.operators import discovery, profile, relations, temporal
 from millrace.plans.schema import ForeignKey
 
 T0 = datetime(2024, 1, 1)
@@ -186,3 +186,51 @@ def test_childless_with_a_hot_parent(spark):
     children = spark.range(5000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).when(F.col("id") % 50 == 0, F.col("id") % 90).alias("p"))
     want = 100 - len({7, *(i % 90 for i in range(0, 5000, 50))})
     assert profile.childless(parents, "id", children, "p").first().zero_count == want
+
+
+@pytest.mark.parametrize("sizes", [[7, 5], [1, 9], [3, 4, 6], [11]])
+def test_combinations_are_a_permutation(spark, sizes):
+    total = math.prod(sizes)
+    names = [f"x{k}" for k in range(len(sizes))]
+    got = [tuple(r[n] for n in names) for r in relations.unique_combinations(spark.range(total), "id", sizes, names, "k", 3).orderBy("id").collect()]
+    assert sorted(got) == sorted(itertools.product(*[range(n) for n in sizes]))
+    assert total < 20 or got != sorted(got)
+
+
+def test_unique_parents_lose_no_row(spark):
+    left, right = spark.range(10, 40), spark.range(5)
+    rows = spark.range(150).withColumnRenamed("id", "n")
+    pairs = relations.assign_unique_parents(rows, "n", 150, [(left, "id", "a"), (right, "id", "b")], "k", 1)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 150
+    with pytest.raises(relations.TooFewCombinationsError):
+        relations.assign_unique_parents(rows, "n", 151, [(left, "id", "a"), (right, "id", "b")], "k", 1)
+    lines = relations.assign_unique_parents(rows, "n", 150, [(right, "id", "b")], "k", 1, counted="line").select("b", "line").distinct()
+    assert lines.count() == 150 and lines.agg(F.max("line")).first()[0] == 30
+    with pytest.raises(relations.MissingParentError):
+        relations.assign_unique_parents(rows, "n", 150, [(right.where("false"), "id", "b")], "k", 1)
+
+
+@pytest.mark.parametrize("bulk", [False, True])
+def test_generated_tables_keep_composite_keys_and_rows(spark, bulk):
+    from pyspark.sql import types as T
+
+    from millrace.plans import generate, scenario
+    from millrace.plans.schema import Column, Constraint, SchemaGraph, Table
+
+    key = Column("id", T.LongType(), identity=True)
+    long = lambda n: Column(n, T.LongType())
+    graph = SchemaGraph(
+        (Table("posts", (key,)), Table("tags", (key,)), Table("post_tags", (long("post_id"), long("tag_id"), Column("note", T.StringType())), (Constraint("primary_key", ("post_id", "tag_id")),)),
+         Table("lines", (key, long("post_id"), Column("line", T.IntegerType())), (Constraint("unique", ("post_id", "line")),))),
+        (ForeignKey("post_tags", "post_id", "posts", "id"), ForeignKey("post_tags", "tag_id", "tags", "id"), ForeignKey("lines", "post_id", "posts", "id")),
+    )
+    plan = scenario.parse({"tables": {"posts": {"count": 40}, "tags": {"count": 6}, "post_tags": {"count": 240}, "lines": {"count": 333}}})
+    out = (generate.generate if bulk else generate.generated)(spark, graph, plan, 9)
+    assert out["post_tags"].count() == out["post_tags"].select("post_id", "tag_id").distinct().count() == 240
+    assert out["lines"].count() == out["lines"].select("post_id", "line").distinct().count() == 333
+
+
+def test_update_repeats_no_row(spark):
+    table = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id int, v int")
+    changes = spark.createDataFrame([(1, 8), (1, 9), (2, None), (9, 1)], "id int, value int")
+    assert sorted(map(tuple, relations.update_from(table, "id", changes, "v").collect())) == [(1, 9), (2, 6), (3, 7)]
