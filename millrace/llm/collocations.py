@@ -9,10 +9,12 @@ Phrases are counted inside a task by the numbers that the task gives to words, s
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ SALTS = 64
 _END = 0xFF  # no UTF-8 text has this byte
 _BYTES = bytes(_END if b in b".,;:!?\n\x0b\x0c\r" else 32 if b in b" \t" else b for b in range(256))
 _MARK = bytes([_END])
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _chunks(texts: list[str]) -> Iterator[bytes]:
@@ -59,43 +61,64 @@ def _cut(data: bytes) -> list[bytes]:
     return out
 
 
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def _word_hashes(words: list[bytes], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _next_hash(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase from that of what stands before its last word, and that word's."""
+    h = (h ^ word) * _M1
+    return h ^ h >> np.uint64(29)
+
+
 class _Chunk:
     """The words of one chunk: ``ids`` in order, -1 at piece ends; ``words`` by id."""
 
     def __init__(self, data: bytes, lang: str):
         found = data.replace(_MARK, b" \xff ").split()
-        numbers: dict[bytes, int] = {_MARK: -1}
-        for w in found:
-            if w not in numbers:
-                numbers[w] = len(numbers) - 1
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers[_MARK] = -1
+        numbers.default_factory = lambda: len(numbers) - 1
         self.ids = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        self.words = list(numbers)[1:]
-        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
+        self.words, self.lang = list(numbers)[1:], lang
+        self._hashes: np.ndarray | None = None
 
-    def phrase_hashes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place: the hash of the k words from there, and whether they are in one piece."""
+    def inside(self, k: int) -> np.ndarray:
+        """For each place: whether the k words from there are in one piece."""
         n = max(len(self.ids) - k + 1, 0)
-        inside, h = np.ones(n, bool), np.zeros(n, np.uint64)
-        by_id = np.append(self.hashes, np.uint64(0))  # -1 finds the last
+        out = np.ones(n, bool)
         for j in range(k):
-            own = self.ids[j : j + n]
-            inside &= own >= 0
-            h = (h ^ by_id[own]) * _M1
-            h ^= h >> np.uint64(29)
-        return h * _M2, inside
-
-    def counted(self, starts: np.ndarray, k: int, hashes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct phrases of k words at these places, their hashes and counts."""
-        key = self.ids[starts]
+            out &= self.ids[j : j + n] >= 0
+        return out
+
+    def phrase_hashes(self, k: int) -> np.ndarray:
+        """For each place the hash of the k words from there; of no use at piece ends."""
+        if self._hashes is None:
+            self._hashes = np.append(_word_hashes(self.words, _seed(self.lang)), np.uint64(0))  # -1 finds the last
+        n = max(len(self.ids) - k + 1, 0)
+        h = np.zeros(n, np.uint64)
+        for j in range(k):
+            h = _next_hash(h, self._hashes[self.ids[j : j + n]])
+        return h
+
+    def counted(self, starts: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+        """Distinct phrases of k words at these places, and their counts."""
+        size = max(len(self.words), 1)
+        key, range_ = self.ids[starts], size
         for j in range(1, k):
-            _, key = np.unique(key, return_inverse=True)
-            key = key * np.int64(len(self.words)) + self.ids[starts + j]
+            if range_ * size >= 1 << 62:  # keys as numbers of the phrases so far
+                _, key = np.unique(key, return_inverse=True)
+                range_ = len(starts)
+            key = key * np.int64(size) + self.ids[starts + j]
+            range_ *= size
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        at = starts[first]
-        rows = self.ids[at[:, None] + np.arange(k)].tolist()
-        w = self.words
-        return [b" ".join([w[i] for i in row]) for row in rows], hashes[at], counts
+        at, words = starts[first], pa.array(self.words, pa.binary())
+        parts = [words.take(pa.array(self.ids[at + j])) for j in range(k)]
+        return (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]).cast(pa.string()), counts
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -103,7 +126,7 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _emitted(docs: DataFrame, k: int, bitmap=None) -> DataFrame:
-    """(lang, phrase, h, n) of phrases of k words by chunk; of level 1 also a row with phrase '' that counts all words."""
+    """(lang, phrase, n) of phrases of k words by chunk; of level 1 also a row with phrase '' that counts all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
@@ -114,29 +137,38 @@ def _emitted(docs: DataFrame, k: int, bitmap=None) -> DataFrame:
             for lang, texts in by_lang.items():
                 for data in _chunks(texts):
                     chunk = _Chunk(data, lang)
-                    h, inside = chunk.phrase_hashes(k)
-                    if known is not None:
-                        part, whole = chunk.phrase_hashes(k - 1)
-                        at = _slots(part, len(known) * 8)
-                        fits = whole & (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                        inside &= fits[:-1] & fits[1:] if len(fits) else inside
-                    starts = np.flatnonzero(inside)
-                    phrases, hashes, counts = chunk.counted(starts, k, h)
-                    if k == 1 and len(starts):
-                        phrases, hashes, counts = [*phrases, b""], np.append(hashes, np.uint64(0)), np.append(counts, len(starts))
-                    if phrases:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "h", "n"])
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, h long, n long")
-
-
-def _bitmap(level: DataFrame, phrases: int):
-    """A broadcast bitmap of the hashes of a level; the words that make it up are 4 million at most."""
+                    fits = chunk.inside(k)
+                    if known is not None and len(fits):
+                        at = _slots(chunk.phrase_hashes(k - 1), len(known) * 8)
+                        frequent = (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                        fits &= frequent[:-1] & frequent[1:]
+                    starts = np.flatnonzero(fits)
+                    if len(starts):
+                        phrases, counts = chunk.counted(starts, k)
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrases)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"])
+                        if k == 1:
+                            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([len(starts)], pa.int64())], names=["lang", "phrase", "n"])
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+
+
+def _bitmap(level: DataFrame, k: int, phrases: int):
+    """A broadcast bitmap of the hashes of a level's phrases of k words; its 64-bit words are 4 million at most."""
     bits = 1 << 12
     while bits < min(phrases * BITS_PER_PHRASE, MOST_BITS):
         bits *= 2
-    slot = F.col("h").bitwiseAND(bits - 1)
-    words = level.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = batch.column(0).to_pylist(), [p.split(b" ") for p in batch.column(1).cast(pa.binary()).to_pylist()]
+            seeds = {lang: _seed(lang) for lang in set(langs)}
+            h = np.zeros(len(found), np.uint64)
+            for j in range(k):
+                h = _next_hash(h, np.fromiter((xxhash.xxh64_intdigest(w[j], seeds[lang]) for w, lang in zip(found, langs, strict=True)), np.uint64, len(found)))
+            slot = _slots(h, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    words = level.select("lang", "phrase").mapInArrow(run, "word long, bit long")
     filled = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(bits // 64, "<i8")
     out[filled["word"].to_numpy()] = filled["bits"].to_numpy()
@@ -147,7 +179,7 @@ def levels(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT)
     """(lang, phrase, k, n): every phrase of up to ``longest`` words that occurs ``min_count`` times; k = 0, phrase '': all words."""
     out, bitmap = None, None
     for k in range(1, longest + 1):
-        found = _emitted(docs, k, bitmap).groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+        found = _emitted(docs, k, bitmap).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         kept = materialize(found.where((F.col("n") >= min_count) | (F.col("phrase") == "")), f"level{k}")
         one = kept.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(k).alias("k"), "n")
         out = one if out is None else out.unionByName(one)
@@ -155,9 +187,9 @@ def levels(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT)
         size = phrases.count()
         if bitmap is not None:
             bitmap.unpersist()
-        if not size:
+        if not size or k == longest:
             break
-        bitmap = _bitmap(phrases, size)
+        bitmap = _bitmap(phrases, k, size)
     return out
 
 
