@@ -33,7 +33,7 @@ PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-](?:[A-Za-z0-9.-](?<!\.\.))*(?<!\.)",
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "ip": r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     # [0-9]([\x20-]?[0-9])+
     "card": r"[0-9](?:[\x200-9-](?<![\x20-]{2}))*[0-9]",
     # \+[0-9][\x20().0-9-]+[0-9]
@@ -48,6 +48,8 @@ REACH = 80
 PREFIX = 3
 #: A word of its own: no part of an address, a number or a longer name.
 _WORD = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}(?![\p{L}\p{N}@_%+-]|\.[\p{L}\p{N}])"
+#: Code points of the blocks from which contexts are cut, and the fewest numbers that a running sum takes at once.
+BLOCK, AT_ONCE = 1024, 64
 #: Tasks that share the rows of one key in a join.
 SALTS = 16
 
@@ -81,24 +83,50 @@ def _of(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's lambdas use it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _summed(numbers: Column) -> Column:
+    """(sum, running sums) of an array by one pass; a list grows by copies, so it must be short."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(numbers, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"] + n)).alias("out")))
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array of any length: in blocks of about its root, whose own sums are then added up."""
+
+    def blocked(x: Column) -> Column:
+        size = F.greatest(F.lit(AT_ONCE), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda k: _summed(F.slice(x, k * size + 1, size)))
+        starts = lambda b: _summed(F.transform(b, lambda y: y["at"]))["out"]
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, starts(b), lambda own, end: F.transform(own["out"], lambda v: v + end - own["at"]))))
+
+    return _let(numbers, lambda x: F.when(F.size(x) > 0, blocked(x)).otherwise(F.array().cast("array<int>")))
+
+
 def _located(text: Column, pattern: str, probe: Column) -> Column:
     """Array of (value, start, end) of all leftmost, non-overlapping matches, in code points.
 
-    The text between matches and the matches themselves, both in order, give the offsets.
+    Lengths of the texts between matches and of the matches themselves, both in order, sum up to the offsets.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["between"])
-        end = begin + F.length(pair["found"])
-        one = F.struct(pair["found"].alias("value"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def spans(f: Column) -> Column:
+        ends = _running(F.zip_with(f, F.slice(between, F.lit(1), F.size(f)), lambda m, b: F.length(m) + F.length(b)))
+        return F.zip_with(f, ends, lambda m, end: F.struct(m.alias("value"), (end - F.length(m)).alias("start"), end.alias("end")))
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda f, b: F.struct(f.alias("found"), b.alias("between")))
     none = F.array().cast("array<struct<value:string,start:int,end:int>>")
-    return F.when(probe, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(none)
+    return F.when(probe, _let(found, lambda f: F.when(F.size(f) > 0, spans(f)).otherwise(none))).otherwise(none)
+
+
+def _cut(blocks: Column, start: Column, length: Column) -> Column:
+    """Code points of the text that was cut into blocks; no more than BLOCK of them, so two blocks hold them."""
+    first = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, first), F.lit("")), F.coalesce(F.get(blocks, first + 1), F.lit("")))
+    return F.substring(two, start - first * BLOCK + 1, length)
 
 
 def _base(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -111,16 +139,21 @@ def _base(docs: DataFrame, carried: list[str]) -> DataFrame:
         good = F.filter(_located(F.col("_text"), PATTERNS[kind], probe), _passing(kind))
         parts.append(F.transform(good, _named(kind)))
 
-    def around(x: Column) -> Column:
+    def around(x: Column, blocks: Column) -> Column:
         """The span with the whole words near it; ``before`` ends where the span starts, ``after`` starts at its end."""
-        before = F.substring(F.col("_text"), F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH)))
-        after = F.substring(F.col("_text"), x["end"] + 1, F.lit(REACH))
+        before = _cut(blocks, F.greatest(x["start"] - REACH, F.lit(0)), F.least(x["start"], F.lit(REACH)))
+        after = _cut(blocks, x["end"], F.lit(REACH))
         before = F.when(x["start"] > REACH, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
         after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
         return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), before.alias("before"), after.alias("after"))
 
-    found = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", F.concat(*parts))
-    return materialize(found.withColumn("_spans", F.transform("_spans", around)).drop("_text"), "spans")
+    def placed(spans: Column) -> Column:
+        blocks = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        return _let(blocks, lambda b: F.transform(spans, lambda x: around(x, b)))
+
+    none = F.array().cast("array<struct<kind:string,value:string,start:int,end:int,before:string,after:string>>")
+    spans = _let(F.concat(*parts), lambda x: F.when(F.size(x) > 0, placed(x)).otherwise(none))
+    return materialize(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", spans).drop("_text"), "spans")
 
 
 def _contexts(base: DataFrame) -> DataFrame:

@@ -254,3 +254,32 @@ def test_terms_equal_brute_force(spark):
     want = {i: ",".join(f"term:{s}:{e}" for s, e in sorted(spans)) for i, spans in brute_terms(rows).items()}
     got = {r.doc_id: ",".join(x for x in r.spans.split(",") if x.startswith("term")) for r in pii.pii_report(docs).collect()}
     assert {i: t for i, t in got.items() if t} == want and len(want) > 5
+
+
+def test_personal_data_in_very_long_texts(spark):
+    """20,000 values, or 100,000 digits, in one text take seconds, and places are right to the end."""
+    import time
+
+    many = " ".join(f"é name{i}@host{i % 7}.example.org" for i in range(20_000))
+    texts = [many, "1.2.3 " + "7" * 100_000, "+" * 50_000 + " 1.2.3.4", "a@" * 50_000, "4 " * 50_000, "1." * 50_000 + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
+    assert time.perf_counter() - began < 90
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", many))
+    assert got[0].n_email == 20_000 and got[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert (got[1].n_ip, got[2].n_ip, got[3].n_email, got[5].n_ip) == (0, 1, 0, 12_500)
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    rows = [[r.randrange(50) for _ in range(n)] for n in (0, 1, 63, 64, 65, 128, 129, 5000, 70_001)]
+    got = spark.createDataFrame([(x,) for x in rows], "x array<int>").select("x", pii._running(F.col("x")).alias("y")).collect()
+    for x, y in got:
+        at, want = 0, []
+        for n in x:
+            at += n
+            want.append(at)
+        assert y == want
