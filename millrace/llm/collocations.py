@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import materialize, slices
 
 MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 SCALE, COVERED = 2_000_000, 80
 #: Bits of a level's bitmap for each of its phrases, and the most there are.
 BITS_PER_PHRASE, MOST_BITS = 64, 1 << 28
-#: Bytes of text that a task counts at once.
-CHUNK = 4_000_000
+#: Bytes of text that a task counts at once, and those that it holds of all languages until then.
+CHUNK, MOST_HELD = 3_000_000, 9_000_000
 #: Salts of a language when its best phrases are chosen.
 SALTS = 64
 
@@ -36,19 +36,35 @@ _MARK = bytes([_END])
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _chunks(texts: list[str]) -> Iterator[bytes]:
-    """Lower-cased bytes with spaces and piece ends only, cut at piece ends into CHUNK bytes or one piece."""
-    held, size = [], 0
-    for t in texts:
-        data = t.encode("utf-8", "surrogatepass").lower().translate(_BYTES)  # bytes.lower() knows A-Z only
-        for part in [data] if len(data) <= CHUNK else _cut(data):
-            held.append(part)
-            size += len(part)
-            if size >= CHUNK:
-                yield _MARK.join(held)
-                held, size = [], 0
-    if held:
-        yield _MARK.join(held)
+def _pieces(text: str) -> list[bytes]:
+    """The lower-cased bytes of a text with spaces and piece ends only, cut at piece ends into CHUNK bytes or one piece."""
+    data = text.encode("utf-8", "surrogatepass").lower().translate(_BYTES)  # bytes.lower() knows A-Z only
+    return [data] if len(data) <= CHUNK else _cut(data)
+
+
+class _Held:
+    """Texts of each language until there are CHUNK bytes of it, or MOST_HELD of all."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[bytes]] = {}
+        self.sizes: dict[str, int] = {}
+
+    def add(self, lang: str, text: str) -> Iterator[tuple[str, bytes]]:
+        for part in _pieces(text):
+            self.parts.setdefault(lang, []).append(part)
+            self.sizes[lang] = self.sizes.get(lang, 0) + len(part) + 1
+            if self.sizes[lang] >= CHUNK:
+                yield lang, self._taken(lang)
+            elif sum(self.sizes.values()) >= MOST_HELD:
+                yield from self.rest()
+
+    def _taken(self, lang: str) -> bytes:
+        del self.sizes[lang]
+        return _MARK.join(self.parts.pop(lang))
+
+    def rest(self) -> Iterator[tuple[str, bytes]]:
+        for lang in list(self.parts):
+            yield lang, self._taken(lang)
 
 
 def _cut(data: bytes) -> list[bytes]:
@@ -128,26 +144,29 @@ def _slots(h: np.ndarray, bits: int) -> np.ndarray:
 def _emitted(docs: DataFrame, k: int, bitmap=None) -> DataFrame:
     """(lang, phrase, n) of phrases of k words by chunk; of level 1 also a row with phrase '' that counts all words."""
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        held = _Held()
+        for whole in batches:
+            for batch in slices(whole, 1):
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield from held.add("und" if lang is None else lang, text or "")
+        yield from held.rest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
-        for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault("und" if lang is None else lang, []).append(text or "")
-            for lang, texts in by_lang.items():
-                for data in _chunks(texts):
-                    chunk = _Chunk(data, lang)
-                    fits = chunk.inside(k)
-                    if known is not None and len(fits):
-                        at = _slots(chunk.phrase_hashes(k - 1), len(known) * 8)
-                        frequent = (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                        fits &= frequent[:-1] & frequent[1:]
-                    starts = np.flatnonzero(fits)
-                    if len(starts):
-                        phrases, counts = chunk.counted(starts, k)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrases)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"])
-                        if k == 1:
-                            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([len(starts)], pa.int64())], names=["lang", "phrase", "n"])
+        for lang, data in chunks(batches):
+            chunk = _Chunk(data, lang)
+            fits = chunk.inside(k)
+            if known is not None and len(fits):
+                at = _slots(chunk.phrase_hashes(k - 1), len(known) * 8)
+                frequent = (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                fits &= frequent[:-1] & frequent[1:]
+            starts = np.flatnonzero(fits)
+            if len(starts):
+                phrases, counts = chunk.counted(starts, k)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrases)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"])
+                if k == 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([len(starts)], pa.int64())], names=["lang", "phrase", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
 

@@ -214,11 +214,15 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     assert collocations.collocations(docs.where("false")).count() == 0
 
 
-def test_chunks_cut_at_piece_ends(monkeypatch):
+@pytest.mark.parametrize("held", [25, 10**6])
+def test_chunks_cut_at_piece_ends(monkeypatch, held):
     monkeypatch.setattr(collocations, "CHUNK", 20)
-    texts = ["one two, three four five. six", "x" * 50 + " y", "", "a;b;c;d;e;f;g;h;i;j;k;l"]
-    pieces = [p for c in collocations._chunks(texts) for p in c.split(b"\xff") if p.strip()]
-    assert pieces == [p.encode() for t in texts for p in re.split("[.,;]", t) if p.strip()]
+    monkeypatch.setattr(collocations, "MOST_HELD", held)
+    texts = [("en", "one two, three four five. six"), ("de", "x" * 50 + " y"), ("en", ""), ("fr", "a;b;c;d;e;f;g;h;i;j;k;l")]
+    own = collocations._Held()
+    found = [x for lang, t in texts for x in own.add(lang, t)] + list(own.rest())
+    pieces = sorted((lang, p) for lang, c in found for p in c.split(b"\xff") if p.strip())
+    assert pieces == sorted((lang, p.encode()) for lang, t in texts for p in re.split("[.,;]", t) if p.strip())
 
 
 def test_scores_past_64_bits(spark):
