@@ -253,6 +253,73 @@ def ranged(i: Column, seed: int, key: str, low: float, high: float, kind: str =
     return real(i, seed, key, low, high).cast(kind)
 
 
+def picked(x: Column, counts: Sequence[int]) -> Column:
+    """The index, from 0, of the count in whose part of their running sum a whole number x, modulo the sum, lies."""
+    ends, at = [], 0
+    for n in counts:
+        at += n
+        ends.append(at)
+    r = F.pmod(x, F.lit(max(at, 1)))
+    return F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends[:-1]] or [F.lit(1 << 62)]), lambda e: e <= r)).cast("long")
+
+
+def inverse(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
+    """The value at rank u in [0, 1) of a distribution by its quantiles (share, value), linear between them."""
+    out = None
+    for (q, v), (r, w) in zip(knots, knots[1:], strict=False):
+        own = F.lit(float(v)) + (u - F.lit(float(q))) * F.lit((w - v) / (r - q))
+        out = (F.when if out is None else out.when)(u < F.lit(float(r)), own)
+    return F.lit(float(knots[0][1])) if out is None else out.otherwise(F.lit(float(knots[-1][1])))
+
+
+def shaped(u: Column, knots: Sequence[tuple[float, float]], kind: str = "double") -> Column:
+    """``inverse`` as a column's type; whole numbers are the nearest."""
+    value = inverse(u, knots)
+    return F.floor(value + 0.5).cast(kind) if kind in ("tinyint", "smallint", "int", "bigint") else value.cast(kind)
+
+
+def joint_ranks(i: Column, seed: int, key: str, counts: Sequence[Sequence[Sequence[int]]]) -> list[Column]:
+    """Ranks in [0, 1) of columns that hang together: a chain of empirical copulas.
+
+    ``counts[k][a][b]`` is how many rows have column k in bin a and column k + 1 in bin b. The first column's bin is drawn
+    by its rows, each further one's by those that share the bin before it; inside a bin ranks are even.
+    """
+    bins = len(counts[0])
+    at = picked(draw(seed, f"{key}.bin0", i), [sum(row) for row in counts[0]])
+    out = [at]
+    for k, table in enumerate(counts, 1):
+        x = draw(seed, f"{key}.bin{k}", i)
+        choice = F.when(at == 0, picked(x, table[0]))
+        for a in range(1, bins):
+            choice = choice.when(at == a, picked(x, table[a]))
+        at = choice
+        out.append(at)
+    return [(b + unit(draw(seed, f"{key}.rank{k}", i))) / F.lit(float(bins)) for k, b in enumerate(out)]
+
+
+def dated(i: Column, seed: int, key: str, months: Mapping[str, int], hours: Mapping[str, float], weekday_ratio: float | None, low: str, high: str) -> Column:
+    """A time by densities: month by its rows, a day of it, moved by as little as makes the share of weekdays, hour by its share.
+
+    The result lies in low..high. Shares of hours count in millionths.
+    """
+    names = sorted(months)
+    month = F.add_months(F.lit(f"{names[0]}-01").cast("date"), F.get(F.array(*[F.lit(12 * (int(m[:4]) - int(names[0][:4])) + int(m[5:]) - int(names[0][5:])) for m in names]), picked(draw(seed, f"{key}.month", i), [months[m] for m in names]).cast("int")))
+    last = F.last_day(month)
+    day = F.date_add(month, F.pmod(draw(seed, f"{key}.day", i), F.dayofmonth(last)).cast("int"))
+    if weekday_ratio is not None:
+        week = F.weekday(day)
+        back = F.when((week == 5) & (day == month), 2).when(week == 5, -1).when((week == 6) & (day == last), -2).when(week == 6, 1).otherwise(0)
+        coin = F.pmod(draw(seed, f"{key}.end", i), F.lit(2)).cast("int")
+        ahead = F.date_add(day, 5 - week)
+        away = F.when(week >= 5, 0).when(F.date_add(ahead, coin) <= last, 5 - week + coin).when(ahead <= last, 5 - week).otherwise(-(week + 1))
+        day = F.date_add(day, F.when(unit(draw(seed, f"{key}.week", i)) * 100 < F.lit(float(weekday_ratio)), back).otherwise(away))
+    shares = [round(hours.get(str(h), 0.0) * 1_000_000) for h in range(24)]
+    hour = picked(draw(seed, f"{key}.hour", i), shares) if sum(shares) else F.lit(0)
+    second = F.pmod(draw(seed, f"{key}.second", i), F.lit(3600))
+    at = F.timestamp_add("SECOND", (hour * 3600 + second).cast("int"), day.cast("timestamp_ntz"))
+    return F.least(F.greatest(at, F.lit(low).cast("timestamp_ntz")), F.lit(high).cast("timestamp_ntz"))
+
+
 def with_nulls(value: Column, i: Column, seed: int, key: str, null_rate: float) -> Column:
     """Null for ``null_rate`` percent of the rows."""
     return F.when(unit(draw(seed, f"{key}.null", i)) * 100 >= null_rate, value)

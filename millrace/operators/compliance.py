@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.profile import percent
+from millrace.operators.temporal import running_sums
 
 TOLERANCE = 5.0
 
@@ -20,6 +21,40 @@ def distribution_gap(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return a.join(b, "value", "full_outer").agg(F.round(F.coalesce(F.max(gap), F.lit(0.0)), 6).alias("max_gap"))
 
 
+def ks_gap(expected: DataFrame, c: str, actual: DataFrame, d: str) -> DataFrame:
+    """ks_gap: greatest difference between the shares of values up to any value (0 to 1); null if either side has none.
+
+    Values are counted before they are shuffled, and summed in their order by two levels.
+    """
+    e = expected.select(F.col(c).cast("double").alias("v"), F.lit(1).alias("e"), F.lit(0).alias("a"))
+    a = actual.select(F.col(d).cast("double").alias("v"), F.lit(0).alias("e"), F.lit(1).alias("a"))
+    counts = e.unionByName(a).where("v is not null").groupBy("v").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    sums = running_sums(counts, "v", "e", "a")
+    total = counts.agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
+    gap = F.abs(F.col("before_e") / F.nullif("_e", F.lit(0)) - F.col("before_a") / F.nullif("_a", F.lit(0)))
+    return sums.join(F.broadcast(total)).agg(F.round(F.max(gap), 6).alias("ks_gap"))  # one row
+
+
+def _ranks(df: DataFrame, c: str) -> DataFrame:
+    """(value, rank): the mean rank, from 1, of all rows with a value."""
+    counts = df.groupBy(F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("n"))
+    return running_sums(counts, f"_{c}", "n").select(f"_{c}", (F.col("before_n") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """correlation: that of the ranks of two columns, ties sharing their mean rank, over rows that have both.
+
+    Equal pairs are counted first, so a frequent pair is one row of the joins with the ranks.
+    """
+    own = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    pairs = own.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    ranked = pairs.join(_ranks(own, "x"), F.col("x") == F.col("_x")).join(_ranks(own, "y"), F.col("y") == F.col("_y"))
+    total = own.agg(((F.count(F.lit(1)) + 1) / 2).alias("_mean"))
+    a, b, w = F.col("rank_x") - F.col("_mean"), F.col("rank_y") - F.col("_mean"), F.col("w")
+    sums = ranked.join(F.broadcast(total)).agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    return sums.select(F.round(F.col("ab") / F.nullif(F.sqrt(F.col("aa") * F.col("bb")), F.lit(0.0)), 6).alias("correlation"))
+
+
 def rows_per_parent(child: DataFrame, parent: DataFrame) -> DataFrame:
     """Child rows over parent rows, 0 without parents."""
     n = child.agg(F.count(F.lit(1)).cast("double").alias("_c")).join(F.broadcast(parent.agg(F.count(F.lit(1)).cast("double").alias("_p"))))

@@ -69,12 +69,12 @@ def double_of(bits: int) -> float:
     return -x if bits < 0 else x
 
 
-def percentiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, p25, p50, p75, p95, p99): exact interpolated percentiles of each column that has a value.
+def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = PERCENTILES) -> DataFrame:
+    """(column, p25, p50, p75, p95, p99 or what shares are asked for): exact interpolated percentiles of each column that has a value.
 
     Radix selection in four scans: each counts, by 16 bits of the ordered integers, the values that share the
     bits found so far with a wanted rank, and so finds the next bits. Only counts are shuffled, at most 65,536
-    for each column and prefix, however the values are spread; ten prefixes a column come to the driver.
+    for each column and prefix, however the values are spread; two prefixes for each share come to the driver.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ordered_bits(_double(F.col(f"`{c}`"))).alias("bits")) for i, c in enumerate(columns)]))
     values = df.select(pairs.alias("x")).select("x.*").where("bits is not null")
@@ -92,10 +92,10 @@ def percentiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         if shift == 48:
             wanted = {}
             for r in sums.groupBy("i").agg(F.sum("n").alias("total")).collect():
-                for q in PERCENTILES:
+                for q in shares:
                     pos = q * (r.total - 1)
                     for rank in sorted({math.floor(pos), math.ceil(pos)}):
-                        wanted.setdefault((r.i, 0), []).append((f"p{int(q * 100)}", pos, rank))
+                        wanted.setdefault((r.i, 0), []).append((f"p{q * 100:g}", pos, rank))
             if not wanted:
                 break
         asked = spark.createDataFrame([(i, up, rank) for (i, up), ranks in wanted.items() for rank in sorted({r for _, _, r in ranks})], "i int, up long, rank long")
@@ -107,10 +107,10 @@ def percentiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 at, rest = found[i, up, rank]
                 narrower.setdefault((i, at), []).append((name, pos, rest))
         wanted = narrower
-    return spark.createDataFrame(_interpolated(wanted, columns), "column string, " + ", ".join(f"p{int(q * 100)} double" for q in PERCENTILES))
+    return spark.createDataFrame(_interpolated(wanted, columns, shares), "column string, " + ", ".join(f"`p{q * 100:g}` double" for q in shares))
 
 
-def _interpolated(found: dict[tuple[int, int], list[tuple[str, float, int]]], columns: Sequence[str]) -> list[tuple]:
+def _interpolated(found: dict[tuple[int, int], list[tuple[str, float, int]]], columns: Sequence[str], shares: Sequence[float]) -> list[tuple]:
     """One row for each column from the values at the ranks beside each percentile."""
     ends: dict[tuple[int, str], list[tuple[float, float]]] = {}
     for (i, bits), ranks in found.items():
@@ -122,7 +122,7 @@ def _interpolated(found: dict[tuple[int, int], list[tuple[str, float, int]]], co
         (low, pos), high = near[0], near[-1][0]
         weight = pos - math.floor(pos)
         out.setdefault(i, {})[name] = low if low == high or not weight else low * (1 - weight) + high * weight
-    return [(columns[i], *[_rounded(row[f"p{int(q * 100)}"]) for q in PERCENTILES]) for i, row in sorted(out.items())]
+    return [(columns[i], *[_rounded(row[f"p{q * 100:g}"]) for q in shares]) for i, row in sorted(out.items())]
 
 
 def _rounded(x: float) -> float:
@@ -152,6 +152,31 @@ def _buffered(c: str) -> list[Column]:
     return [F.round(p[k], 6).alias(f"p{int(q * 100)}") for k, q in enumerate(PERCENTILES)]
 
 
+#: Bins of equal shares in which columns are profiled together.
+BINS = 8
+
+
+def joint_shape(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict:
+    """How the ranks of neighbouring columns go together: edges of their bins and counts of rows by pair of bins.
+
+    Rows with a null in any of the columns are left out. Edges are exact quantiles; a bin holds the values from
+    its lower edge to below its upper one. All pairs share one scan; bins squared counts a pair come to the driver.
+    """
+    own = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).dropna()
+    found = percentiles(own, own.columns, [k / bins for k in range(bins)] + [1.0]).orderBy("column").collect()
+    edges = {r["column"]: list(r[1:]) for r in found}
+
+    def bin_of(c: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, edges.get(c, [0.0] * (bins + 1))[1:-1])), lambda e: e <= F.col(c)))
+
+    at = [bin_of(c) for c in own.columns]
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), at[k].alias("a"), at[k + 1].alias("b")) for k in range(len(columns) - 1)]))
+    counts = [[[0] * bins for _ in range(bins)] for _ in range(len(columns) - 1)]
+    for r in own.select(pairs.alias("x")).select("x.*").groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.k][r.a][r.b] = r.n
+    return {"columns": list(columns), "bins": bins, "edges": [edges.get(c, []) for c in own.columns], "counts": counts}
+
+
 def _distinct(df: DataFrame, c: str) -> Column:
     """Number of distinct values; of texts by their digests, so that no text is shuffled."""
     x = F.col(c)

@@ -79,16 +79,18 @@ def interval_join(points: DataFrame, at: str, intervals: DataFrame, start: str,
     return pairs.select(*own, *[F.col(f"_i{n}").alias(c if c not in points.columns else f"{c}_right") for n, c in enumerate(intervals.columns)])
 
 
-def running_sums(deltas: DataFrame, order: str, value: str) -> DataFrame:
-    """deltas (one row for each ``order``) with ``before``: the sum of ``value`` over all rows up to it, by two levels.
+def running_sums(deltas: DataFrame, order: str, *values: str) -> DataFrame:
+    """deltas (one row for each ``order``) with ``before_`` and a value's name: its sum over all rows up to this one, by two levels.
 
     Rows are dealt by range, each range sums alone, and starts where those before it end.
     """
     dealt = materialize(deltas.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "sweep")
-    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each range
+    sums = dealt.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_start_{v}") for v in values])  # a row for each range
     here = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return dealt.withColumn("_here", F.sum(value).over(here)).join(F.broadcast(starts), "_range").withColumn("before", F.col("_start") + F.col("_here")).drop("_range", "_here", "_start")
+    own = dealt.select("*", *[F.sum(v).over(here).alias(f"_here_{v}") for v in values]).join(F.broadcast(starts), "_range")
+    return own.select(*deltas.columns, *[(F.col(f"_start_{v}") + F.col(f"_here_{v}")).alias(f"before_{v}") for v in values])
 
 
 def open_counts(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str) -> DataFrame:
@@ -104,7 +106,7 @@ def open_counts(points: DataFrame, at: str, intervals: DataFrame, start: str, en
     p = points.withColumn("_t", _micros(F.col(f"`{at}`")))
     asked = p.where("_t is not null").select("_t", F.lit(0).alias("_step"))
     changes = steps.unionByName(asked).groupBy("_t").agg(F.sum("_step").alias("_step"))
-    sums = running_sums(changes, "_t", "_step").select("_t", F.col("before").alias("n_open"))
+    sums = running_sums(changes, "_t", "_step").select("_t", F.col("before__step").alias("n_open"))
     return p.join(sums, "_t", "left").drop("_t")
 
 

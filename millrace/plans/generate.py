@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from millrace.functions import generators as G
 from millrace.functions.classify import detect
-from millrace.functions.prf import bulk, draw
+from millrace.functions.prf import bulk, draw, unit
 from millrace.operators import relations
 from millrace.plans.scenario import Override, Scenario
 from millrace.plans.schema import Column, ForeignKey, SchemaGraph, Table, resolve
@@ -28,6 +28,13 @@ def _overridden(o: Override, column: Column, seed: int, key: str) -> Any:
         return G.weighted(i, seed, key, o.value, kind)
     if o.kind == "timeline":  # outside a simulation the last keyframe holds
         return G.weighted(i, seed, key, o.value[max(o.value)], kind)
+    if o.kind == "quantiles":
+        return G.shaped(unit(draw(seed, key, i)), o.value, kind)
+    if o.kind == "density":
+        return G.dated(i, seed, key, *o.value)
+    if o.kind == "joint":  # (ranks of the table's joint columns, this one's place, its quantiles)
+        counts, place, knots = o.value
+        return G.shaped(G.joint_ranks(i, seed, key.partition(".")[0] + ".joint", counts)[place], knots, kind)
     if o.kind == "range":
         return G.ranged(i, seed, key, *o.value, kind)
     if o.kind == "generator":

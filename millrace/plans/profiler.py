@@ -27,6 +27,7 @@ class Options:
     sensitive_patterns: tuple[str, ...] = SENSITIVE_PATTERNS
     include_tables: tuple[str, ...] = ()
     exclude_tables: tuple[str, ...] = ()
+    joint: Mapping[str, Sequence[str]] = field(default_factory=dict)  # table: numeric columns profiled together
 
 
 @dataclass
@@ -186,7 +187,12 @@ def _table_document(df: DataFrame, t: Table, options: Options, audit: Audit) ->
             audit.skip(h, t.name, c)
             if left := skipped_document(h):
                 columns[c] = left
-    return {"row_count": one["*"], "columns": dict(sorted(columns.items())), "parent_ratios": {}}
+    document = {"row_count": one["*"], "columns": dict(sorted(columns.items())), "parent_ratios": {}}
+    together = [c for c in options.joint.get(t.name, ()) if read.get(c) == "numeric"]
+    if len(together) > 1:
+        audit.query("joint", t.name, ",".join(together))
+        document["joint"] = P.joint_shape(df, together)
+    return document
 
 
 def planned(graph: SchemaGraph, options: Options | None = None) -> list[tuple[str, str, str]]:

@@ -125,7 +125,7 @@ def parse_churn(spec: Mapping[str, Any]) -> Churn:
 
 @dataclass(frozen=True)
 class Override:
-    kind: str  # distribution, range, formula, generator, timeline or from_parent
+    kind: str  # distribution, range, quantiles, density, joint, formula, generator, timeline or from_parent
     value: Any
 
 
@@ -269,13 +269,23 @@ def _days(iso: str) -> float:
     return (datetime.fromisoformat(iso) - datetime(1970, 1, 1)).total_seconds() / 86_400
 
 
+def _knots(stats: Mapping[str, Any]) -> tuple[tuple[float, float], ...]:
+    """(share, value) from least to greatest; a percentile may not fall below the one before it."""
+    named = [(0.0, stats["min"]), *((int(p[1:]) / 100, v) for p, v in sorted(stats["percentiles"].items(), key=lambda x: int(x[0][1:]))), (1.0, stats["max"])]
+    out: list[tuple[float, float]] = []
+    for q, v in named:
+        out.append((q, max(float(v), out[-1][1]) if out else float(v)))
+    return tuple(out)
+
+
 def from_profile(profile: Mapping[str, Any], scale: float = 1.0) -> Scenario:
     """A scenario that regenerates a profiled database at a scale in (0, 1].
 
     A table without parents gets its rows times the scale, at least one; another the rounded
     bounds of its average number per parent, for the parent with the highest average.
-    Categorical columns keep their distribution, numeric ones their range, booleans their
-    rate, dates and times their range, and every column its null rate.
+    Categorical columns keep their distribution, numeric ones their quantiles, booleans their
+    rate, dates and times their range and their shares of months, hours and weekdays, columns profiled
+    together how their ranks go together, and every column its null rate.
     """
     if not 0 < scale <= 1:
         raise ScenarioError("scale must be over 0 and at most 1")
@@ -288,11 +298,15 @@ def from_profile(profile: Mapping[str, Any], scale: float = 1.0) -> Scenario:
             if stats["type"] == "categorical":
                 over[c] = Override("distribution", dict(stats["distribution"]))
             elif stats["type"] == "numeric":
-                over[c] = Override("range", (stats["min"], stats["max"]))
+                over[c] = Override("quantiles", _knots(stats)) if stats.get("percentiles") else Override("range", (stats["min"], stats["max"]))
             elif stats["type"] == "boolean":
                 over[c] = Override("distribution", {"true": stats["true_rate"], "false": 100 - stats["true_rate"] - stats.get("null_rate", 0.0)})
             elif stats["type"] == "timestamp" and None not in stats["range"]:
-                over[c] = Override("range", tuple(map(_days, stats["range"])))
+                low, high = stats["range"]
+                over[c] = Override("density", (stats["monthly_density"], stats.get("hourly_density") or {}, stats.get("weekday_ratio"), low, high)) if stats.get("monthly_density") else Override("range", (_days(low), _days(high)))
+        joint = t.get("joint")
+        for k, c in enumerate(joint["columns"] if joint else ()):
+            over[c] = Override("joint", (joint["counts"], k, tuple((i / joint["bins"], v) for i, v in enumerate(joint["edges"][k]))))
         ratios = t.get("parent_ratios") or {}
         if ratios:
             parent, r = max(ratios.items(), key=lambda x: (x[1]["avg"], x[0]))

@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.prf import duck_draw
-from millrace.operators import discovery, relations, temporal
+from millrace.functions import generators
+from millrace.functions.prf import draw, duck_draw, duck_unit, unit
+from millrace.operators import compliance, discovery, profile, relations, temporal
+from millrace.plans import generate, profiler, scenario
+from millrace.plans.schema import SchemaGraph
 from millrace.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +146,134 @@ def _rounds(n: int) -> str:
 _add("unique_part_suppliers", _stocked, f"""with p as (select p_partkey, row_number() over (order by p_partkey) - 1 as i from part), s as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as i from supplier),
 n as (select (select count(*) from part) as np, (select count(*) from supplier) as ns), rows as (select unnest(range(np * ns * 3 // 10)) as row_no, np, ns from n)
 select row_no, p_partkey as part, s_suppkey as supplier from {_rounds(relations.ROUNDS)} join p on p.i = a join s on s.i = b""")
+
+
+# ---- shapes: distributions and rank correlations of given columns, and rows regenerated from a profile
+
+
+def _ks_sql(e: str, a: str) -> str:
+    """The greatest gap between two relations with a column v."""
+    return f"""select round(max(abs(ce::double / te - ca::double / ta)), 6) as ks_gap from (select sum(sum(e)) over w as ce, sum(sum(a)) over w as ca, (select count(v) from {e}) as te, (select count(v) from {a}) as ta
+from (select v, 1 as e, 0 as a from {e} where v is not null union all select v, 0, 1 from {a} where v is not null) group by v window w as (order by v))"""
+
+
+def _rank_sql(rows: str) -> str:
+    """Spearman's correlation of a relation with columns x and y, without nulls."""
+    mean = lambda c: f"(rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double)"
+    return f"select round(corr(a, b), 6) as correlation from (select {mean('x')} as a, {mean('y')} as b from {rows})"
+
+
+_FLAGS = "(select l_extendedprice as v from lineitem where l_returnflag {how} 'R')"
+_add("ks_gap_returned", lambda spark, d: (lambda df: compliance.ks_gap(df.where("l_returnflag <> 'R'"), "l_extendedprice", df.where("l_returnflag = 'R'"), "l_extendedprice"))(_read(spark, d, "lineitem")), _ks_sql(_FLAGS.format(how="<>"), _FLAGS.format(how="=")))
+_add("rank_correlation_lineitem", lambda spark, d: compliance.rank_correlation(_read(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), _rank_sql("(select l_quantity as x, l_extendedprice as y from lineitem)"))
+_PAIR, _BINS = ("l_quantity", "l_extendedprice"), profile.BINS
+
+
+def _shaped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """As many lines as there are, with quantity and price drawn together."""
+    lines = _read(spark, d, "lineitem", *_PAIR)
+    shape = profile.joint_shape(lines, _PAIR)
+    ranks = generators.joint_ranks(F.col("id"), SEED, "lines", shape["counts"])
+    knots = [[(k / _BINS, v) for k, v in enumerate(edges)] for edges in shape["edges"]]
+    return spark.range(lines.count()).select("id", *[F.round(generators.inverse(u, own), 4).alias(c) for u, own, c in zip(ranks, knots, _PAIR, strict=True)])
+
+
+def _bin(counts: str, x: str) -> str:
+    return f"len(list_filter({counts}, lambda e: e <= {x}))"
+
+
+def _edge(c: str) -> str:
+    return "[" + ", ".join(f"round(quantile_cont({c}, {k / _BINS}), 6)" for k in range(_BINS + 1)) + "]"
+
+
+_AT = f"least(floor(u * {_BINS}), {_BINS - 1})::bigint"
+_INVERSE = f"e[{_AT} + 1] + (u - {_AT} / {float(_BINS)}::double) * ((e[{_AT} + 2] - e[{_AT} + 1]) / ({1 / _BINS}::double))"
+
+
+def _value(column: str, edges: str, at: str, name: str) -> str:
+    u = f"(({at} + {duck_unit(duck_draw(SEED, f'lines.rank{name}', 'id'))}) / {float(_BINS)}::double)"
+    return f"(select round({_INVERSE.replace('u * ', u + ' * ').replace('(u - ', '(' + u + ' - ').replace('e[', edges + '[')}, 4)) as {column}"
+
+
+_SHAPED_LINES = f"""(with e as (select {_edge('l_quantity')} as qe, {_edge('l_extendedprice')} as pe from lineitem),
+b as (select len(list_filter(qe[2:{_BINS}], lambda v: v <= l_quantity)) as a, len(list_filter(pe[2:{_BINS}], lambda v: v <= l_extendedprice)) as b from lineitem, e),
+g as (select x.a, y.b, (select count(*) from b where b.a = x.a and b.b = y.b) as n from range({_BINS}) x(a), range({_BINS}) y(b)),
+t as (select a, list(up order by b) as ups, max(up) as total from (select a, b, sum(n) over (partition by a order by b)::bigint as up from g) group by a),
+m as (select list(up order by a) as ups, max(up) as total from (select a, sum(total) over (order by a)::bigint as up from t)),
+r as (select range as id from range((select count(*) from lineitem))),
+i as (select id, {_bin(f'm.ups[:{_BINS - 1}]', duck_draw(SEED, 'lines.bin0', 'id') + ' % m.total')} as a from r, m),
+j as (select id, i.a, {_bin(f't.ups[:{_BINS - 1}]', duck_draw(SEED, 'lines.bin1', 'id') + ' % greatest(t.total, 1)')} as b from i join t on t.a = i.a)
+select id, {_value('l_quantity', 'qe', 'a', '0')}, {_value('l_extendedprice', 'pe', 'b', '1')} from j, e)"""
+_add("shape_lines", _shaped_lines, f"select id, l_quantity, l_extendedprice from {_SHAPED_LINES}")
+
+
+def _shaped_orders(spark: SparkSession, d: str) -> DataFrame:
+    """As many orders as there are, by the quantiles of prices and the months, weekdays and hours of dates."""
+    doc = profiler.collect(spark, d, _only(spark, d, "orders"))["tables"]["orders"]
+    plan = scenario.from_profile({"tables": {"orders": doc}}).tables["orders"].overrides
+    price = F.round(generators.inverse(unit(draw(SEED, "orders.o_totalprice", F.col("id"))), plan["o_totalprice"].value), 4)
+    return spark.range(doc["row_count"]).select("id", price.alias("o_totalprice"), generators.dated(F.col("id"), SEED, "orders.o_orderdate", *plan["o_orderdate"].value).alias("o_orderdate"))
+
+
+def _only(spark: SparkSession, d: str, *tables: str) -> SchemaGraph:
+    return catalog.introspect(spark, d, catalog.DRIVER_KEYS).filtered(tables)
+
+
+def _at(part: str) -> str:
+    return duck_draw(SEED, f"orders.o_orderdate.{part}", "id")
+
+
+_KNOTS = (0.0, *profile.PERCENTILES, 1.0)
+_SEGMENTS = " ".join(f"when u < {r!r}::double then q[{k}] + (u - {q!r}::double) * ((q[{k + 1}] - q[{k}]) / ({r!r}::double - {q!r}::double))" for k, (q, r) in enumerate(zip(_KNOTS, _KNOTS[1:], strict=False), 1))
+_SHAPED_ORDERS = f"""(with s as (select [min(o_totalprice), {', '.join(f'round(quantile_cont(o_totalprice, {q}), 6)' for q in profile.PERCENTILES)}, max(o_totalprice)] as q, min(o_orderdate) as low, max(o_orderdate) as high,
+count(*) filter (where isodow(o_orderdate) <= 5) * 100.0::double / count(*) as ratio, count(*) as n from orders),
+m as (select list(month order by month) as months, list(up order by month) as ups, max(up) as total from (select month, sum(n) over (order by month)::bigint as up from (select date_trunc('month', o_orderdate)::date as month, count(*) as n from orders group by 1))),
+h as (select list(up order by hour) as ups, max(up) as total from (select hour, sum(n) over (order by hour)::bigint as up from (select g.hour, round(coalesce(max(c.n), 0) * 100.0::double / (select count(*) from orders) * 1000000)::bigint as n from range(24) g(hour) left join (select hour(o_orderdate) as hour, count(*) as n from orders group by 1) c on c.hour = g.hour group by 1))),
+r as (select range as id from range((select n from s))),
+a as (select id, m.months[len(list_filter(m.ups[:len(m.ups) - 1], lambda e: e <= {_at('month')} % m.total)) + 1] as month from r, m),
+b as (select id, month, last_day(month) as last, month + ({_at('day')} % day(last_day(month)))::int as day, {duck_unit(_at('week'))} * 100 < s.ratio as work, ({_at('end')} % 2)::int as coin from a, s),
+c as (select *, isodow(day)::int - 1 as week, day + (5 - (isodow(day)::int - 1)) as ahead from b),
+w as (select id, day + case when work then case when week = 5 and day = month then 2 when week = 5 then -1 when week = 6 and day = last then -2 when week = 6 then 1 else 0 end
+when week >= 5 then 0 when ahead + coin <= last then 5 - week + coin when ahead <= last then 5 - week else -(week + 1) end as day from c),
+t as (select id, day::timestamp + to_seconds(len(list_filter(h.ups[:23], lambda e: e <= {_at('hour')} % h.total)) * 3600 + {_at('second')} % 3600) as moment from w, h),
+u as (select id, {duck_unit(duck_draw(SEED, 'orders.o_totalprice', 'id'))} as u from r)
+select id, round(case {_SEGMENTS} end, 4) as o_totalprice, least(greatest(moment, low::timestamp), high::timestamp) as o_orderdate from t join u using (id), s)"""
+_add("shape_orders", _shaped_orders, f"select id, o_totalprice, o_orderdate from {_SHAPED_ORDERS}")
+#: How far regenerated rows may be from the given ones: gaps of shares, difference of correlations, points of weekdays.
+_TOLERANCE = {"price_gap": 0.12, "quantity_gap": 0.06, "line_price_gap": 0.06, "date_gap": 0.06, "correlation": 0.06, "weekdays": 3.0}
+
+
+def _fit(spark: SparkSession, d: str) -> DataFrame:
+    """A database regenerated from its profile as the command line does it, held against the given one."""
+    graph = _only(spark, d, "orders", "lineitem")
+    doc = profiler.collect(spark, d, graph, profiler.Options(joint={"lineitem": _PAIR}))
+    made = generate.generate(spark, graph, scenario.from_profile(doc).with_counts({t: x["row_count"] for t, x in doc["tables"].items()}), SEED)
+    orders, lines = _read(spark, d, "orders"), _read(spark, d, "lineitem")
+    days = lambda df: df.select(F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("v"))
+    both = lambda f, a, b: f(a).toDF("x").join(f(b).toDF("y")).select(F.abs(F.col("x") - F.col("y")))
+    found = {
+        "price_gap": compliance.ks_gap(orders, "o_totalprice", made["orders"], "o_totalprice"), "date_gap": compliance.ks_gap(days(orders), "v", days(made["orders"]), "v"),
+        "weekdays": both(lambda df: df.agg(F.count_if(F.weekday("o_orderdate") < 5) * 100.0 / F.count(F.lit(1))), orders, made["orders"]), "quantity_gap": compliance.ks_gap(lines, "l_quantity", made["lineitem"], "l_quantity"),
+        "line_price_gap": compliance.ks_gap(lines, "l_extendedprice", made["lineitem"], "l_extendedprice"), "correlation": both(lambda df: compliance.rank_correlation(df, *_PAIR), lines, made["lineitem"]),
+    }
+    out = None
+    for name, one in found.items():
+        row = one.select(F.lit(name).alias("measure"), F.lit(_TOLERANCE[name]).alias("tolerance"), (F.col(one.columns[0]) <= _TOLERANCE[name]).alias("held"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _fit_sql() -> str:
+    gap = lambda e, a: f"({_ks_sql(e, a)})"
+    of = lambda c, t: f"(select {c} as v from {t})"
+    share = "(select count(*) filter (where isodow(o_orderdate) <= 5) * 100.0::double / count(*) from {t})"
+    found = {
+        "price_gap": gap(of("o_totalprice", "orders"), of("o_totalprice", "so")), "date_gap": gap(of("epoch_us(o_orderdate::timestamp)", "orders"), of("epoch_us(o_orderdate)", "so")),
+        "weekdays": f"abs({share.format(t='orders')} - {share.format(t='so')})", "quantity_gap": gap(of("l_quantity", "lineitem"), of("l_quantity", "sl")), "line_price_gap": gap(of("l_extendedprice", "lineitem"), of("l_extendedprice", "sl")),
+        "correlation": f"abs(({_rank_sql('(select l_quantity as x, l_extendedprice as y from lineitem)')}) - ({_rank_sql('(select l_quantity as x, l_extendedprice as y from sl)')}))",
+    }
+    rows = " union all ".join(f"select '{n}' as measure, {_TOLERANCE[n]}::double as tolerance, {x} <= {_TOLERANCE[n]} as held" for n, x in found.items())
+    return f"with so as materialized (select * from {_SHAPED_ORDERS}), sl as materialized (select * from {_SHAPED_LINES}) {rows}"
+
+
+_add("shape_fit", _fit, _fit_sql())

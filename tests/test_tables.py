@@ -234,3 +234,35 @@ def test_update_repeats_no_row(spark):
     table = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id int, v int")
     changes = spark.createDataFrame([(1, 8), (1, 9), (2, None), (9, 1)], "id int, value int")
     assert sorted(map(tuple, relations.update_from(table, "id", changes, "v").collect())) == [(1, 9), (2, 6), (3, 7)]
+
+
+def test_shapes_come_back(spark):
+    """Heavy tails, hours and weekends of a profile, and a correlation that independent draws would lose."""
+    from conftest import SF
+
+    from millrace import table_queries as Q
+
+    got = {r.measure: r.held for r in Q.QUERIES["shape_fit"](spark, SF).collect()}
+    assert got == dict.fromkeys(Q._TOLERANCE, True)
+    from millrace.functions import generators as G
+    from millrace.operators import compliance
+
+    df = spark.range(4000).select((F.col("id") % 97).cast("double").alias("x"), F.exp(-(F.col("id") % 97) / 9.0).alias("y"), F.lit(None).cast("double").alias("none"))
+    shape = profile.joint_shape(df, ["x", "y"])
+    u = G.joint_ranks(F.col("id"), 5, "k", shape["counts"])
+    knots = [[(k / 8, v) for k, v in enumerate(e)] for e in shape["edges"]]
+    made = spark.range(4000).select(*[G.inverse(a, b).alias(c) for a, b, c in zip(u, knots, "xy", strict=True)])
+    assert compliance.rank_correlation(made, "x", "y").first()[0] < -0.97 and compliance.rank_correlation(df, "x", "y").first()[0] == -1.0
+    assert compliance.ks_gap(df, "y", made, "y").first()[0] < 0.08
+    assert compliance.ks_gap(df, "none", made, "y").first()[0] is None and compliance.rank_correlation(df, "x", "none").first()[0] is None
+    assert profile.joint_shape(df, ["x", "none"])["edges"] == [[], []]
+
+
+def test_dates_by_density(spark):
+    from millrace.functions import generators as G
+
+    at = G.dated(F.col("id"), 3, "k", {"2023-12": 10, "2024-02": 30}, {"9": 25.0, "17": 75.0}, 20.0, "2023-12-04 00:00:00", "2024-02-29 23:59:59")
+    got = [r.at for r in spark.range(4000).select(at.alias("at")).collect()]
+    assert {(x.year, x.month) for x in got} == {(2023, 12), (2024, 2)} and min(got) >= datetime(2023, 12, 4)
+    assert abs(sum(x.month == 2 for x in got) / 4000 - 0.75) < 0.03 and abs(sum(x.hour == 17 for x in got) / 4000 - 0.75) < 0.03
+    assert abs(sum(x.weekday() < 5 for x in got) / 4000 - 0.2) < 0.05
