@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import generators
 from millrace.functions.prf import draw, duck_draw, duck_unit, unit
-from millrace.operators import compliance, discovery, profile, relations, temporal
+from millrace.operators import compliance, discovery, profile, relations, states, temporal
 from millrace.plans import generate, profiler, scenario
 from millrace.plans.schema import SchemaGraph
 from millrace.sources import catalog
@@ -277,3 +277,35 @@ def _fit_sql() -> str:
 
 
 _add("shape_fit", _fit, _fit_sql())
+
+
+# ---- profiles that add up: of three parts merged, against SQL over the whole
+
+
+def _parts(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
+    whole = _read(spark, d, table)
+    return states.merged(states.union(states.states(whole.where(f"{key} % 3 = {k}")) for k in range(3)))
+
+
+_NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _prefix_sql(c: str) -> str:
+    """Sign, exponent and 12 bits of a value other than zero, in order; exponents by powers that are exact."""
+    e = f"(floor(log2(abs({c})))::int)"
+    exact = f"({e} + case when abs({c}) >= pow(2.0::double, {e} + 1) then 1 when abs({c}) < pow(2.0::double, {e}) then -1 else 0 end)"
+    size = f"(({exact} + 1023) * 4096::bigint + floor((abs({c}) / pow(2.0::double, {exact}) - 1) * 4096)::bigint)"
+    return f"case when {c} = 0 then 0 else {size} end"
+
+
+def _state_sql(c: str) -> str:
+    ranks = ", ".join(f"max(case when start <= floor({q} * (total - 1)) and floor({q} * (total - 1)) < start + n then prefix end) as p{int(q * 100)}" for q in profile.PERCENTILES)
+    value = "case when {p} = 0 then 0 else (1 + ({p} % 4096) / 4096.0::double) * pow(2.0::double, {p} // 4096 - 1023) end"
+    edges = ", ".join(f"round({value.format(p=f'p{int(q * 100)}')}, 6) as p{int(q * 100)}" for q in profile.PERCENTILES)
+    counts = f"select prefix, n, coalesce(sum(n) over (order by prefix rows between unbounded preceding and 1 preceding), 0) as start, sum(n) over () as total from (select {_prefix_sql(f'{c}::double')} as prefix, count(*) as n from lineitem where {c} is not null group by 1)"
+    return f"""select '{c}' as "column", s.*, {edges}, 0.0::double as null_rate from (select {ranks} from ({counts})), (select count({c}) as n, min({c})::double as min_val, max({c})::double as max_val, round(avg({c}), 6) as mean_val, round(stddev_samp({c}), 6) as stddev_val from lineitem) s"""
+
+
+_add("merged_numeric_lineitem", lambda spark, d: states.numeric_profile(_parts(spark, d, "lineitem", "l_orderkey")), " union all ".join(map(_state_sql, _NUMERIC)))
+_add("merged_texts_documents", lambda spark, d: states.text_profile(_parts(spark, d, "documents", "doc_id")), " union all ".join(f"""select '{c}' as "column", count(distinct {c}) as cardinality, round(avg(length({c})), 6) as avg_length, min(length({c}))::bigint as min_length, max(length({c}))::bigint as max_length from documents""" for c in ("text", "lang", "source")))
+_add("merged_months_orders", lambda spark, d: states.counts_by(_parts(spark, d, "orders", "o_orderkey"), "month"), """select 'o_orderdate' as "column", strftime(o_orderdate, '%Y-%m') as key, count(*) as n from orders group by 2""")

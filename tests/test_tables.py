@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import discovery, profile, relations, temporal
+from millrace.operators import discovery, profile, relations, states, temporal
 from millrace.plans.schema import ForeignKey
 
 T0 = datetime(2024, 1, 1)
@@ -266,3 +266,35 @@ def test_dates_by_density(spark):
     assert {(x.year, x.month) for x in got} == {(2023, 12), (2024, 2)} and min(got) >= datetime(2023, 12, 4)
     assert abs(sum(x.month == 2 for x in got) / 4000 - 0.75) < 0.03 and abs(sum(x.hour == 17 for x in got) / 4000 - 0.75) < 0.03
     assert abs(sum(x.weekday() < 5 for x in got) / 4000 - 0.2) < 0.05
+
+
+def test_merged_parts_equal_the_whole(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice([None, 0.0, -0.0, r.gauss(0, 1), -1e300, 5e-324, r.random() * 1e6, -3.5]), r.choice([None, "a", "bb", "", "é" * 9]), at(r.choice([None, r.randrange(10**7)])), r.random() < 0.3) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, x double, s string, t timestamp_ntz, f boolean")
+    whole = states.states(df)
+    parts = states.merged(states.union([states.states(df.where("k < 10")), states.states(df.where("k between 10 and 400")), states.states(df.where("k > 400")), states.states(df.where("false"))]))
+    for make in (states.numeric_profile, states.text_profile, lambda s: states.counts_by(s, "hour"), lambda s: states.counts_by(s, "weekday")):
+        assert sorted(map(repr, make(whole).drop("mean_val", "stddev_val").collect())) == sorted(map(repr, make(parts).drop("mean_val", "stddev_val").collect()))
+    got = {r["column"]: r for r in states.numeric_profile(parts).collect()}
+    xs = sorted(x for _, x, *_ in rows if x is not None)
+    for q in profile.PERCENTILES:
+        true, found = xs[math.floor(q * (len(xs) - 1))], got["x"][f"p{int(q * 100)}"]
+        assert abs(found - true) <= abs(true) / 4096 + 1e-6
+    assert math.isclose(got["k"].stddev_val, 600 * math.sqrt(1 / 12 + 1 / 12 / 600), rel_tol=1e-3) and got["x"].null_rate == 100 * (600 - len(xs)) / 600
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    table, kept = str(tmp_path / "t"), str(tmp_path / "states")
+    spark.range(100).selectExpr("id", "cast(id % 7 as string) as s").coalesce(1).write.parquet(table)
+    first = states.refreshed(spark, table, kept)
+    assert states.numeric_profile(first).first().n == 100
+    spark.range(100, 160).selectExpr("id", "cast(id % 9 as string) as s").coalesce(1).write.mode("append").parquet(table)
+    before = {r.file for r in spark.read.parquet(kept).select("file").distinct().collect()}
+    second = states.refreshed(spark, table, kept)
+    assert sorted(map(repr, states.numeric_profile(second).collect())) == sorted(map(repr, states.numeric_profile(states.states(spark.read.parquet(table))).collect()))
+    assert states.text_profile(second).first().cardinality == 9
+    files = spark.read.parquet(kept).groupBy("file").count().collect()
+    assert len(files) == 2 and before < {r.file for r in files}
+    states.refreshed(spark, table, kept)
+    assert spark.read.parquet(kept).groupBy("file", "column", "part", "key").count().where("count > 1").count() == 0
