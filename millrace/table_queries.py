@@ -14,6 +14,7 @@ from millrace.operators import compliance, discovery, profile, relations, states
 from millrace.plans import generate, profiler, scenario
 from millrace.plans.schema import SchemaGraph
 from millrace.sources import catalog
+from millrace.streaming import audits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -309,3 +310,30 @@ def _state_sql(c: str) -> str:
 _add("merged_numeric_lineitem", lambda spark, d: states.numeric_profile(_parts(spark, d, "lineitem", "l_orderkey")), " union all ".join(map(_state_sql, _NUMERIC)))
 _add("merged_texts_documents", lambda spark, d: states.text_profile(_parts(spark, d, "documents", "doc_id")), " union all ".join(f"""select '{c}' as "column", count(distinct {c}) as cardinality, round(avg(length({c})), 6) as avg_length, min(length({c}))::bigint as min_length, max(length({c}))::bigint as max_length from documents""" for c in ("text", "lang", "source")))
 _add("merged_months_orders", lambda spark, d: states.counts_by(_parts(spark, d, "orders", "o_orderkey"), "month"), """select 'o_orderdate' as "column", strftime(o_orderdate, '%Y-%m') as key, count(*) as n from orders group by 2""")
+
+
+# ---- streams: the given tables as they come, against SQL over the whole
+
+
+def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return audits.stream(spark, f"{d}/{table}.parquet")
+
+
+def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
+    return audits.drain(df, audits.scratch(spark, name), mode)
+
+
+def _stream_orphans(spark: SparkSession, d: str) -> DataFrame:
+    thrice = _stream(spark, d, "lineitem").select((F.col("l_orderkey") * 3).alias("k"))
+    families = audits.family_states(thrice, "k", _stream(spark, d, "orders"), "o_orderkey")
+    return audits.orphans(audits.latest(_drained(spark, families, "families", "update"), ["key"]))
+
+
+def _stream_early(spark: SparkSession, d: str) -> DataFrame:
+    early = audits.early_children(_stream(spark, d, "lineitem"), "l_orderkey", "l_shipdate", _stream(spark, d, "orders"), "o_orderkey", "o_orderdate")
+    return audits.appended(_drained(spark, early, "early", "append")).groupBy("key").agg(F.count(F.lit(1)).alias("violations"))
+
+
+_add("stream_orphans", _stream_orphans, "select count(*) as orphans from (select l_orderkey * 3 as k from lineitem) where k is not null and not exists (select 1 from orders where o_orderkey = k)")
+_add("stream_early_lines", _stream_early, "select o_orderkey as key, count(*) as violations from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate group by 1")
+_add("stream_densities", lambda spark, d: audits.latest(_drained(spark, audits.densities(_stream(spark, d, "events"), "ts"), "densities", "update"), ["kind", "at"]), "select 'month' as kind, strftime(ts, '%Y-%m') as at, count(*) as n from events group by 2 union all select 'hour', hour(ts)::varchar, count(*) from events group by 2")

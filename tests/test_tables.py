@@ -298,3 +298,68 @@ def test_only_new_files_are_read(spark, tmp_path):
     assert len(files) == 2 and before < {r.file for r in files}
     states.refreshed(spark, table, kept)
     assert spark.read.parquet(kept).groupBy("file", "column", "part", "key").count().where("count > 1").count() == 0
+
+
+def _put(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    """Children come before their parents, files one by one, and each run goes on where the last one ended."""
+    from millrace.streaming import audits
+
+    c, p = str(tmp_path / "c"), str(tmp_path / "p")
+    kids, folks = "fk int, at timestamp_ntz", "pk int, born timestamp_ntz"
+    _put(spark, c, [(1, at(5)), (2, at(50)), (None, at(1)), (9, None)], kids)
+    _put(spark, p, [(2, at(60)), (3, at(0))], folks)
+
+    def run():
+        families = audits.family_states(audits.stream(spark, c, 1), "fk", audits.stream(spark, p, 1), "pk")
+        lost = audits.orphans(audits.latest(audits.drain(families, str(tmp_path / "f"), "update"), ["key"])).first().orphans
+        early = audits.early_children(audits.stream(spark, c, 1), "fk", "at", audits.stream(spark, p, 1), "pk", "born")
+        return lost, sorted(r.key for r in audits.appended(audits.drain(early, str(tmp_path / "e"))).collect())
+
+    assert run() == (2, [2])
+    _put(spark, p, [(1, at(9))], folks)
+    _put(spark, c, [(2, at(70)), (3, at(-1)), (3, at(1))], kids)
+    assert run() == (1, [1, 2, 3])
+    assert run() == (1, [1, 2, 3])
+
+
+def test_a_batch_that_runs_again_writes_once(spark, tmp_path):
+    import shutil
+
+    from millrace.streaming import audits
+
+    table, folder = str(tmp_path / "t"), str(tmp_path / "q")
+    _put(spark, table, [(i, at(i)) for i in range(10)], "k int, at timestamp_ntz")
+    rows = lambda: audits.stream(spark, table).select("k")
+    assert audits.drain(rows(), folder).count() == 10
+    shutil.rmtree(f"{folder}/state/commits")  # as if the run had ended before it could say so
+    assert sorted(r.k for r in audits.appended(audits.drain(rows(), folder)).collect()) == list(range(10))
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from millrace.streaming import audits
+    from millrace.streaming.density import hourly_counts
+
+    table, hour = str(tmp_path / "t"), 3600
+    _put(spark, table, [(at(10),), (at(20),), (at(9 * hour),)], "ts timestamp_ntz")
+    run = lambda: {r.start.hour: r.cnt for r in audits.appended(audits.drain(hourly_counts(audits.stream(spark, table, 1)), str(tmp_path / "q"))).collect()}
+    run()
+    _put(spark, table, [(at(30),), (at(9 * hour + 5),), (at(20 * hour),)], "ts timestamp_ntz")
+    run()
+    _put(spark, table, [(at(40 * hour),)], "ts timestamp_ntz")
+    got = run()
+    assert got[0] == 2 and got[9] == 2  # the row of 0 h that came after the watermark is in none
+
+
+def test_late_children_wait_no_longer(spark, tmp_path):
+    from millrace.streaming import audits
+
+    c, p, day = str(tmp_path / "c"), str(tmp_path / "p"), 86_400
+    kids, folks = "fk int, at timestamp_ntz", "pk int, born timestamp_ntz"
+    _put(spark, c, [(1, at(0)), (2, at(0))], kids)
+    _put(spark, p, [(1, at(3600)), (2, at(5 * day))], folks)
+    early = audits.early_children(audits.stream(spark, c), "fk", "at", audits.stream(spark, p), "pk", "born", late="2 days")
+    assert [r.key for r in audits.appended(audits.drain(early, str(tmp_path / "q"))).collect()] == [1]
