@@ -57,30 +57,22 @@ def insert_statements(df: DataFrame, table: str, batch: int = BATCH) -> DataFram
     return value_rows(df).mapInPandas(group, "sql string")
 
 
-#: What stands before and after the statements of one file, so that it loads in one transaction without key checks.
-_BEGIN, _COMMIT = "BEGIN;\nSET session_replication_role = 'replica';\n", "SET session_replication_role = 'origin';\nCOMMIT;"
-
-
-def transactions(df: DataFrame, table: str, batch: int = BATCH) -> DataFrame:
-    """(sql): INSERT statements, those of each partition between BEGIN and COMMIT. A partition without rows gives nothing."""
-
-    def wrap(frames):
-        import pandas as pd
-
-        begun = False
-        for f in frames:
-            if len(f):
-                yield f if begun else pd.concat([pd.DataFrame({"sql": [_BEGIN]}), f])
-                begun = True
-        if begun:
-            yield pd.DataFrame({"sql": [_COMMIT]})
-
-    return insert_statements(df, table, batch).mapInPandas(wrap, "sql string")
+#: What stands before and after the statements of one table, so that it loads in one transaction without key checks.
+_BEGIN, _COMMIT = "BEGIN;\nSET session_replication_role = 'replica';\n", "SET session_replication_role = 'origin';\nCOMMIT;\n"
+#: The file that loads the others.
+LOADER = "load.sql"
 
 
 def write_sql(df: DataFrame, table: str, path: str, batch: int = BATCH) -> None:
-    """INSERT statements as text files; each file is one transaction."""
-    transactions(df, table, batch).write.mode("overwrite").text(path)
+    """INSERT statements as text files, a file for each partition, and one that loads them all in one transaction.
+
+    ``load.sql`` is written last, so a folder without it is not whole; it names the files it includes.
+    """
+    insert_statements(df, table, batch).write.mode("overwrite").text(path)
+    store, at, _ = _file(path)
+    names = sorted(s.getPath().getName() for s in store.listStatus(at))
+    parts = [f"\\ir {n}\n" for n in names if n.startswith("part-")]
+    write_text("".join([_BEGIN, *parts, _COMMIT]), f"{path}/{LOADER}")
 
 
 def write_parquet(df: DataFrame, path: str, expected: DataFrame | None = None, mode: str = "append") -> None:

@@ -13,7 +13,7 @@ from millrace.functions.prf import draw, duck_draw, duck_unit, unit
 from millrace.operators import compliance, discovery, profile, relations, states, temporal
 from millrace.plans import generate, profiler, scenario
 from millrace.plans.schema import SchemaGraph
-from millrace.sources import catalog
+from millrace.sources import catalog, ledger
 from millrace.streaming import audits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,3 +337,17 @@ def _stream_early(spark: SparkSession, d: str) -> DataFrame:
 _add("stream_orphans", _stream_orphans, "select count(*) as orphans from (select l_orderkey * 3 as k from lineitem) where k is not null and not exists (select 1 from orders where o_orderkey = k)")
 _add("stream_early_lines", _stream_early, "select o_orderkey as key, count(*) as violations from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate group by 1")
 _add("stream_densities", lambda spark, d: audits.latest(_drained(spark, audits.densities(_stream(spark, d, "events"), "ts"), "densities", "update"), ["kind", "at"]), "select 'month' as kind, strftime(ts, '%Y-%m') as at, count(*) as n from events group by 2 union all select 'hour', hour(ts)::varchar, count(*) from events group by 2")
+
+
+# ---- a transaction over two tables: serials come back, children point to their parents' new ones
+
+
+def _inserted(spark: SparkSession, d: str) -> DataFrame:
+    with ledger.Transaction(spark, audits.scratch(spark, "ledger")) as t:
+        people = t.insert("customer", _read(spark, d, "customer", "c_custkey", "c_name"), ["c_custkey"])
+        parents = people.select(F.col("id").alias("customer_id"), "c_custkey")
+        placed = _read(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice").join(parents, F.col("o_custkey") == F.col("c_custkey"))
+        return t.insert("orders", placed.select("o_orderkey", "customer_id", "o_totalprice"), ["o_orderkey"])
+
+
+_add("inserted_serials", _inserted, "select row_number() over (order by o_orderkey) as id, o_orderkey, customer_id, o_totalprice from orders join (select c_custkey, row_number() over (order by c_custkey) as customer_id from customer) on c_custkey = o_custkey")
