@@ -20,10 +20,10 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_many
+        count_many = encoder(path).count_many
         for batch in batches:
             for part in slices(batch, 0):
-                counts = [len(ids) // 4 for ids in encode([t or "" for t in part.column(0).to_pylist()])]
+                counts = count_many([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(count, "n_tokens long")

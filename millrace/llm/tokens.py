@@ -50,6 +50,7 @@ class CachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.entries = entries
         self.parts: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
 
     def library(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -75,6 +76,21 @@ class CachedEncoder:
             return [b"".join([own.get(p) or known[p] for p in cut]) for cut in cuts]
         return [b"".join([known[p] for p in cut]) for cut in cuts]
 
+    def count_many(self, texts: Sequence[str]) -> list[int]:
+        """How many ids each whole text has; the cache holds a number for each part."""
+        cuts = [self.cut(t) if t else [] for t in texts]
+        if len(self.sizes) >= self.entries:
+            self.sizes.clear()
+        known = self.sizes
+        new = list({part for cut in cuts for part in cut}.difference(known))
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
+        own = {k: len(e) for k, e in zip(new, found, strict=True)}
+        known.update((k, n) for k, n in own.items() if len(k) <= 48)
+        own = {k: n for k, n in own.items() if len(k) > 48}
+        if own:
+            return [sum([own[p] if p in own else known[p] for p in cut]) for cut in cuts]
+        return [sum(map(known.__getitem__, cut)) for cut in cuts]
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> CachedEncoder:

@@ -184,3 +184,12 @@ def test_large_ids_beside_nulls_stay_exact(spark):
     big = 2**60 + 1
     docs = spark.createDataFrame([(big, "a b c", "s"), (None, "d e", "s"), (big + 2, "f", "t")], "doc_id long, text string, source string")
     assert {r.doc_id for r in mixing.mix_report(docs).collect()} == {big, None, big + 2}
+
+
+def test_counts_equal_encoded_lengths():
+    from millrace.llm.tokens import CachedEncoder, vocabulary_path
+
+    own = CachedEncoder(vocabulary_path(), entries=5)
+    texts = ["", "one two", "don't  stop", "\n\nNext", "é" * 60, "x" * 200 + " y", " \u03bcg", "one two one", "<|endoftext|> z"]
+    for _ in range(3):
+        assert own.count_many(texts) == [len(x) // 4 for x in own.encode_many(texts)] == [len(own.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
