@@ -1,9 +1,9 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and an exact check.
 
-A text is the multiset of its five-word shingles, the n-th occurrence of a shingle being an
-element of its own with weight 1. Darts fall on an element's (weight x rank) strip as a
-Poisson process drawn by hashing the element alone, so equal elements get equal darts in
-every document. Each dart has a coordinate; the dart of least rank in a coordinate is the
+A text is the set of its five-word shingles, each weighing what it occurs (``weighted_signatures``
+takes any weights). Darts fall on an element's (weight x rank) plane as a Poisson process,
+class of weights by class and slab of ranks by slab, drawn by hashing the element and the region alone, so equal
+elements get equal darts in every document; a document has those below its own weight. Each dart has a coordinate; the dart of least rank in a coordinate is the
 signature's value there. A document throws just enough ranks to fill all coordinates, so a
 long text costs little more than reading it. Two signatures agree in a coordinate with the
 probability of the texts' weighted Jaccard similarity.
@@ -40,6 +40,8 @@ KEPT_SIGNATURES = 20_000
 #: A character that Python's split() keeps in a word; Java's own classes know fewer kinds of white space.
 _IN_WORD = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _U = np.uint64
+#: Classes of weights: one by one up to 8, then doubling.
+_WEIGHTS = [*[(float(i), float(i + 1)) for i in range(8)], *[(2.0**i, 2.0 ** (i + 1)) for i in range(3, 40)]]
 _SLABS = [*[(float(i), float(i + 1)) for i in range(8)], *[(2.0**i, 2.0 ** (i + 1)) for i in range(3, 40)]]
 
 
@@ -73,8 +75,8 @@ class _Words(dict):
 _words = _Words()
 
 
-def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, element hash) of every shingle occurrence, ordered by text.
+def _shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of every shingle occurrence, ordered by text.
 
     Words are what white space separates, in lower case. A text of fewer words than a shingle
     is one shingle; a text without words has none.
@@ -94,7 +96,13 @@ def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(SHINGLE):
             value = _mix(value + _U(0x9E3779B97F4A7C15)) + np.where(first + k < last, padded[first + k], _U(0))
         value = _mix(value)
-        # The n-th occurrence of a shingle in a text is element (shingle, n).
+    return owner, value
+
+
+def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, element hash), ordered by text: the n-th occurrence of a shingle in a text is element (shingle, n)."""
+    owner, value = _shingles(texts)
+    with np.errstate(over="ignore"):
         order = np.lexsort((value, owner))
         o, v = owner[order], value[order]
         new = np.concatenate([[True], (o[1:] != o[:-1]) | (v[1:] != v[:-1])]) if len(o) else np.zeros(0, bool)
@@ -104,16 +112,31 @@ def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return o, v
 
 
-def _throw(owner: np.ndarray, value: np.ndarray, reach: np.ndarray, out: np.ndarray, k: int) -> None:
-    """Throw all darts of rank below ``reach`` (by text) and keep the earliest of each coordinate in ``out``."""
+def _classes(owner: np.ndarray, value: np.ndarray, weight: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(width, text, region, weight in it) of every class of weights that elements reach; None where all fill theirs.
+
+    The class from n to n + 1 of an element is hashed as its n-th repetition is by ``elements``.
+    """
+    for n, (low, high) in enumerate(_WEIGHTS):
+        live = weight > low
+        if not live.any():
+            return
+        own = np.minimum(weight[live] - low, high - low)
+        with np.errstate(over="ignore"):
+            region = _mix(value[live] + _U(n * 0x9E3779B97F4A7C15 % 2**64)) if n else value[live]
+        yield high - low, owner[live], region, None if (own == high - low).all() else own
+
+
+def _throw(owner: np.ndarray, region: np.ndarray, width: float, own: np.ndarray | None, reach: np.ndarray, out: np.ndarray, k: int) -> None:
+    """Throw the darts of one class of weights below ``reach`` (by text) and keep the earliest of each coordinate in ``out``."""
     for slab, (low, high) in enumerate(_SLABS):
         live = reach[owner] > low
         if not live.any():
             return
-        o, v = owner[live], value[live]
+        o, v, part = owner[live], region[live], None if own is None else own[live]
         with np.errstate(over="ignore"):
             seed = _mix(v + _U((slab + 1) * 0x632BE59BD9B4E019 % 2**64))
-        n = np.searchsorted(_poisson(high - low), (seed >> _U(11)).astype(np.float64) * 2.0**-53, side="right")
+        n = np.searchsorted(_poisson((high - low) * width), (seed >> _U(11)).astype(np.float64) * 2.0**-53, side="right")
         total = int(n.sum())
         if not total:
             continue
@@ -123,6 +146,10 @@ def _throw(owner: np.ndarray, value: np.ndarray, reach: np.ndarray, out: np.ndar
             dart = _mix(seed[at] + (nth + 1).astype(_U) * _U(0xA0761D6478BD642F))
         rank = low + (dart >> _U(24)).astype(np.float64) * 2.0**-40 * (high - low)
         keep = rank < reach[o[at]]
+        if part is not None:  # darts above the element's weight belong to heavier ones only
+            with np.errstate(over="ignore"):
+                height = (_mix(dart ^ _U(0x3C79AC492BA7B653)) >> _U(11)).astype(np.float64) * 2.0**-53 * width
+            keep &= height < part[at]
         dart, rank, o = dart[keep], rank[keep], o[at[keep]]
         with np.errstate(over="ignore"):
             more = _mix(dart ^ _U(0x8EBC6AF09C88C6E3))
@@ -130,23 +157,46 @@ def _throw(owner: np.ndarray, value: np.ndarray, reach: np.ndarray, out: np.ndar
         np.minimum.at(out, o * k + (more & _U(0xFFFFFFFF)).astype(np.int64) % k, packed)
 
 
-def _signatures(texts: list[str | None], k: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and numbers of elements."""
-    owner, value = elements(texts)
-    weight = np.bincount(owner, minlength=len(texts))
+def weighted_signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
+    """16-bit signature values of n sets of weighted elements: (set, hash, weight over 0), each element once a set.
+
+    Two rows agree in a coordinate with the probability of the sets' weighted Jaccard similarity, the sum of the lesser
+    over that of the greater weights. Weights may be counts, inverse document frequencies or any other up to 2**39.
+    Sets without elements get zeros.
+    """
+    sums = np.bincount(owner, weights=weight, minlength=n)
     empty = np.iinfo(np.uint64).max
-    out = np.full(len(texts) * k, empty, _U)
-    reach = np.divide(k * (np.log(k) + 2), weight, out=np.zeros(len(texts)), where=weight > 0)
+    out = np.full(n * k, empty, _U)
+    reach = np.divide(k * (np.log(k) + 2), sums, out=np.zeros(n), where=sums > 0)
     while len(owner):
-        _throw(owner, value, reach, out, k)
-        short = (out.reshape(-1, k) == empty).any(axis=1) & (weight > 0)
+        for width, o, region, own in _classes(owner, value, weight):
+            _throw(o, region, width, own, reach, out, k)
+        short = (out.reshape(-1, k) == empty).any(axis=1) & (sums > 0)
         if not short.any():
             break
         reach = np.where(short, reach * 1.5, 0.0)
         still = short[owner]
-        owner, value = owner[still], value[still]
+        owner, value, weight = owner[still], value[still], weight[still]
     out[out == empty] = 0
-    return (out & _U(0xFFFF)).astype(np.uint16).reshape(-1, k), weight
+    return (out & _U(0xFFFF)).astype(np.uint16).reshape(-1, k)
+
+
+def weighted_jaccard(one: dict[int, float], other: dict[int, float]) -> float:
+    """Sum of the lesser over the sum of the greater weights of all elements; 0 without any."""
+    keys = one.keys() | other.keys()
+    most = sum(max(one.get(x, 0.0), other.get(x, 0.0)) for x in keys)
+    return sum(min(one.get(x, 0.0), other.get(x, 0.0)) for x in keys) / most if most else 0.0
+
+
+def _signatures(texts: list[str | None], k: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and numbers of elements."""
+    owner, shingle = _shingles(texts)
+    if not len(owner):
+        return np.zeros((len(texts), k), np.uint16), np.zeros(len(texts), np.int64)
+    order = np.lexsort((shingle, owner))
+    o, v = owner[order], shingle[order]
+    at = np.nonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (v[1:] != v[:-1])]))[0]
+    return weighted_signatures(o[at], v[at], np.diff(np.append(at, len(o))).astype(np.float64), len(texts), k), np.bincount(owner, minlength=len(texts))
 
 
 def signatures(texts: list[str | None], k: int = COORDINATES) -> np.ndarray:

@@ -322,3 +322,29 @@ def test_scratch_lies_in_a_shared_folder(spark, monkeypatch):
     assert df.count() == 5 and Path(path).exists()
     scratch.release(spark, first, scratch.written())
     assert not Path(path).exists()
+
+
+def test_weighted_signatures_agree_as_weighted_jaccard():
+    """Unequal weights: fractions, some thousands, and elements of one side only; elements alone decide."""
+    import random
+
+    import numpy as np
+
+    from millrace.llm import near_dups
+
+    r = random.Random(3)
+    for spread in (1.0, 4.0, 60.0):
+        one = {r.getrandbits(63): r.random() * spread ** r.random() for _ in range(120)}
+        other = {x: w * r.choice([0.3, 1.0, 1.0, 1.7]) for x, w in one.items() if r.random() < 0.9} | {r.getrandbits(63): r.random() * spread for _ in range(20)}
+        if spread == 60.0:
+            one[7], other[7] = 1500.0, 900.5
+        rows = [(i, x, w) for i, own in enumerate((one, other)) for x, w in own.items()]
+        owner, value, weight = np.array([x[0] for x in rows]), np.array([x[1] for x in rows], np.uint64), np.array([x[2] for x in rows])
+        a, b = near_dups.weighted_signatures(owner, value, weight, 2, 8192)
+        true = near_dups.weighted_jaccard(one, other)
+        assert abs((a == b).mean() - true) < 4 * (true * (1 - true) / 8192) ** 0.5 + 0.002, (spread, true)
+        assert (near_dups.weighted_signatures(owner[owner == 1] * 0, value[owner == 1], weight[owner == 1], 1, 8192)[0] == b).all()
+        plain = len(one.keys() & other.keys()) / len(one.keys() | other.keys())
+        assert abs((a == b).mean() - plain) > 0.05  # weights matter
+    empty = near_dups.weighted_signatures(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0), 2, 16)
+    assert empty.shape == (2, 16) and not empty.any()
