@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.classify import SENSITIVE_PATTERNS, is_sensitive, qualified
 from millrace.operators import profile as P
+from millrace.operators.discovery import labels
 from millrace.plans.schema import Column, SchemaGraph, Table
 
 VERSION = "1.0"
@@ -112,21 +113,20 @@ def most_values(column: Column, options: Options) -> int:
 
 
 def _aggregates(df: DataFrame, how: str, c: str) -> list[Any]:
-    x = F.col(c)
     if how == "numeric":
         return P.numeric_aggregates(c)
     if how == "boolean":
         return P.boolean_aggregates(c)
     if how == "timestamp":
         return P.timestamp_aggregates(c)
-    return P.string_aggregates(df, c) if df.schema[c].dataType.typeName() in ("string", "varchar", "char") else [F.count_distinct(x).alias("cardinality"), P.null_rate(c).alias("null_rate")]
+    return P.length_aggregates(c) if df.schema[c].dataType.typeName() in ("string", "varchar", "char") else [P.null_rate(c).alias("null_rate")]
 
 
 def _shares(df: DataFrame, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], dict[str, int]]:
     """Counts of (kind, column) by value, all by one grouping. Their numbers were checked before."""
     if not wanted:
         return {}
-    value = {"value": lambda c: F.col(c).cast("string"), "month": lambda c: F.date_format(F.date_trunc("month", F.col(c)), "yyyy-MM"), "hour": lambda c: F.hour(F.col(c)).cast("string")}
+    value = {"month": lambda c: F.date_format(F.date_trunc("month", F.col(c)), "yyyy-MM"), "hour": lambda c: F.hour(F.col(c)).cast("string")}
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("column"), value[k](c).alias("value")) for k, c in wanted]))
     counts = df.select(rows.alias("x")).select("x.*").where("value is not null").groupBy("kind", "column", "value").agg(F.count(F.lit(1)).alias("n"))
     out: dict[tuple[str, str], dict[str, int]] = {w: {} for w in wanted}
@@ -135,6 +135,16 @@ def _shares(df: DataFrame, wanted: list[tuple[str, str]]) -> dict[tuple[str, str
     return out
 
 
+def _guarded(df: DataFrame, texts: list[str], threshold: int) -> dict[str, dict[str, int]]:
+    """Counts by value of the columns with at most so many values; of others no value leaves its task's bounded set."""
+    if not texts:
+        return {}
+    out: dict[str, dict[str, int]] = {}
+    for r in labels(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in texts]), threshold).collect():
+        out.setdefault(r["column"], {})[r["value"]] = r["n"]
+    return out
+
+
 def _percents(counts: dict[str, int]) -> dict[str, float]:
     total = sum(counts.values())
     return {k: n * 100.0 / total for k, n in counts.items()}
@@ -143,8 +153,9 @@ def _percents(counts: dict[str, int]) -> dict[str, float]:
 def collect(spark: SparkSession, directory: str, graph: SchemaGraph, options: Options | None = None, audit: Audit | None = None) -> dict:
     """The profile document: tables, columns and ratios to parents. Only aggregates reach the driver.
 
-    A table is read at most three times, whatever its number of columns: for one wide aggregate,
-    for percentiles, and for the distributions that the aggregate's cardinalities allow.
+    A table is read a fixed number of times, whatever its number of columns: for one wide aggregate, four times for
+    percentiles, for the labels of all texts within the guard, for the distinct counts of the other
+    texts, and for months and hours.
     """
     options, audit = options or Options(), audit or Audit()
     graph = graph.filtered(options.include_tables, options.exclude_tables)
@@ -173,11 +184,18 @@ def _table_document(df: DataFrame, t: Table, options: Options, audit: Audit) ->
     if numeric:
         for r in P.percentiles(df, numeric).collect():
             own[r["column"]].update(r.asDict())
-    named = {c.name: c for c in t.columns}
-    shown = [c for c, h in read.items() if h in ("string", "categorical") and own[c]["cardinality"] <= most_values(named[c], options)]
+    texts = [c for c, h in read.items() if h in ("string", "categorical")]
+    most = {c.name: most_values(c, options) for c in t.columns}
+    found = _guarded(df, texts, max((most[c] for c in texts), default=0))
+    many = [c for c in texts if c not in found]
+    own_sizes = {r["column"]: r["cardinality"] for r in P.cardinalities(df, many).collect()} if many else {}
+    for c in texts:
+        own[c]["cardinality"] = len(found[c]) if c in found else own_sizes.get(c, 0)
+    shown = [c for c in texts if own[c]["cardinality"] <= most[c]]
     for c in shown:
         audit.query("distribution", t.name, c)
-    counts = _shares(df, [("value", c) for c in shown] + [(k, c) for c, h in read.items() if h == "timestamp" for k in ("month", "hour")])
+    counts = _shares(df, [(k, c) for c, h in read.items() if h == "timestamp" for k in ("month", "hour")])
+    counts |= {("value", c): found.get(c, {}) for c in shown}
     columns: dict[str, dict] = {}
     for c, h in how.items():
         if c in read:
