@@ -26,7 +26,9 @@ SCALE, COVERED = 2_000_000, 80
 #: Bits of a level's bitmap for each of its phrases, and the most there are.
 BITS_PER_PHRASE, MOST_BITS = 64, 1 << 28
 #: Bytes of text that a task counts at once, and those that it holds of all languages until then.
-CHUNK, MOST_HELD = 3_000_000, 9_000_000
+CHUNK, MOST_HELD = 1_500_000, 6_000_000
+#: Rows that a task hands over at once.
+ROWS = 65_536
 #: Salts of a language when its best phrases are chosen.
 SALTS = 64
 
@@ -164,7 +166,9 @@ def _emitted(docs: DataFrame, k: int, bitmap=None) -> DataFrame:
             starts = np.flatnonzero(fits)
             if len(starts):
                 phrases, counts = chunk.counted(starts, k)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(phrases)), phrases, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"])
+                for at in range(0, len(phrases), ROWS):
+                    some = phrases.slice(at, ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), some, pa.array(counts[at : at + ROWS].astype(np.int64))], names=["lang", "phrase", "n"])
                 if k == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([len(starts)], pa.int64())], names=["lang", "phrase", "n"])
 
