@@ -241,7 +241,7 @@ u as (select id, {duck_unit(duck_draw(SEED, 'orders.o_totalprice', 'id'))} as u
 select id, round(case {_SEGMENTS} end, 4) as o_totalprice, least(greatest(moment, low::timestamp), high::timestamp) as o_orderdate from t join u using (id), s)"""
 _add("shape_orders", _shaped_orders, f"select id, o_totalprice, o_orderdate from {_SHAPED_ORDERS}")
 #: How far regenerated rows may be from the given ones: gaps of shares, difference of correlations, points of weekdays.
-_TOLERANCE = {"price_gap": 0.12, "quantity_gap": 0.06, "line_price_gap": 0.06, "date_gap": 0.06, "correlation": 0.06, "weekdays": 3.0}
+_TOLERANCE = {"price_gap": 0.05, "quantity_gap": 0.05, "line_price_gap": 0.05, "date_gap": 0.05, "correlation": 0.03, "weekdays": 3.0}
 
 
 def _fit(spark: SparkSession, d: str) -> DataFrame:
