@@ -12,7 +12,7 @@ from pyspark.sql import types
 from millrace import table_queries
 from millrace.functions import classify, generators, pools
 from millrace.functions.prf import bulk, draw, duck_draw, duck_hex, duck_unit
-from millrace.operators import audit, compliance, lifecycle, profile, relations
+from millrace.operators import audit, compliance, lifecycle, profile, relations, temporal
 from millrace.plans import generate, grow, profiler, scenario, schema
 from millrace.sources import catalog, sinks
 
@@ -20,7 +20,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SEED = 42
-ROWS = 1500
 
 
 def _add(name: str, query: Query, sql: str | None = None) -> None:
@@ -158,15 +157,20 @@ def _planned_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("scenario_counts", _planned_counts, "with c as (select count(*) as n from customer) select 'region' as \"table\", (select count(*) from region) as n_rows union all select 'customer', n from c union all select 'orders', floor(n * 2.5 + 0.5)::bigint from c union all select 'events', floor(floor(n * 2.5 + 0.5) * 0.3 + 0.5)::bigint from c union all select * from (values ('labels', 12), ('lineitem', 7), ('pages', 7))")
-_NAMES = [("email", 120), ("user_password_hash", 60), ("country_code", 2), ("currency", 3), ("promo_code", 20), ("long_code", 500), ("hotel", 50), ("platform", 50), ("lat", None), ("shipping_pin", 9), ("first_name", 40), ("name", 80), ("file_name", 80), ("total_amount", None), ("ip", 45), ("website", 200), ("zip", 10), ("note", None), ("access_key", 40), ("api_key", 40)]
+_NAMED = "([a-z][a-z_]*)[^a-z]+([a-z]+)"
 
 
-def _names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_NAMES, "name string, max_length int")
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Names to classify: all columns of the tables, and all names in texts with the length of the longest word after them."""
+    found = lambda group: F.regexp_extract_all("text", F.lit(_NAMED), F.lit(group))
+    pairs = _read(spark, d, "documents", "text").select(F.explode(F.arrays_zip(found(1).alias("name"), found(2).alias("word"))).alias("x"))
+    columns = [(c,) for t in catalog.table_names(spark, d) for c in _read(spark, d, t).columns]
+    named = pairs.select("x.name", F.length("x.word").alias("max_length")).unionByName(spark.createDataFrame(columns, "name string"), allowMissingColumns=True)
+    return named.groupBy("name").agg(F.max("max_length").alias("max_length"))
 
 
-_VALUES = "(values " + ", ".join(f"('{n}', {'null' if m is None else m}::int)" for n, m in _NAMES) + ") t(name, max_length)"
-_add("sensitive_columns", lambda spark, d: _names(spark).select("name", classify.sensitive_column(F.col("name")).alias("sensitive")), f"select name, regexp_matches(lower(name), '{'|'.join(classify.SENSITIVE_PATTERNS)}') as sensitive from {_VALUES}")
+_VALUES = f"(select name, max(n)::int as max_length from (select name, length(word) as n from (select unnest(regexp_extract_all(text, '{_NAMED}', 1)) as name, unnest(regexp_extract_all(text, '{_NAMED}', 2)) as word from documents)" + "".join(f" union all select column_name, null from (describe {t})" for t in _TABLES) + ") group by name)"
+_add("sensitive_columns", lambda spark, d: _names(spark, d).select("name", classify.sensitive_column(F.col("name")).alias("sensitive")), f"select name, regexp_matches(lower(name), '{'|'.join(classify.SENSITIVE_PATTERNS)}') as sensitive from {_VALUES}")
 
 
 def _rules_sql() -> str:
@@ -177,14 +181,19 @@ def _rules_sql() -> str:
     return f"select name, case {' '.join(when)} end as generator from {_VALUES}"
 
 
-_add("semantic_classifier", lambda spark, d: _names(spark).select("name", classify.classified(F.col("name"), F.col("max_length")).alias("generator")), _rules_sql())
+_add("semantic_classifier", lambda spark, d: _names(spark, d).select("name", classify.classified(F.col("name"), F.col("max_length")).alias("generator")), _rules_sql())
 _HASH = "sha256(list_aggregate(list_sort(list(t || ':' || cols || ';')), 'string_agg', ''))"
 _add("source_hash", lambda spark, d: spark.createDataFrame([(profiler.source_hash(catalog.introspect(spark, d)),)], "source_hash string"), f"select {_HASH} as source_hash from (select t, string_agg(c, ',' order by c) as cols from (" + " union all ".join(f"select '{t}' as t, column_name as c from (describe {t})" for t in _TABLES) + ") group by t)")
 
 
 # ---- generators
 
-_IDS = f"(select range as id from range({ROWS}))"
+_IDS = "(select c_custkey as id from customer)"
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    """The customers, for whom values are made."""
+    return _read(spark, d, "customer", "c_custkey").withColumnRenamed("c_custkey", "id")
 
 
 def _list(values) -> str:
@@ -235,24 +244,24 @@ _GENERATOR_SQL = {
 
 
 def _generated(name: str) -> Query:
-    return lambda spark, d: spark.range(ROWS).select("id", generators.GENERATORS[name](F.col("id"), SEED, "g").alias("value"))
+    return lambda spark, d: _ids(spark, d).select("id", generators.GENERATORS[name](F.col("id"), SEED, "g").alias("value"))
 
 
 for _name, _sql in _GENERATOR_SQL.items():
     _add(f"gen_{_name}", _generated(_name), f"select id, {_sql} as value from {_IDS}")
 _LABELS = ("new", "open", "closed")
-_add("gen_enum_pick", lambda spark, d: spark.range(ROWS).select("id", generators.enum_pick(F.col("id"), SEED, "g", _LABELS).alias("value")), f"select id, {_p(_LABELS, 'g')} as value from {_IDS}")
-_add("weighted_pick", lambda spark, d: spark.range(ROWS).select("id", generators.weighted(F.col("id"), SEED, "g", {"paid": 60, "new": 15, "void": -3, "late": 5}).alias("value")), f"select id, case when {duck_unit(_d('g'))} * 80.0::double < 5 then 'late' when {duck_unit(_d('g'))} * 80.0::double < 20 then 'new' else 'paid' end as value from {_IDS}")
-_add("typed_keys", lambda spark, d: spark.range(ROWS).select("id", generators.weighted(F.col("id"), SEED, "g", {"1": 1, "5": 3}, "int").alias("value")), f"select id, case when {duck_unit(_d('g'))} * 4.0::double < 1 then 1 else 5 end::int as value from {_IDS}")
-_add("range_override", lambda spark, d: spark.range(ROWS).select("id", generators.ranged(F.col("id"), SEED, "g", 9, 3, "int").alias("whole"), generators.ranged(F.col("id"), SEED, "h", 0.5, 2.5).alias("real"), generators.ranged(F.col("id"), SEED, "t", 19000, 19100, "date").alias("day")), f"select id, (3 + {_d('g')} % 7)::int as whole, {_r('h', 0.5, 2.5)} as real, cast(to_timestamp((19000 * 86400 + {_d('t')} % (100 * 86400 + 1))::bigint) at time zone 'UTC' as date) as day from {_IDS}")
-_add("null_mask", lambda spark, d: spark.range(ROWS).select("id", generators.with_nulls(F.col("id"), F.col("id"), SEED, "g", 30.0).alias("value")), f"select id, case when {duck_unit(_d('g.null'))} * 100 >= 30 then id end as value from {_IDS}")
-_add("unique_integers", lambda spark, d: spark.range(ROWS).select(generators.unique_integer(F.col("id"), SEED, 100, 1599).alias("value")).distinct(), "select range as value from range(100, 1600)")
+_add("gen_enum_pick", lambda spark, d: _ids(spark, d).select("id", generators.enum_pick(F.col("id"), SEED, "g", _LABELS).alias("value")), f"select id, {_p(_LABELS, 'g')} as value from {_IDS}")
+_add("weighted_pick", lambda spark, d: _ids(spark, d).select("id", generators.weighted(F.col("id"), SEED, "g", {"paid": 60, "new": 15, "void": -3, "late": 5}).alias("value")), f"select id, case when {duck_unit(_d('g'))} * 80.0::double < 5 then 'late' when {duck_unit(_d('g'))} * 80.0::double < 20 then 'new' else 'paid' end as value from {_IDS}")
+_add("typed_keys", lambda spark, d: _ids(spark, d).select("id", generators.weighted(F.col("id"), SEED, "g", {"1": 1, "5": 3}, "int").alias("value")), f"select id, case when {duck_unit(_d('g'))} * 4.0::double < 1 then 1 else 5 end::int as value from {_IDS}")
+_add("range_override", lambda spark, d: _ids(spark, d).select("id", generators.ranged(F.col("id"), SEED, "g", 9, 3, "int").alias("whole"), generators.ranged(F.col("id"), SEED, "h", 0.5, 2.5).alias("real"), generators.ranged(F.col("id"), SEED, "t", 19000, 19100, "date").alias("day")), f"select id, (3 + {_d('g')} % 7)::int as whole, {_r('h', 0.5, 2.5)} as real, cast(to_timestamp((19000 * 86400 + {_d('t')} % (100 * 86400 + 1))::bigint) at time zone 'UTC' as date) as day from {_IDS}")
+_add("null_mask", lambda spark, d: _ids(spark, d).select("id", generators.with_nulls(F.col("id"), F.col("id"), SEED, "g", 30.0).alias("value")), f"select id, case when {duck_unit(_d('g.null'))} * 100 >= 30 then id end as value from {_IDS}")
+_add("unique_integers", lambda spark, d: _ids(spark, d).select(generators.unique_integer(F.col("id"), SEED, 100, 99 + _ids(spark, d).count()).alias("value")).distinct(), "select 99 + row_number() over () as value from customer")
 
 
 # ---- foreign keys
 
 _add("fk_assignment", lambda spark, d: relations.assign_parent(spark.range(5000), F.col("id"), _read(spark, d, "customer", "c_custkey"), "c_custkey", "cust", SEED), f"with k as (select c_custkey, row_number() over (order by c_custkey) - 1 as idx from customer) select id, c_custkey as cust from (select range as id, {duck_draw(SEED, 'cust.fk', 'range')} % (select count(*) from customer) as i from range(5000)) join k on i = idx")
-_add("self_reference", lambda spark, d: relations.assign_earlier_self(spark.range(1, ROWS), "id", "manager", SEED), f"select range as id, case when range > 1 then {duck_draw(SEED, 'manager.self', 'range')} % greatest(range - 1, 1) + 1 end as manager from range(1, {ROWS})")
+_add("self_reference", lambda spark, d: relations.assign_earlier_self(_ids(spark, d).select((F.col("id") + 1).alias("id")), "id", "manager", SEED), f"select id, case when id > 1 then {duck_draw(SEED, 'manager.self', 'id')} % greatest(id - 1, 1) + 1 end as manager from (select c_custkey + 1 as id from customer)")
 _add("deferred_fk", lambda spark, d: relations.deferred_update(_read(spark, d, "nation", "n_nationkey").withColumn("head", F.lit(None).cast("long")), "n_nationkey", _read(spark, d, "supplier", "s_suppkey"), "s_suppkey", "head", SEED), f"with k as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as idx from supplier) select n_nationkey, s_suppkey as head from nation join k on {duck_draw(SEED, 'head.fk', 'n_nationkey')} % (select count(*) from supplier) = idx")
 _add("parent_lookup", lambda spark, d: relations.lookup_parent(_read(spark, d, "lineitem", "l_orderkey"), _read(spark, d, "orders"), "o_orderkey", "o_custkey"), "select o_orderkey as id, o_custkey as parent from lineitem join orders on l_orderkey = o_orderkey where o_custkey is not null")
 _SUPPLIED = "(select l_suppkey as id, max(l_partkey)::double as value from lineitem group by 1)"
@@ -271,12 +280,20 @@ _PEOPLE = schema.SchemaGraph(
 )
 _NOTES_PLAN = scenario.parse({"tables": {"people": {"count": 120}, "notes": {"count": "per_parent(people, 3..5)", "null_rates": {"price": 25}, "overrides": {
     "status": {"distribution": {"draft": "20%", "live": "80%"}}, "score": {"range": [1, 5]}, "price": {"range": [0.5, 2.5]}, "day": {"range": ["2024-01-01", "2024-03-01"]}, "twice": {"formula": "_row * 2"}}}}})
-_ROWS = "(select range as r from range({n}))"
+_CUSTOMERS = "(select count(*) from customer)"
+_PERSON_ROWS, _NOTE_ROWS = ("(select row_number() over () - 1 as r from customer%s)" % x for x in ("", ", range(4)"))
 _BOSS, _PERSON = duck_draw(SEED, "boss_id.self", "(r + 1)"), duck_draw(SEED, "person_id.fk", "concat('notes.person_id:', r)")
 _STATUS, _SCORE, _PRICE, _HIDDEN, _DAY = (duck_draw(SEED, f"notes.{c}", "r") for c in ("status", "score", "price", "price.null", "day"))
-_add("generated_people", lambda spark, d: generate.generated(spark, _PEOPLE, _NOTES_PLAN, SEED)["people"], f"select r + 1 as id, case when r > 0 then {_BOSS} % greatest(r, 1) + 1 end as boss_id from {_ROWS.format(n=120)}")
-_add("generated_notes", lambda spark, d: generate.generated(spark, _PEOPLE, _NOTES_PLAN, SEED)["notes"], f"""select r + 1 as id, {_PERSON} % 120 + 1 as person_id, case when {duck_unit(_STATUS)} * 100.0::double < 20 then 'draft' else 'live' end as status, (1 + {_SCORE} % 5)::int as score,
-case when {duck_unit(_HIDDEN)} * 100 >= 25 then 0.5::double + {duck_unit(_PRICE)} * 2.0::double end as price, cast(to_timestamp((19723 * 86400 + {_DAY} % (60 * 86400 + 1))::bigint) at time zone 'UTC' as date) as day, r * 2 as twice from {_ROWS.format(n=480)}""")
+
+
+def _people(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """As many people as customers, four notes a person."""
+    return generate.generated(spark, _PEOPLE, _NOTES_PLAN.with_counts({"people": _ids(spark, d).count()}), SEED)
+
+
+_add("generated_people", lambda spark, d: _people(spark, d)["people"], f"select r + 1 as id, case when r > 0 then {_BOSS} % greatest(r, 1) + 1 end as boss_id from {_PERSON_ROWS}")
+_add("generated_notes", lambda spark, d: _people(spark, d)["notes"], f"""select r + 1 as id, {_PERSON} % {_CUSTOMERS} + 1 as person_id, case when {duck_unit(_STATUS)} * 100.0::double < 20 then 'draft' else 'live' end as status, (1 + {_SCORE} % 5)::int as score,
+case when {duck_unit(_HIDDEN)} * 100 >= 25 then 0.5::double + {duck_unit(_PRICE)} * 2.0::double end as price, cast(to_timestamp((19723 * 86400 + {_DAY} % (60 * 86400 + 1))::bigint) at time zone 'UTC' as date) as day, r * 2 as twice from {_NOTE_ROWS}""")
 
 
 # ---- sinks
@@ -335,62 +352,97 @@ _CHECKS = " union all ".join([
 _add("profile_compliance", lambda spark, d: compliance.profile_checks(_PROFILE, {"orders": _read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), (F.col("o_totalprice") > 100_000).alias("big"), F.col("o_totalprice").alias("price")), "customer": _read(spark, d, "customer")}), f"select \"check\", \"table\", subject, round(expected, 6) as expected, round(actual, 6) as actual, case when \"check\" = 'ratio' then abs(actual - expected) * 100 <= 5 * abs(expected) else abs(actual - expected) <= 5 end as passed from ({_CHECKS})")
 
 
-# ---- lifecycle: users s_curve 10 to 200 at 0.4 over six months, churn 0.1 after two
+# ---- lifecycle: six months from where the orders end; users s_curve at 0.4 from a twentieth of the customers to all, churn 0.1 after two
 
-_START, _END = date(2024, 1, 1), date(2024, 7, 1)
-_BUCKETS = "(values " + ", ".join(f"({b}, date '{s}', date '{e}')" for b, s, e in lifecycle.bucket_bounds(_START, _END, "month")) + ") t(b, b_start, b_end)"
+_BUCKETS = "(select k::int as b, (m + to_months(k::int))::date as b_start, (m + to_months(k::int + 1))::date as b_end from (select date_trunc('month', max(o_orderdate)) + interval 1 month as m from orders), range(6) r(k)) t(b, b_start, b_end)"
+_START = f"(select min(b_start) from {_BUCKETS})"
+_INITIAL = "(select greatest(count(*) // 20, 1) from customer)"
 _MONTHLY = [round(0.6 + m * 5 % 12 / 10, 1) for m in range(12)]
 
 
-def _months(spark: SparkSession) -> DataFrame:
-    return lifecycle.buckets(spark, _START, _END)
+def _bounds(spark: SparkSession, d: str) -> list[tuple[int, date, date]]:
+    last = _read(spark, d, "orders", "o_orderdate").agg(F.max("o_orderdate")).first()[0]
+    first = date(last.year + last.month // 12, last.month % 12 + 1, 1)
+    return lifecycle.bucket_bounds(first, date(first.year + (first.month + 5) // 12, (first.month + 5) % 12 + 1, 1), "month")
+
+
+def _months(spark: SparkSession, d: str) -> DataFrame:
+    bounds = _bounds(spark, d)
+    return lifecycle.buckets(spark, bounds[0][1], bounds[-1][2])
+
+
+def _people_count(spark: SparkSession, d: str) -> tuple[int, int]:
+    """Users at first, and at most."""
+    n = _ids(spark, d).count()
+    return max(n // 20, 1), n
+
+
+def _from_day_31(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by buckets of a month that begin on the last day of the first order's month."""
+    orders = _read(spark, d, "orders", "o_orderdate")
+    ends = orders.agg(F.last_day(F.min("o_orderdate")).alias("s"), F.date_add(F.max("o_orderdate"), 1).alias("e")).first()
+    placed = temporal.interval_join(orders.withColumn("at", F.col("o_orderdate").cast("timestamp_ntz")), "at", lifecycle.buckets(spark, ends.s, ends.e), "b_start", "b_end")
+    return placed.groupBy("b", "b_start", "b_end", lifecycle.label(F.col("b_start")).alias("label")).agg(F.count(F.lit(1)).alias("orders"))
+
+
+_add("buckets_from_day_31", _from_day_31, """with recursive t as (select 0 as b, s as b_start, (s + interval 1 month)::date as b_end, e from (select last_day(min(o_orderdate)) as s, max(o_orderdate)::date + 1 as e from orders)
+union all select b + 1, b_end, (b_end + interval 1 month)::date, e from t where b_end < e)
+select b, b_start, b_end, strftime(b_start, '%Y-%m') as label, count(*) as orders from t join orders on o_orderdate >= b_start and o_orderdate < b_end group by all""")
+
+
+def _aged(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their month, counted from the first order's."""
+    orders = _read(spark, d, "orders", "o_orderkey", "o_orderdate")
+    first = orders.agg(F.min("o_orderdate")).first()[0]
+    return orders.select(F.col("o_orderkey").alias("id"), ((F.year("o_orderdate") - first.year) * 12 + F.month("o_orderdate") - first.month).alias("b"))
 
 
-_add("buckets_from_day_31", lambda spark, d: lifecycle.buckets(spark, date(2024, 1, 31), date(2024, 6, 1)).withColumn("label", lifecycle.label(F.col("b_start"))), "select * from (values (0, date '2024-01-31', date '2024-02-29', '2024-01'), (1, date '2024-02-29', date '2024-03-29', '2024-02'), (2, date '2024-03-29', date '2024-04-29', '2024-03'), (3, date '2024-04-29', date '2024-05-29', '2024-04'), (4, date '2024-05-29', date '2024-06-29', '2024-05')) t(b, b_start, b_end, label)")
+_AGED = "(select o_orderkey as id, date_diff('month', (select min(o_orderdate) from orders), o_orderdate)::int as b from orders)"
 _GROWTH = {
     "linear": (lambda: lifecycle.linear(F.col("b"), 10, 2.5), "cast(round(10 + 2.5 * b::double) as bigint)"),
-    "exponential": (lambda: lifecycle.exponential(F.col("b"), 10, 0.4), "cast(round(10 * pow(1.4::double, b)) as bigint)"),
+    "exponential": (lambda: lifecycle.exponential(F.col("b"), 10, 0.04), "cast(round(10 * pow(1.04::double, b)) as bigint)"),
     "s_curve": (lambda: lifecycle.s_curve(F.col("b"), 10, 200, 0.4), "least(greatest(cast(round(200 / (1 + exp(-0.4::double * (b - ln(20.0::double) / 0.4)))) as bigint), case when b = 0 then 10 else 0 end), 200)"),
     "logistic": (lambda: lifecycle.logistic(F.col("b"), 10, 200, 0.9, 3), "least(greatest(cast(round(200 / (1 + exp(-0.9::double * (b - 3)))) as bigint), case when b = 0 then 10 else 0 end), 200)"),
     "custom": (lambda: lifecycle.custom(F.col("b"), [5, 0, 7]), "coalesce(list_extract([5, 0, 7], b + 1), 0)::bigint"),
 }
 for _name, (_make, _sql) in _GROWTH.items():
-    _add(f"growth_{_name}", lambda spark, d, make=_make: _months(spark).select("b", make().alias("n")), f"select b, {_sql} as n from {_BUCKETS}")
-_NEW = f"(select b, b_start, b_end, greatest(n - lag(n, 1, 0) over (order by b), 0) as new from (select *, {_GROWTH['s_curve'][1]} as n from {_BUCKETS}))"
+    _add(f"growth_{_name}", lambda spark, d, make=_make: _aged(spark, d).select("id", "b", make().alias("n")), f"select id, b, {_sql} as n from {_AGED}")
+_REACHED = f"least(greatest(cast(round({_CUSTOMERS} / (1 + exp(-0.4::double * (b - ln({_CUSTOMERS}::double / {_INITIAL}) / 0.4)))) as bigint), case when b = 0 then {_INITIAL} else 0 end), {_CUSTOMERS})"
+_NEW = f"(select b, b_start, b_end, greatest(n - lag(n, 1, 0) over (order by b), 0) as new from (select *, {_REACHED} as n from {_BUCKETS}))"
 
 
-def _user_counts(spark: SparkSession) -> DataFrame:
-    return lifecycle.new_counts(_months(spark), lifecycle.s_curve(F.col("b"), 10, 200, 0.4))
+def _user_counts(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.new_counts(_months(spark, d), lifecycle.s_curve(F.col("b"), *_people_count(spark, d), 0.4))
 
 
-def _users(spark: SparkSession) -> DataFrame:
-    return lifecycle.churned(lifecycle.entities(_user_counts(spark), "users", SEED), _months(spark), "users", SEED, 0.1, 2)
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.churned(lifecycle.entities(_user_counts(spark, d), "users", SEED), _months(spark, d), "users", SEED, 0.1, 2)
 
 
-_add("new_by_bucket", lambda spark, d: _user_counts(spark).select("b", "new"), f"select b, new from {_NEW}")
-_add("seasonal_counts", lambda spark, d: lifecycle.new_counts(_months(spark), lifecycle.linear(F.col("b"), 40, 40), factor=lifecycle.season(F.col("b_start"), monthly=_MONTHLY)).select("b", "new"), f"select b, cast(floor(40 * list_extract({_MONTHLY}, month(b_start)) + 0.5) as bigint) as new from {_BUCKETS}")
+_add("new_by_bucket", lambda spark, d: _user_counts(spark, d).select("b", "new"), f"select b, new from {_NEW}")
+_add("seasonal_counts", lambda spark, d: lifecycle.new_counts(_months(spark, d), lifecycle.linear(F.col("b"), *[_ids(spark, d).count()] * 2), factor=lifecycle.season(F.col("b_start"), monthly=_MONTHLY)).select("b", "new"), f"select b, cast(floor({_CUSTOMERS} * list_extract({_MONTHLY}, month(b_start))::double + 0.5) as bigint) as new from {_BUCKETS}")
 _SPAN = "(date_diff('day', b_start, b_end) * 86400)"
 _ENTITIES = f"(select first + k as id, b as created_b, b_start::timestamp + to_seconds({duck_draw(SEED, 'users.created_at', '(first + k)')} % {_SPAN}) as created_at from (select *, coalesce(sum(new) over (order by b rows between unbounded preceding and 1 preceding), 0)::bigint as first from {_NEW}), unnest(range(1, new + 1)) u(k))"
 _CHURN = f"(select e.id, e.created_b, e.created_at, t.b as churn_b, t.b_start::timestamp + to_seconds({duck_draw(SEED, 'users.churned_at', 'e.id')} % {_SPAN}) as churned_at from (select *, created_b + 2 + floor(ln(1 - {duck_unit(duck_draw(SEED, 'users.churn', 'id'))}) / ln(0.9::double))::int as cb from {_ENTITIES}) e left join {_BUCKETS} on t.b = e.cb)"
-_add("entity_rows", lambda spark, d: lifecycle.entities(_user_counts(spark), "users", SEED), f"select * from {_ENTITIES}")
-_add("churn_events", lambda spark, d: _users(spark), f"select * from {_CHURN}")
+_add("entity_rows", lambda spark, d: lifecycle.entities(_user_counts(spark, d), "users", SEED), f"select * from {_ENTITIES}")
+_add("churn_events", lambda spark, d: _users(spark, d), f"select * from {_CHURN}")
 _ACTIVE = f"(select b, born, churned, (sum(born) over (order by b) - sum(churned) over (order by b))::bigint as active, (sum(born) over (order by b))::bigint as total from (select t.b, (select count(*) from {_CHURN} where created_b = t.b) as born, (select count(*) from {_CHURN} where churn_b = t.b) as churned from {_BUCKETS}))"
-_add("active_by_bucket", lambda spark, d: lifecycle.active_counts(_users(spark), _months(spark)), f"select * from {_ACTIVE}")
+_add("active_by_bucket", lambda spark, d: lifecycle.active_counts(_users(spark, d), _months(spark, d)), f"select * from {_ACTIVE}")
 _PAIRS_SQL = f"(select unnest(range(created_b, least(coalesce(churn_b - 1, 5), 5) + 1))::int as b, id from {_CHURN})"
-_add("active_pairs", lambda spark, d: lifecycle.active_pairs(_users(spark), 5), f"select b, id from {_PAIRS_SQL}")
-_add("follows_ratio", lambda spark, d: lifecycle.follow_ratio(lifecycle.active_counts(_users(spark), _months(spark)), "orders", SEED, 2.6, 0.5), f"select b, cast(floor(active * 2.6::double * (1 + (2 * {duck_unit(duck_draw(SEED, 'orders.variance', 'b'))} - 1) * 0.5::double) + 0.5) as bigint) as new from {_ACTIVE}")
-_add("follows_per_parent", lambda spark, d: lifecycle.follow_per_parent(lifecycle.active_pairs(_users(spark), 5), "items", SEED, 1, 3), f"select b, sum(1 + {duck_draw(SEED, 'items.children', chr(40) + 'id || chr(58) || b)')} % 3)::bigint as new from {_PAIRS_SQL} group by b")
-_FRAMES = [(date(2021, 3, 5), "day", 64.0), (date(2021, 3, 5), "week", 36.0), (date(2022, 8, 20), "day", 10.0), (date(2022, 8, 20), "week", 58.0), (date(2022, 8, 20), "year", 32.0)]
+_add("active_pairs", lambda spark, d: lifecycle.active_pairs(_users(spark, d), 5), f"select b, id from {_PAIRS_SQL}")
+_add("follows_ratio", lambda spark, d: lifecycle.follow_ratio(lifecycle.active_counts(_users(spark, d), _months(spark, d)), "orders", SEED, 2.6, 0.5), f"select b, cast(floor(active * 2.6::double * (1 + (2 * {duck_unit(duck_draw(SEED, 'orders.variance', 'b'))} - 1) * 0.5::double) + 0.5) as bigint) as new from {_ACTIVE}")
+_add("follows_per_parent", lambda spark, d: lifecycle.follow_per_parent(lifecycle.active_pairs(_users(spark, d), 5), "items", SEED, 1, 3), f"select b, sum(1 + {duck_draw(SEED, 'items.children', chr(40) + 'id || chr(58) || b)')} % 3)::bigint as new from {_PAIRS_SQL} group by b")
+_FRAMES = [(date(1997, 3, 5), "day", 64.0), (date(1997, 3, 5), "week", 36.0), (date(1999, 8, 20), "day", 10.0), (date(1999, 8, 20), "week", 58.0), (date(1999, 8, 20), "year", 32.0)]
 _FRAMES_SQL = "(values " + ", ".join(f"(date '{a}', '{k}', {w}::double)" for a, k, w in _FRAMES) + ") f(on_day, key, weight)"
 
 
 def _timeline(spark: SparkSession, d: str) -> DataFrame:
     frames = spark.createDataFrame(_FRAMES, "at date, key string, weight double")
-    dates = spark.createDataFrame([(date(2020, 7, 7),), (date(2021, 3, 5),), (date(2021, 11, 30),), (date(2023, 2, 2),)], "d date")
+    dates = _read(spark, d, "orders", "o_orderdate").select(F.to_date("o_orderdate").alias("d"))
     return lifecycle.interpolated(frames, dates)
 
 
-_add("timeline_interpolation", _timeline, f"""with d as (select * from (values (date '2020-07-07'), (date '2021-03-05'), (date '2021-11-30'), (date '2023-02-02')) t(d)),
+_add("timeline_interpolation", _timeline, f"""with d as (select distinct o_orderdate::date as d from orders),
 r as (select d, (select max(on_day) from {_FRAMES_SQL} where on_day <= d) as lo, (select min(on_day) from {_FRAMES_SQL} where on_day >= d) as hi from d),
 s as (select d, coalesce(lo, hi) as lo, coalesce(hi, lo) as hi from r),
 k as (select distinct s.d, s.lo, s.hi, f.key from s join {_FRAMES_SQL} on f.on_day = s.lo or f.on_day = s.hi),
@@ -400,18 +452,17 @@ select d, key, round(wa + (wb - wa) * case when lo = hi then 0 else date_diff('d
 
 def _clamped(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("id")
-    born = F.timestamp_add("SECOND", (draw(SEED, "born", i) % (90 * 86_400)).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
-    rows = spark.range(500).select("id", born.alias("born"))
+    rows = _read(spark, d, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("born"))
     ts = lifecycle.relative_time(F.col("born"), draw(SEED, "offset", i), "after", 86_400, 60 * 86_400)
-    return rows.select("id", lifecycle.clamped(ts, F.col("born"), F.lit("2024-03-01").cast("date"), F.lit("2024-04-01").cast("date")).alias("at"))
+    return rows.select("id", lifecycle.clamped(ts, F.col("born"), F.lit("1998-03-01").cast("date"), F.lit("1998-04-01").cast("date")).alias("at"))
 
 
-_BORN = f"(select range as id, timestamp '2024-01-01' + to_seconds({duck_draw(SEED, 'born', 'range')} % {90 * 86_400}) as born from range(500))"
-_add("temporal_after_clamped", _clamped, f"select id, least(greatest(born + to_seconds(86400 + {duck_draw(SEED, 'offset', 'id')} % {59 * 86_400 + 1}), greatest(born, timestamp '2024-03-01')), greatest(timestamp '2024-03-31 23:59:59', greatest(born, timestamp '2024-03-01'))) as at from {_BORN}")
+_BORN = "(select o_orderkey as id, o_orderdate as born from orders)"
+_add("temporal_after_clamped", _clamped, f"select id, least(greatest(born + to_seconds(86400 + {duck_draw(SEED, 'offset', 'id')} % {59 * 86_400 + 1}), greatest(born, timestamp '1998-03-01')), greatest(timestamp '1998-03-31 23:59:59', greatest(born, timestamp '1998-03-01'))) as at from {_BORN}")
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    users, months = _users(spark), _months(spark)
+    users, months = _users(spark, d), _months(spark, d)
     active = lifecycle.active_counts(users, months)
     return lifecycle.children(lifecycle.follow_ratio(active, "orders", SEED, 2.0), lifecycle.active_pairs(users, 5), users, months, "orders", SEED, "after", 86_400, 60 * 86_400)
 
@@ -441,37 +492,38 @@ _SHOP = schema.SchemaGraph(
     ),
     (schema.ForeignKey("orders", "user_id", "users", "id"), schema.ForeignKey("items", "order_id", "orders", "id")),
 )
-_SHOP_PLAN = scenario.parse({"lifecycle": {"start": "2024-01-01", "end": "2024-07-01", "bucket": "month"}, "tables": {
-    "users": {"growth": {"model": "s_curve", "initial": 10, "capacity": 200, "rate": 0.4}, "churn": {"rate": 0.1, "grace_period": 2}, "overrides": {"plan": {"timeline": {"2024-01-01": {"basic": 66, "gold": 34}, "2024-05-01": {"basic": 30, "gold": 42, "trial": 28}}}}},
-    "orders": {"growth": {"follows": "users", "ratio": 2.0}, "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..60d"}}},
-    "items": {"growth": {"follows": "orders", "ratio": 1.5}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
-}})
 
 
-def _grown(spark: SparkSession) -> dict[str, DataFrame]:
-    return grow.grown(spark, _SHOP, _SHOP_PLAN, SEED)
+def _grown(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    bounds, (initial, capacity) = _bounds(spark, d), _people_count(spark, d)
+    plan = scenario.parse({"lifecycle": {"start": str(bounds[0][1]), "end": str(bounds[-1][2]), "bucket": "month"}, "tables": {
+        "users": {"growth": {"model": "s_curve", "initial": initial, "capacity": capacity, "rate": 0.4}, "churn": {"rate": 0.1, "grace_period": 2}, "overrides": {"plan": {"timeline": {str(bounds[0][1]): {"basic": 66, "gold": 34}, str(bounds[4][1]): {"basic": 30, "gold": 42, "trial": 28}}}}},
+        "orders": {"growth": {"follows": "users", "ratio": 2.0}, "temporal": {"created_at": {"after": "users.created_at", "offset": "1d..60d"}}},
+        "items": {"growth": {"follows": "orders", "ratio": 1.5}, "temporal": {"created_at": {"equals": "orders.created_at"}}},
+    }})
+    return grow.grown(spark, _SHOP, plan, SEED)
 
 
 _ORDERS_SQL = _children_sql(_CHURN, _TWICE, "orders", "orders.user_id.parent", "orders.created_at.offset", 86_400, 60 * 86_400)
-_WEIGHTS = f"(select b, least(greatest(date_diff('day', date '2024-01-01', b_start)::double / 121, 0), 1) as s from {_BUCKETS})"
+_WEIGHTS = f"(select b, least(date_diff('day', {_START}, b_start)::double / date_diff('day', {_START}, ({_START} + interval 4 month)::date), 1) as s from {_BUCKETS})"
 _PLANS = f"(select b, round(66 - 36 * s, 6) as basic, round(34 + 8 * s, 6) as gold, round(28 * s, 6) as trial from {_WEIGHTS})"
 _PICK = duck_unit(duck_draw(SEED, "users.plan", "id"))
-_add("lifecycle_users", lambda spark, d: _grown(spark)["users"], f"select id, case when {_PICK} * (basic + gold + trial) < basic then 'basic' when {_PICK} * (basic + gold + trial) < basic + gold then 'gold' else 'trial' end as plan, churn_b is null as is_active, created_at, churned_at from {_CHURN} join {_PLANS} on b = created_b")
-_add("lifecycle_orders", lambda spark, d: _grown(spark)["orders"], f"select id, parent_id as user_id, created_at from {_ORDERS_SQL}")
+_add("lifecycle_users", lambda spark, d: _grown(spark, d)["users"], f"select id, case when {_PICK} * (basic + gold + trial) < basic then 'basic' when {_PICK} * (basic + gold + trial) < basic + gold then 'gold' else 'trial' end as plan, churn_b is null as is_active, created_at, churned_at from {_CHURN} join {_PLANS} on b = created_b")
+_add("lifecycle_orders", lambda spark, d: _grown(spark, d)["orders"], f"select id, parent_id as user_id, created_at from {_ORDERS_SQL}")
 _PLACED = f"(select *, null::int as churn_b from {_ORDERS_SQL})"
 _ITEMS = f"(select b, cast(floor(active * 1.5::double + 0.5) as bigint) as new from (select t.b, (select count(*) from {_ORDERS_SQL} where created_b <= t.b) as active from {_BUCKETS}))"
 _ITEMS_SQL = _children_sql(_PLACED, _ITEMS, "items", "items.order_id.parent", "none", 0, 0)
-_add("lifecycle_items", lambda spark, d: _grown(spark)["items"], f"select i.id, i.parent_id as order_id, o.created_at from {_ITEMS_SQL} i join {_ORDERS_SQL} o on o.id = i.parent_id")
+_add("lifecycle_items", lambda spark, d: _grown(spark, d)["items"], f"select i.id, i.parent_id as order_id, o.created_at from {_ITEMS_SQL} i join {_ORDERS_SQL} o on o.id = i.parent_id")
 
 
 def _early(spark: SparkSession, d: str) -> DataFrame:
-    frames = _grown(spark)
+    frames = _grown(spark, d)
     early = audit.before_parent(frames["orders"], "user_id", "created_at", frames["users"].withColumnRenamed("created_at", "born"), "id", "born")
     return early.join(audit.orphans(frames["items"], "order_id", frames["orders"], "id"))
 
 
 _add("lifecycle_order", _early, f"select (select count(*) from {_ORDERS_SQL} c join {_CHURN} p on p.id = c.parent_id where c.created_at < p.created_at) as violations, 0::bigint as orphans")
-_add("simulate_plan", lambda spark, d: lifecycle.active_counts(_users(spark), _months(spark)).join(F.broadcast(_months(spark)), "b").select(lifecycle.label(F.col("b_start")).alias("label"), F.col("born").alias("new"), "churned", "active", "total"), f"select strftime(b_start, '%Y-%m') as label, born as new, churned, active, total from {_ACTIVE} join {_BUCKETS} using (b)")
+_add("simulate_plan", lambda spark, d: lifecycle.active_counts(_users(spark, d), _months(spark, d)).join(F.broadcast(_months(spark, d)), "b").select(lifecycle.label(F.col("b_start")).alias("label"), F.col("born").alias("new"), "churned", "active", "total"), f"select strftime(b_start, '%Y-%m') as label, born as new, churned, active, total from {_ACTIVE} join {_BUCKETS} using (b)")
 _add("stream_density_batch", lambda spark, d: _density(spark, d), "select date_trunc('hour', ts) as start, count(*) as cnt from events group by 1")
 
 
