@@ -9,7 +9,6 @@ Phrases are counted inside a task by the numbers that the task gives to words, s
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,12 +96,17 @@ class _Chunk:
     """The words of one chunk: ``ids`` in order, -1 at piece ends; ``words`` by id."""
 
     def __init__(self, data: bytes, lang: str):
-        found = data.replace(_MARK, b" \xff ").split()
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers[_MARK] = -1
-        numbers.default_factory = lambda: len(numbers) - 1
-        self.ids = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        self.words, self.lang = list(numbers)[1:], lang
+        signs = np.frombuffer(data, np.uint8)
+        solid, mark = signs != 32, signs == _END
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1] | mark[:-1] | mark[1:]  # a mark is a word of its own
+        offsets = np.append(np.cumsum(solid)[begins] - 1, np.count_nonzero(solid)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(signs[solid])]).dictionary_encode()
+        self.ids, self.words, self.lang = coded.indices.to_numpy().astype(np.int64), coded.dictionary, lang
+        at = pc.index(self.words, pa.scalar(_MARK, pa.binary())).as_py()
+        if at >= 0:
+            self.words = pa.concat_arrays([self.words.slice(0, at), self.words.slice(at + 1)])
+            self.ids = np.where(self.ids == at, -1, self.ids - (self.ids > at))
         self._hashes: np.ndarray | None = None
 
     def inside(self, k: int) -> np.ndarray:
@@ -116,7 +120,7 @@ class _Chunk:
     def phrase_hashes(self, k: int) -> np.ndarray:
         """For each place the hash of the k words from there; of no use at piece ends."""
         if self._hashes is None:
-            self._hashes = np.append(_word_hashes(self.words, _seed(self.lang)), np.uint64(0))  # -1 finds the last
+            self._hashes = np.append(_word_hashes(self.words.to_pylist(), _seed(self.lang)), np.uint64(0))  # -1 finds the last
         n = max(len(self.ids) - k + 1, 0)
         h = np.zeros(n, np.uint64)
         for j in range(k):
@@ -126,6 +130,8 @@ class _Chunk:
     def counted(self, starts: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
         """Distinct phrases of k words at these places, and their counts."""
         size = max(len(self.words), 1)
+        if k == 1:  # every word occurs
+            return self.words.cast(pa.string()), np.bincount(self.ids[starts], minlength=len(self.words))
         key, range_ = self.ids[starts], size
         for j in range(1, k):
             if range_ * size >= 1 << 62:  # keys as numbers of the phrases so far
@@ -133,10 +139,12 @@ class _Chunk:
                 range_ = len(starts)
             key = key * np.int64(size) + self.ids[starts + j]
             range_ *= size
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        at, words = starts[first], pa.array(self.words, pa.binary())
-        parts = [words.take(pa.array(self.ids[at + j])) for j in range(k)]
-        return (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]).cast(pa.string()), counts
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        at = starts[order[new]]
+        parts = [self.words.take(pa.array(self.ids[at + j])) for j in range(k)]
+        return pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), np.diff(np.append(new, len(key)))
 
 
 def _slots(h: np.ndarray, bits: int) -> np.ndarray:
