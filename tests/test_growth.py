@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import profile
+from millrace.operators import profile, states
 
 
 def test_bits_are_read_not_computed(spark):
@@ -25,3 +25,14 @@ def test_percentile_scans_hand_over_counts_only(spark):
     got = {r["column"]: tuple(r)[1:] for r in profile.percentiles(df, ["x", "y"]).collect()}
     for name, values in (("x", [i % 100 for i in range(40_000)]), ("y", [-float(i) for i in range(0, 40_000, 2)])):
         assert got[name] == tuple(round(float(q), 6) for q in np.quantile(values, profile.PERCENTILES))
+
+
+def test_merged_means_are_of_exact_sums(spark):
+    """Three values whose sum in doubles depends on their order, dealt over parts."""
+    df = spark.createDataFrame([(0, 1e16), (1, 1.0), (2, -1e16), (0, 1.0), (1, 1.0), (2, None)], "part int, x double")
+    for parts in ([df], [df.where(f"part = {k}") for k in range(3)]):
+        state = states.merged(states.union(states.states(p, ["x"]) for p in parts))
+        row = states.numeric_profile(state).first()
+        assert (row.n, row.mean_val, row.min_val, row.max_val) == (5, 0.6, -1e16, 1e16)
+    high, low = states.exact_sum(np.array([0.1] * 10 + [1e17, -1e17]))
+    assert high + low == math.fsum([0.1] * 10)
