@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import profile, states
+from millrace.operators import profile, relations, states
 
 
 def test_bits_are_read_not_computed(spark):
@@ -36,3 +37,20 @@ def test_merged_means_are_of_exact_sums(spark):
         assert (row.n, row.mean_val, row.min_val, row.max_val) == (5, 0.6, -1e16, 1e16)
     high, low = states.exact_sum(np.array([0.1] * 10 + [1e17, -1e17]))
     assert high + low == math.fsum([0.1] * 10)
+
+
+def test_two_coordinates_look_their_shifts_up(spark):
+    """No row is hashed: the plan draws over the parents' numbers only, with the same combinations as row by row."""
+    rows = spark.range(60).withColumnRenamed("id", "row_no")
+    got = relations.unique_combinations(rows, "row_no", [10, 7], ["a", "b"], "stock", 42)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2 * relations.ROUNDS
+
+    def shift(key, x, n):
+        return int(hashlib.md5(f"42|{key}|{x}|0".encode()).hexdigest()[:13], 16) % n
+
+    for r in got.collect():
+        a, b = r.row_no % 10, r.row_no // 10 % 7
+        for k in range(relations.ROUNDS):
+            a = (a + shift(f"stock.{k}.0", b, 10)) % 10
+            b = (b + shift(f"stock.{k}.1", a, 7)) % 7
+        assert (r.a, r.b) == (a, b)
