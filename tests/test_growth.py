@@ -8,7 +8,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import profile, relations, states
+from millrace.operators import discovery, profile, relations, states
 
 
 def test_bits_are_read_not_computed(spark):
@@ -54,3 +54,14 @@ def test_two_coordinates_look_their_shifts_up(spark):
             a = (a + shift(f"stock.{k}.0", b, 10)) % 10
             b = (b + shift(f"stock.{k}.1", a, 7)) % 7
         assert (r.a, r.b) == (a, b)
+
+
+def test_unique_sets_count_only_what_survives(spark, monkeypatch):
+    """Sets refuted by the first rows are not counted whole; one duplicate far from them still counts."""
+    monkeypatch.setattr(discovery, "HEAD", 50)
+    i = F.col("id")
+    df = spark.range(1000, numPartitions=2).select((i % 500).alias("a"), F.when(i == 999, 0).otherwise(F.floor(i / 500)).alias("b"), (i % 5).alias("c"), F.when(i != 5, i).alias("d"))
+    whole, real = [], discovery._grouped
+    monkeypatch.setattr(discovery, "_grouped", lambda d, sets, slices: (whole.extend(sets) if slices == 1 and d is df else None, real(d, sets, slices))[1])
+    assert discovery.unique_sets(df) == [(("d",), False)]
+    assert ("c",) not in whole and ("a", "c") not in whole
