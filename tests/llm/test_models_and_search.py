@@ -151,6 +151,27 @@ def test_search_prunes_and_blocks_do_not_matter(spark, monkeypatch):
     assert np.mean([len({i for _, i, _ in x} & {i for i, _ in want[q]}) / 20 for q, x in got.items()]) >= 0.9
 
 
+def test_collisions_are_counted_by_bits_and_radii_lie_apart():
+    """One pass counts 64 candidates a word; radii that hardly differ cost no pass each."""
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((700, 64))
+    vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    index = ann.Index(np.arange(700), vectors, 1 + 1e-12)
+    assert all(b >= a * ann.WIDER - 1e-9 or b == 2.0 for a, b in zip(index.radii, index.radii[1:], strict=False))
+    low, high = index.windows(vectors[:5])
+    lines = np.random.default_rng(11).standard_normal((65, ann.PROJECTIONS))
+    places = index._projected(slice(None), lines)
+    radius = ann.HALF_WINDOW * index.radii[0]
+    for q in range(5):
+        begin, end = (np.take_along_axis(index.edges, x[q, 0][:, None], 1) for x in (low, high))
+        at = (vectors[q] @ index.lines)[:, None]
+        assert (begin <= (at - radius).astype(np.float32)).all() and (end >= (at + radius).astype(np.float32)).all()
+        want = ((places >= begin) & (places < end)).sum(0)
+        got = sum(index._spread(d).astype(np.int64) << k for k, d in enumerate(index._hits(index.blocks[0], low[q, 0], high[q, 0])))
+        assert got[:700].tolist() == want.tolist()
+        assert index._passing(index.blocks[0], low[q, 0], high[q, 0]).tolist() == np.flatnonzero(want >= index.collisions).tolist()
+
+
 def test_neighbours_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [nan, 1.0]), (7, []), (20, [0.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 1.0, 1.0]), (40, [float("inf"), 0.0])]
