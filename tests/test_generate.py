@@ -88,6 +88,26 @@ def test_large_pools_are_numbered_alike(spark, monkeypatch):
     assert sorted((r.created_b, r.id) for r in lifecycle.entities(counts, "x", 1).collect()) == [(0, i) for i in range(1, 8)] + [(2, i) for i in range(8, 12)]
 
 
+def test_entities_are_dealt_over_tasks_and_not_broadcast(spark):
+    from datetime import date
+
+    from millrace.operators import audit, lifecycle
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    months = lifecycle.buckets(spark, date(2024, 1, 1), date(2024, 4, 1))
+    users = spark.range(1, 301).selectExpr("id", "cast(id % 3 as int) as created_b", "timestamp_ntz'2024-01-01 00:00:00' as created_at")
+    pairs, counts = users.selectExpr("created_b as b", "id"), spark.createDataFrame([(0, 40), (1, 0), (2, 60)], "b int, new long")
+    born = lifecycle.entities(counts.join(months, "b"), "orders", 1)
+    assert born.rdd.getNumPartitions() >= lifecycle.TASKS and born.count() == 100
+    orders = lifecycle.children(counts, pairs, users, months, "orders", 1, "after", 0, 10)
+    rows = orders.collect()
+    assert len(rows) == 100 and all(r.parent_id % 3 == r.created_b for r in rows)
+    assert plan(orders).partition("Initial Plan")[0].count("SortMergeJoin") >= 2
+    late, lost = audit.before_parent(orders, "parent_id", "created_at", users.withColumnRenamed("created_at", "born"), "id", "born"), audit.orphans(orders, "parent_id", users, "id")
+    assert (late.first().violations, lost.first().orphans) == (0, 0)
+    assert "SortMergeJoin" in plan(lost).partition("Initial Plan")[0] and plan(late).partition("Initial Plan")[0].count("SortMergeJoin") >= 3
+
+
 def test_unique_values_of_every_type(spark):
     kinds = [T.IntegerType(), T.LongType(), T.DateType(), T.TimestampNTZType(), T.DoubleType(), T.DecimalType(12, 2), T.StringType()]
     columns = tuple(Column(f"c{i}", k) for i, k in enumerate(kinds))
