@@ -88,6 +88,16 @@ def test_large_pools_are_numbered_alike(spark, monkeypatch):
     assert sorted((r.created_b, r.id) for r in lifecycle.entities(counts, "x", 1).collect()) == [(0, i) for i in range(1, 8)] + [(2, i) for i in range(8, 12)]
 
 
+def test_a_sentence_is_made_once_and_ids_are_dealt(spark):
+    """Its text was worked out three times a sentence, by as many tasks as the file of ids had parts."""
+    from millrace import queries
+    from millrace.functions import generators
+
+    df = spark.range(1).select(generators.paragraph(F.col("id"), 1, "g").alias("value"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("g.length") == 1
+    assert queries.QUERIES["gen_paragraph"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16
+
+
 def test_entities_are_dealt_over_tasks_and_not_broadcast(spark):
     from datetime import date
 
