@@ -41,7 +41,7 @@ SAMPLE_RECALL = 0.915
 EDGES, EDGE_ROWS, BLOCK = 31, 8192, 16_384
 SHARD_ROWS, LANES = 60_000, 6
 #: Where queries are many, groups of a shard and a lane are up to so many, of so many queries at least.
-GROUPS, GROUP_QUERIES = 48, 2048
+GROUPS, GROUP_QUERIES = 48, 1024
 
 
 def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
