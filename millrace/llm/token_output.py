@@ -1,20 +1,20 @@
 """Token-id output by an adaptive context-mixing range coder.
 
 Ids are cut into blocks that know nothing of each other: each starts with an empty model and
-carries a checksum. An id is coded as four digits of four bits. For each digit three orders
-are mixed into one distribution:
+carries a checksum. An id is coded in one step, in one distribution mixed of three orders:
 
-- order 0: adaptive frequencies of the digit after the id's digits before it,
-- order 1: the digit of the id that last followed the id before this one (hashed table),
-- order 2: the digit of the id that last followed the two ids before this one.
+- order 0: adaptive frequencies of the ids that orders 1 and 2 missed, with an escape for new ones,
+- order 1: the id expected after the one before it,
+- order 2: the id expected after the two before it (hashed table).
 
-The weights of orders 1 and 2 are learned: for each order, digit and length of success so far,
-how often the prediction came true. An order whose id has missed an earlier digit has no
-weight. The range coder narrows to the digit's interval in the mixed distribution. All
-quantities are integers, so decoding repeats encoding exactly.
+The weights are learned: for each pair of lengths of success of orders 1 and 2, and whether
+they agree, how often each prediction came true. The range coder narrows to the id's
+interval in the mixed distribution. All quantities are integers, so decoding repeats encoding
+exactly.
 
-Blocks are coded side by side: one step handles the next id of every block with array
-operations. The model is the same code in both directions.
+A block is cut into lanes, which are coded side by side: one step handles the next id of every
+lane with array operations. All lanes use and teach one model, which learns after every span
+of steps, at first after each. The model is the same code in both directions.
 
 A frame holds whole consecutive documents: header, document lengths, blocks. Frames are the
 rows of a Parquet table, which Spark commits once and any store can hold.
@@ -35,247 +35,304 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize, slices
 from millrace.llm.tokens import encoder, vocabulary_path
 
-MAGIC = b"MRC2"
+MAGIC = b"MRC3"
 END_ID = 0
-BLOCK_IDS = 2048
 #: A frame is closed at the first document end at or after so many ids.
-FRAME_IDS = 65_536
-#: Ids coded side by side at once at most; bounds memory (some 20 bytes an id).
-GROUP_IDS = 2_600_000
-#: The width of all mixed distributions, and of order 0 alone.
-_TOTAL, _WHOLE = 1 << 16, (1 << 15) - 1
-#: Least width of a digit in order 0, and of order 0 in the mix.
-_LEAST, _FLOOR = 24, 4096
-_SLOTS, _LEVELS = 1024, 16
-#: Where the nodes of each digit begin among a block's nodes; those of the last digit are hashed.
-_NODES, _LAST_NODES = (0, 1, 17, 273), 256
-_LANE_NODES = _NODES[3] + _LAST_NODES
-# A node is 17 cumulative frequencies and the number of times it was used. It moves towards
-# the row of _TARGET for the digit seen, fast at first.
-_DIGITS, _BOUNDS = np.arange(16), np.arange(17)
-_ROW = np.append(np.where(_BOUNDS < 16, _BOUNDS * (_WHOLE // 16), _WHOLE), 0).astype(np.int16)
-_TARGET = np.where(_BOUNDS <= _DIGITS[:, None], _BOUNDS * _LEAST, _WHOLE - (16 - _BOUNDS) * _LEAST)
-_TARGET = np.concatenate([_TARGET, np.zeros((16, 1), np.int64)], 1).astype(np.int16)
-_WIDTH = len(_ROW)
-_RATE = np.repeat(np.array([1, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 4, 4, 4, 4, 5], np.int16)[:, None], _WIDTH, 1)
+FRAME_IDS = 1 << 20
+#: Most ids of a block; bounds memory (some 40 bytes an id).
+BLOCK_IDS = 1 << 21
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 3_000_000
+#: Ids of a lane, if the block has no more than _LANES of them, and the most steps of a span.
+_LANE_IDS, _LANES, _SPAN = 256, 4096, 16
+#: Ids are below _IDS; the escape is one more symbol of order 0.
+_IDS = _ESCAPE = 1 << 16
+#: Bits of order 0, of the weights and of the mix; the least weight of order 0.
+_LOW_BITS, _WEIGHT_BITS = 16, 12
+_TOTAL_BITS = _LOW_BITS + _WEIGHT_BITS
+_FLOOR = 64
+#: Ids that order 0 holds at most; counts are halved until so few are left.
+_HELD = 1 << 15
+_SLOTS, _LEVELS = 1 << 17, 16
+#: Ranges of the coder are below 2**_RANGE_BITS, which a double holds exactly, and 2**_LEAST_BITS at least.
+_RANGE_BITS, _LEAST_BITS = 48, 32
+_LEAST = 1 << _LEAST_BITS
+#: The length of success after a miss and after a hit, in the place that it has in an entry.
+_NEXT = np.concatenate([np.maximum(np.arange(_LEVELS) >> 1, 1), np.minimum(np.arange(_LEVELS) + 1, _LEVELS - 1)]).astype(np.int32) << 16
 
 
 class _Model:
-    """Predictions for the next id of ``n`` blocks at once; of arrays with two rows the first is order 1's."""
-
-    def __init__(self, n: int):
-        self.size = n
-        self.heard = np.zeros(2 * n * _SLOTS, np.uint32)
-        level = np.arange(_LEVELS)
-        first = np.stack([1024 + level * 3400, 1024 + level * 3800])[:, None]
-        later = np.broadcast_to(40_000 + level * 1500, (2, 3, _LEVELS))
-        self.trust = np.repeat(np.concatenate([first, later], 1).astype(np.int32)[:, None], n, 1).ravel()
-        self.rows = np.tile(_ROW, (n * _LANE_NODES, 1))
-        self.cells = self.rows.view(f"V{2 * _WIDTH}").reshape(-1)
-        self.before = np.zeros((2, n), np.int64)
-        self.narrow(n)
-
-    def narrow(self, n: int) -> None:
-        """Go on with the first ``n`` blocks; the others have ended."""
-        self.n, lane = n, np.arange(n)
-        self.before = self.before[:, :n]
-        both = np.stack([lane, lane + self.size])
-        self.slot0, self.trust0 = both * _SLOTS, both * (4 * _LEVELS)
-        self.node0, self.cell0 = lane * _LANE_NODES, lane * _WIDTH
-
-    def begin(self) -> None:
-        """What orders 1 and 2 say of the next id."""
-        last, second = self.before
-        self.at = self.slot0.copy()
-        self.at[0] += (last * 40_503 >> 2) & (_SLOTS - 1)
-        self.at[1] += ((second * 40_503 + last * 30_011) >> 3) & (_SLOTS - 1)
-        entry = self.heard.take(self.at, mode="clip")
-        self.said, self.run = (entry & 0xFFFF).astype(np.int32), entry >> 16
-        self.trust_at = self.trust0 + self.run
-        self.alive = np.ones((2, self.n), bool)
-        self.above = np.zeros(self.n, np.int64)
-
-    def digit(self, k: int) -> None:
-        """Mix the distributions of digit ``k`` after the digits ``above``."""
-        self.node = self.above if k < 3 else (self.above * 40_503 >> 5) & (_LAST_NODES - 1)
-        self.node = self.node + self.node0
-        self.node += _NODES[k]
-        self.row = self.rows.take(self.node, 0, mode="clip")
-        self.told = (self.said >> (12 - 4 * k)) & 15
-        self.p = self.trust.take(self.trust_at, mode="clip")
-        w = self.p * self.alive
-        np.minimum(w[1], _TOTAL - 2 * _FLOOR, out=w[1])
-        w[0] = ((_TOTAL - w[1]) >> 1) * (w[0] >> 1) >> 14  # order 1 gets its share of what order 2 leaves
-        np.minimum(w[0], _TOTAL - _FLOOR - w[1], out=w[0])
-        self.w, self.w0 = w, _TOTAL - w[0] - w[1]
-
-    def interval(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of digits ``d`` in the mix."""
-        at, flat = self.cell0 + d, self.row.reshape(-1)
-        low = flat.take(at, mode="clip") * self.w0
-        at += 1
-        width = flat.take(at, mode="clip") * self.w0
-        low >>= 15
-        width >>= 15
-        width -= low
-        more = (d > self.told) * self.w
-        low += more[0]
-        low += more[1]
-        self.hit = d == self.told
-        more = self.hit * self.w
-        width += more[0]
-        width += more[1]
-        return low, width
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The digits whose intervals hold ``value``: the number of starts at or below it, less one."""
-        mixed = np.ascontiguousarray(self.row[:, :16].T) * self.w0
-        mixed >>= 15
-        for told, w in zip(self.told, self.w, strict=True):
-            mixed += (_DIGITS[:, None] > told) * w
-        return (mixed <= value.astype(np.int32)).sum(0, dtype=np.int8) - 1
-
-    def learn_digit(self, d: np.ndarray) -> None:
-        step = self.hit * np.int32(_TOTAL - 1)
-        step -= self.p
-        step >>= 5
-        step *= self.alive
-        step += self.p
-        self.trust[self.trust_at] = step
-        self.trust_at += _LEVELS
-        self.alive &= self.hit
-        seen = self.row[:, _WIDTH - 1].copy()
-        move = _TARGET.take(d, 0, mode="clip")
-        move -= self.row
-        move >>= _RATE.take(seen, 0, mode="clip")
-        move += self.row
-        move[:, _WIDTH - 1] = np.minimum(seen + 1, len(_RATE) - 1)
-        self.cells[self.node] = move.view(self.cells.dtype).reshape(-1)
-        self.above = (self.above << 4) + d
-
-    def end(self, ids: np.ndarray) -> None:
-        run = np.where(self.said == ids, np.minimum(self.run + 1, _LEVELS - 1), 0).astype(np.uint32)
-        self.heard[self.at] = ids.astype(np.uint32) | (run << 16)
-        self.before = np.stack([ids, self.before[0]])
+    """What the orders say of the next id of many lanes."""
+
+    def __init__(self) -> None:
+        # The id expected in a context, and above it how often of late it came (0: context not met).
+        self.heard = (np.zeros(_IDS, np.uint32), np.zeros(_SLOTS, np.uint32))
+        self.seen = np.zeros(_IDS + 1, np.int64)
+        self.seen[_ESCAPE] = 1
+        self.came = np.zeros((2 * _LEVELS * _LEVELS, 4), np.int64)
+        self.settle()
+
+    def settle(self) -> None:
+        """The distribution of order 0 and the weights, from all that was counted."""
+        known = np.flatnonzero(self.seen)
+        while len(known) > _HELD:
+            self.seen[:_IDS] >>= 1
+            known = np.flatnonzero(self.seen)
+        counts = self.seen[known]
+        widths = counts * ((1 << _LOW_BITS) - len(known)) // counts.sum() + 1
+        widths[-1] += (1 << _LOW_BITS) - widths.sum()  # the escape gets what rounding leaves
+        each = np.zeros(_IDS + 1, np.int64)
+        each[known] = widths
+        self.starts = (np.cumsum(each) - each).astype(np.int32)
+        self.widths = each.astype(np.int32)
+        self.holder = np.repeat(known.astype(np.int32), widths)
+        missed, first, second, both = self.came.T
+        second = 4 * (second + both) + 1
+        first = 4 * first + 1
+        whole = first + second + 4 * missed + 2
+        self.w2 = (second * ((1 << _WEIGHT_BITS) - _FLOOR) // whole).astype(np.int32)
+        self.w1 = (first * ((1 << _WEIGHT_BITS) - _FLOOR) // whole).astype(np.int32)
+        self.w0 = (1 << _WEIGHT_BITS) - self.w1 - self.w2
+        self.share = -(-(1 << 40) // self.w0.astype(np.int64))  # u * share >> 40 is u // w0 for u below 2**28
+
+    def ask(self, last: np.ndarray, second: np.ndarray) -> None:
+        """What the orders say after the ids ``second``, ``last`` (int32)."""
+        self.at = (last, ((second * 40_503 + last * 30_011) >> 3) & (_SLOTS - 1))
+        e1, e2 = (t.take(a, mode="clip").view(np.int32) for t, a in zip(self.heard, self.at, strict=True))
+        self.said = (e1 & 0xFFFF, e2 & 0xFFFF)
+        self.run = (e1 >> 16, e2 >> 16)
+        self.kind = (self.run[1] << 5) + (self.run[0] << 1) + (self.said[0] == self.said[1])
+        self.part = self.w0.take(self.kind, mode="clip")
+        self.mass = (self.w1.take(self.kind, mode="clip") << _LOW_BITS, self.w2.take(self.kind, mode="clip") << _LOW_BITS)
+
+    def intervals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of ``ids`` in the mix, and which of them are escapes."""
+        low = self.starts.take(ids, mode="clip") * self.part
+        width = self.widths.take(ids, mode="clip") * self.part
+        for said, mass in zip(self.said, self.mass, strict=True):
+            low += (ids > said) * mass
+            width += (ids == said) * mass
+        new = np.flatnonzero(width == 0)
+        if len(new):
+            low[new] = self.starts[_ESCAPE] * self.part[new] + self.mass[0][new] + self.mass[1][new]
+            width[new] = self.widths[_ESCAPE] * self.part[new]
+        return low, width, new
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold ``value``, with start and width; _ESCAPE for escapes."""
+        (p1, p2), (m1, m2), part = self.said, self.mass, self.part
+        low1 = self.starts.take(p1, mode="clip") * part
+        low1 += (p1 > p2) * m2
+        low2 = self.starts.take(p2, mode="clip") * part
+        low2 += (p2 > p1) * m1
+        width1 = self.widths.take(p1, mode="clip") * part
+        width1 += m1
+        width2 = self.widths.take(p2, mode="clip") * part
+        width2 += m2
+        same = p1 == p2
+        both = same * m1
+        width2 += both
+        past1, past2 = value - low1, value - low2
+        # As unsigned numbers those before a start are large.
+        in2 = past2.view(np.uint32) < width2.view(np.uint32)
+        in1 = past1.view(np.uint32) < width1.view(np.uint32)
+        in1 &= ~same
+        shift = (past1 >= 0) * m1
+        shift += (past2 >= 0) * m2
+        rest = (value - shift) * self.share.take(self.kind, mode="clip")
+        rest >>= 40
+        ids = self.holder.take(rest, mode="clip")
+        low = self.starts.take(ids, mode="clip") * part
+        low += shift
+        width = self.widths.take(ids, mode="clip") * part
+        for own, p, start, size in ((in1, p1, low1, width1), (in2, p2, low2, width2)):
+            # Sums are some eight times as fast here as np.where and np.copyto.
+            ids += own * (p - ids)
+            low += own * (start - low)
+            width += own * (size - width)
+        return ids, low, width
+
+    def asked(self) -> tuple[np.ndarray, ...]:
+        """What was asked, for learn."""
+        return (*self.at, *self.said, *self.run, self.kind)
+
+    def learn(self, pieces: list[tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> None:
+        """Take in the ids of a span of steps, each piece with what was asked for it."""
+        which, missed = [], []
+        for ids, (at1, at2, said1, said2, run1, run2, kind) in pieces:
+            hit1, hit2 = ids == said1, ids == said2
+            for table, at, said, run, hit in zip(self.heard, (at1, at2), (said1, said2), (run1, run2), (hit1, hit2), strict=True):
+                entry = (hit | (run > 1)) * (said - ids)
+                entry += ids
+                entry += _NEXT.take((hit << 4) + run, mode="clip")
+                table[at.astype(np.int64)] = entry.view(np.uint32)
+            which.append((kind << 2) + hit1 + 2 * hit2)
+            hit1 |= hit2
+            missed.append(ids.compress(~hit1))
+        self.came += np.bincount(np.concatenate(which), minlength=self.came.size).reshape(self.came.shape)
+        counts = np.bincount(np.concatenate(missed), minlength=_IDS)
+        self.seen[_ESCAPE] += counts[self.widths[:_IDS] == 0].sum()
+        self.seen[:_IDS] += counts
+        self.settle()
+
+
+def _spans(steps: int) -> Iterator[tuple[int, int]]:
+    """First and last step (exclusive) of the spans after which the model learns."""
+    start = 0
+    while start < steps:
+        end = min(start + min(max(start, 1), _SPAN), steps)
+        yield start, end
+        start = end
+
+
+def _lanes(n: int) -> tuple[int, int, int]:
+    """Number of lanes of ``n`` ids, steps that all lanes take, and lanes that take one more."""
+    lanes = min(max(n // _LANE_IDS, 1), _LANES)
+    return lanes, n // lanes, n % lanes
 
 
 class _Encoder:
     """Range coders side by side. Carries stay in the words and are settled at the end."""
 
-    def __init__(self, n: int, steps: int):
-        self.low = np.zeros(n, np.int64)
-        self.range = np.full(n, 1 << 48, np.int64)
-        self.words = np.zeros((n, 4 * steps + 4), np.int32)
-        self.used = np.zeros(n, np.int64)
+    def __init__(self, lanes: int, steps: int):
+        self.low = np.zeros(lanes, np.int64)
+        self.range = np.full(lanes, 1 << _RANGE_BITS, np.int64)
+        self.room = 3 * steps + 4  # an id takes at most 22 bits and, if it is an escape, 16 more
+        self.words = np.zeros(lanes * self.room, np.int32)
+        self.used = np.arange(lanes) * self.room
 
     def put(self, low: np.ndarray, width: np.ndarray) -> None:
         n = len(low)
-        unit = self.range[:n] >> 16
-        at, size = self.low[:n] + unit * low, unit * width
-        # Ranges stay at 2**32 or more, so one word is due at most.
-        small = np.nonzero(size < 1 << 32)[0]
-        if len(small):
-            self.words[small, self.used[small]] = at[small] >> 32
-            self.used[small] += 1
-            at[small] = (at[small] & 0xFFFFFFFF) << 16
-            size[small] <<= 16
-        self.low[:n], self.range[:n] = at, size
-
-    def finish(self) -> list[bytes]:
-        n = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.words[n, self.used] = self.low >> shift if shift == 32 else (self.low >> shift) & 0xFFFF
-            self.used += 1
-        words = self.words[:, : int(self.used.max())]
-        for k in range(words.shape[1] - 1, 0, -1):
-            words[:, k - 1] += words[:, k] >> 16
-        return [(row[:u] & 0xFFFF).astype("<u2").tobytes() for row, u in zip(words, self.used, strict=True)]
+        unit = self.range[:n] >> _TOTAL_BITS
+        self.range[:n] = unit * width
+        self.low[:n] += unit * low
+        self._emit(np.flatnonzero(self.range[:n] < _LEAST))
+
+    def put_plain(self, lanes: np.ndarray, ids: np.ndarray) -> None:
+        unit = self.range[lanes] >> 16
+        self.range[lanes] = unit
+        self.low[lanes] += unit * ids
+        self._emit(lanes[unit < _LEAST])
+
+    def _emit(self, lanes: np.ndarray) -> None:
+        while len(lanes):
+            low, size = self.low[lanes], self.range[lanes] << 16
+            self.words[self.used[lanes]] = low >> _LEAST_BITS
+            self.used[lanes] += 1
+            self.low[lanes] = (low & (_LEAST - 1)) << 16
+            self.range[lanes] = size
+            lanes = lanes[size < _LEAST]
+
+    def finish(self) -> bytes:
+        """Numbers of words of the lanes, and the words."""
+        self.words[self.used] = (self.low + _LEAST - 1) >> _LEAST_BITS  # zeros may follow
+        counts = self.used + 1 - np.arange(len(self.used)) * self.room
+        over = np.flatnonzero(self.words > 0xFFFF)
+        while len(over):
+            self.words[over] -= 1 << 16
+            self.words[over - 1] += 1
+            over = over - 1
+            over = over[self.words[over] > 0xFFFF]
+        words = self.words.reshape(len(counts), self.room)
+        return counts.astype("<u2").tobytes() + words[np.arange(self.room) < counts[:, None]].astype("<u2").tobytes()
 
 
 class _Decoder:
-    def __init__(self, coded: list[bytes]):
-        longest = max(map(len, coded)) // 2 + 4
-        self.words = np.zeros((len(coded), longest), np.uint16)
-        for row, data in zip(self.words, coded, strict=True):
-            row[: len(data) // 2] = np.frombuffer(data, "<u2")
-        first = self.words[:, :3].astype(np.int64)
-        self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
-        self.range = np.full(len(coded), 1 << 48, np.int64)
-        self.used = np.full(len(coded), 3, np.int64)
+    def __init__(self, coded: bytes, lanes: int):
+        counts = np.frombuffer(coded, "<u2", min(lanes, len(coded) // 2)).astype(np.int64)
+        if len(counts) < lanes or 2 * (lanes + int(counts.sum())) != len(coded):
+            raise ValueError("length of a block does not match")
+        self.words = np.append(np.frombuffer(coded, "<u2", offset=2 * lanes).astype(np.int64), 0)
+        self.used = np.cumsum(counts) - counts
+        self.stop = self.used + counts
+        self.range = np.full(lanes, 1 << _RANGE_BITS, np.int64)
+        self.code, every = np.zeros(lanes, np.int64), np.arange(lanes)
+        for _ in range(_RANGE_BITS // 16):
+            self.code = (self.code << 16) | self._next(every)
+
+    def _next(self, lanes: np.ndarray) -> np.ndarray:
+        at = self.used[lanes]
+        self.used[lanes] += 1
+        return self.words[np.where(at < self.stop[lanes], at, len(self.words) - 1)]
 
     def look(self, n: int) -> np.ndarray:
-        self.unit = self.range[:n] >> 16
-        return np.minimum(self.code[:n] // self.unit, _TOTAL - 1)
+        self.unit = self.range[:n] >> _TOTAL_BITS
+        value = (self.code[:n] / self.unit).astype(np.int32)  # exact: both are below 2**48, and the quotient below 2**29
+        return np.minimum(value, (1 << _TOTAL_BITS) - 1, out=value)
 
     def take(self, low: np.ndarray, width: np.ndarray) -> None:
         n = len(low)
-        code, size = self.code[:n] - self.unit * low, self.unit * width
-        small = np.nonzero(size < 1 << 32)[0]
-        if len(small):
-            code[small] = (code[small] << 16) | self.words[small, np.minimum(self.used[small], self.words.shape[1] - 1)]
-            self.used[small] += 1
-            size[small] <<= 16
-        self.code[:n], self.range[:n] = code, size
-
-
-def _in_step(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(step, number of blocks that have a further id), blocks being sorted from the longest."""
-    n = len(lengths)
-    for step in range(int(lengths[0]) if n else 0):
-        while n and lengths[n - 1] <= step:
-            n -= 1
-        yield step, n
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's coded bytes. Ids are below 65536."""
-    order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))
-    lengths = np.array([len(blocks[b]) for b in order])
-    if not len(lengths):
-        return []
-    ids = np.zeros((int(lengths[0]), len(order)), np.uint16)
-    for lane, b in enumerate(order):
-        ids[: len(blocks[b]), lane] = blocks[b]
-    model, coder = _Model(len(order)), _Encoder(len(order), int(lengths[0]))
-    for step, n in _in_step(lengths):
-        if n < model.n:
-            model.narrow(n)
-        now = ids[step, :n].astype(np.int64)
-        model.begin()
-        for k in range(4):
-            digit = (now >> (12 - 4 * k)) & 15
-            model.digit(k)
-            coder.put(*model.interval(digit))
-            model.learn_digit(digit)
-        model.end(now)
-    out: list[bytes] = [b""] * len(blocks)
-    for b, data in zip(order, coder.finish(), strict=True):
-        out[b] = data
-    return out
-
-
-def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """The blocks' ids, from their bytes and numbers of ids."""
-    order = sorted(range(len(coded)), key=lambda b: -counts[b])
-    lengths = np.array([counts[b] for b in order])
-    if not len(lengths) or not lengths[0]:
-        return [np.zeros(0, np.uint16) for _ in coded]
-    ids = np.zeros((int(lengths[0]), len(order)), np.uint16)
-    model, coder = _Model(len(order)), _Decoder([coded[b] for b in order])
-    for step, n in _in_step(lengths):
-        if n < model.n:
-            model.narrow(n)
-        model.begin()
-        for k in range(4):
-            model.digit(k)
-            digit = model.find(coder.look(n))
-            coder.take(*model.interval(digit))
-            model.learn_digit(digit)
-        ids[step, :n] = model.above
-        model.end(model.above)
-    out: list[np.ndarray] = [None] * len(coded)  # type: ignore[list-item]
-    for lane, b in enumerate(order):
-        out[b] = np.ascontiguousarray(ids[: counts[b], lane])
+        self.code[:n] -= self.unit * low
+        self.range[:n] = self.unit * width
+        np.minimum(self.code[:n], self.range[:n] - 1, out=self.code[:n])  # damaged blocks stay in bounds
+        self._fill(np.flatnonzero(self.range[:n] < _LEAST))
+
+    def take_plain(self, lanes: np.ndarray) -> np.ndarray:
+        unit = self.range[lanes] >> 16
+        ids = np.minimum(self.code[lanes] // unit, _IDS - 1)
+        self.code[lanes] = np.minimum(self.code[lanes] - unit * ids, unit - 1)
+        self.range[lanes] = unit
+        self._fill(lanes[unit < _LEAST])
+        return ids
+
+    def _fill(self, lanes: np.ndarray) -> None:
+        while len(lanes):
+            size = self.range[lanes] << 16
+            self.code[lanes] = (self.code[lanes] << 16) | self._next(lanes)
+            self.range[lanes] = size
+            lanes = lanes[size < _LEAST]
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """A block's coded bytes. Ids are below 65536; there is one at least."""
+    lanes, even, more = _lanes(len(ids))
+    wide = (even + 1) * more
+    table = np.zeros((even + 3, lanes), np.int32)  # two rows of zeros stand before the first ids
+    table[2:, :more] = ids[:wide].reshape(more, even + 1).T
+    table[2:-1, more:] = ids[wide:].reshape(lanes - more, even).T
+    model, coder = _Model(), _Encoder(lanes, even + 1)
+    for start, end, n in _shape(even, more, lanes):
+        second, last, ids = (table[start + k : end + k, :n].ravel() for k in range(3))
+        model.ask(last, second)
+        low, width, new = model.intervals(ids)
+        cuts = np.searchsorted(new, np.arange(end - start + 1) * n)
+        for k in range(end - start):
+            coder.put(low[k * n : (k + 1) * n], width[k * n : (k + 1) * n])
+            own = new[cuts[k] : cuts[k + 1]]
+            if len(own):
+                coder.put_plain(own - k * n, ids[own])
+        model.learn([(ids, model.asked())])
+    return coder.finish()
+
+
+def _shape(even: int, more: int, lanes: int) -> list[tuple[int, int, int]]:
+    """The spans, with the number of lanes that have an id in them."""
+    return [(a, b, lanes) for a, b in _spans(even)] + ([(even, even + 1, more)] if more else [])
+
+
+def decode_block(coded: bytes, count: int) -> np.ndarray:
+    """The block's ids, from its bytes and their number."""
+    lanes, even, more = _lanes(count)
+    table = np.zeros((even + 1, lanes), np.int32)
+    last = second = np.zeros(lanes, np.int32)
+    model, coder = _Model(), _Decoder(coded, lanes)
+    for start, end, n in _shape(even, more, lanes):
+        pieces = []
+        for k in range(start, end):
+            model.ask(last[:n], second[:n])
+            ids, low, width = model.find(coder.look(n))
+            coder.take(low, width)
+            new = np.flatnonzero(ids == _ESCAPE)
+            if len(new):
+                ids[new] = coder.take_plain(new)
+            table[k, :n] = ids
+            last, second = ids, last
+            pieces.append((ids, model.asked()))
+        model.learn(pieces)
+    out = np.empty(count, np.uint16)
+    wide = (even + 1) * more
+    out[:wide] = table[:, :more].T.ravel()
+    out[wide:] = table[:even, more:].T.ravel()
     return out
 
 
@@ -283,48 +340,44 @@ def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
 # ---- block number of ids, bytes and crc32 of its ids as u32; the blocks. All little-endian.
 
 
-def _frame(lengths: list[int], ids: np.ndarray, coded: list[bytes]) -> bytes:
+def _frame(docs: list[np.ndarray]) -> bytes:
+    ids = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
+    lengths = [len(d) for d in docs]
     cuts = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
+    coded = [encode_block(c) for c in cuts]
     head = [MAGIC, struct.pack("<II", len(lengths), len(cuts)), np.array(lengths, "<u4").tobytes()]
     head += [struct.pack("<III", len(c), len(b), zlib.crc32(c.astype("<u4").tobytes())) for c, b in zip(cuts, coded, strict=True)]
     return b"".join([*head, *coded])
 
 
 def pack_frames(groups: list[list[np.ndarray]]) -> list[bytes]:
-    """One frame for each list of documents' ids; all their blocks are coded side by side."""
-    joined = [np.concatenate(g) if g else np.zeros(0, np.uint16) for g in groups]
-    cuts = [[ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)] for ids in joined]
-    coded = iter(encode_blocks([c for own in cuts for c in own]))
-    return [_frame([len(d) for d in g], ids, [next(coded) for _ in own]) for g, ids, own in zip(groups, joined, cuts, strict=True)]
+    """One frame for each list of documents' ids."""
+    return [_frame(g) for g in groups]
 
 
 def unpack_frames(frames: list[bytes]) -> list[list[np.ndarray]]:
     """Each frame's documents' ids. A damaged block raises ValueError."""
-    lengths, blocks = [], []
-    for data in frames:
-        if data[:4] != MAGIC:
-            raise ValueError("not a frame of token ids")
-        n_docs, n_blocks = struct.unpack_from("<II", data, 4)
-        lengths.append(np.frombuffer(data, "<u4", n_docs, 12).astype(np.int64))
-        at = 12 + 4 * n_docs
-        heads = [struct.unpack_from("<III", data, at + 12 * k) for k in range(n_blocks)]
-        at += 12 * n_blocks
-        own = []
-        for count, size, crc in heads:
-            own.append((count, crc, data[at : at + size]))
-            at += size
-        blocks.append(own)
-    flat = [b for own in blocks for b in own]
-    decoded = decode_blocks([b[2] for b in flat], [b[0] for b in flat])
-    for (_, crc, _), ids in zip(flat, decoded, strict=True):
+    return [_documents(data) for data in frames]
+
+
+def _documents(data: bytes) -> list[np.ndarray]:
+    if data[:4] != MAGIC:
+        raise ValueError("not a frame of token ids")
+    n_docs, n_blocks = struct.unpack_from("<II", data, 4)
+    sizes = np.frombuffer(data, "<u4", n_docs, 12).astype(np.int64)
+    at = 12 + 4 * n_docs
+    heads = [struct.unpack_from("<III", data, at + 12 * k) for k in range(n_blocks)]
+    at += 12 * n_blocks
+    blocks = [np.zeros(0, np.uint16)]
+    for count, size, crc in heads:
+        if count > BLOCK_IDS:
+            raise ValueError("more ids than a block can hold")
+        ids = decode_block(data[at : at + size], count)
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("checksum of a block does not match")
-    ready = iter(decoded)
-    out = []
-    for own, sizes in zip(blocks, lengths, strict=True):
-        ids = np.concatenate([next(ready) for _ in own]) if own else np.zeros(0, np.uint16)
-        out.append(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
-    return out
+        blocks.append(ids)
+        at += size
+    return np.split(np.concatenate(blocks), np.cumsum(sizes)[:-1]) if n_docs else []
 
 
 def narrow(ids: np.ndarray) -> np.ndarray:
@@ -350,66 +403,71 @@ def write_frames(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", END_ID)
-        encode = encoder(path).encode_many
-        groups: list[list[np.ndarray]] = [[]]
-        names: list[list[int | None]] = [[]]
-        open_ids = all_ids = 0
+        encode = encoder(path).encode_arrays
+        docs: list[np.ndarray] = []
+        names: list[int | None] = []
+        open_ids = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, groups, names, open_ids, all_ids
-            if not groups[-1]:
-                groups.pop(), names.pop()
-            frames = pack_frames(groups)
-            arrays = [pa.array([part] * len(frames), pa.int32()), pa.array(range(number, number + len(frames)), pa.int32()), pa.array(names, pa.list_(pa.int64())), pa.array(frames, pa.binary())]
-            number += len(frames)
-            groups, names, open_ids, all_ids = [[]], [[]], 0, 0
+            nonlocal number, docs, names, open_ids
+            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array(pack_frames([docs]), pa.binary())]
+            number, docs, names, open_ids = number + 1, [], [], 0
             return pa.RecordBatch.from_arrays(arrays, names=["part", "frame", "doc_ids", "payload"])
 
         for batch in batches:
-            for piece in slices(batch, 1):
-                for name, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist()), strict=True):
-                    own = narrow(np.frombuffer(ids + end, "<u4"))
-                    groups[-1].append(own)
-                    names[-1].append(name)
-                    open_ids += len(own)
-                    all_ids += len(own)
+            for piece in slices(batch, 1, TEXT_BYTES):
+                ids, lengths = encode(piece.column(1))
+                ends = np.cumsum(lengths)
+                own = np.split(np.insert(narrow(ids), ends, END_ID), ends[:-1] + np.arange(1, len(ends)))
+                for name, doc in zip(piece.column(0).to_pylist(), own, strict=True):
+                    docs.append(doc)
+                    names.append(name)
+                    open_ids += len(doc)
                     if open_ids >= FRAME_IDS:
-                        groups.append([])
-                        names.append([])
-                        open_ids = 0
-                    if all_ids >= GROUP_IDS:
                         yield flush()
-        if all_ids:
+        if docs:
             yield flush()
 
     return materialize(ordered.mapInArrow(pack, "part int, frame int, doc_ids array<long>, payload binary"), "frames")
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
+    """Of each frame the columns doc_id, part, frame and place, and the documents' ids (32 bits)."""
+    for batch in batches:
+        for part, frame, names, payload in zip(*batch.columns, strict=True):
+            docs = unpack_frames([payload.as_py()])[0]
+            n = len(docs)
+            yield [names.values, pa.repeat(part, n), pa.repeat(frame, n), pa.array(range(n), pa.int32())], [d.astype("<u4") for d in docs]
+
+
 def read_frames(frames: DataFrame) -> DataFrame:
     """doc_id, part, frame, place (of the document in its frame), ids (little-endian u32 bytes)."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_IDS // FRAME_IDS):
-                piece = batch.slice(at, GROUP_IDS // FRAME_IDS)
-                rows = unpack_frames(piece.column(3).to_pylist())
-                for k, docs in enumerate(rows):
-                    n = len(docs)
-                    arrays = [piece.column(2)[k].values, pa.array([piece.column(0)[k].as_py()] * n, pa.int32()), pa.array([piece.column(1)[k].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([d.astype("<u4").tobytes() for d in docs], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "part", "frame", "place", "ids"])
+        for columns, docs in _read(batches):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([d.tobytes() for d in docs], pa.binary())], names=["doc_id", "part", "frame", "place", "ids"])
 
     return frames.select("part", "frame", "doc_ids", "payload").mapInArrow(unpack, "doc_id long, part int, frame int, place int, ids binary")
 
 
+def measured_frames(frames: DataFrame) -> DataFrame:
+    """doc_id, part, frame, place, and of the ids read back their number and their crc32."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, docs in _read(batches):
+            figures = [pa.array([len(d) for d in docs], pa.int64()), pa.array([zlib.crc32(d) for d in docs], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *figures], names=["doc_id", "part", "frame", "place", "n_tokens", "ids_crc32"])
+
+    return frames.select("part", "frame", "doc_ids", "payload").mapInArrow(measure, "doc_id long, part int, frame int, place int, n_tokens long, ids_crc32 long")
+
+
 def output_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files read back.
 
     start counts the ids of all documents before. Offsets come from sums by part, then by
     frame in its part, then by place in its frame; no step sees all documents at once.
     """
-    read = read_frames(write_frames(docs, path))
-    slim = materialize(read.select("doc_id", "part", "frame", "place", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32")), "ids")
+    slim = materialize(measured_frames(write_frames(docs, path)), "ids")
     frames = slim.groupBy("part", "frame").agg(F.sum("n_tokens").alias("n"))
     parts = frames.groupBy("part").agg(F.sum("n").alias("n"))
     zero = F.lit(0).cast("long")

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
 import random
+import re
 import sys
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -14,7 +18,7 @@ from conftest import SF
 from plain import brute_classes, plain_score
 
 from millrace.llm import ann, near_dups, quality, token_output
-from millrace.llm.tokens import encoder, vocabulary_path
+from millrace.llm.tokens import CachedEncoder, encoder, vocabulary_path
 
 
 def test_signature_estimates_similarity():
@@ -197,6 +201,33 @@ def test_blocks_round_trip_and_checksums():
     assert len(small) < 5000 * 2 / 4  # repeats are predicted
 
 
+def test_a_block_is_one_model_that_all_lanes_teach():
+    docs = pq.read_table(f"{SF}/documents.parquet")["text"].combine_chunks().drop_null()
+    ids, sizes = encoder(vocabulary_path()).encode_arrays(docs)
+    groups = [np.split(token_output.narrow(ids), np.cumsum(sizes)[:-1])]
+    frame = token_output.pack_frames(groups)[0]
+    assert all((a == b).all() for a, b in zip(groups[0], token_output.unpack_frames([frame])[0], strict=True))
+    assert 8 * len(frame) < 9 * len(ids)
+    body = len(frame) - len(token_output.encode_block(token_output.narrow(ids)))
+    for at in range(body, len(frame), len(frame) // 12):
+        with pytest.raises(ValueError):
+            token_output.unpack_frames([frame[:at] + bytes([frame[at] ^ 64]) + frame[at + 1 :]])
+
+
+def test_a_coded_id_costs_few_python_steps():
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.3, 400_000).clip(1, 50_000).astype(np.uint16)
+    spins, coded = [], []
+    for _ in range(3):
+        t = time.process_time()
+        sum(range(4_000_000))  # some 0.1 s
+        spins.append(time.process_time() - t)
+        t = time.process_time()
+        assert (token_output.unpack_frames(token_output.pack_frames([[ids]]))[0][0] == ids).all()
+        coded.append(time.process_time() - t)
+    assert min(coded) < 6 * min(spins)
+
+
 def test_ids_beyond_a_block_are_refused():
     assert token_output.narrow(np.array([0, 65535], np.uint32)).tolist() == [0, 65535]
     with pytest.raises(ValueError):
@@ -218,6 +249,20 @@ def test_encoder_looks_at_what_follows_white_space():
     assert e.encode_many(texts) == e.library(texts)
 
 
+def test_arrays_of_texts_equal_library():
+    rng = random.Random(7)
+    signs = [*"abZ  '\n\t.,;5|<>", "é", "ß", "×", "÷", "ɏ", "ɐ", "μ", "\xa0", "\u3000", "\u0301", "“", "日", "😀", "<|endoftext|>", "'s", " the", " and", "\x1c", "\x85"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(3000)]
+    texts += [re.sub(r"\s+", " ", t).strip() for t in texts] + ["", "x" * 5000, " y" * 3000, ""]
+    for most in (400_000, 50):  # the latter forgets parts after each call
+        e = CachedEncoder(vocabulary_path(), most=most)
+        for k in (1, 2, 500, len(texts)):
+            ids, sizes = e.encode_arrays(pa.array(texts[:k]))
+            assert ids.astype("<u4").tobytes() == b"".join(e.library(texts[:k]))
+            assert sizes.tolist() == [len(x) // 4 for x in e.library(texts[:k])]
+    assert e.encode_arrays(pa.array([], pa.string()))[0].size == 0
+
+
 def test_output_of_odd_rows(spark, odd_docs, no_docs):
     e = encoder(vocabulary_path())
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
