@@ -42,7 +42,7 @@ FRAME_IDS = 1 << 20
 #: Most ids of a block; bounds memory (some 40 bytes an id).
 BLOCK_IDS = 1 << 21
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 3_000_000
+TEXT_BYTES = 1_200_000
 #: Ids of a lane, if the block has no more than _LANES of them, and the most steps of a span.
 _LANE_IDS, _LANES, _SPAN = 256, 4096, 16
 #: Ids are below _IDS; the escape is one more symbol of order 0.
