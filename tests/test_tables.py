@@ -210,6 +210,31 @@ def test_unique_parents_lose_no_row(spark):
         relations.assign_unique_parents(rows, "n", 150, [(right.where("false"), "id", "b")], "k", 1)
 
 
+def test_pairs_of_many_parents_are_made_without_a_join(spark, monkeypatch):
+    """More parents than are broadcast: pairs come from row numbers alone, and are those that rows get one by one."""
+    from conftest import SF
+
+    from millrace import table_queries as Q
+
+    monkeypatch.setattr(relations, "BROADCAST_KEYS", 8)
+    plan = Q.QUERIES["unique_part_suppliers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    left = spark.createDataFrame([(k,) for k in (None, -3, 900, *range(20, 60))], "a int").repartition(3)
+    right = spark.createDataFrame([(None,), (5,), (1 << 40,), (-7,)], "b long")
+    parents = [(left, "a", "x"), (right, "b", "y")]
+    for n in (126, 125, 1, 0):
+        rows = relations.assign_unique_parents(spark.range(n).withColumnRenamed("id", "n"), "n", n, parents, "k", 7).select("n", "x", "y")
+        monkeypatch.setattr(relations, "PAIRS_AT_ONCE", 11)
+        made = relations.unique_pairs(spark, n, parents, "k", 7, "n")
+        assert [f.simpleString() for f in made.schema] == [f.simpleString() for f in rows.schema]
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.collect()))
+        assert made.select("x", "y").distinct().count() == n
+    with pytest.raises(relations.TooFewCombinationsError):
+        relations.unique_pairs(spark, 127, parents, "k", 7)
+    with pytest.raises(relations.MissingParentError):
+        relations.unique_pairs(spark, 3, [(left.where("false"), "a", "x"), (right, "b", "y")], "k", 7)
+
+
 @pytest.mark.parametrize("bulk", [False, True])
 def test_generated_tables_keep_composite_keys_and_rows(spark, bulk):
     from pyspark.sql import types as T
