@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import random
@@ -283,6 +284,61 @@ def test_shapes_come_back(spark):
     assert profile.joint_shape(df, ["x", "none"])["edges"] == [[], []]
 
 
+@pytest.mark.parametrize("case", ["apart", "ties", "same", "odd"])
+def test_gaps_are_exact_though_few_values_are_dealt(spark, monkeypatch, case):
+    """The gap is that of all values, but only buckets that can hold it are looked into value by value."""
+    from millrace.operators import compliance
+
+    r = random.Random(5)
+    left = [r.gauss(1000, 200) for _ in range(6000)]
+    right = {"apart": [r.gauss(1020, 200) for _ in range(5000)], "ties": [float(r.randrange(400, 1600, 50)) for _ in range(5000)], "same": left, "odd": [math.nan, math.inf, -math.inf, -0.0, 0.0, 5e-324, -1e300, *left[:40]]}[case]
+    values = sorted(set(left) | {x for x in right if x == x})
+    share = lambda xs: [bisect.bisect_right(sorted(x for x in xs if x == x), v) / len(xs) for v in values]
+    gap = max(abs(a - b) for a, b in zip(share(left), share(right), strict=True))
+    dealt, own = [], compliance.running_sums
+    monkeypatch.setattr(compliance, "running_sums", lambda deltas, *a: (dealt.append(deltas.count()), own(deltas, *a))[1])
+    frames = [spark.createDataFrame([(x,) for x in xs] + [(None,)], "v double").repartition(3) for xs in (left, right)]
+    assert compliance.ks_gap(frames[0], "v", frames[1], "v").first()[0] == pytest.approx(gap, abs=6e-7)
+    assert case == "same" or sum(dealt) < len(values) / 4  # no gap at all: any value could hold the greatest
+
+
+def test_bounds_hold_a_rank_correlation(spark, monkeypatch):
+    from millrace.operators import compliance
+
+    r = random.Random(6)
+    rows = [(float(r.randrange(1, 51)), r.gauss(0, 3)) for _ in range(4000)]
+    near = spark.createDataFrame([(q, q + e) for q, e in rows] + [(None, 1.0), (1.0, None)], "x double, y double")
+    far = spark.createDataFrame([(q, e - q) for q, e in rows], "x double, y double")
+    for df in (near, far):
+        low, high = compliance.correlation_bounds(df, "x", "y")
+        assert low - 1e-6 <= compliance.rank_correlation(df, "x", "y").first()[0] <= high + 1e-6 and high - low < 0.05
+    assert compliance.correlation_bounds(near.where("x = 1"), "x", "y") is None
+    exact = compliance.rank_correlation
+    monkeypatch.setattr(compliance, "rank_correlation", None)  # the bounds are enough
+    assert compliance.correlations_near(near, near, "x", "y", 0.1).first().held is True
+    assert compliance.correlations_near(near, far, "x", "y", 0.1).first().held is False
+    monkeypatch.setattr(compliance, "rank_correlation", exact)
+    assert compliance.correlations_near(near, near, "x", "y", 0.0).first().held is True
+    assert compliance.correlations_near(near, near.where("x = 1"), "x", "y", 0.1).first().held is None
+
+
+def test_unread_keys_are_left_out(spark):
+    from pyspark.sql import types as T
+
+    from millrace.plans import generate, scenario
+    from millrace.plans.schema import Column, Constraint, SchemaGraph, Table
+
+    key, parent, size = Column("id", T.LongType(), identity=True), Column("post_id", T.LongType()), Column("size", T.DoubleType())
+    keys = (ForeignKey("lines", "post_id", "posts", "id"),)
+    plan = scenario.parse({"tables": {"posts": {"count": 40}, "lines": {"count": 333}}})
+    graph = SchemaGraph((Table("posts", (key,)), Table("lines", (key, parent, size))), keys)
+    made, bare = generate.generate(spark, graph, plan, 9)["lines"], generate.generate(spark, graph, plan, 9, keyless=["lines"])["lines"]
+    assert bare.columns == ["id", "size"] and "Join" not in bare._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, made.select("id", "size").collect()))
+    held = SchemaGraph((Table("posts", (key,)), Table("lines", (key, parent, size), (Constraint("unique", ("post_id", "size")),))), keys)
+    assert "post_id" in generate.generate(spark, held, plan, 9, keyless=["lines"])["lines"].columns
+
+
 def test_dates_by_density(spark):
     from millrace.functions import generators as G
 
